@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+from .chat_perspectives import OP5_SQL, op5_chat_perspectives
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .simhash_vptree import op1_simhash_vptree
+from .slot_sharding import op7_slot_sharding
+from .source_mixing import OP10_SQL, op10_source_mixing
 from .substring_dedup import OP8_SQL, op8_substring_dedup
 
 QUERIES = {
     "op1_simhash_vptree": op1_simhash_vptree,
+    "op5_chat_perspectives": op5_chat_perspectives,
     "op6_line_dedup": op6_line_dedup,
+    "op7_slot_sharding": op7_slot_sharding,
     "op8_substring_dedup": op8_substring_dedup,
+    "op10_source_mixing": op10_source_mixing,
 }
 
 ORACLES = {
+    "op5_chat_perspectives": OP5_SQL,
     "op6_line_dedup": OP6_SQL,
     "op8_substring_dedup": OP8_SQL,
+    "op10_source_mixing": OP10_SQL,
 }
