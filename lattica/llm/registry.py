@@ -3,22 +3,29 @@
 from __future__ import annotations
 
 from .chat_perspectives import OP5_SQL, op5_chat_perspectives
+from .cost_packing import op4_cost_packing
 from .line_dedup import OP6_SQL, op6_line_dedup
+from .pivot_index import OP3_SQL, op3_pivot_permutations
 from .simhash_vptree import op1_simhash_vptree
 from .slot_sharding import op7_slot_sharding
 from .source_mixing import OP10_SQL, op10_source_mixing
 from .substring_dedup import OP8_SQL, op8_substring_dedup
+from .telephony_audio import op9_telephony_audio
 
 QUERIES = {
     "op1_simhash_vptree": op1_simhash_vptree,
+    "op3_pivot_permutations": op3_pivot_permutations,
+    "op4_cost_packing": op4_cost_packing,
     "op5_chat_perspectives": op5_chat_perspectives,
     "op6_line_dedup": op6_line_dedup,
     "op7_slot_sharding": op7_slot_sharding,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_telephony_audio": op9_telephony_audio,
     "op10_source_mixing": op10_source_mixing,
 }
 
 ORACLES = {
+    "op3_pivot_permutations": OP3_SQL,
     "op5_chat_perspectives": OP5_SQL,
     "op6_line_dedup": OP6_SQL,
     "op8_substring_dedup": OP8_SQL,
