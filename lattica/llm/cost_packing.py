@@ -2,7 +2,8 @@
 
 Each document is tokenised where it lies and cut there: into whole sequences, then, from
 what is left, a half and a quarter of a sequence if it has them, so that no piece that
-has to find room is over a quarter but those. Only the pieces' lengths and digests move.
+has to find room is over a quarter but those. The pieces' lengths and digests move, and
+the ids of short pieces, which may be cut once more to fill a sequence to the end.
 Pieces are hashed to bins of a bounded number of tokens; in a bin, pieces by descending
 length go to the open sequence of least cost (linear plus quadratic in each piece's
 length, as attention within documents costs) that has room for them. Sequences without
@@ -37,6 +38,11 @@ CAPACITY, END = 4096, 2
 BIN_TOKENS, WORDS = 4_000_000, 400_000
 #: Cost of a piece of n tokens: n + n * n / QUADRATIC.
 QUADRATIC = 4096
+#: Pieces of under 1 / SHORT of a sequence may be cut once more.
+SHORT = 16
+
+NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 
 
 def default_tokenizer() -> str:
@@ -105,8 +111,9 @@ def cuts(n: int, capacity: int = CAPACITY) -> list[int]:
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, keep_ids: bool = False) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): every id of every document in one piece."""
-    last = np.array([end], dtype="<u4").tobytes()
+    """(doc_id, start, length, ids_crc32, doc_tokens, ids): every id of every document in
+    one piece; ``ids`` is null for pieces that are not short, unless ``keep_ids``."""
+    last, short = np.array([end], dtype="<u4").tobytes(), capacity // SHORT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(path)
@@ -117,64 +124,78 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
                 at, n = 0, len(ids) // 4
                 for size in cuts(n, capacity):
                     part = ids[at * 4 : (at + size) * 4]
-                    got.append((doc, at, size, zlib.crc32(part), n, part) if keep_ids else (doc, at, size, zlib.crc32(part), n))
+                    got.append((doc, at, size, zlib.crc32(part), n, part if keep_ids or size < short else None))
                     at += size
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
             kinds = [pa.int64()] * 5 + [pa.binary()]
             for k in range(0, len(got), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got[k : k + 20_000], strict=True), kinds, strict=False)], names[: 5 + keep_ids])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got[k : k + 20_000], strict=True), kinds, strict=True)], NAMES)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids)
+    return rows.mapInArrow(run, SCHEMA)
 
 
-def packed(lengths: list[int], capacity: int = CAPACITY, quadratic: int = QUADRATIC) -> list[tuple[int, int]]:
-    """(sequence, offset) for lengths in descending order."""
+def packed(lengths: list[int], capacity: int = CAPACITY, quadratic: int = QUADRATIC, short: int = 0) -> Iterator[tuple[int, int, int, int, int]]:
+    """(item, start in it, length, sequence, offset) for lengths in descending order;
+    items of under ``short`` may be cut where no sequence has room for them whole."""
     count = -(-sum(lengths) // capacity)
     open_now = [(0, s) for s in range(count)]  # a heap by cost
     room, waiting = [capacity] * count, defaultdict(list)  # waiting: by room
     rooms: list[int] = []  # a heap of negated rooms that have waiting sequences
-    out = []
-    for n in lengths:
-        while rooms and -rooms[0] >= n:
-            for entry in waiting.pop(-heapq.heappop(rooms)):
-                heapq.heappush(open_now, entry)
-        while open_now and room[open_now[0][1]] < n:
-            cost, s = heapq.heappop(open_now)
-            if room[s]:
-                if room[s] not in waiting:
-                    heapq.heappush(rooms, -room[s])
-                waiting[room[s]].append((cost, s))
-        if open_now:
-            cost, s = heapq.heappop(open_now)
-        else:
-            cost, s = 0, len(room)
-            room.append(capacity)
-        out.append((s, capacity - room[s]))
-        room[s] -= n
-        heapq.heappush(open_now, (cost + n * quadratic + n * n, s))
-    return out
-
-
-def pack(cut: DataFrame, capacity: int = CAPACITY, bin_tokens: int = BIN_TOKENS) -> DataFrame:
+    for item, whole in enumerate(lengths):
+        start = 0
+        while start < whole:
+            n = whole - start
+            while rooms and -rooms[0] >= n:
+                for entry in waiting.pop(-heapq.heappop(rooms)):
+                    heapq.heappush(open_now, entry)
+            while open_now and room[open_now[0][1]] < n:
+                cost, s = heapq.heappop(open_now)
+                if room[s]:
+                    if room[s] not in waiting:
+                        heapq.heappush(rooms, -room[s])
+                    waiting[room[s]].append((cost, s))
+            if open_now:
+                cost, s = heapq.heappop(open_now)
+            elif rooms and whole < short:
+                cost, s = waiting[-rooms[0]].pop()
+                n = room[s]
+                if not waiting[n]:
+                    del waiting[n]
+                    heapq.heappop(rooms)
+            else:
+                cost, s = 0, len(room)
+                room.append(capacity)
+            yield item, start, n, s, capacity - room[s]
+            room[s] -= n
+            start += n
+            heapq.heappush(open_now, (cost + n * quadratic + n * n, s))
+
+
+def pack(cut: DataFrame, capacity: int = CAPACITY, bin_tokens: int = BIN_TOKENS, keep_ids: bool = False) -> DataFrame:
     """``cut`` (as from ``pieces``, written) with ``sequence_id`` and ``offset``."""
     total = cut.agg(F.sum("length")).first()[0] or 0
     bins = max(1, round(total / bin_tokens))
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
-        placed = packed(t["length"].to_pylist(), capacity)
-        first = t["bin"][0].as_py() << 32
-        t = t.drop_columns(["bin"]).append_column("sequence_id", pa.array([first + s for s, _ in placed], pa.int64()))
-        return t.append_column("offset", pa.array([o for _, o in placed], pa.int64()))
+        item, start, length, sequence, offset = (np.array(x, dtype=np.int64) for x in zip(*packed(t["length"].to_pylist(), capacity, short=capacity // SHORT), strict=True))
+        first, parted = t["bin"][0].as_py() << 32, length != t["length"].to_numpy()[item]
+        t = t.take(pa.array(item))
+        crc, ids = t["ids_crc32"].to_numpy().copy(), t["ids"].to_pylist()
+        for k in np.flatnonzero(parted):
+            ids[k] = ids[k][start[k] * 4 : (start[k] + length[k]) * 4]
+            crc[k] = zlib.crc32(ids[k])
+        columns = [t["doc_id"], pa.array(t["start"].to_numpy() + start), pa.array(length), pa.array(crc), t["doc_tokens"], pa.array(first + sequence), pa.array(offset)]
+        return pa.table(columns + [pa.array(ids, pa.binary())] * keep_ids, names=NAMES[:5] + ["sequence_id", "offset"] + ["ids"] * keep_ids)
 
     dealt = cut.withColumn("bin", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(bins)))
-    schema = ", ".join(f"{n} {k}" for n, k in cut.dtypes) + ", sequence_id long, offset long"
+    schema = SCHEMA.replace("ids binary", "sequence_id long, offset long") + ", ids binary" * keep_ids
     return dealt.groupBy("bin").applyInArrow(run, schema)
 
 
-def packed_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    return pack(saved(pieces(docs, path or default_tokenizer())))
+def packed_documents(docs: DataFrame, path: str | None = None, keep_ids: bool = False) -> DataFrame:
+    """Pieces with their sequences; with ``keep_ids`` also their ids (little-endian, 32 bits)."""
+    return pack(saved(pieces(docs, path or default_tokenizer(), keep_ids=keep_ids)), keep_ids=keep_ids)
 
 
 def op4_cost_packing(spark, sf_dir: str) -> DataFrame:
