@@ -6,6 +6,7 @@ from .chat_perspectives import OP5_SQL, op5_chat_perspectives
 from .cost_packing import op4_cost_packing
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .pivot_index import OP3_SQL, op3_pivot_permutations
+from .rule_quality import op2_rule_ensemble
 from .simhash_vptree import op1_simhash_vptree
 from .slot_sharding import op7_slot_sharding
 from .source_mixing import OP10_SQL, op10_source_mixing
@@ -14,6 +15,7 @@ from .telephony_audio import op9_telephony_audio
 
 QUERIES = {
     "op1_simhash_vptree": op1_simhash_vptree,
+    "op2_rule_ensemble": op2_rule_ensemble,
     "op3_pivot_permutations": op3_pivot_permutations,
     "op4_cost_packing": op4_cost_packing,
     "op5_chat_perspectives": op5_chat_perspectives,
