@@ -1 +1 @@
-
+"""Column builders: text, predicates, numbers and dates."""

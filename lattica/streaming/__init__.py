@@ -1 +1 @@
-
+"""The status workflow as a stream."""
