@@ -22,6 +22,7 @@ empty result.
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -35,7 +36,7 @@ from .store import saved
 
 CAPACITY, END = 4096, 2
 #: Tokens in a bin, about, and words that a worker remembers.
-BIN_TOKENS, WORDS = 4_000_000, 400_000
+BIN_TOKENS, WORDS = 4_000_000, 800_000
 #: Cost of a piece of n tokens: n + n * n / QUADRATIC.
 QUADRATIC = 4096
 #: Pieces of under 1 / SHORT of a sequence may be cut once more.
@@ -51,42 +52,67 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordIds(dict):
-    """Ids of words (UTF-8, without spaces) as little-endian unsigned 32-bit bytes."""
+class WordIds:
+    """Ids of whole texts as little-endian unsigned 32-bit bytes, word by word.
 
-    BREAK = "<|endoftext|>"
+    Words are what the ASCII spaces separate, with A-Z lower-cased (as the tokenizer does
+    itself). A word of Latin letters is one unit of the tokenizer, which ends with an
+    end-of-word token, and stops or commas after it are another; so new words of a text
+    are encoded in one call and told apart by those tokens. All other words, and texts
+    that may hold special tokens, are encoded as they are.
+    """
+
+    LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+    SPECIAL, STOPS = b"<|", b".,"
 
     def __init__(self, path: str, limit: int = WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.brk = self.tokenizer.token_to_id(self.BREAK)
+        self.known: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def ids(self, text: bytes) -> bytes:
-        """The ids of a whole text."""
-        words = text.split()
-        try:
-            return b"".join(map(self.__getitem__, words))
-        except KeyError:
-            new = self._learn([w for w in dict.fromkeys(words) if w not in self])
-        if len(self) < self.limit:
-            self.update(new)
-            return b"".join(map(self.__getitem__, words))
-        return b"".join([self[w] if w in self else new[w] for w in words])
-
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        plain = [w for w in words if b"<|" not in w]
-        found = {w: self._encoded(w.decode("utf-8", "replace")).tobytes() for w in words if b"<|" in w}
-        if plain:
-            ids = self._encoded(self.BREAK.join(w.decode("utf-8", "replace") for w in plain))
-            at = np.flatnonzero(ids == self.brk)
-            starts, ends = np.append(0, at + 1) * 4, np.append(at, len(ids)) * 4
-            raw = ids.tobytes()
-            found |= {w: raw[s:e] for w, s, e in zip(plain, starts.tolist(), ends.tolist(), strict=True)}
+        if self.SPECIAL in text:
+            return self._encoded([text])[0].tobytes()
+        words = text.lower().split()
+        new = set(words).difference(self.known)
+        if new:
+            new = self._learned(new)
+            self.known.update(new)
+        out = b"".join(map(self.known.__getitem__, words))
+        if len(self.known) > self.limit:
+            for w in new:
+                del self.known[w]
+        return out
+
+    def _learned(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The words and what they were composed of."""
+        stems = {w: w.rstrip(self.STOPS) for w in words}
+        composed = {w: s for w, s in stems.items() if len(s) < len(w) and self.LETTERS.fullmatch(s)}
+        wanted = words.difference(composed)
+        for w, s in composed.items():
+            wanted.update((s, w[len(s) :]))
+        wanted = [w for w in wanted if w not in self.known]
+        letters = [w for w in wanted if self.LETTERS.fullmatch(w)]
+        found = {}
+        if letters:
+            ids = self._encoded([b" ".join(letters)])[0]
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(ends) == len(letters):
+                raw, starts = ids.tobytes(), np.append(0, ends[:-1])
+                found = {w: raw[a:b] for w, a, b in zip(letters, starts.tolist(), ends.tolist(), strict=True)}
+        others = [w for w in wanted if w not in found]
+        found |= {w: x.tobytes() for w, x in zip(others, self._encoded(others), strict=True)}
+        get = lambda w: found[w] if w in found else self.known[w]
+        found |= {w: get(s) + get(w[len(s) :]) for w, s in composed.items()}
         return found
 
-    def _encoded(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+    def _encoded(self, texts: list[bytes]) -> list[np.ndarray]:
+        done = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4") for e in done]
 
 
 _WORKER: dict[str, WordIds] = {}
