@@ -57,18 +57,21 @@ class WordIds:
 
     Words are what the ASCII spaces separate, with A-Z lower-cased (as the tokenizer does
     itself). A word of Latin letters is one unit of the tokenizer, which ends with an
-    end-of-word token, and stops or commas after it are another; so new words of a text
-    are encoded in one call and told apart by those tokens. All other words, and texts
-    that may hold special tokens, are encoded as they are.
+    end-of-word token, and the ASCII signs after it (but apostrophes) are another. New
+    words of a text are encoded in one call by the tokenizer's bare model, which needs no
+    normaliser or pattern for letters, and told apart by those tokens. All other words,
+    and texts that may hold special tokens, are encoded by the tokenizer as they are.
     """
 
-    LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
-    SPECIAL, STOPS = b"<|", b".,"
+    LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\x9e\xa0-\xb6\xb8-\xbf])+")
+    SPECIAL, SIGNS = b"<|", b".,!?;:#$%&*|()[]{}/\\+-=_~^@<>\"`"
 
     def __init__(self, path: str, limit: int = WORDS):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.known: dict[bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
@@ -89,25 +92,38 @@ class WordIds:
         return out
 
     def _learned(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """The words and what they were composed of."""
-        stems = {w: w.rstrip(self.STOPS) for w in words}
-        composed = {w: s for w, s in stems.items() if len(s) < len(w) and self.LETTERS.fullmatch(s)}
-        wanted = words.difference(composed)
-        for w, s in composed.items():
-            wanted.update((s, w[len(s) :]))
-        wanted = [w for w in wanted if w not in self.known]
-        letters = [w for w in wanted if self.LETTERS.fullmatch(w)]
-        found = {}
+        """The words and what they are composed of."""
+        known, match, signs = self.known, self.LETTERS.fullmatch, self.SIGNS
+        found, letters, others, composed = {}, set(), set(), []
+        for w in words:
+            stem = w.rstrip(signs)
+            if not match(stem):
+                others.add(w)
+            elif len(stem) == len(w):
+                letters.add(w)
+            else:
+                rest = w[len(stem) :]
+                composed.append((w, stem, rest))
+                if stem not in known:
+                    letters.add(stem)
+                if rest not in known:
+                    others.add(rest)
         if letters:
-            ids = self._encoded([b" ".join(letters)])[0]
-            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            letters = list(letters)
+            done = self.bare.encode_batch_fast([b" ".join(letters).decode().lower()], add_special_tokens=False)
+            ids = np.array(done[0].ids, dtype="<u4")
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
             if len(ends) == len(letters):
-                raw, starts = ids.tobytes(), np.append(0, ends[:-1])
-                found = {w: raw[a:b] for w, a, b in zip(letters, starts.tolist(), ends.tolist(), strict=True)}
-        others = [w for w in wanted if w not in found]
-        found |= {w: x.tobytes() for w, x in zip(others, self._encoded(others), strict=True)}
-        get = lambda w: found[w] if w in found else self.known[w]
-        found |= {w: get(s) + get(w[len(s) :]) for w, s in composed.items()}
+                raw, at = ids.tobytes(), 0
+                for w, end in zip(letters, ends, strict=True):
+                    found[w] = raw[at:end]
+                    at = end
+            else:
+                others.update(letters)
+        for w, x in zip(others, self._encoded(list(others)), strict=True):
+            found[w] = x.tobytes()
+        for w, stem, rest in composed:
+            found[w] = (found.get(stem) or known[stem]) + (found.get(rest) or known[rest])
         return found
 
     def _encoded(self, texts: list[bytes]) -> list[np.ndarray]:
