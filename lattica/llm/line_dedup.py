@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import saved
+from .store import fresh, saved
 
 MIN_DOCS = 10
 SPACES = " \t\n\x0b\x0c\r"
@@ -47,20 +47,21 @@ def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_length: int = 1) -> Dat
     once = hashed.groupBy("h1", "h2", "id").agg(F.lit(1).alias("one"))
     common = saved(once.groupBy("h1", "h2").agg(F.count("one").alias("n")).where(F.col("n") >= min_docs).select("h1", "h2"))
     found = hashed.join(common, ["h1", "h2"]).groupBy("id", "mark").agg(F.sort_array(F.collect_set("pos")).alias("at"))
-    found = found.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col("at").alias("__at"))
-    joined = docs.withColumn("__own", mark).join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__mark")), "left")
+    id_, mark_, at_, own_ = fresh(docs, "_id", "_mark", "_at", "_own")
+    found = found.select(F.col("id").alias(id_), F.col("mark").alias(mark_), F.col("at").alias(at_))
+    joined = docs.withColumn(own_, mark).join(found, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own_) == F.col(mark_)), "left")
     lines, n = _lines(F.col("text")), F.size(_lines(F.col("text")))
-    cuts = F.concat(F.array(F.lit(-1)), F.col("__at"), F.array(n))
-    runs = F.transform(F.sequence(F.lit(0), F.size("__at")), lambda i: F.slice(lines, F.get(cuts, i) + 2, F.get(cuts, i + 1) - F.get(cuts, i) - 1))
+    cuts = F.concat(F.array(F.lit(-1)), F.col(at_), F.array(n))
+    runs = F.transform(F.sequence(F.lit(0), F.size(at_)), lambda i: F.slice(lines, F.get(cuts, i) + 2, F.get(cuts, i + 1) - F.get(cuts, i) - 1))
     whole = F.coalesce(F.col("text"), F.lit(""))
     out = joined.withColumns(
         {
             "n_lines": n.cast("long"),
-            "n_dropped": F.coalesce(F.size("__at"), F.lit(0)).cast("long"),
-            "text": F.when(F.col("__at").isNull(), whole).otherwise(F.array_join(F.flatten(runs), "\n")),
+            "n_dropped": F.coalesce(F.size(at_), F.lit(0)).cast("long"),
+            "text": F.when(F.col(at_).isNull(), whole).otherwise(F.array_join(F.flatten(runs), "\n")),
         }
     )
-    return out.drop("__own", "__id", "__mark", "__at")
+    return out.drop(own_, id_, mark_, at_)
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -26,6 +26,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import fresh
+
 #: Labelled documents, at most, that trees and weights are fitted on.
 SAMPLE = 20_000
 TREES, DEPTH, SHRINK, BINS = 40, 3, 0.3, 32
@@ -37,12 +39,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD, F.lit(False))
 
 
-def statistics(text: Column) -> tuple[dict[str, Column], dict[str, Column]]:
-    """Two steps of columns: the words, then the statistics over them."""
+def statistics(text: Column, t_: str = "_t", w_: str = "_w") -> tuple[dict[str, Column], dict[str, Column]]:
+    """Two steps of columns: the text and its words, then the statistics over them."""
     whole = F.coalesce(text, F.lit(""))
     bare = F.btrim(whole, F.lit(" \t\n\x0b\x0c\r"))
-    first = {"_t": whole, "_w": F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, "[\\x20\\x09-\\x0D]+"))}
-    t, w = F.col("_t"), F.col("_w")
+    first = {t_: whole, w_: F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, "[\\x20\\x09-\\x0D]+"))}
+    t, w = F.col(t_), F.col(w_)
     n = F.greatest(F.size(w), F.lit(1)).cast("double")
     of = lambda pattern: (F.size(F.split(t, pattern, -1)) - 1) / n
     adjacent = F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: a == b)
@@ -64,11 +66,12 @@ def statistics(text: Column) -> tuple[dict[str, Column], dict[str, Column]]:
     return first, second
 
 
-def with_statistics(docs: DataFrame) -> tuple[DataFrame, list[str]]:
-    """``docs`` with a struct ``_s`` of the statistics, and their names."""
-    first, second = statistics(F.col("text"))
+def with_statistics(docs: DataFrame) -> tuple[DataFrame, list[str], str]:
+    """``docs`` with a struct of the statistics, their names, and what the struct is called."""
+    t_, w_, s_ = fresh(docs, "_t", "_w", "_s")
+    first, second = statistics(F.col("text"), t_, w_)
     packed = F.struct(*[c.alias(k) for k, c in second.items()])
-    return docs.withColumns(first).withColumn("_s", packed).drop("_t", "_w"), list(second)
+    return docs.withColumns(first).withColumn(s_, packed).drop(t_, w_), list(second), s_
 
 
 # A rule is a tuple of conditions (feature, above, threshold): x > threshold if above, else x <= threshold.
@@ -190,15 +193,15 @@ def trained(docs: DataFrame, labels: DataFrame, label: str = "quality", sample:
     known = known.groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("_y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # a top-k on each task, then one of those
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows of two numbers
-    told, names = with_statistics(texts)
-    rows = told.select("doc_id", "_y", *[F.col(f"_s.{n}").alias(n) for n in names]).toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    told, names, s_ = with_statistics(texts)
+    rows = told.select("doc_id", "_y", *[F.col(f"{s_}.{n}").alias(n) for n in names]).toPandas().drop_duplicates("doc_id").sort_values("doc_id")
     return RuleEnsemble.fitted(names, rows[names].to_numpy(dtype=np.float64).reshape(-1, len(names)), rows["_y"].to_numpy(dtype=np.float64))
 
 
 def scored(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
     """``docs`` with score, held_out and predicted."""
-    told, _ = with_statistics(docs)
-    out = told.withColumn("score", model.score()).drop("_s").withColumn("held_out", held_out(F.col("doc_id")))
+    told, _, s_ = with_statistics(docs)
+    out = told.withColumn("score", model.score(s_)).drop(s_).withColumn("held_out", held_out(F.col("doc_id")))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

@@ -18,12 +18,13 @@ columns are ignored; an empty table gives an empty result and a map by slot numb
 from __future__ import annotations
 
 import heapq
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import saved
+from .store import checkpoint_folder, saved
 
 SLOTS, SHARDS = 8192, 24
 ROW_BYTES = 8
@@ -40,11 +41,11 @@ class SlotMap:
     @staticmethod
     def first(loads: dict[int, int], slots: int, shards: int) -> SlotMap:
         """Slots by descending bytes, each to the shard with the fewest."""
-        heap, owner = [(0, s) for s in range(shards)], [0] * slots
+        heap, owner = [(0, 0, s) for s in range(shards)], [0] * slots  # bytes, then slots, then the shard's number
         for slot in sorted(range(slots), key=lambda s: (-loads.get(s, 0), s)):
-            held, shard = heapq.heappop(heap)
+            held, n, shard = heapq.heappop(heap)
             owner[slot] = shard
-            heapq.heappush(heap, (held + loads.get(slot, 0), shard))
+            heapq.heappush(heap, (held + loads.get(slot, 0), n + 1, shard))
         return SlotMap(1, shards, tuple(owner))
 
     def rebalanced(self, loads: dict[int, int], shards: int) -> SlotMap:
@@ -68,8 +69,8 @@ class SlotMap:
         return SlotMap(self.version + 1, shards, tuple(owner))
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """(version, slot, shard): what is stored beside the data."""
-        return spark.createDataFrame([(self.version, i, s) for i, s in enumerate(self.owner)], "version int, vslot int, shard int")
+        """(map_version, shards, vslot, shard): what is stored beside the data."""
+        return spark.createDataFrame([(self.version, self.shards, i, s) for i, s in enumerate(self.owner)], "map_version int, shards int, vslot int, shard int")
 
     def save(self, spark: SparkSession, folder: str) -> None:
         """Adds this version to the maps in ``folder``; a version is never overwritten."""
@@ -77,9 +78,8 @@ class SlotMap:
 
     @staticmethod
     def load(spark: SparkSession, folder: str, version: int) -> SlotMap:
-        rows = spark.read.parquet(f"{folder}/version={version}").select("vslot", "shard").collect()
-        owner = [s for _, s in sorted((r.vslot, r.shard) for r in rows)]
-        return SlotMap(version, max(owner) + 1, tuple(owner))
+        rows = sorted(spark.read.parquet(f"{folder}/version={version}").select("vslot", "shard", "shards").collect())
+        return SlotMap(version, rows[0].shards, tuple(r.shard for r in rows))
 
 
 def sized(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -108,7 +108,9 @@ def op7_slot_sharding(spark, sf_dir: str) -> DataFrame:
     """Every document's shard and place under the law of near-equal bytes."""
     rows = saved(sized(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     held = totals(rows)
-    slot_map = SlotMap.first({s: b for s, (b, _) in held.items()}, SLOTS, SHARDS)
+    folder = f"{checkpoint_folder(spark).rstrip('/')}/slot-maps-{uuid.uuid4().hex}"
+    SlotMap.first({s: b for s, (b, _) in held.items()}, SLOTS, SHARDS).save(spark, folder)
+    slot_map = SlotMap.load(spark, folder, 1)
     return placed(rows, slot_map, held).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").alias("virtual_slot"), F.lit(slot_map.version).alias("map_version")
     )

@@ -27,7 +27,7 @@ from math import ceil, log
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import saved
+from .store import fresh, quoted, saved
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 BLOCK = 1024
@@ -116,11 +116,11 @@ def plan(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """``docs`` as the mix has them: each as often (0, 1 or 2 times) as the nearest
     whole number of times its words are taken; rows of one id go alike."""
-    names = docs.columns
+    id_, times_, copy_ = fresh(docs, "_id", "_times", "_copy")
     times = plan(docs, block).groupBy("doc_id").agg(F.sum("taken").alias("t"), F.sum("size").alias("n")).where("t > 0")
-    times = times.select(F.col("doc_id").alias("__id"), F.round(F.col("t") / F.col("n")).cast("int").alias("__times")).where("__times > 0")
-    rows = docs.join(times, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*names)
+    times = times.select(F.col("doc_id").alias(id_), F.round(F.col("t") / F.col("n")).cast("int").alias(times_)).where(F.col(times_) > 0)
+    rows = docs.join(times, F.col("doc_id").eqNullSafe(F.col(id_)))
+    return rows.withColumn(copy_, F.explode(F.sequence(F.lit(1), F.col(times_)))).select(*quoted(docs.columns))
 
 
 def op10_source_mixing(spark, sf_dir: str) -> DataFrame:

@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import cost_packing, line_dedup, rule_quality, simhash_vptree, source_mixing
+from .store import fresh, quoted
 
 
 def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble predicts as good."""
     model = rule_quality.trained(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    told, _ = rule_quality.with_statistics(docs)
-    return told.where(model.score() >= 0.5).select(*docs.columns)
+    told, _, s_ = rule_quality.with_statistics(docs)
+    return told.where(model.score(s_) >= 0.5).select(*quoted(docs.columns))
 
 
 def lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,15 +26,16 @@ def lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*quoted(docs.columns))
 
 
 def near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies; rows without an id stay."""
     found = simhash_vptree.near_duplicates(docs.where("doc_id is not null"))
-    keep = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.lit(1).alias("__one")).select("__id")
-    kept = docs.join(keep, F.col("doc_id") == F.col("__id"), "left_semi")
-    return kept.union(docs.where("doc_id is null")).select(*docs.columns)
+    (id_,) = fresh(docs, "_id")
+    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_))
+    kept = docs.join(keep, F.col("doc_id") == F.col(id_), "left_semi")
+    return kept.union(docs.where("doc_id is null")).select(*quoted(docs.columns))
 
 
 def mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

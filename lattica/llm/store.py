@@ -6,7 +6,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Used only where the session names no folder, as in tests.
@@ -36,6 +36,22 @@ def dropped(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores added until no column of ``df`` is called so."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(names: list[str]) -> list[Column]:
+    """Columns by their whole names, dots and all."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
 def in_block_pairs(df: DataFrame, count: str, by: str, cap: int) -> DataFrame:
     """Spreads the rows of groups with more than ``cap`` rows over pairs of blocks.
 
