@@ -316,3 +316,32 @@ def numbered_frames(spark, sf_dir):
     rn = F.row_number().over(Window.partitionBy("source").orderBy(F.col("n_chars").desc(), "doc_id"))
     top = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars", rn.alias("rn")).where("rn <= 3")
     return top.select("source", "doc_id", "n_chars", frame_name(F.col("rn") - 1, "merged", 3).alias("frame"))
+
+
+_FRAMES_SQL = f"""
+WITH {_OBJECTS_SQL}, bg AS (SELECT bucket, key AS bg_key, row_number() OVER (PARTITION BY bucket ORDER BY key) - 1 AS pos FROM objects WHERE doc_id % 3 <> 0 AND regexp_matches(lower(key), '(\\.png|\\.jpg|\\.jpeg)$')),
+fg AS (SELECT bucket, key AS fg_key, row_number() OVER (PARTITION BY bucket ORDER BY key DESC) - 1 AS pos FROM objects WHERE doc_id % 3 = 0 AND regexp_matches(lower(key), '(\\.png|\\.jpg|\\.jpeg)$')),
+plan AS (SELECT bucket, pos, 'merged_' || lpad(pos::VARCHAR, 3, '0') AS name, bg_key, fg_key, pos * 1000 AS "start", pos * 1000 + 1000 AS "end" FROM bg JOIN fg USING (bucket, pos))
+"""
+
+
+def _frames(spark, sf_dir):
+    from lattica.operators import composition
+
+    objects = _objects(spark, sf_dir).withColumnRenamed("key", "object")
+    return composition.frames(objects.where("doc_id % 3 <> 0"), objects.where("doc_id % 3 = 0"), ["bucket"], right_to_left=True)
+
+
+@query(_FRAMES_SQL + "SELECT * FROM plan")
+def composition_plan(spark, sf_dir):
+    """The right-to-left frame plan of a composition for each bucket (E2: F6 J2 W1 W2)."""
+    return _frames(spark, sf_dir)
+
+
+@query(_FRAMES_SQL + """SELECT a.bucket, a.pos // 2 AS pair, a.name AS first_name, b.name AS second_name, 'frame_' || lpad((a.pos // 2)::VARCHAR, 4, '0') AS name
+FROM plan a JOIN plan b ON a.bucket = b.bucket AND b.pos = a.pos + 1 WHERE a.pos % 2 = 0""")
+def composition_composites(spark, sf_dir):
+    """Frames two in one (E2: J3)."""
+    from lattica.operators import composition
+
+    return composition.composites(_frames(spark, sf_dir), ["bucket"])

@@ -39,7 +39,7 @@ def number_text(spark, sf_dir):
 
 
 @query("""
-SELECT event_id, strftime(ts, '%a %b %d %H:%M:%S %Y') AS flot, strftime(ts, '%I') || lower(strftime(ts, '%p')) || ' Q' || quarter(ts) || ' w' || dayofweek(ts) AS parts,
+SELECT event_id, strftime(ts, '%a %b %d %H:%M:%S %Y') AS spelled, strftime(ts, '%I') || lower(strftime(ts, '%p')) || ' Q' || quarter(ts) || ' w' || dayofweek(ts) AS parts,
        strftime(ts, '%Y-%m-%d') || ' ' || (CAST((hour(ts) + 11) % 12 + 1 AS VARCHAR)) || ':' || strftime(ts, '%M') || lower(strftime(ts, '%p')) AS brace,
        strftime(ts, '%d.%m.%y') || ' ' || strftime(ts, '%H:%M:%S') || '.' || lpad((millisecond(ts) % 1000)::VARCHAR, 3, '0') || ' ' || upper(strftime(ts, '%p')) AS token
 FROM events
@@ -47,7 +47,7 @@ FROM events
 def date_format_three(spark, sf_dir):
     """Dates by three kinds of patterns."""
     at = F.col("ts")
-    return table(spark, sf_dir, "events").select("event_id", D.strftime(at, "%a %b %d %H:%M:%S %Y").alias("flot"), D.strftime(at, "%I%p Q%q w%w").alias("parts"), D.template(at, "{YYYY}-{MM}-{DD} {h}:{mm}{aa}").alias("brace"), D.token_format(at, "dd.MM.yy HH:mm:ss.fff TT").alias("token"))
+    return table(spark, sf_dir, "events").select("event_id", D.strftime(at, "%a %b %d %H:%M:%S %Y").alias("spelled"), D.strftime(at, "%I%p Q%q w%w").alias("parts"), D.template(at, "{YYYY}-{MM}-{DD} {h}:{mm}{aa}").alias("brace"), D.token_format(at, "dd.MM.yy HH:mm:ss.fff TT").alias("token"))
 
 
 @query("""
