@@ -6,9 +6,14 @@ built from a bounded sample of them. At a node with vantage point v and radius m
 point x with d(x, v) <= m goes near and one with d(x, v) > m goes far; by the triangle
 inequality a partner within r of a far point is beyond m - r, so near points with
 d > m - r are also sent far, and every other branch is pruned. Any two points within r
-then meet in at least one leaf shard, where they are compared in blocks. A shard gives
-one edge for each member of a local component, so links grow with the documents and
-not with the square of a group of copies.
+then meet in at least one leaf shard. A shard is one task's work: it is partitioned
+further by a tree of its own, in memory, down to leaves that are compared whole. A shard
+gives one edge for each member of a local component, so links grow with the documents
+and not with the square of a group of copies.
+
+The driver's tree is bounded by its sample; when documents outgrow it, shards grow, not
+the driver: 16,000 shards of a million points are 16 billion distinct fingerprints, at
+16 MB a task. A shard beyond ``BLOCK`` points is dealt over pairs of blocks.
 
 Defined results: a null or empty text has no shingles and fingerprint zero; rows with
 equal texts have equal fingerprints; a row with a null id gets its fingerprint and
@@ -29,8 +34,8 @@ from pyspark.sql import functions as F
 from .store import components, in_block_pairs, local_roots, saved
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
-#: Points in a leaf shard, about; larger shards are compared in pairs of blocks.
-LEAF = 4096
+#: Points in a shard, about, and in a leaf of its own tree; points in a block of a shard that is too large for one task.
+SHARD, LEAF, BLOCK = 8192, 1024, 1 << 20
 #: Fingerprints, at most, that the driver sees to choose vantage points.
 SAMPLE = 262_144
 
@@ -67,7 +72,8 @@ class VantageTree:
         self.radius = radius
         self.point, self.cut, self.near, self.far = [], [], [], []
         self.leaves = 0
-        self._build(np.unique(sample), total / max(1, len(sample)), leaf)
+        points = np.unique(sample)
+        self._build(points, total / max(1, len(points)), leaf)
 
     def _build(self, points: np.ndarray, weight: float, leaf: int) -> int:
         at = len(self.point)
@@ -117,37 +123,61 @@ class VantageTree:
         return np.concatenate(rows), np.concatenate(shards)
 
 
-def _compared(radius: int):
-    """Edges of one pair of blocks of one shard: one for each member of a local component but its root."""
+def _leaf_roots(fp: np.ndarray, own: np.ndarray | None, radius: int) -> np.ndarray:
+    """Each point's smallest index of its component in a leaf; with ``own`` only points of different blocks are compared."""
 
-    def run(t: pa.Table) -> pa.Table:
-        fp, node, own = t["fp"].to_numpy().view(np.uint64), t["node"].to_numpy(), t["own"].to_numpy()
-        order = np.argsort(node, kind="stable")
-        fp, node, own = fp[order], node[order], own[order]
-        across = t["block_i"][0].as_py() != t["block_j"][0].as_py()
-        n = len(fp)
+    def rows(at: int) -> np.ndarray:
+        near = np.bitwise_count(fp[at : at + 256, None] ^ fp) <= radius
+        return near if own is None else near & (own[at : at + 256, None] != own)
+
+    n = len(fp)
+    if n <= 2 * LEAF:
         linked = np.empty((n, n), dtype=bool)
         for at in range(0, n, 256):
-            linked[at : at + 256] = np.bitwise_count(fp[at : at + 256, None] ^ fp) <= radius
-            if across:
-                linked[at : at + 256] &= own[at : at + 256, None] != own
-        np.fill_diagonal(linked, True)
-        some = np.flatnonzero(linked.sum(axis=1) > 1)
-        node = node[some]
-        root = local_roots(linked[np.ix_(some, some)])
-        member = np.flatnonzero(root != np.arange(len(some)))
-        return pa.table({"a": pa.array(node[member], pa.int64()), "b": pa.array(node[root[member]], pa.int64())})
+            linked[at : at + 256] = rows(at)
+        some = np.flatnonzero(linked.sum(axis=1) > (own is None))
+        root = np.arange(n)
+        root[some] = some[local_roots(linked[np.ix_(some, some)])]
+        return root
+    root = np.arange(n)  # a dense leaf that no vantage point divides: compared row block by row block, nothing kept
+    while True:
+        before = root.copy()
+        for at in range(0, n, 256):
+            least = np.where(rows(at), root, n).min(axis=1)
+            root[at : at + 256] = np.minimum(root[at : at + 256], least)
+        root = root[root]
+        if (root == before).all():
+            return root
+
+
+def _compared(radius: int, leaf: int):
+    """Edges of one shard, or of one pair of blocks of it: one for each member of a local component but its root."""
+
+    def run(t: pa.Table) -> pa.Table:
+        across = t["block_i"][0].as_py() != t["block_j"][0].as_py()
+        t = t.sort_by("node")
+        fp, node = t["fp"].to_numpy().view(np.uint64), t["node"].to_numpy()
+        own = t["own"].to_numpy() if across else None
+        points, shards = VantageTree(fp, len(fp), leaf, radius).route(fp)
+        order = np.lexsort((points, shards))
+        edges = []
+        for part in np.split(points[order], np.flatnonzero(np.diff(shards[order])) + 1):
+            root = part[_leaf_roots(fp[part], None if own is None else own[part], radius)]
+            far = np.flatnonzero(root != part)
+            edges.append(np.stack([node[part[far]], node[root[far]]]))
+        a, b = np.unique(np.concatenate(edges, axis=1), axis=1)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def links(points: DataFrame, radius: int = RADIUS, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
+def links(points: DataFrame, radius: int = RADIUS, shard: int = SHARD, leaf: int = LEAF, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) that connect exactly the ``node``s whose ``fp`` are joined by chains
     of points within ``radius`` bits. ``points``: written table of distinct fps."""
     spark = points.sparkSession
     total = points.count()
-    some = points.select("fp").where(F.pmod(F.xxhash64("fp"), F.lit(max(4, -(-total // sample)))) == 0) if total > leaf else points.limit(0)
-    tree = VantageTree(np.array([r.fp for r in some.collect()], dtype=np.int64).view(np.uint64), total, leaf, radius)
+    some = points.select("fp").where(F.pmod(F.xxhash64("fp"), F.lit(max(4, -(-total // sample)))) == 0) if total > shard else points.limit(0)
+    tree = VantageTree(np.array([r.fp for r in some.collect()], dtype=np.int64).view(np.uint64), total, shard, radius)
     shared = spark.sparkContext.broadcast(tree)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,8 +190,8 @@ def links(points: DataFrame, radius: int = RADIUS, leaf: int = LEAF, sample: int
 
     routed = saved(points.select("fp", "node").mapInArrow(run, "shard int, fp long, node long"))
     sizes = F.broadcast(routed.groupBy("shard").agg(F.count("*").alias("size")))  # a row for each leaf of the tree, which the driver has built
-    dealt = in_block_pairs(routed.join(sizes, "shard"), "size", "node", leaf)
-    return dealt.groupBy("shard", "block_i", "block_j").applyInArrow(_compared(radius), "a long, b long")
+    dealt = in_block_pairs(routed.join(sizes, "shard"), "size", "node", block)
+    return dealt.groupBy("shard", "block_i", "block_j").applyInArrow(_compared(radius, leaf), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

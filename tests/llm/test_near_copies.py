@@ -57,20 +57,30 @@ def test_components_of_awkward_documents(spark):
     assert S.near_duplicates(cases.empty(spark)).collect() == []
 
 
-@pytest.mark.parametrize("leaf", [16, 64, 5000])
-def test_tree_finds_every_link(spark, leaf):
+@pytest.mark.parametrize(("shard", "leaf", "block"), [(16, 16, 10_000), (64, 20, 10_000), (5000, 40, 10_000), (100, 5000, 30), (5000, 5000, 100)])
+def test_tree_finds_every_link(spark, shard, leaf, block):
     rng = np.random.default_rng(5)
     centres = rng.integers(0, 1 << 63, 150, dtype=np.uint64)
     flips = lambda x, n: x ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, n, dtype=np.uint64))
     points = np.unique(np.concatenate([centres, [flips(c, k % 4 + 1) for k, c in enumerate(centres)], [flips(centres[0], 2) for _ in range(120)], rng.integers(0, 1 << 63, 200, dtype=np.uint64)]))
     node = np.random.default_rng(1).permutation(len(points))
     table = store.saved(spark.createDataFrame([(int(p.view(np.int64)), int(n)) for p, n in zip(points, node, strict=True)], "fp long, node long"))
-    labels = {r.node: r.label for r in store.components(S.links(table, 2, leaf=leaf)).collect()}
+    labels = {r.node: r.label for r in store.components(S.links(table, 2, shard=shard, leaf=leaf, block=block)).collect()}
     d = np.bitwise_count(points[:, None] ^ points)
     want = roots([int(n) for n in node], [(int(node[i]), int(node[j])) for i, j in np.argwhere(np.triu(d <= 2, 1))])
     assert {n: labels.get(n, n) for n in want} == want
 
 
+def test_dense_leaves_are_compared_without_a_matrix(monkeypatch):
+    rng = np.random.default_rng(3)
+    bits = np.uint64(1) << rng.integers(0, 64, (400, 3), dtype=np.uint64)
+    fp = np.unique(np.bitwise_or.reduce(bits, axis=1))
+    own = rng.integers(0, 2, len(fp))
+    whole = [S._leaf_roots(fp, o, 2) for o in (None, own)]
+    monkeypatch.setattr(S, "LEAF", 10)
+    assert all((S._leaf_roots(fp, o, 2) == w).all() for o, w in zip((None, own), whole, strict=True))
+
+
 def test_route_covers_boundaries():
     rng = np.random.default_rng(2)
     x = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
