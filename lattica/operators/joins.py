@@ -32,8 +32,7 @@ def adjacent_pairs(df: DataFrame, key: Sequence[str], order: Sequence, columns:
 
 def with_fallback(left: DataFrame, own: DataFrame, key: Sequence[str], value: str, general: DataFrame) -> DataFrame:
     """``value`` of ``own`` where the key has one, else that of the one-row ``general``, else null."""
-    one = general.agg(F.first(value).alias("_general"))
-    return left.join(own.select(*key, value), list(key), "left").crossJoin(F.broadcast(one)).withColumn(value, F.coalesce(value, "_general")).drop("_general")
+    return left.join(own.select(*key, value), list(key), "left").withColumn(value, F.coalesce(value, general.agg(F.first(value)).scalar()))
 
 
 def outer_align(tables: Sequence[tuple[DataFrame, str]], x: str = "x", mode: str = "retain") -> DataFrame:

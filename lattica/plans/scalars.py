@@ -157,9 +157,9 @@ FROM s
 def minmax_scale(spark, sf_dir):
     """Min-max scales by group and over all, polynomial normaliser, radar share."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
-    ends = F.broadcast(s.agg(F.min("s_acctbal").alias("glo"), F.max("s_acctbal").alias("ghi")))  # one row
+    least, most = s.agg(F.min("s_acctbal")).scalar(), s.agg(F.max("s_acctbal")).scalar()
     w = Window.partitionBy("s_nationkey")
-    rows = s.withColumn("lo", F.min("s_acctbal").over(w)).withColumn("hi", F.max("s_acctbal").over(w)).crossJoin(ends)
+    rows = s.withColumn("lo", F.min("s_acctbal").over(w)).withColumn("hi", F.max("s_acctbal").over(w)).withColumn("glo", least).withColumn("ghi", most)
     v, lo, hi = F.col("s_acctbal"), F.col("lo"), F.col("hi")
     return rows.select("s_suppkey", N.scaled(v, lo, hi).alias("height"), F.round(F.pow(N.scaled(v, F.col("glo"), F.col("ghi")), F.lit(0.2)), 6).alias("colour"), F.round((v + F.abs(lo)) / F.nullif(F.abs(hi - lo), F.lit(0.0)), 6).alias("radius"))
 

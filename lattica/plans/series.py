@@ -124,9 +124,9 @@ FROM v
 def pie_and_treemap(spark, sf_dir):
     """Pie angles, treemap areas, polar and radial values."""
     v = table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(exact_sum(F.col("c_acctbal")).alias("v"))
-    ends = F.broadcast(v.agg(exact_sum(F.col("v")).alias("t"), F.max("v").alias("m"), F.count("*").alias("n")))  # one row
+    rows = v.withColumn("t", v.agg(exact_sum(F.col("v"))).scalar()).withColumn("m", v.agg(F.max("v")).scalar()).withColumn("n", v.agg(F.count("*")).scalar())
     share = F.col("v") / F.col("t")
-    return v.crossJoin(ends).select("c_mktsegment", (share * 360).alias("angle"), (share * 480000).alias("area"), (F.col("v") / F.col("m")).alias("radius"), (F.lit(360.0) / F.col("n")).alias("polar_angle"), F.greatest(F.lit(0.0), F.least(F.col("v") / 1e5, F.lit(100.0))).alias("radial"))
+    return rows.select("c_mktsegment", (share * 360).alias("angle"), (share * 480000).alias("area"), (F.col("v") / F.col("m")).alias("radius"), (F.lit(360.0) / F.col("n")).alias("polar_angle"), F.greatest(F.lit(0.0), F.least(F.col("v") / 1e5, F.lit(100.0))).alias("radial"))
 
 
 @query("SELECT event_type, n FROM (SELECT event_type, count(*) AS n, min(event_id) AS f FROM events GROUP BY 1) ORDER BY n DESC, f LIMIT 1")
@@ -187,9 +187,9 @@ def bucket_by_unit(spark, sf_dir):
     """Buckets of the unit that the data's span asks for (B1): days for this month of events."""
     e = table(spark, sf_dir, "events")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    unit = F.broadcast(e.agg(T.unit_of((F.max(us) - F.min(us)) / 1e6).alias("unit")))  # one row
+    unit = e.agg(T.unit_of((F.max(us) - F.min(us)) / 1e6)).scalar()
     at = T.truncated(F.col("ts"), F.col("unit"))
-    return e.crossJoin(unit).groupBy("event_type", at.alias("at")).agg(F.count("*").alias("n"), exact_sum(F.col("value")).alias("total"))
+    return e.withColumn("unit", unit).groupBy("event_type", at.alias("at")).agg(F.count("*").alias("n"), exact_sum(F.col("value")).alias("total"))
 
 
 @query("""
