@@ -88,3 +88,12 @@ def test_windowed_counts_as_a_stream(spark, tmp_path):
     query = status.windowed_counts(stream, "at", "kind").writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert sorted((r.kind, r.n) for r in spark.table("counts").collect()) == [("a", 2), ("b", 1)]
+
+
+def test_catalogue_in_a_database(spark):
+    """Derby comes with Spark; a filter on the read is pushed down to it."""
+    url = "jdbc:derby:memory:catalogue;create=true"
+    spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, name string").write.format("jdbc").option("url", url).option("dbtable", "buckets").save()
+    got = listing.jdbc(spark, url, "buckets").where("id >= 2").select("name")
+    assert sorted(r[0] for r in got.collect()) == ["b", "c"]
+    assert "PushedFilters: [*IsNotNull" in got._jdf.queryExecution().toString()
