@@ -9,8 +9,11 @@ twice and no pairs are put out: a list gives each member its number of links and
 edge to the root of its local component.
 
 Equal vectors of one label are one class with a multiplicity. The number of pivots grows
-with the classes up to ``MOST_PIVOTS`` (then lists grow); lists of over ``BLOCK`` members
-are compared in pairs of blocks, so no task holds more than about two blocks.
+with the classes up to ``MOST_PIVOTS``. Beyond that many classes a list is kept for each
+pair of pivots instead (the two smallest that two vectors share): the same candidates,
+in lists that are shorter by orders of magnitude, for 28 entries a vector instead of 8.
+Lists of over ``BLOCK`` members are compared in pairs of blocks, so no task holds more
+than about two blocks.
 
 Recall: two vectors at cosine 0.93 share 2 of 8 nearest pivots with a frequency of 0.997
 or more for up to 1,024 pivots and 0.977 for 4,096 (measured on Gaussian perturbations of
@@ -40,6 +43,7 @@ NEAREST, SHARED = 8, 2
 #: Vectors for each pivot, about, and bounds of the number of pivots.
 PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 200, 32, 4096
 BLOCK = 2048
+NONE = np.iinfo(np.int32).max
 
 
 def _matrix(column) -> np.ndarray:
@@ -75,7 +79,8 @@ def _verified(cosine: float, shared: int):
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("node")
-        pivot, across = t["pivot"][0].as_py(), t["block_i"][0].as_py() != t["block_j"][0].as_py()
+        pivot, second = t["pivot"][0].as_py(), t["second"][0].as_py()
+        across = t["block_i"][0].as_py() != t["block_j"][0].as_py()
         unit, prefix, own = _unit(_matrix(t["vector"])), _matrix(t["prefix"]), t["own"].to_numpy()
         node, n = t["node"].to_numpy(), t["n"].to_numpy()
         linked = np.zeros((len(node), len(node)), dtype=bool)
@@ -87,9 +92,10 @@ def _verified(cosine: float, shared: int):
             i, j = i[i + at < j] + at, j[i + at < j]
             for k in range(0, len(j), 50_000):
                 a, b = prefix[i[k : k + 50_000]], prefix[j[k : k + 50_000]]
-                both = (a[:, :, None] == b[:, None, :]).any(axis=2)
-                first = np.where(both, a, np.iinfo(np.int32).max).min(axis=1)
-                good = (both.sum(axis=1) >= shared) & (first == pivot)
+                common = np.sort(np.where((a[:, :, None] == b[:, None, :]).any(axis=2), a, NONE), axis=1)
+                good = ((common != NONE).sum(axis=1) >= shared) & (common[:, 0] == pivot)
+                if second >= 0:
+                    good &= common[:, 1] == second
                 linked[i[k : k + 50_000][good], j[k : k + 50_000][good]] = True
         linked |= linked.T
         some = np.flatnonzero(linked.any(axis=1))
@@ -102,8 +108,12 @@ def _verified(cosine: float, shared: int):
     return run
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, pivots: int | None = None, nearest: int = NEAREST, shared: int = SHARED) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for every row of ``vectors`` (vec_id, embedding, label)."""
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, pivots: int | None = None, nearest: int = NEAREST, shared: int = SHARED, paired: bool | None = None) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) for every row of ``vectors`` (vec_id, embedding, label).
+
+    ``paired``: lists by pairs of pivots; by default where classes outnumber what single
+    lists of the most pivots should hold. The rows found are the same.
+    """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"), F.col("label").cast("string").alias("label"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.coalesce(F.col("label").isNotNull() & (F.size("vector") > 0) & finite & F.exists("vector", lambda x: x != 0), F.lit(False))
@@ -113,7 +123,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, pivots: int | No
     classes = saved(told.where("label is not null").groupBy("c1", "c2").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("vector").alias("vector")).withColumn("node", F.coalesce("node", F.lit(-1) - F.abs(F.col("c1") / 4).cast("long"))))
     total = classes.count()
     wanted = pivots or min(MOST_PIVOTS, max(LEAST_PIVOTS, ceil(total / PER_PIVOT)))
-    links = _links(classes, wanted, cosine, nearest, shared)
+    paired = total > MOST_PIVOTS * PER_PIVOT if paired is None else paired
+    links = _links(classes, wanted, cosine, nearest, shared, paired and shared >= 2)
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     named = classes.select("c1", "c2", "node", "n").join(counted, "node", "left").join(roots, "node", "left")
@@ -123,7 +134,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, pivots: int | No
     return out.select("vec_id", F.when(F.col("usable"), F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def _links(classes: DataFrame, pivots: int, cosine: float, nearest: int, shared: int) -> DataFrame:
+def _pivot_pairs(prefix: str):
+    """All pairs (pivot < second) of a description."""
+    p = F.array_sort(prefix)
+    after = lambda i: F.slice(p, i + 2, F.size(p))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(p) - 2), lambda i: F.transform(after(i), lambda q: F.struct(F.get(p, i).alias("pivot"), q.alias("second")))))
+
+
+def _links(classes: DataFrame, pivots: int, cosine: float, nearest: int, shared: int, paired: bool) -> DataFrame:
     """(node, links, root), written: what each inverted list says of its members."""
     sample = classes.select("label", "vector").orderBy(F.xxhash64("node", F.lit("pivot")), "node").limit(pivots).collect()
     by_size: dict[int, list] = {}
@@ -136,11 +154,11 @@ def _links(classes: DataFrame, pivots: int, cosine: float, nearest: int, shared:
         own = _unit(np.array(points, dtype=np.float64))
         lists = classes.where(F.size("vector") == d).select("label", "node", "n", "vector").mapInArrow(_described(own, nearest), "label string, node long, n long, vector array<double>, prefix array<int>")
         few = min(shared, len(own))
-        lists = lists.withColumn("pivot", F.explode("prefix"))
-        held = saved(lists)
-        counts = held.groupBy("label", "pivot").agg(F.count("*").alias("size"))
-        dealt = in_block_pairs(held.join(counts, ["label", "pivot"]), "size", "node", BLOCK)
-        part = dealt.groupBy("label", "pivot", "block_i", "block_j").applyInArrow(_verified(cosine, few), "node long, links long, root long")
+        key = ["label", "pivot", "second"]
+        held = saved(lists.select("*", F.inline(_pivot_pairs("prefix") if paired and few >= 2 else F.transform("prefix", lambda p: F.struct(p.alias("pivot"), F.lit(-1).alias("second"))))))
+        counts = held.groupBy(*key).agg(F.count("*").alias("size"))
+        dealt = in_block_pairs(held.join(counts, key), "size", "node", BLOCK)
+        part = dealt.groupBy(*key, "block_i", "block_j").applyInArrow(_verified(cosine, few), "node long, links long, root long")
         found = part if found is None else found.union(part)
     if found is None:
         return classes.sparkSession.createDataFrame([], "node long, links long, root long")

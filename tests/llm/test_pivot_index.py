@@ -42,6 +42,13 @@ def test_recall_and_no_false_links(spark):
     assert sum(g[1] for g in got) >= 0.99 * sum(w[1] for w in want)
 
 
+def test_lists_by_pairs_of_pivots_find_the_same(spark):
+    x = clusters(np.random.default_rng(13), 300)
+    rows = [(i, [float(a) for a in v], i % 2) for i, v in enumerate(np.repeat(x, 2, axis=0))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    assert rows_of(V.near_duplicates(df, paired=True)) == rows_of(V.near_duplicates(df, paired=False))
+
+
 def test_whole_test_table_is_exact(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     rows = [(r.vec_id, list(r.embedding), r.label) for r in df.collect()]
