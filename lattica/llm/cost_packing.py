@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import saved
+from .store import map_arrow, map_groups, saved
 
 CAPACITY, END = 4096, 2
 #: Tokens in a bin, about, and words that a worker remembers.
@@ -173,7 +173,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got[k : k + 20_000], strict=True), kinds, strict=True)], NAMES)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, SCHEMA)
+    return map_arrow(rows, run, SCHEMA)
 
 
 def packed(lengths: list[int], capacity: int = CAPACITY, quadratic: int = QUADRATIC, short: int = 0) -> Iterator[tuple[int, int, int, int, int]]:
@@ -232,7 +232,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, bin_tokens: int = BIN_TOKENS,
 
     dealt = cut.withColumn("bin", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(bins)))
     schema = SCHEMA.replace("ids binary", "sequence_id long, offset long") + ", ids binary" * keep_ids
-    return dealt.groupBy("bin").applyInArrow(run, schema)
+    return map_groups(dealt, ["bin"], run, schema)
 
 
 def packed_documents(docs: DataFrame, path: str | None = None, keep_ids: bool = False) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import components, in_block_pairs, local_roots, saved
+from .store import components, in_block_pairs, local_roots, map_arrow, map_groups, saved
 
 COSINE = 0.93
 NEAREST, SHARED = 8, 2
@@ -152,13 +152,13 @@ def _links(classes: DataFrame, pivots: int, cosine: float, nearest: int, shared:
     for d in sizes:  # vectors of one length, as a rule
         points = by_size.get(d) or [r.vector for r in classes.where(F.size("vector") == d).select("vector").limit(1).collect()]
         own = _unit(np.array(points, dtype=np.float64))
-        lists = classes.where(F.size("vector") == d).select("label", "node", "n", "vector").mapInArrow(_described(own, nearest), "label string, node long, n long, vector array<double>, prefix array<int>")
+        lists = map_arrow(classes.where(F.size("vector") == d).select("label", "node", "n", "vector"), _described(own, nearest), "label string, node long, n long, vector array<double>, prefix array<int>")
         few = min(shared, len(own))
         key = ["label", "pivot", "second"]
         held = saved(lists.select("*", F.inline(_pivot_pairs("prefix") if paired and few >= 2 else F.transform("prefix", lambda p: F.struct(p.alias("pivot"), F.lit(-1).alias("second"))))))
         counts = held.groupBy(*key).agg(F.count("*").alias("size"))
         dealt = in_block_pairs(held.join(counts, key), "size", "node", BLOCK)
-        part = dealt.groupBy(*key, "block_i", "block_j").applyInArrow(_verified(cosine, few), "node long, links long, root long")
+        part = map_groups(dealt, [*key, "block_i", "block_j"], _verified(cosine, few), "node long, links long, root long")
         found = part if found is None else found.union(part)
     if found is None:
         return classes.sparkSession.createDataFrame([], "node long, links long, root long")

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import components, in_block_pairs, local_roots, saved
+from .store import components, in_block_pairs, local_roots, map_arrow, map_groups, saved
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Points in a shard, about, and in a leaf of its own tree; points in a block of a shard that is too large for one task.
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE, seed: int = SEED) -> DataFra
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return map_arrow(rows, run, "doc_id long, fp long")
 
 
 class VantageTree:
@@ -188,10 +188,10 @@ def links(points: DataFrame, radius: int = RADIUS, shard: int = SHARD, leaf: int
                 own = rows[at : at + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(shards[at : at + 100_000].astype(np.int32)), pa.array(fp[own]), pa.array(b.column("node").to_numpy()[own])], ["shard", "fp", "node"])
 
-    routed = saved(points.select("fp", "node").mapInArrow(run, "shard int, fp long, node long"))
+    routed = saved(map_arrow(points.select("fp", "node"), run, "shard int, fp long, node long"))
     sizes = F.broadcast(routed.groupBy("shard").agg(F.count("*").alias("size")))  # a row for each leaf of the tree, which the driver has built
     dealt = in_block_pairs(routed.join(sizes, "shard"), "size", "node", block)
-    return dealt.groupBy("shard", "block_i", "block_j").applyInArrow(_compared(radius, leaf), "a long, b long")
+    return map_groups(dealt, ["shard", "block_i", "block_j"], _compared(radius, leaf), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

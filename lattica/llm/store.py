@@ -3,7 +3,11 @@ splitting of oversized candidate groups into block pairs."""
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +19,7 @@ LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``, or a local one where it is unset."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_CHECKPOINTS
+    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -36,6 +40,32 @@ def dropped(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def shipped(spark: SparkSession) -> None:
+    """Gives the Python workers this package, once a session; they may share no folder with the driver."""
+    context = spark.sparkContext
+    if getattr(context, "_lattica_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._lattica_shipped = True
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` by workers that have this package."""
+    shipped(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+def map_groups(df: DataFrame, key: list[str], run: Callable, schema: str) -> DataFrame:
+    """``applyInArrow`` on groups, by workers that have this package."""
+    shipped(df.sparkSession)
+    return df.groupBy(*key).applyInArrow(run, schema)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each with underscores added until no column of ``df`` is called so."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import saved
+from .store import map_arrow, saved
 
 WINDOW, GRAM = 50, 16
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -138,14 +138,14 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     ``docs``: id long, mark long (a hash of the text), text binary.
     """
     known = docs.where("id is not null")
-    runs = saved(known.mapInArrow(_run_rows(window, gram), "anchor long, run long, id long, mark long, first int, windows int"))
+    runs = saved(map_arrow(known, _run_rows(window, gram), "anchor long, run long, id long, mark long, first int, windows int"))
     classes = saved(runs.groupBy("anchor", "run").agg(F.min("id").alias("least")))
     several = saved(classes.groupBy("anchor").agg(F.count("*").alias("n"), F.min("least").alias("lo"), F.max("least").alias("hi")).where("lo < hi").select("anchor"))
     told = runs.join(classes, ["anchor", "run"])
     whole = told.where("least < id").select("id", "mark", F.col("first").alias("s"), (F.col("first") + F.col("windows") + F.lit(window - 1)).alias("e"))
     open_runs = told.where("least = id").join(several, "anchor").groupBy("id", "mark").agg(F.collect_set(F.struct("anchor", "first", "windows")).alias("spans"))
     again = known.join(open_runs, ["id", "mark"]).select("id", "mark", "text", "spans")
-    windows = saved(again.mapInArrow(_window_rows(window), "anchor long, window long, id long, mark long, at int"))
+    windows = saved(map_arrow(again, _window_rows(window), "anchor long, window long, id long, mark long, at int"))
     lowest = saved(windows.groupBy("anchor", "window").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("anchor", "window", "least"))
     single = windows.join(lowest, ["anchor", "window"]).where("least < id").select("id", "mark", F.col("at").alias("s"), (F.col("at") + F.lit(window)).alias("e"))
     return whole.union(single).groupBy("id", "mark").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
@@ -174,7 +174,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
 
     joined = rows.join(repeats(rows, window, gram), ["id", "mark"], "left").select("id", "text", "spans")
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept binary")
+    return map_arrow(joined, run, "doc_id long, n_words long, n_removed long, kept binary")
 
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:

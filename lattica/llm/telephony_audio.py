@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import map_arrow
+
 UNIT, PAD = 192, b" "
 RATE, RESAMPLED = 8000, 16000
 #: WAV format tags.
@@ -199,7 +201,7 @@ def audio(docs: DataFrame, unit: int = UNIT, media: bool = True, pcm: bool = Tru
         if ids:
             yield rows(ids, texts)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), run, schema)
 
 
 def op9_telephony_audio(spark, sf_dir: str) -> DataFrame:
