@@ -13,7 +13,7 @@ LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 def written(df: DataFrame) -> DataFrame:
     """``df``, written as Parquet and read again: evaluated once, and safe if executors are lost."""
     spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_CHECKPOINTS
+    folder = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
     path = f"{folder.rstrip('/')}/lattica-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
