@@ -67,11 +67,15 @@ def statistics(text: Column, t_: str = "_t", w_: str = "_w") -> tuple[dict[str,
 
 
 def with_statistics(docs: DataFrame) -> tuple[DataFrame, list[str], str]:
-    """``docs`` with a struct of the statistics, their names, and what the struct is called."""
+    """``docs`` with a struct of the statistics, their names, and what the struct is called.
+
+    The struct comes out of a generator of one row: a filter on a score over it can't be
+    pushed below and there work out every statistic anew for each rule that names it.
+    """
     t_, w_, s_ = fresh(docs, "_t", "_w", "_s")
     first, second = statistics(F.col("text"), t_, w_)
     packed = F.struct(*[c.alias(k) for k, c in second.items()])
-    return docs.withColumns(first).withColumn(s_, packed).drop(t_, w_), list(second), s_
+    return docs.withColumns(first).withColumn(s_, F.explode(F.array(packed))).drop(t_, w_), list(second), s_
 
 
 # A rule is a tuple of conditions (feature, above, threshold): x > threshold if above, else x <= threshold.
