@@ -139,11 +139,13 @@ def source_library(spark, sf_dir):
     return out.select("bucket", F.coalesce("n_images", F.lit(0)).cast("long").alias("n_images"), "first_url", "thumbnail", F.sha2(F.coalesce("urls", F.lit("")).cast("binary"), 256).alias("urls_sha256"))
 
 
-@query("SELECT n_name AS name FROM nation WHERE n_nationkey % 2 = 0 INTERSECT SELECT n_name FROM nation WHERE n_nationkey % 3 = 0")
+@query("SELECT n_name AS name FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9500) INTERSECT SELECT n_name FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier)")
 def semi_join_names(spark, sf_dir):
     """Names in the catalogue and in the store."""
     n = table(spark, sf_dir, "nation")
-    return n.where("n_nationkey % 2 = 0").select(F.col("n_name").alias("name")).intersect(n.where("n_nationkey % 3 = 0").select("n_name"))
+    rich = table(spark, sf_dir, "customer").where("c_acctbal > 9500").select(F.col("c_nationkey").alias("n_nationkey"))
+    supplied = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("n_nationkey"))
+    return n.join(rich, "n_nationkey", "left_semi").select(F.col("n_name").alias("name")).intersect(n.join(supplied, "n_nationkey", "left_semi").select("n_name"))
 
 
 @query(f"""
@@ -184,17 +186,17 @@ def upload_and_archive(spark, sf_dir):
 
 @query("""
 SELECT p_partkey, lower(replace(p_name, ' ', '-')) AS slug, regexp_matches(lower(replace(p_name, ' ', '-')), '^[a-z0-9][a-z0-9-]{1,61}[a-z0-9]$') AS valid,
-       CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE 'https://example.com/' || ltrim(p_brand, '/') END AS page_url,
+       CASE WHEN p_size < 5 THEN NULL ELSE 'https://example.com/' || ltrim(p_brand, '/') END AS page_url,
        'https://' || lower(replace(p_name, ' ', '-')) || '.s3.amazonaws.com/' || p_partkey || '.jpg' AS url,
        p_partkey || '_resized.jpg' AS resized, lower(replace(p_type, '-', '_')) AS kind,
-       coalesce(nullif(CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_brand END, ''), substr(sha256(p_partkey::VARCHAR), 1, 8)) AS own_slug
+       coalesce(nullif(CASE WHEN p_size > 35 THEN '' ELSE p_brand END, ''), substr(sha256(p_partkey::VARCHAR), 1, 8)) AS own_slug
 FROM part
 """)
 def slug_url_columns(spark, sf_dir):
     """Slugs, name rule, URLs and paths."""
     slug, key = X.slugify(F.col("p_name")), F.col("p_partkey").cast("string")
-    base = F.when(F.col("p_partkey") % 7 == 0, "").otherwise("https://example.com//")
-    given = F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.col("p_brand"))
+    base = F.when(F.col("p_size") < 5, "").otherwise("https://example.com//")
+    given = F.when(F.col("p_size") > 35, "").otherwise(F.col("p_brand"))
     return table(spark, sf_dir, "part").select(
         "p_partkey", slug.alias("slug"), P.valid_bucket_name(slug).alias("valid"), X.join_url(base, F.concat(F.lit("/"), F.col("p_brand"))).alias("page_url"),
         X.object_url(slug, F.concat(key, F.lit(".jpg"))).alias("url"), X.resized_path(F.concat(key, F.lit(".jpg"))).alias("resized"), X.type_name(F.col("p_type")).alias("kind"), X.slug_or_token(given, key).alias("own_slug"),
@@ -224,8 +226,8 @@ def json_prop_filter(spark, sf_dir):
 
 
 @query("""
-WITH wanted AS (SELECT c_custkey, c_name AS username, lower(c_name) || '@example.com' AS email, c_custkey % 4 = 0 AS mismatch FROM customer),
-known AS (SELECT c_name AS username FROM customer WHERE c_custkey % 3 = 0), mails AS (SELECT lower(c_name) || '@example.com' AS email FROM customer WHERE c_custkey % 5 = 0)
+WITH wanted AS (SELECT c_custkey, c_name AS username, lower(c_name) || '@example.com' AS email, c_acctbal > 8000 AS mismatch FROM customer),
+known AS (SELECT c_name AS username FROM customer WHERE c_mktsegment = 'BUILDING'), mails AS (SELECT lower(c_name) || '@example.com' AS email FROM customer WHERE c_acctbal < 0)
 SELECT c_custkey, CASE WHEN mismatch THEN 'password mismatch' WHEN username IN (SELECT username FROM known) THEN 'username taken'
                        WHEN email IN (SELECT email FROM mails) THEN 'email taken' ELSE 'created' END AS outcome
 FROM wanted
@@ -234,9 +236,9 @@ def registration(spark, sf_dir):
     """Outcome of registrations: mismatch, taken name, taken mail, created."""
     c = table(spark, sf_dir, "customer")
     mail = F.concat(F.lower("c_name"), F.lit("@example.com"))
-    wanted = c.select("c_custkey", F.col("c_name").alias("username"), mail.alias("email"), (F.col("c_custkey") % 4 == 0).alias("mismatch"))
-    names = c.where("c_custkey % 3 = 0").select(F.col("c_name").alias("username"), F.lit(True).alias("_name")).distinct()
-    mails = c.where("c_custkey % 5 = 0").select(mail.alias("email"), F.lit(True).alias("_mail")).distinct()
+    wanted = c.select("c_custkey", F.col("c_name").alias("username"), mail.alias("email"), (F.col("c_acctbal") > 8000).alias("mismatch"))
+    names = c.where("c_mktsegment = 'BUILDING'").select(F.col("c_name").alias("username"), F.lit(True).alias("_name")).distinct()
+    mails = c.where("c_acctbal < 0").select(mail.alias("email"), F.lit(True).alias("_mail")).distinct()
     told = wanted.join(names, "username", "left").join(mails, "email", "left")
     outcome = F.when(F.col("mismatch"), "password mismatch").when(F.col("_name"), "username taken").when(F.col("_mail"), "email taken").otherwise("created")
     return told.select("c_custkey", outcome.alias("outcome"))
@@ -319,8 +321,8 @@ def numbered_frames(spark, sf_dir):
 
 
 _FRAMES_SQL = f"""
-WITH {_OBJECTS_SQL}, bg AS (SELECT bucket, key AS bg_key, row_number() OVER (PARTITION BY bucket ORDER BY key) - 1 AS pos FROM objects WHERE doc_id % 3 <> 0 AND regexp_matches(lower(key), '(\\.png|\\.jpg|\\.jpeg)$')),
-fg AS (SELECT bucket, key AS fg_key, row_number() OVER (PARTITION BY bucket ORDER BY key DESC) - 1 AS pos FROM objects WHERE doc_id % 3 = 0 AND regexp_matches(lower(key), '(\\.png|\\.jpg|\\.jpeg)$')),
+WITH {_OBJECTS_SQL}, bg AS (SELECT bucket, key AS bg_key, row_number() OVER (PARTITION BY bucket ORDER BY key) - 1 AS pos FROM objects WHERE NOT starts_with(key, 'fr/') AND regexp_matches(lower(key), '(\\.png|\\.jpg|\\.jpeg)$')),
+fg AS (SELECT bucket, key AS fg_key, row_number() OVER (PARTITION BY bucket ORDER BY key DESC) - 1 AS pos FROM objects WHERE starts_with(key, 'fr/') AND regexp_matches(lower(key), '(\\.png|\\.jpg|\\.jpeg)$')),
 plan AS (SELECT bucket, pos, 'merged_' || lpad(pos::VARCHAR, 3, '0') AS name, bg_key, fg_key, pos * 1000 AS "start", pos * 1000 + 1000 AS "end" FROM bg JOIN fg USING (bucket, pos))
 """
 
@@ -329,7 +331,7 @@ def _frames(spark, sf_dir):
     from lattica.operators import composition
 
     objects = _objects(spark, sf_dir).withColumnRenamed("key", "object")
-    return composition.frames(objects.where("doc_id % 3 <> 0"), objects.where("doc_id % 3 = 0"), ["bucket"], right_to_left=True)
+    return composition.frames(objects.where("not startswith(object, 'fr/')"), objects.where("startswith(object, 'fr/')"), ["bucket"], right_to_left=True)
 
 
 @query(_FRAMES_SQL + "SELECT * FROM plan")

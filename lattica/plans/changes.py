@@ -25,37 +25,37 @@ def delete_ids(spark, sf_dir):
 
 
 @query("""
-SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_suppkey % 2 = 0
-UNION ALL SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 3 = 0 AND s_suppkey % 2 <> 0
+SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_acctbal > 4000
+UNION ALL SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal <= 4000 AND s_nationkey < 15
 """)
 def get_or_create(spark, sf_dir):
     """Rows added where their key is missing (K5 K1)."""
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
-    return C.get_or_created(s.where("id % 2 = 0"), s.where("id % 3 = 0"), ["id"])
+    s = table(spark, sf_dir, "supplier").withColumnsRenamed({"s_suppkey": "id", "s_name": "name"})
+    return C.get_or_created(s.where("s_acctbal > 4000").select("id", "name"), s.where("s_nationkey < 15").select("id", "name"), ["id"])
 
 
 @query("""
-SELECT n_nationkey AS id, coalesce(CASE WHEN n_nationkey % 2 = 0 THEN 'new ' || n_name END, n_name) AS name, n_regionkey AS region FROM nation WHERE n_nationkey <> 5
+SELECT n_nationkey AS id, coalesce(CASE WHEN n_regionkey > 2 THEN 'new ' || n_name END, n_name) AS name, n_regionkey AS region FROM nation WHERE n_nationkey <> 5
 UNION ALL SELECT 100, 'added', -1
 """)
 def grid_edit(spark, sf_dir):
     """Insert, deep-merged update and delete of grid items."""
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
-    edits = n.select("id", F.when(F.col("id") % 2 == 0, F.concat(F.lit("new "), "name")).alias("name"))
+    edits = n.select("id", F.when(F.col("region") > 2, F.concat(F.lit("new "), "name")).alias("name"))
     gone = spark.createDataFrame([(5,)], "id int")
     added = spark.createDataFrame([(100, "added")], "id int, name string")
     return C.inserted(C.deleted(C.merged(n, edits, ["id"]), gone, ["id"]), added).fillna(-1, ["region"])
 
 
 @query("""
-WITH need AS (SELECT DISTINCT o_custkey AS id, 'video/' || o_orderkey AS key FROM orders WHERE o_orderkey % 50 <> 49), gone AS (SELECT 'video/' || o_orderkey AS key FROM orders WHERE o_orderkey % 17 <> 0)
+WITH need AS (SELECT DISTINCT o_custkey AS id, 'video/' || o_orderkey AS key FROM orders WHERE o_orderstatus <> 'P'), gone AS (SELECT 'video/' || o_orderkey AS key FROM orders WHERE o_totalprice < 400000)
 SELECT id, count(*) AS required, count(g.key) AS done, count(*) = count(g.key) AS may_delete FROM need LEFT JOIN gone g USING (key) GROUP BY id
 """)
 def two_phase_delete_ok(spark, sf_dir):
     """Rows that may go because all their objects are gone."""
     o = table(spark, sf_dir, "orders")
-    need = o.select(F.col("o_custkey").alias("id"), F.when(F.col("o_orderkey") % 50 != 49, F.concat(F.lit(" /video/"), F.col("o_orderkey").cast("string"))).alias("key"))
-    status = F.when(F.col("o_orderkey") % 17 == 0, "failed").when(F.col("o_orderkey") % 5 == 0, "missing").otherwise("deleted")
+    need = o.select(F.col("o_custkey").alias("id"), F.when(F.col("o_orderstatus") != "P", F.concat(F.lit(" /video/"), F.col("o_orderkey").cast("string"))).alias("key"))
+    status = F.when(F.col("o_totalprice") >= 400000, "failed").when(F.col("o_orderpriority") == "5-LOW", "missing").otherwise("deleted")
     outcome = o.select(F.concat(F.lit("video/"), F.col("o_orderkey").cast("string")).alias("key"), status.alias("status"))
     return C.two_phase(need, outcome, "id", "key")
 
@@ -74,10 +74,10 @@ def union_of_x(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("x")).union(table(spark, sf_dir, "part").select("p_size")).distinct()
 
 
-@query("SELECT o_orderkey AS id, o_orderstatus AS status FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT event_id, event_type FROM events")
+@query("SELECT o_orderkey AS id, o_orderstatus AS status FROM orders UNION ALL SELECT event_id, event_type FROM events")
 def bag_union(spark, sf_dir):
     """Concatenation of lists, repeats kept."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
     return o.unionByName(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("status")))
 
 

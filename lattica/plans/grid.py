@@ -30,11 +30,11 @@ def nested_paths(spark, sf_dir):
 
 @query("""
 SELECT c_custkey, seg, row_number() OVER (ORDER BY seg ASC NULLS FIRST, c_custkey) - 1 AS pos
-FROM (SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE c_mktsegment END AS seg FROM customer)
+FROM (SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN NULL ELSE c_mktsegment END AS seg FROM customer)
 """)
 def grid_sort_nulls_first(spark, sf_dir):
     """Sorting as strings, nulls first."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 9 != 0, F.col("c_mktsegment")).alias("seg"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_acctbal") >= 0, F.col("c_mktsegment")).alias("seg"))
     return ordering.global_position(c, [F.col("seg").asc_nulls_first(), F.col("c_custkey")])
 
 
@@ -60,10 +60,10 @@ def scroll_window(spark, sf_dir):
     return ordering.scroll_window(table(spark, sf_dir, "events").select("event_id", "value"), [F.col("event_id")], 1009, 30, 20)
 
 
-@query("SELECT coalesce(value, '') AS value, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderpriority END AS value FROM orders) GROUP BY 1")
+@query("SELECT coalesce(value, '') AS value, count(*) AS n FROM (SELECT CASE WHEN o_totalprice < 20000 THEN NULL ELSE o_orderpriority END AS value FROM orders) GROUP BY 1")
 def facet_counts(spark, sf_dir):
     """Values and their rows, null as '' (A8)."""
-    o = table(spark, sf_dir, "orders").select(F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderpriority")).alias("value"))
+    o = table(spark, sf_dir, "orders").select(F.when(F.col("o_totalprice") >= 20000, F.col("o_orderpriority")).alias("value"))
     return A.facet_counts(o, "value")
 
 
@@ -145,12 +145,12 @@ def zoom_range(spark, sf_dir):
 
 
 @query("""
-WITH hit AS (SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT'), sel AS (SELECT * FROM hit WHERE o_orderkey % 10 = 3)
+WITH hit AS (SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT'), sel AS (SELECT * FROM hit WHERE o_totalprice > 450000)
 SELECT * FROM sel UNION ALL SELECT * FROM hit WHERE NOT EXISTS (SELECT 1 FROM sel)
 """)
 def export_selection(spark, sf_dir):
     """Rows to export: those selected among the hits, or all hits if none is."""
-    hit = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey", "o_custkey", "o_totalprice").withColumn("_sel", F.col("o_orderkey") % 10 == 3)
+    hit = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey", "o_custkey", "o_totalprice").withColumn("_sel", F.col("o_totalprice") > 450000)
     some = hit.agg(F.coalesce(F.max("_sel"), F.lit(False))).scalar()
     return hit.where(F.col("_sel") | ~some).select("o_orderkey", "o_custkey", "o_totalprice")
 

@@ -50,12 +50,12 @@ def adjacent_pairs(spark, sf_dir):
     return J.adjacent_pairs(table(spark, sf_dir, "events"), ["user_id"], ["ts"], ["event_id", "value"])
 
 
-_SERIES = "SELECT hour(ts) + 24 * dayofmonth(ts) AS x, event_id AS pos, CASE WHEN event_id % 6 = 0 THEN NULL ELSE value END AS y FROM events WHERE event_type = '{0}'"
+_SERIES = "SELECT hour(ts) + 24 * dayofmonth(ts) AS x, event_id AS pos, CASE WHEN value > 60 THEN NULL ELSE value END AS y FROM events WHERE event_type = '{0}'"
 
 
 def _hourly(spark, sf_dir, kind):
     e = table(spark, sf_dir, "events").where(F.col("event_type") == kind)
-    return e.select((F.hour("ts") + 24 * F.dayofmonth("ts")).cast("long").alias("x"), F.col("event_id").alias("pos"), F.when(F.col("event_id") % 6 != 0, F.col("value")).alias("y"))
+    return e.select((F.hour("ts") + 24 * F.dayofmonth("ts")).cast("long").alias("x"), F.col("event_id").alias("pos"), F.when(F.col("value") <= 60, F.col("value")).alias("y"))
 
 
 def _align_sql(where: str) -> str:

@@ -112,13 +112,13 @@ def frame_geometry(spark, sf_dir):
 @query("""
 SELECT event_id, floor(value / 2.5::DOUBLE + 0.5::DOUBLE) * 2.5::DOUBLE AS rounded, ceil(value / 2.5::DOUBLE) * 2.5::DOUBLE AS up, floor(value / 2.5::DOUBLE) * 2.5::DOUBLE AS down, least(greatest(value, 10.0), 100.0)::DOUBLE AS clamped,
        round(ln(value) / ln(10.0::DOUBLE), 6) AS lg, pow(10.0::DOUBLE, floor(round(ln(value) / ln(10.0::DOUBLE), 9))) AS power, round(ln(greatest(value, 1.0::DOUBLE)), 6) AS log_y,
-       round(exp(ln(greatest(value, 1.0::DOUBLE))), 6) AS back, CASE WHEN event_id % 10 = 0 THEN 1e300::DOUBLE ELSE value END AS held
+       round(exp(ln(greatest(value, 1.0::DOUBLE))), 6) AS back, CASE WHEN value > 90 THEN 1e300::DOUBLE ELSE value END AS held
 FROM events
 """)
 def rounding_and_logs(spark, sf_dir):
     """Rounding to increments, clamps, logarithms, saturation."""
     v = F.col("value")
-    sat = N.saturated(F.when(F.col("event_id") % 10 == 0, F.lit(float("inf"))).otherwise(v), 1e300)
+    sat = N.saturated(F.when(F.col("value") > 90, F.lit(float("inf"))).otherwise(v), 1e300)
     return table(spark, sf_dir, "events").select(
         "event_id", N.round_to(v, 2.5).alias("rounded"), N.ceil_to(v, 2.5).alias("up"), N.floor_to(v, 2.5).alias("down"), N.clamp(v, 10.0, 100.0).alias("clamped"),
         F.round(N.log_base(v, 10), 6).alias("lg"), N.power_below(v, 10).alias("power"), F.round(N.log_clamped(v, 1.0), 6).alias("log_y"), F.round(F.exp(N.log_clamped(v, 1.0)), 6).alias("back"), sat.alias("held"),
@@ -165,10 +165,10 @@ def minmax_scale(spark, sf_dir):
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity - coalesce(CASE WHEN l_linenumber % 2 = 0 THEN l_discount END, l_tax) AS low, l_quantity + coalesce(l_tax, CASE WHEN l_linenumber % 2 = 0 THEN l_discount END) AS high
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity - coalesce(CASE WHEN l_returnflag = 'A' THEN l_discount END, l_tax) AS low, l_quantity + coalesce(l_tax, CASE WHEN l_returnflag = 'A' THEN l_discount END) AS high
 FROM lineitem
 """)
 def error_bars(spark, sf_dir):
     """Ends of error bars, one missing side taken from the other; columns in a new order."""
-    low, high = N.bar_ends(F.col("l_quantity"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_discount")), F.col("l_tax"))
+    low, high = N.bar_ends(F.col("l_quantity"), F.when(F.col("l_returnflag") == "A", F.col("l_discount")), F.col("l_tax"))
     return table(spark, sf_dir, "lineitem").select("l_linenumber", "l_orderkey", "l_suppkey", "l_partkey", high.alias("high"), low.alias("low"))

@@ -90,10 +90,10 @@ def generated_labels(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("source", "doc_id", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long").alias("label"))
 
 
-@query("SELECT user_id, min(CASE WHEN event_id % 4 <> 0 THEN event_id END) AS first_x, max(CASE WHEN event_id % 4 <> 0 THEN event_id END) AS last_x FROM events GROUP BY user_id")
+@query("SELECT user_id, min(CASE WHEN value > 20 THEN event_id END) AS first_x, max(CASE WHEN value > 20 THEN event_id END) AS last_x FROM events GROUP BY user_id")
 def first_last_filled(spark, sf_dir):
     """The first and last place with a value."""
-    e = table(spark, sf_dir, "events").withColumn("y", F.when(F.col("event_id") % 4 != 0, F.col("value")))
+    e = table(spark, sf_dir, "events").withColumn("y", F.when(F.col("value") > 20, F.col("value")))
     return W.first_last_filled(e, ["user_id"], "event_id", "y")
 
 
@@ -128,12 +128,12 @@ def row_reorder(spark, sf_dir):
 
 
 @query("""
-WITH p AS (SELECT event_type, epoch_us(ts) // 3600000000 - 473352 AS bucket, epoch_us(ts) AS x, event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS y FROM events)
+WITH p AS (SELECT event_type, epoch_us(ts) // 3600000000 - 473352 AS bucket, epoch_us(ts) AS x, event_id, CASE WHEN value > 60 THEN NULL ELSE value END AS y FROM events)
 SELECT event_type, bucket, arg_min(y, x) FILTER (WHERE y IS NOT NULL) AS first_y, min(y) AS min_y, max(y) AS max_y, arg_max(y, x) FILTER (WHERE y IS NOT NULL) AS last_y, count(y) = 0 AS gap, count(*) AS n
 FROM p GROUP BY event_type, bucket
 """)
 def downsample_m4(spark, sf_dir):
     """First, least, greatest and last value an hour."""
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    e = table(spark, sf_dir, "events").select("event_type", us.alias("x"), "event_id", F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("y"))
+    e = table(spark, sf_dir, "events").select("event_type", us.alias("x"), "event_id", F.when(F.col("value") <= 60, F.col("value")).alias("y"))
     return W.downsampled(e, ["event_type"], "x", "y", "event_id", 473352 * 3_600_000_000, 3_600_000_000)
