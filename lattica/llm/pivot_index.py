@@ -117,10 +117,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, pivots: int | No
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"), F.col("label").cast("string").alias("label"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.coalesce(F.col("label").isNotNull() & (F.size("vector") > 0) & finite & F.exists("vector", lambda x: x != 0), F.lit(False))
-    # a class is its label and vector, known from here on by two hashes and, for the vector itself, its smallest row
+    # a class is a label and a vector, known from here on by two hashes of them
     clean = rows.select("vec_id", F.when(usable, F.concat_ws(":", "label", F.size("vector"))).alias("label"), F.when(usable, F.transform("vector", lambda x: x + F.lit(0.0))).alias("vector"))
     told = saved(clean.withColumns({"c1": F.xxhash64("label", "vector"), "c2": F.xxhash64(F.lit("second"), "label", "vector")}))
-    classes = saved(told.where("label is not null").groupBy("c1", "c2").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("vector").alias("vector")).withColumn("node", F.coalesce("node", F.lit(-1) - F.abs(F.col("c1") / 4).cast("long"))))
+    classes = saved(told.where("label is not null").groupBy("c1", "c2").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("vector").alias("vector")).withColumn("node", F.coalesce("node", F.lit(-1) - F.abs(F.col("c1") / 4).cast("long"))))  # a stand-in where no row has an id
     total = classes.count()
     wanted = pivots or min(MOST_PIVOTS, max(LEAST_PIVOTS, ceil(total / PER_PIVOT)))
     paired = total > MOST_PIVOTS * PER_PIVOT if paired is None else paired

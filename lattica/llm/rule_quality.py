@@ -82,7 +82,7 @@ def with_statistics(docs: DataFrame) -> tuple[DataFrame, list[str], str]:
 Rule = tuple[tuple[int, bool, float], ...]
 
 
-def _grow(x: np.ndarray, codes: np.ndarray, edges: list[np.ndarray], g: np.ndarray, h: np.ndarray, rows: np.ndarray, depth: int, path: Rule, rules: list[Rule], out: np.ndarray, least: int) -> None:
+def _grow(codes: np.ndarray, edges: list[np.ndarray], g: np.ndarray, h: np.ndarray, rows: np.ndarray, depth: int, path: Rule, rules: list[Rule], out: np.ndarray, least: int) -> None:
     """A Newton tree on gradients; ``out`` gets the leaf values, ``rules`` every path but the root's."""
     if path:
         rules.append(path)
@@ -107,7 +107,7 @@ def _grow(x: np.ndarray, codes: np.ndarray, edges: list[np.ndarray], g: np.ndarr
     _, j, k = best
     below, cut = codes[rows, j] <= k, float(edges[j][k])
     for above, part in ((False, rows[below]), (True, rows[~below])):
-        _grow(x, codes, edges, g, h, part, depth - 1, (*path, (j, above, cut)), rules, out, least)
+        _grow(codes, edges, g, h, part, depth - 1, (*path, (j, above, cut)), rules, out, least)
 
 
 def tree_rules(x: np.ndarray, y: np.ndarray, seed: int = 7) -> list[Rule]:
@@ -119,7 +119,7 @@ def tree_rules(x: np.ndarray, y: np.ndarray, seed: int = 7) -> list[Rule]:
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-score))
         rows, out, own = np.flatnonzero(rng.random(len(y)) < 0.5), np.zeros(len(y)), []
-        _grow(x, codes, edges, p - y, p * (1 - p), rows, DEPTH, (), own, out, max(3, len(y) // 500))
+        _grow(codes, edges, p - y, p * (1 - p), rows, DEPTH, (), own, out, max(3, len(y) // 500))
         rules += own
         # the rows left out learn from the tree's leaves too
         leaves = [r for r in own if not any(r == q[: len(r)] and len(q) > len(r) for q in own)]

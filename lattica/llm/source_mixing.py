@@ -81,7 +81,7 @@ def schedule(wanted: DataFrame, block: int = BLOCK) -> DataFrame:
     spark = wanted.sparkSession
     quotas = wanted.where("quota > 0").withColumn("hi", F.sum("quota").over(Window.orderBy("sid"))).withColumn("lo", F.col("hi") - F.col("quota"))
     quotas = quotas.withColumn("blocks", F.ceil(F.col("quota") / F.lit(block)))
-    total, sources, blocks, rarest = wanted.where("quota > 0").agg(F.sum("quota"), F.count("*"), F.sum(F.ceil(F.col("quota") / F.lit(block))), F.max(F.ceil(F.col("quota") / F.lit(block)) / F.col("quota"))).first()
+    total, sources, blocks = wanted.where("quota > 0").agg(F.sum("quota"), F.count("*"), F.sum(F.ceil(F.col("quota") / F.lit(block)))).first()
     total = total or 0
     # enough points for each source: a golden-ratio sequence misses a share's expected count by a few units and a logarithm
     slack = 2 * (4 + log((blocks or 0) + 2))
