@@ -271,10 +271,10 @@ def legend_order(spark, sf_dir):
     return t.withColumn("pos", F.row_number().over(Window.orderBy(F.col("label").desc())).cast("long") - 1)
 
 
-@query("SELECT user_id, list_sort(list(DISTINCT CAST(floor(value / 100) * 100 AS DOUBLE))) AS thresholds FROM events GROUP BY user_id")
+@query("SELECT user_id, array_to_string(list_sort(list(DISTINCT CAST(floor(value / 100) * 100 AS BIGINT))), ',') AS thresholds FROM events GROUP BY user_id")
 def threshold_list(spark, sf_dir):
     """Sorted lists of thresholds."""
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_set((F.floor(F.col("value") / 100) * 100).cast("double"))).alias("thresholds"))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set((F.floor(F.col("value") / 100) * 100).cast("long"))), ",").alias("thresholds"))
 
 
 @query("""
