@@ -36,7 +36,7 @@ from .store import map_arrow, map_groups, saved
 
 CAPACITY, END = 4096, 2
 #: Tokens in a bin, about, and words that a worker remembers.
-BIN_TOKENS, WORDS = 4_000_000, 800_000
+BIN_TOKENS, WORDS = 4_000_000, 500_000
 #: Cost of a piece of n tokens: n + n * n / QUADRATIC.
 QUADRATIC = 4096
 #: Pieces of under 1 / SHORT of a sequence may be cut once more.
