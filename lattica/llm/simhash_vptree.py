@@ -40,19 +40,28 @@ SHARD, LEAF, BLOCK = 8192, 1024, 1 << 20
 SAMPLE = 262_144
 
 
-def simhash(text: bytes | None, k: int = SHINGLE, seed: int = SEED) -> int:
-    """The unsigned 64-bit fingerprint of a UTF-8 text."""
+def shingles(text: bytes | None, k: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """The XXH64 values of the shingles of a UTF-8 text."""
     words = (text or b"").lower().split()  # of bytes: A-Z and the six ASCII spaces only
     if not words:
-        return 0
+        return np.zeros(0, dtype=">u8")
     grams = map(b" ".join, zip(*(words[i:] for i in range(k)), strict=False)) if len(words) >= k else [b" ".join(words)]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(g, seed) for g in grams), dtype=">u8", count=max(1, len(words) - k + 1))
+    return np.fromiter((xxhash.xxh64_intdigest(g, seed) for g in grams), dtype=">u8", count=max(1, len(words) - k + 1))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The unsigned 64-bit majority vote of big-endian hashes, zero without any."""
     votes = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 15):
         votes += np.unpackbits(hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.uint32)
     return int.from_bytes(np.packbits(2 * votes > len(hashes)).tobytes(), "big")
 
 
+def simhash(text: bytes | None, k: int = SHINGLE, seed: int = SEED) -> int:
+    """The unsigned 64-bit fingerprint of a UTF-8 text."""
+    return majority(shingles(text, k, seed))
+
+
 def fingerprints(docs: DataFrame, k: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(doc_id, fp): one row per document; fp holds the 64 bits as a long."""
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import cost_packing, line_dedup, rule_quality, simhash_vptree, source_mixing
+from . import cost_packing, line_dedup, rule_quality, shingle_overlap, source_mixing
 from .store import fresh, quoted
 
 
@@ -30,8 +30,9 @@ def lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies; rows without an id stay."""
-    found = simhash_vptree.near_duplicates(docs.where("doc_id is not null"))
+    """The document with the smallest id of each group of near copies (Jaccard 0.8 or more of
+    5-word shingles, in chains); rows without an id stay."""
+    found = shingle_overlap.near_copies(docs.where("doc_id is not null"))
     (id_,) = fresh(docs, "_id")
     keep = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_))
     kept = docs.join(keep, F.col("doc_id") == F.col(id_), "left_semi")
