@@ -1,6 +1,8 @@
 """Near-duplicates of embeddings through a pivot-permutation index.
 
-Pivots are a bounded sample of the vectors. Every vector is described by the ordered
+Pivots are a bounded sample of the vectors, without those near an earlier one, so that a
+large group of near-equal vectors holds a pivot or two and its members have the same
+nearest pivots, and not their own noise's. Every vector is described by the ordered
 list of its ``NEAREST`` pivots and enters the inverted list of each of them, apart by
 label. In a list, two vectors are candidates if their descriptions share at least
 ``SHARED`` pivots; candidates are verified by cosine in double precision. A pair is
@@ -42,6 +44,10 @@ COSINE = 0.93
 NEAREST, SHARED = 8, 2
 #: Vectors for each pivot, about, and bounds of the number of pivots.
 PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 200, 32, 4096
+#: The cosine from which two pivots are near, and vectors that are looked at for each pivot.
+APART, LOOKED_AT = 0.8, 4
+#: Close pairs in 256 rows from which shared pivots are counted by products of matrices.
+DENSE = 20_000
 BLOCK = 2048
 NONE = np.iinfo(np.int32).max
 
@@ -57,6 +63,27 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _separated(unit: np.ndarray, apart: float, most: int) -> np.ndarray:
+    """The first ``most`` vectors that are nowhere within a cosine of ``apart`` of one before that is kept."""
+    kept = np.empty((min(most, len(unit)), unit.shape[1]))
+    n = 0
+    for v in unit:
+        if n < len(kept) and not (kept[:n] @ v >= apart).any():
+            kept[n] = v
+            n += 1
+    return kept[:n]
+
+
+def _sharing(prefix: np.ndarray, pivot: int, second: int, shared: int):
+    """A function of a range of rows: which pairs with all rows have ``pivot`` (and ``second``) as their smallest shared pivots, and enough of them."""
+    names, at = np.unique(prefix, return_inverse=True)
+    held = np.zeros((len(prefix), len(names)), dtype=np.float32)
+    np.put_along_axis(held, at.reshape(prefix.shape), 1, axis=1)
+    own = [pivot] if second < 0 else [pivot, second]
+    before, after = held[:, (names < own[-1]) & ~np.isin(names, own)], held[:, names > own[-1]]
+    return lambda a, b: (before[a:b] @ before.T == 0) & (after[a:b] @ after.T >= shared - len(own))
+
+
 def _described(pivots: np.ndarray, nearest: int):
     """Each vector with its permutation prefix, once for each pivot in it."""
 
@@ -84,10 +111,15 @@ def _verified(cosine: float, shared: int):
         unit, prefix, own = _unit(_matrix(t["vector"])), _matrix(t["prefix"]), t["own"].to_numpy()
         node, n = t["node"].to_numpy(), t["n"].to_numpy()
         linked = np.zeros((len(node), len(node)), dtype=bool)
+        sharing = None
         for at in range(0, len(node), 256):
             close = unit[at : at + 256] @ unit.T >= cosine
             if across:
                 close &= own[at : at + 256, None] != own
+            if np.count_nonzero(close) > DENSE:
+                sharing = sharing or _sharing(prefix, pivot, second, shared)
+                linked[at : at + 256] = close & sharing(at, at + 256)
+                continue
             i, j = np.nonzero(close)
             i, j = i[i + at < j] + at, j[i + at < j]
             for k in range(0, len(j), 50_000):
@@ -98,6 +130,7 @@ def _verified(cosine: float, shared: int):
                     good &= common[:, 1] == second
                 linked[i[k : k + 50_000][good], j[k : k + 50_000][good]] = True
         linked |= linked.T
+        np.fill_diagonal(linked, False)
         some = np.flatnonzero(linked.any(axis=1))
         links = linked[np.ix_(some, some)]
         counts = links @ n[some]
@@ -143,7 +176,7 @@ def _pivot_pairs(prefix: str):
 
 def _links(classes: DataFrame, pivots: int, cosine: float, nearest: int, shared: int, paired: bool) -> DataFrame:
     """(node, links, root), written: what each inverted list says of its members."""
-    sample = classes.select("label", "vector").orderBy(F.xxhash64("node", F.lit("pivot")), "node").limit(pivots).collect()
+    sample = classes.select("label", "vector").orderBy(F.xxhash64("node", F.lit("pivot")), "node").limit(LOOKED_AT * pivots).collect()
     by_size: dict[int, list] = {}
     for r in sample:
         by_size.setdefault(len(r.vector), []).append(r.vector)
@@ -151,7 +184,7 @@ def _links(classes: DataFrame, pivots: int, cosine: float, nearest: int, shared:
     sizes = [r.d for r in classes.select(F.size("vector").alias("d")).distinct().collect()]
     for d in sizes:  # vectors of one length, as a rule
         points = by_size.get(d) or [r.vector for r in classes.where(F.size("vector") == d).select("vector").limit(1).collect()]
-        own = _unit(np.array(points, dtype=np.float64))
+        own = _separated(_unit(np.array(points, dtype=np.float64)), APART, pivots)
         lists = map_arrow(classes.where(F.size("vector") == d).select("label", "node", "n", "vector"), _described(own, nearest), "label string, node long, n long, vector array<double>, prefix array<int>")
         few = min(shared, len(own))
         key = ["label", "pivot", "second"]

@@ -74,3 +74,22 @@ def test_awkward_vectors(spark):
     one = spark.createDataFrame([(None, [1.0], 1), (5, [2.0], 1)], "vec_id long, embedding array<double>, label int")
     assert sorted((r.n_links, r.kept) for r in V.near_duplicates(one).collect()) == [(1, False), (1, True)]
     assert rows_of(V.near_duplicates(df.limit(0))) == []
+
+
+def test_recall_in_a_large_group_of_near_copies(spark):
+    rng = np.random.default_rng(21)
+    centre = rng.standard_normal(64)
+    group = centre + rng.standard_normal((10_000, 64)) * 0.02
+    x = np.concatenate([group, rng.standard_normal((20_000, 64))])
+    classes = [(i, 1, [float(a) for a in v], "1:64") for i, v in enumerate(x)]
+    df = spark.createDataFrame(classes, "node long, n long, vector array<double>, label string").repartition(8)
+    links = V._links(V.saved(df), 150, 0.93, 8, 2, False).groupBy("node").agg({"links": "sum"}).collect()
+    assert sum(r[1] for r in links if r.node < 10_000) >= 0.9 * 10_000 * 9_999
+
+
+def test_dense_pairs_are_counted_the_same(spark, monkeypatch):
+    x = clusters(np.random.default_rng(14), 200)
+    df = spark.createDataFrame([(i, [float(a) for a in v], 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    want = [rows_of(V.near_duplicates(df, paired=p)) for p in (False, True)]
+    monkeypatch.setattr(V, "DENSE", -1)
+    assert [rows_of(V.near_duplicates(df, paired=p)) for p in (False, True)] == want
