@@ -153,17 +153,20 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, pivots: int | No
     # a class is a label and a vector, known from here on by two hashes of them
     clean = rows.select("vec_id", F.when(usable, F.concat_ws(":", "label", F.size("vector"))).alias("label"), F.when(usable, F.transform("vector", lambda x: x + F.lit(0.0))).alias("vector"))
     told = saved(clean.withColumns({"c1": F.xxhash64("label", "vector"), "c2": F.xxhash64(F.lit("second"), "label", "vector")}))
-    classes = saved(told.where("label is not null").groupBy("c1", "c2").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("vector").alias("vector")).withColumn("node", F.coalesce("node", F.lit(-1) - F.abs(F.col("c1") / 4).cast("long"))))  # a stand-in where no row has an id
+    classes = saved(told.where("label is not null").groupBy("c1", "c2").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("vector").alias("vector")).withColumn("node", F.coalesce("id", F.lit(-1) - F.abs(F.col("c1") / 4).cast("long"))))  # a stand-in where no row has an id
     total = classes.count()
     wanted = pivots or min(MOST_PIVOTS, max(LEAST_PIVOTS, ceil(total / PER_PIVOT)))
     paired = total > MOST_PIVOTS * PER_PIVOT if paired is None else paired
     links = _links(classes, wanted, cosine, nearest, shared, paired and shared >= 2)
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    named = classes.select("c1", "c2", "node", "n").join(counted, "node", "left").join(roots, "node", "left")
-    named = saved(named.select("c1", "c2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("label", "node").alias("component")))
+    # where a stand-in is the smallest of its component, the smallest id is the label
+    renamed = classes.select("id", "node").join(roots, "node").groupBy("label").agg(F.min("id").alias("own")).where("own is null or own <> label").select(F.col("label").alias("root"), "own", F.lit(True).alias("other"))
+    named = classes.select("c1", "c2", "id", "node", "n").join(counted, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("label", "node")).join(renamed, "root", "left")
+    component = F.when(F.col("other"), F.col("own")).when(F.col("label").isNull(), F.col("id")).otherwise(F.col("root"))
+    named = saved(named.select("c1", "c2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), component.alias("component")))
     out = told.select("vec_id", "c1", "c2", F.col("label").isNotNull().alias("usable")).join(named, ["c1", "c2"], "left")
-    component = F.when(F.col("usable") & (F.col("component") >= 0), F.col("component")).otherwise(F.col("vec_id"))
+    component = F.when(F.col("usable") & F.col("vec_id").isNotNull(), F.col("component")).otherwise(F.col("vec_id"))
     return out.select("vec_id", F.when(F.col("usable"), F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 

@@ -93,3 +93,11 @@ def test_dense_pairs_are_counted_the_same(spark, monkeypatch):
     want = [rows_of(V.near_duplicates(df, paired=p)) for p in (False, True)]
     monkeypatch.setattr(V, "DENSE", -1)
     assert [rows_of(V.near_duplicates(df, paired=p)) for p in (False, True)] == want
+
+
+def test_labels_where_classes_have_null_or_negative_ids(spark):
+    rows = [(None, [1.0, 0.0], 1), (5, [1.0, 0.1], 1), (7, [1.0, 0.2], 1), (-4, [1.0, 0.0], 2), (9, [1.0, 0.1], 2), (None, [1.0, 0.0], 3), (None, [1.0, 0.1], 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = V.near_duplicates(df).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got if r.vec_id is not None) == [(-4, 1, -4, True), (5, 2, 5, True), (7, 2, 5, False), (9, 1, -4, False)]
+    assert sorted((r.n_links, r.component_id, r.kept) for r in got if r.vec_id is None) == [(1, None, False), (1, None, False), (2, None, False)]
