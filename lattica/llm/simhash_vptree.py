@@ -206,9 +206,11 @@ def links(points: DataFrame, radius: int = RADIUS, shard: int = SHARD, leaf: int
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``."""
     prints = saved(fingerprints(docs))
-    points = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    labels = components(links(points.where("node is not null"), radius))
-    named = points.join(labels, "node", "left").select(F.col("fp").alias("_fp"), F.coalesce("label", "node").alias("component_id"))
+    points = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("id")).withColumn("node", F.col("fp")))  # a fingerprint stands for itself, as its rows may have no id
+    labels = components(links(points, radius))
+    least = labels.join(points.select("node", "id"), "node").groupBy(F.col("label").alias("root")).agg(F.min("id").alias("least"))
+    named = points.join(labels, "node", "left").withColumn("root", F.coalesce("label", "node")).join(least, "root", "left")
+    named = named.select(F.col("fp").alias("_fp"), F.coalesce("least", "id").alias("component_id"))
     return prints.join(named, F.col("fp") == F.col("_fp"), "left").select("doc_id", "fp", "component_id")
 
 

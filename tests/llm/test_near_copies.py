@@ -112,3 +112,14 @@ def test_block_pairs_meet_once(spark):
         cells.setdefault((r.block_i, r.block_j), []).append((r.id, r.own))
     met = [tuple(sorted((a, b))) for (i, j), xs in cells.items() for a, p in xs for b, q in xs if a < b and (i == j or p != q)]
     assert len(met) == len(set(met)) == 300 * 299 // 2
+
+
+def test_rows_without_ids_link_and_are_linked(spark, monkeypatch):
+    prints = [(9, 0), (None, 0b11), (4, 0b1111), (None, 1 << 40), (None, 0b11 << 40), (2, -1)]
+    table = spark.createDataFrame(prints, "doc_id long, fp long")
+    monkeypatch.setattr(S, "fingerprints", lambda docs: table)
+    got = {r.fp: r.component_id for r in S.near_duplicates(table).collect()}
+    assert got == {0: 4, 0b11: 4, 0b1111: 4, 1 << 40: 4, 0b11 << 40: 4, -1: 2}
+    alone = table.where("fp in (1 << 40, 3 << 40)".replace("1 << 40", str(1 << 40)).replace("3 << 40", str(3 << 40)))
+    monkeypatch.setattr(S, "fingerprints", lambda docs: alone)
+    assert [r.component_id for r in S.near_duplicates(alone).collect()] == [None, None]
