@@ -27,9 +27,18 @@ def valid_steps(history: DataFrame) -> DataFrame:
 
 
 def folded(table: DataFrame, batch: DataFrame) -> DataFrame:
-    """The status table (task_id, seq, status) after a batch: the latest event of each task."""
-    every = table.unionByName(batch.select("task_id", "seq", F.lower("status").alias("status")))
-    return every.groupBy("task_id").agg(F.max("seq").alias("seq"), F.max_by("status", "seq").alias("status"))
+    """The status table (task_id, seq, status) after a batch: a task's events are applied in
+    order from its status, and one that is no step from there, or not later, is refused."""
+    own = batch.groupBy("task_id").agg(F.sort_array(F.collect_list(F.struct("seq", F.lower("status").alias("status")))).alias("events"))
+    both = table.select("task_id", F.struct("seq", "status").alias("now")).join(own, "task_id", "full_outer")
+
+    def applied(now, event):
+        step = F.concat_ws(">", F.coalesce(now["status"], F.lit("uncompleted")), event["status"]).isin(*[f"{a}>{b}" for a, b in sorted(STEPS)])
+        return F.when(step & (now["seq"].isNull() | (event["seq"] > now["seq"])), event).otherwise(now)
+
+    start = F.coalesce("now", F.struct(F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("status")))
+    after = both.select("task_id", F.aggregate(F.coalesce("events", F.array().cast("array<struct<seq:bigint,status:string>>")), start, applied).alias("now"))
+    return after.where("now.status is not null").select("task_id", "now.seq", "now.status")
 
 
 def run(spark: SparkSession, folder: str, out: str, checkpoint: str) -> None:

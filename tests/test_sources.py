@@ -97,3 +97,11 @@ def test_catalogue_in_a_database(spark):
     got = listing.jdbc(spark, url, "buckets").where("id >= 2").select("name")
     assert sorted(r[0] for r in got.collect()) == ["b", "c"]
     assert "PushedFilters: [*IsNotNull" in got._jdf.queryExecution().toString()
+
+
+def test_events_that_are_no_step_are_refused(spark):
+    kinds = "task_id long, seq long, status string"
+    table = spark.createDataFrame([(1, 2, "completed"), (2, 1, "processing"), (5, 1, "processing")], kinds)
+    batch = spark.createDataFrame([(1, 3, "processing"), (2, 3, "Processing"), (2, 2, "failed"), (3, 1, "completed"), (4, 1, "Processing"), (4, 2, "completed"), (4, 3, "failed")], kinds)
+    got = sorted((r.task_id, r.seq, r.status) for r in status.folded(table, batch).collect())
+    assert got == [(1, 2, "completed"), (2, 3, "processing"), (4, 2, "completed"), (5, 1, "processing")]
