@@ -19,7 +19,7 @@ than about two blocks.
 
 Recall: two vectors at cosine 0.93 share 2 of 8 nearest pivots with a frequency of 0.997
 or more for up to 1,024 pivots and 0.977 for 4,096 (measured on Gaussian perturbations of
-the test vectors; the tests measure it against brute force).
+the test vectors, before near pivots were left out; the tests measure it against brute force).
 
 Defined results: a vector that is null, empty, zero or holds null or non-finite components,
 or has a null label, links with nothing; vectors of different lengths are not linked;
