@@ -3,14 +3,23 @@
 Equal shingle sets are one class. SimHash fingerprints in vantage-point trees give the
 first candidates, which join most members of a large group by one edge each. What they
 miss is found by prefixes: two sets with a similarity of s or more share one of the first
-n - ceil(s n) + 1 shingles of each in any common order, here the rarest first, so that
-a document of which less than s is found elsewhere is no candidate. In the list of a
-shingle every member is held against one of another component, and when that joins no
-more, against all that are still apart. Every candidate is verified on the whole sets, so
-the components are exactly those of all pairs.
+n - ceil(s n) + 1 shingles of each in any common order. The order here has the commonest
+shingles last and is that of the hashes else, so that a passage that many documents share
+makes candidates only of documents that hold little besides. In the list of a shingle
+every member is held against one of another component, and when that joins no more,
+against all that are still apart, in pairs of blocks. A candidate whose sizes or folded
+sets (parities of 1,024 buckets, which differ in no more places than the sets differ in
+shingles) rule similarity out goes; all others are verified on the whole sets, so the
+components are exactly those of all pairs.
+
+Only prefixes, a fifth of the shingles, are kept for all documents; the whole sets are
+made again from the text of those that are verified. The order holds for any list of
+common shingles, so its bound (``COMMON``) costs time and no results.
 
 Defined results: words are those of ``simhash``; a text of fewer words than a shingle is
-one shingle; texts without words are copies of each other; ids must not be null.
+one shingle; texts without words are copies of each other; rows with a null id are left
+out, those of one id are one document; other columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -19,65 +28,162 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .simhash_vptree import links, majority, shingles
-from .store import components, map_arrow, saved
+from .store import components, dropped, in_block_pairs, map_arrow, saved
 
 SHINGLE = 5
 #: The least similarity, 4/5, in whole numbers.
 PART, WHOLE = 4, 5
 #: Rounds, at most, against one member of a list.
-ROUNDS = 5
+ROUNDS = 3
+#: Common shingles, at most, that the order knows; shingles that are counted at once, and the part of a chunk's documents that makes one common.
+COMMON, CHUNK, OFTEN = 65_536, 4_000_000, 512
+#: Bits of a folded set.
+FOLD = 1024
+#: Ids, at most, that are broadcast (16 MB); more are joined by a shuffle of the documents.
+BROADCAST = 2_000_000
+#: Members of a list that are compared in one block.
+BLOCK = 2048
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, fp, grams): fingerprint and sorted distinct shingle hashes of each document."""
+def _sets(b: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Row, shingle hashes and sorted distinct shingle hashes of each text."""
+    for i, t in enumerate(b.column("text")):
+        h = shingles(t.as_py(), k)
+        yield i, h, np.unique(h.astype(np.uint64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                found = [shingles(t.as_py(), k) for t in part.column("text")]
-                fps = np.array([majority(h) for h in found], dtype=np.uint64).view(np.int64)
-                grams = [np.unique(h.astype(np.uint64)).view(np.int64) for h in found]
-                ends = np.cumsum([0, *map(len, grams)]).astype(np.int32)
-                held = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(grams)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps), held], ["doc_id", "fp", "grams"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return map_arrow(rows, run, "doc_id long, fp long, grams array<long>")
+def _node(grams: np.ndarray) -> int:
+    """The signed 64-bit hash of a set."""
+    return int(np.uint64(xxhash.xxh64_intdigest(grams.tobytes())).view(np.int64))
+
+
+def _folded(grams: np.ndarray) -> np.ndarray:
+    """Parities of the number of shingles in each of ``FOLD`` buckets, as longs."""
+    odd = np.bincount((grams >> np.uint64(7)).astype(np.int64) & FOLD - 1, minlength=FOLD) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _often(chunk: list[np.ndarray]) -> pa.RecordBatch:
+    """The shingles that many of the sets hold, with the number of those."""
+    grams, times = np.unique(np.concatenate(chunk), return_counts=True)
+    some = times >= max(4, len(chunk) // OFTEN)
+    n = int(some.sum())
+    none = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays([*none, pa.array(grams[some].view(np.int64)), pa.array(times[some])], _NAMES)
+
+
+_NAMES = ["doc_id", "node", "n", "fp", "fold", "gram", "times"]
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+
 
+def _told(docs: DataFrame, k: int) -> DataFrame:
+    """A row for each document: set (as a hash), size, fingerprint and folded set; and rows of common shingles (gram, times)."""
 
-def _least(n: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held = [], 0
+        for b in batches:
+            node, n, fp, fold = [], [], [], []
+            for _, h, grams in _sets(b, k):
+                node.append(_node(grams))
+                n.append(len(grams))
+                fp.append(majority(h))
+                fold.append(_folded(grams))
+                chunk.append(grams)
+                held += len(grams)
+                if held > CHUNK:
+                    yield _often(chunk)
+                    chunk, held = [], 0
+            if node:
+                folds = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(fold)), FOLD // 64).cast(pa.list_(pa.int64()))
+                fps = pa.array(np.array(fp, dtype=np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(node, pa.int64()), pa.array(n, pa.int32()), fps, folds, pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())], _NAMES)
+        if chunk:
+            yield _often(chunk)
+
+    return map_arrow(_rows(docs), run, "doc_id long, node long, n int, fp long, fold array<long>, gram long, times long")
+
+
+def _least(n: int) -> int:
     """The least overlap of a set of ``n`` with one that is similar."""
-    return F.ceil(F.col(n) * PART / F.lit(WHOLE)).cast("int")
+    return -(-n * PART // WHOLE)
+
 
+def _grams(docs: DataFrame, k: int, cut: bool, common: list | None = None) -> DataFrame:
+    """(node, n, grams): the whole set, or with ``cut`` its prefix in the order that has ``common`` (gram, times) last."""
+    shared = docs.sparkSession.sparkContext.broadcast(sorted((g & (1 << 64) - 1, t) for g, t in common or []))
 
-def _verified(pairs: DataFrame, live: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar, written."""
-    a, b = (live.select(F.col("node").alias(x), F.col("grams").alias(f"{x}_grams")) for x in "ab")
-    both = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(a, "a").join(b, "b")
-    common, every = F.size(F.array_intersect("a_grams", "b_grams")), F.size("a_grams") + F.size("b_grams")
-    return saved(both.where(common * (PART + WHOLE) >= every * PART).select("a", "b"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.array([g for g, _ in shared.value], dtype=np.uint64)
+        times = np.array([t for _, t in shared.value], dtype=np.int64)
+        for b in batches:
+            node, n, got = [], [], []
+            for i, _, grams in _sets(b, k):
+                node.append(_node(grams))
+                n.append(len(grams))
+                if cut and len(grams):
+                    weight = np.zeros(len(grams), dtype=np.int64)
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+                        weight = np.where(known[at] == grams, times[at], 0)
+                    grams = grams[np.lexsort((grams, weight))[: len(grams) - _least(len(grams)) + 1]]
+                got.append(grams)
+                if len(got) == 256 or i == b.num_rows - 1:
+                    ends = np.cumsum([0, *map(len, got)]).astype(np.int32)
+                    held = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(got).view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int32()), held], ["node", "n", "grams"])
+                    node, n, got = [], [], []
+
+    return map_arrow(_rows(docs), run, "node long, n int, grams array<long>")
+
+
+def with_ids(docs: DataFrame, ids: DataFrame, kind: str) -> DataFrame:
+    """``docs`` with (``left_semi``) or without (``left_anti``) the ids of a written table
+    of distinct ``doc_id``: by a broadcast up to ``BROADCAST`` ids, else by a shuffle."""
+    few = ids.count() <= BROADCAST
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", kind)
+
+
+class _Verifier:
+    """Verifies candidate pairs of classes on their whole sets."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, k: int):
+        self.docs, self.classes, self.k = docs, classes, k
+
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are similar, written."""
+        a, b = (self.classes.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("fold").alias(f"{x}_fold"), F.col("doc_id").alias(f"{x}_id")) for x in "ab")
+        once = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        apart = F.aggregate(F.zip_with("a_fold", "b_fold", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        near = once.join(a, "a").join(b, "b").where(apart * (PART + WHOLE) <= (F.col("a_n") + F.col("b_n")) * (WHOLE - PART))
+        near = saved(near.select("a", "b", "a_id", "b_id"))
+        ids = saved(near.select(F.col("a_id").alias("doc_id")).union(near.select("b_id")).distinct())
+        sets = saved(_grams(with_ids(self.docs, ids, "left_semi"), self.k, cut=False).dropDuplicates(["node"]))
+        x, y = (sets.select(F.col("node").alias(c), F.col("grams").alias(f"{c}_grams")) for c in "ab")
+        both = near.select("a", "b").join(x, "a").join(y, "b")
+        common, every = F.size(F.array_intersect("a_grams", "b_grams")), F.size("a_grams") + F.size("b_grams")
+        out = saved(both.where(common * (PART + WHOLE) >= every * PART).select("a", "b"))
+        for t in (near, ids, sets):
+            dropped(t)
+        return out
 
 
 def _near_sizes(a: str, b: str):
     return (F.col(a) * WHOLE >= F.col(b) * PART) & (F.col(b) * WHOLE >= F.col(a) * PART)
 
 
-def _shared(entries: DataFrame) -> DataFrame:
-    """The shingles of more than one class, with how many."""
-    return entries.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
-
-
-def _lists(live: DataFrame) -> DataFrame:
-    """(gram, node, n): the shared shingles of each class's prefix."""
-    every = live.select("node", "n", F.explode("grams").alias("gram"))
-    held = every.join(_shared(every), "gram").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("own"))
-    prefix = held.where(F.size("own") >= _least("n")).select("node", "n", F.explode(F.slice("own", F.lit(1), F.size("own") - _least("n") + 1)).alias("own"))
-    return saved(prefix.select("own.gram", "node", "n"))
+def _lists(prefixes: DataFrame) -> DataFrame:
+    """(gram, node, n), written: the shingles that prefixes of several classes share."""
+    every = prefixes.select("node", "n", F.explode("grams").alias("gram"))
+    several = every.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("gram")
+    return saved(every.join(several, "gram").select("gram", "node", "n"))
 
 
 def _apart(lists: DataFrame, edges: DataFrame) -> DataFrame:
@@ -86,31 +192,45 @@ def _apart(lists: DataFrame, edges: DataFrame) -> DataFrame:
     return saved(lists.join(labels, "node", "left").select("gram", "node", "n", F.coalesce("label", "node").alias("part")))
 
 
+def _open(at: DataFrame, turn: int) -> DataFrame:
+    """(gram, size, hub): the lists that hold several components, with their length and one member."""
+    several = at.groupBy("gram").agg(F.count("*").alias("size"), F.min_by(F.struct("node", "n", "part"), F.xxhash64("node", F.lit(turn))).alias("hub"), F.min("part").alias("low"), F.max("part").alias("high"))
+    return several.where("low < high").select("gram", "size", "hub")
+
+
 def near_copies(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(doc_id, component_id) for every row of ``docs``."""
-    told = saved(_sets(docs, k).select("doc_id", "fp", F.size("grams").alias("n"), F.xxhash64("grams").alias("node"), "grams"))
-    own = told.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    # a class's set is that of any of its rows; rows of one id and one set are told apart nowhere
-    classes = told.join(own, ["node", "doc_id"], "left_semi").where("n > 0")
-    first = classes.select("node", F.explode(F.slice("grams", F.lit(1), F.col("n") - _least("n") + 1)).alias("gram")).distinct()
-    some = first.join(_shared(first), "gram", "left_semi").select("node").distinct()
-    live = saved(classes.join(some, "node", "left_semi").dropDuplicates(["node"]))
-    points = saved(live.groupBy("fp").agg(F.min("node").alias("node")))
-    heads = live.select(F.col("node").alias("a"), "fp").join(points.withColumnRenamed("node", "b"), "fp").select("a", "b")
-    edges = _verified(links(points).union(heads), live)
-    lists = _lists(live)
+    """(doc_id, component_id) for every row of ``docs`` with an id, as a written table."""
+    docs = docs.select("doc_id", "text").where("doc_id is not null")
+    every = saved(_told(docs, k))
+    common = every.where("gram is not null").groupBy("gram").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "gram").limit(COMMON).collect()
+    told = every.where("node is not null").select("doc_id", "node", "n", "fp", "fold")
+    # a class's set is that of any of its rows
+    classes = saved(told.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("fold").alias("fold")))
+    others = saved(told.select("doc_id").distinct().join(classes.select("doc_id"), "doc_id", "left_anti"))
+    verified = _Verifier(docs, classes, k)
+    full = classes.where("n > 0")
+    points = saved(full.groupBy("fp").agg(F.min("node").alias("node")))
+    heads = full.select(F.col("node").alias("a"), "fp").join(points.withColumnRenamed("node", "b"), "fp").select("a", "b")
+    edges = verified(links(points).union(heads))
+    prefixes = saved(_grams(with_ids(docs, others, "left_anti"), k, cut=True, common=[(r.gram, r.times) for r in common]))
+    lists = _lists(prefixes)
+    dropped(prefixes)
+    at = _apart(lists, edges)
     for turn in range(ROUNDS):
-        at = _apart(lists, edges)
-        hub = at.groupBy("gram").agg(F.min_by(F.struct("node", "n", "part"), F.xxhash64("node", F.lit(turn))).alias("hub"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("gram", F.col("hub.node").alias("b"), F.col("hub.n").alias("m"), F.col("hub.part").alias("other"))
-        found = _verified(at.join(hub, "gram").where(F.col("part") != F.col("other")).where(_near_sizes("n", "m")).select(F.col("node").alias("a"), "b"), live)
+        hub = _open(at, turn).select("gram", F.col("hub.node").alias("b"), F.col("hub.n").alias("m"), F.col("hub.part").alias("other"))
+        found = verified(at.join(hub, "gram").where(F.col("part") != F.col("other")).where(_near_sizes("n", "m")).select(F.col("node").alias("a"), "b"))
         if not found.limit(1).count():
             break
         edges = edges.union(found)
-    else:
+        dropped(at)
         at = _apart(lists, edges)
-    other = at.select("gram", F.col("node").alias("b"), F.col("n").alias("m"), F.col("part").alias("other"))
-    rest = at.join(other, "gram").where("part < other").where(_near_sizes("n", "m")).select(F.col("node").alias("a"), "b")
-    labels = components(edges.union(_verified(rest, live)))
-    named = saved(own.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label")))
+    dealt = saved(in_block_pairs(at.join(_open(at, 0).select("gram", "size"), "gram"), "size", "node", BLOCK))
+    mine, other = dealt.select("gram", "block_i", "block_j", "node", "n", "part", "own"), dealt.select("gram", "block_i", "block_j", F.col("node").alias("b"), F.col("n").alias("m"), F.col("part").alias("other"), F.col("own").alias("own_b"))
+    rest = mine.join(other, ["gram", "block_i", "block_j"]).where("part < other and (block_i = block_j or own <> own_b)").where(_near_sizes("n", "m"))
+    labels = components(edges.union(verified(rest.select(F.col("node").alias("a"), "b"))))
+    named = classes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return told.select("doc_id", "node").join(named.select("node", "label"), "node").join(least, "label").select("doc_id", "component_id")
+    out = saved(told.select("doc_id", "node").join(named.select("node", "label"), "node").join(least, "label").select("doc_id", "component_id"))
+    for t in (every, classes, others, points, lists, at, dealt):
+        dropped(t)
+    return out

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import cost_packing, line_dedup, rule_quality, shingle_overlap, source_mixing
-from .store import fresh, quoted
+from .store import quoted, saved
 
 
 def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,12 +31,10 @@ def lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies (Jaccard 0.8 or more of
-    5-word shingles, in chains); rows without an id stay."""
-    found = shingle_overlap.near_copies(docs.where("doc_id is not null"))
-    (id_,) = fresh(docs, "_id")
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_))
-    kept = docs.join(keep, F.col("doc_id") == F.col(id_), "left_semi")
-    return kept.union(docs.where("doc_id is null")).select(*quoted(docs.columns))
+    5-word shingles, in chains); rows without an id stay, and an id stays with all its rows."""
+    found = shingle_overlap.near_copies(docs)
+    gone = saved(found.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays")).where("not stays").select("doc_id"))
+    return shingle_overlap.with_ids(docs, gone, "left_anti").select(*quoted(docs.columns))
 
 
 def mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from lattica.llm.store import saved
 from . import cases
 from .test_cost_packing import check
 from .test_line_dedup import brute as brute_lines
-from .test_near_copies import plain_fingerprint, roots
+from .test_shingle_overlap import brute as brute_near
 from .test_source_mixing import brute as brute_mix
 
 SF = "/root/testdata/sf0.001"
@@ -31,9 +31,7 @@ def test_stages_against_plain_python(spark):
     assert sorted((r.doc_id, r.text) for r in b.collect()) == [(i, t) for i, _, _, t in sorted(brute_lines([(r.doc_id, r.text) for r in a.collect()], 10))]
 
     c = saved(near(spark, b, SF))
-    fp = {r.doc_id: plain_fingerprint(r.text) for r in b.collect()}
-    root = roots(fp, [(x, y) for x in fp for y in fp if x < y and (fp[x] ^ fp[y]).bit_count() <= 2])
-    assert {r.doc_id for r in c.collect()} == set(root.values())
+    assert {r.doc_id for r in c.collect()} == set(brute_near([(r.doc_id, r.text) for r in b.collect()]).values())
 
     d = saved(mix(spark, c, SF))
     times = {}
