@@ -8,9 +8,10 @@ shingles last and is that of the hashes else, so that a passage that many docume
 makes candidates only of documents that hold little besides. In the list of a shingle
 every member is held against one of another component, and when that joins no more,
 against all that are still apart, in pairs of blocks. A candidate whose sizes or folded
-sets (parities of 1,024 buckets, which differ in no more places than the sets differ in
-shingles) rule similarity out goes; all others are verified on the whole sets, so the
-components are exactly those of all pairs.
+sets (parities of 1,024 buckets, for long documents of at least four for each shingle,
+which differ in no more places than the sets differ in shingles) rule similarity out
+goes; all others are verified on the whole sets, so the components are exactly those of
+all pairs.
 
 Only prefixes, a fifth of the shingles, are kept for all documents; the whole sets are
 made again from the text of those that are verified. The order holds for any list of
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .simhash_vptree import links, majority, shingles
@@ -42,8 +43,8 @@ PART, WHOLE = 4, 5
 ROUNDS = 3
 #: Common shingles, at most, that the order knows; shingles that are counted at once, and the part of a chunk's documents that makes one common.
 COMMON, CHUNK, OFTEN = 65_536, 4_000_000, 512
-#: Bits of a folded set.
-FOLD = 1024
+#: Bits of a folded set; sets of more shingles than that have a wide one too, of ``WIDE`` bits a shingle at least.
+FOLD, WIDE = 1024, 4
 #: Ids, at most, that are broadcast (16 MB); more are joined by a shuffle of the documents.
 BROADCAST = 2_000_000
 #: Members of a list that are compared in one block.
@@ -62,9 +63,9 @@ def _node(grams: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(grams.tobytes())).view(np.int64))
 
 
-def _folded(grams: np.ndarray) -> np.ndarray:
-    """Parities of the number of shingles in each of ``FOLD`` buckets, as longs."""
-    odd = np.bincount((grams >> np.uint64(7)).astype(np.int64) & FOLD - 1, minlength=FOLD) & 1
+def _folded(grams: np.ndarray, bits: int = FOLD) -> np.ndarray:
+    """Parities of the number of shingles in each of ``bits`` (a power of two) buckets, as longs."""
+    odd = np.bincount((grams >> np.uint64(7)).astype(np.int64) & bits - 1, minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -73,11 +74,11 @@ def _often(chunk: list[np.ndarray]) -> pa.RecordBatch:
     grams, times = np.unique(np.concatenate(chunk), return_counts=True)
     some = times >= max(4, len(chunk) // OFTEN)
     n = int(some.sum())
-    none = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()))]
+    none = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))]
     return pa.RecordBatch.from_arrays([*none, pa.array(grams[some].view(np.int64)), pa.array(times[some])], _NAMES)
 
 
-_NAMES = ["doc_id", "node", "n", "fp", "fold", "gram", "times"]
+_NAMES = ["doc_id", "node", "n", "fp", "fold", "wide", "gram", "times"]
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -90,12 +91,13 @@ def _told(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, held = [], 0
         for b in batches:
-            node, n, fp, fold = [], [], [], []
+            node, n, fp, fold, wide = [], [], [], [], []
             for _, h, grams in _sets(b, k):
                 node.append(_node(grams))
                 n.append(len(grams))
                 fp.append(majority(h))
                 fold.append(_folded(grams))
+                wide.append(_folded(grams, 1 << (WIDE * len(grams) - 1).bit_length()) if len(grams) > FOLD else None)
                 chunk.append(grams)
                 held += len(grams)
                 if held > CHUNK:
@@ -104,11 +106,11 @@ def _told(docs: DataFrame, k: int) -> DataFrame:
             if node:
                 folds = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(fold)), FOLD // 64).cast(pa.list_(pa.int64()))
                 fps = pa.array(np.array(fp, dtype=np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(node, pa.int64()), pa.array(n, pa.int32()), fps, folds, pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())], _NAMES)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(node, pa.int64()), pa.array(n, pa.int32()), fps, folds, pa.array(wide, pa.list_(pa.int64())), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())], _NAMES)
         if chunk:
             yield _often(chunk)
 
-    return map_arrow(_rows(docs), run, "doc_id long, node long, n int, fp long, fold array<long>, gram long, times long")
+    return map_arrow(_rows(docs), run, "doc_id long, node long, n int, fp long, fold array<long>, wide array<long>, gram long, times long")
 
 
 def _least(n: int) -> int:
@@ -151,8 +153,19 @@ def with_ids(docs: DataFrame, ids: DataFrame, kind: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", kind)
 
 
+def _differ(a: Column, b: Column) -> Column:
+    """The places in which two folded sets of one size differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def _halved(a: Column, b: Column) -> Column:
+    """The folded set ``a``, folded once more if it is larger than ``b`` (twice as large: the sets are near in size)."""
+    half = (F.size(a) / 2).cast("int")
+    return F.when(F.size(a) > F.size(b), F.zip_with(F.slice(a, F.lit(1), half), F.slice(a, half + 1, half), lambda x, y: x.bitwiseXOR(y))).otherwise(a)
+
+
 class _Verifier:
-    """Verifies candidate pairs of classes on their whole sets."""
+    """Verifies candidate pairs of classes of near sizes on their whole sets."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame, k: int):
         self.docs, self.classes, self.k = docs, classes, k
@@ -161,16 +174,20 @@ class _Verifier:
         """The pairs (a, b) that are similar, written."""
         a, b = (self.classes.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("fold").alias(f"{x}_fold"), F.col("doc_id").alias(f"{x}_id")) for x in "ab")
         once = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        apart = F.aggregate(F.zip_with("a_fold", "b_fold", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        near = once.join(a, "a").join(b, "b").where(apart * (PART + WHOLE) <= (F.col("a_n") + F.col("b_n")) * (WHOLE - PART))
-        near = saved(near.select("a", "b", "a_id", "b_id"))
+        most = (F.col("a_n") + F.col("b_n")) * (WHOLE - PART)
+        first = once.join(a, "a").join(b, "b").where(_near_sizes("a_n", "b_n")).where(_differ(F.col("a_fold"), F.col("b_fold")) * (PART + WHOLE) <= most)
+        first = saved(first.select("a", "b", "a_id", "b_id", "a_n", "b_n"))
+        a, b = (self.classes.where("wide is not null").select(F.col("node").alias(x), F.col("wide").alias(f"{x}_wide")) for x in "ab")
+        wide = first.where(F.least("a_n", "b_n") > FOLD).join(a, "a").join(b, "b")
+        apart = _differ(_halved(F.col("a_wide"), F.col("b_wide")), _halved(F.col("b_wide"), F.col("a_wide")))
+        near = saved(first.where(F.least("a_n", "b_n") <= FOLD).select("a", "b", "a_id", "b_id").union(wide.where(apart * (PART + WHOLE) <= most).select("a", "b", "a_id", "b_id")))
         ids = saved(near.select(F.col("a_id").alias("doc_id")).union(near.select("b_id")).distinct())
         sets = saved(_grams(with_ids(self.docs, ids, "left_semi"), self.k, cut=False).dropDuplicates(["node"]))
         x, y = (sets.select(F.col("node").alias(c), F.col("grams").alias(f"{c}_grams")) for c in "ab")
         both = near.select("a", "b").join(x, "a").join(y, "b")
         common, every = F.size(F.array_intersect("a_grams", "b_grams")), F.size("a_grams") + F.size("b_grams")
         out = saved(both.where(common * (PART + WHOLE) >= every * PART).select("a", "b"))
-        for t in (near, ids, sets):
+        for t in (first, near, ids, sets):
             dropped(t)
         return out
 
@@ -203,9 +220,9 @@ def near_copies(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     every = saved(_told(docs, k))
     common = every.where("gram is not null").groupBy("gram").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "gram").limit(COMMON).collect()
-    told = every.where("node is not null").select("doc_id", "node", "n", "fp", "fold")
+    told = every.where("node is not null").select("doc_id", "node", "n", "fp", "fold", "wide")
     # a class's set is that of any of its rows
-    classes = saved(told.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("fold").alias("fold")))
+    classes = saved(told.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("fold").alias("fold"), F.first("wide").alias("wide")))
     others = saved(told.select("doc_id").distinct().join(classes.select("doc_id"), "doc_id", "left_anti"))
     verified = _Verifier(docs, classes, k)
     full = classes.where("n > 0")

@@ -45,6 +45,8 @@ def texts():
         chain = edited(rng, chain, 3)
     many = cases.prose(rng, 150)
     out += [edited(rng, many, rng.randint(1, 4)) for _ in range(60)]
+    long = cases.prose(rng, 2300)
+    out += [edited(rng, long, n) for n in (20, 45, 60, 80)] + [edited(rng, long, 30) + " " + cases.prose(rng, n) for n in (100, 300, 500, 800)]
     passage = cases.prose(rng, 60)
     out += [f"{cases.prose(rng, rng.randint(3, 60))} {passage}" for _ in range(40)]
     rng.shuffle(out)
