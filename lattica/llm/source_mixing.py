@@ -1,11 +1,15 @@
 """Mixing of sources to target weights by a low-discrepancy schedule.
 
 A source's documents, shuffled by the MD5 of their id and repeated once, are its stream
-of words, cut into blocks of ``BLOCK`` words. The schedule is a row of slots: slot i maps
-the golden-ratio point frac(i * phi) through the cumulative target weights to a source,
-slots are ranked within their source, and the slot of rank r takes block r of the stream,
-until the source's target is reached (its last block is cut to measure). What a document
-gives is the overlap of its two places in the stream with the blocks taken.
+of words. The schedule is a row of slots, one for each ``BLOCK`` words of all targets:
+slot i maps the golden-ratio point frac(i * phi), in steps of 2^-32, through the
+cumulative target weights to a source, and slots are ranked within their source. A source
+whose share is too small for a point gets one slot after all others, in the order of the
+sources, so there are no more slots than blocks and sources. A source's target, in words,
+is cut into equal blocks, one for each of its slots (of about ``BLOCK`` words therefore);
+the slot of rank r takes block r of the stream. A document's words come in the slots whose
+blocks its two places in the stream overlap; these make what it gives, and the order of
+the mix: its first slot and their number.
 
 Targets: sources in code-point order, null last, weigh 3, 1, 2, repeating, and share 1.5
 times all words; a target stops at 2 times its source's words and the excess is shared
@@ -13,16 +17,17 @@ again by weight, which is the level of a water-filling, found by one sort.
 
 Streams and ranks are prefix sums in two steps (sums of small ranges of hashes or slots,
 then sums within a range), so a source with a third of all rows is spread over many tasks.
+The windows over sources hold a row a source.
 
 Defined results: a null text has size 0 and is never taken; repeated rows have places of
-their own in the stream; a null id shuffles as ''; the null source is one source; other
-columns are ignored by ``plan`` and pass through ``mixed``; an empty table gives an empty
-result.
+their own in the stream; a null id shuffles as ''; the null source is one source; a text of
+any length is one size, and as many slots as its words reach; other columns are ignored by
+``plan`` and pass through ``mixed``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from math import ceil, log
+from math import ceil
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,7 +38,8 @@ WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 BLOCK = 1024
 #: Rows of a range of hashes, about, and slots of a range of slots.
 RANGE = 512
-PHI = 0.6180339887498949
+#: The golden ratio's fraction in units of 2^-32, and the number of points after which they repeat (so that products stay in 63 bits).
+PHI, PERIOD = 2_654_435_769, 1 << 31
 
 
 def words(text):
@@ -77,53 +83,68 @@ def streams(rows: DataFrame) -> DataFrame:
 
 
 def schedule(wanted: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(slot, sid, rank, words): the mix in order. ``wanted``: written table (sid, quota)."""
+    """(slot, sid, rank, width, words): the mix in order; block ``rank`` of a source starts at word
+    rank * width of its stream. ``wanted``: written table (sid, quota)."""
     spark = wanted.sparkSession
     quotas = wanted.where("quota > 0").withColumn("hi", F.sum("quota").over(Window.orderBy("sid"))).withColumn("lo", F.col("hi") - F.col("quota"))
-    quotas = quotas.withColumn("blocks", F.ceil(F.col("quota") / F.lit(block)))
-    total, sources, blocks = wanted.where("quota > 0").agg(F.sum("quota"), F.count("*"), F.sum(F.ceil(F.col("quota") / F.lit(block)))).first()
-    total = total or 0
-    # enough points for each source: a golden-ratio sequence misses a share's expected count by a few units and a logarithm
-    slack = 2 * (4 + log((blocks or 0) + 2))
-    least = wanted.where("quota > 0").agg(F.max((F.ceil(F.col("quota") / F.lit(block)) + F.lit(slack)) * F.lit(float(total)) / F.col("quota"))).first()[0]
-    width = max(1, ceil(total / max(1024, 4 * (sources or 0))))
-    low, high = F.col("id") % (1 << 20), F.floor(F.col("id") / (1 << 20))
-    at = low * F.lit(PHI) + high * F.lit((PHI * (1 << 20)) % 1.0)
-    points = spark.range(ceil(least or 0)).select(F.col("id").alias("slot"), F.least(F.floor((at - F.floor(at)) * F.lit(float(total))).cast("long"), F.lit(total - 1)).alias("x")).withColumn("cell", F.expr(f"x div {width}"))
-    cells = quotas.select("sid", "lo", "hi", "quota", "blocks", F.explode(F.sequence(F.expr(f"lo div {width}"), F.expr(f"(hi - 1) div {width}"))).alias("cell"))
-    drawn = points.join(cells, "cell").where("x >= lo and x < hi").select("slot", "sid", "quota", "blocks", F.expr(f"slot div {RANGE}").alias("part"))
+    total, sources = wanted.where("quota > 0").agg(F.coalesce(F.sum("quota"), F.lit(0)), F.count("*")).first()
+    n = ceil(total / block)
+    cell = max(1, ceil(total / max(1024, 4 * sources)))
+    point = (F.col("id") % PERIOD * PHI % (1 << 32)) / F.lit(float(1 << 32))
+    points = spark.range(n).select(F.col("id").alias("slot"), F.least(F.floor(point * F.lit(float(total))).cast("long"), F.lit(total - 1)).alias("x")).withColumn("cell", F.expr(f"x div {cell}"))
+    cells = quotas.select("sid", "lo", "hi", F.explode(F.sequence(F.expr(f"lo div {cell}"), F.expr(f"(hi - 1) div {cell}"))).alias("cell"))
+    drawn = saved(points.join(cells, "cell").where("x >= lo and x < hi").select("slot", "sid", F.expr(f"slot div {RANGE}").alias("part")))
+    counts = drawn.groupBy("sid").agg(F.count("*").alias("slots"))
+    each = quotas.select("sid", "quota").join(counts, "sid", "left").withColumn("late", F.col("slots").isNull())
+    each = each.withColumn("late_slot", F.when(F.col("late"), F.lit(n) + F.count_if("late").over(Window.orderBy("sid")) - 1)).withColumn("width", F.ceil(F.col("quota") / F.coalesce("slots", F.lit(1))))
     ranges = _ranges(drawn, ["sid"], "part", n=F.count("*"))
     rank = F.row_number().over(Window.partitionBy("sid", "part").orderBy("slot"))
-    ranked = drawn.withColumn("rn", rank).join(ranges, ["sid", "part"]).withColumn("rank", F.col("n_before") + F.col("rn") - 1).where("rank < blocks")
-    return ranked.select("slot", "sid", "rank", F.least(F.lit(block), F.col("quota") - F.col("rank") * F.lit(block)).alias("words"))
+    ranked = drawn.withColumn("rn", rank).join(ranges, ["sid", "part"]).select("slot", "sid", (F.col("n_before") + F.col("rn") - 1).alias("rank"))
+    every = ranked.union(each.where("late").select("late_slot", "sid", F.lit(0).cast("long"))).join(each.select("sid", "quota", "width"), "sid")
+    return every.where("rank * width < quota").select("slot", "sid", "rank", "width", F.least("width", F.col("quota") - F.col("rank") * F.col("width")).alias("words"))
 
 
-def plan(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every row of ``docs``."""
+def _met(docs: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """The documents with their places in the streams, and (sid, pos, turn, slot, w): the
+    words of each place (``turn`` 0 or 1) in each slot."""
     rows = saved(docs.select("doc_id", "source", words(F.col("text")).alias("size")))
     told = saved(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))).withColumn("quota", F.floor(F.col("target") + F.lit(0.5)).cast("long")))
-    own = told.select(F.col("source").alias("_s"), "sid", "source_size", "target", "quota")
+    slots = saved(schedule(told.select("sid", "quota"), block))
+    widths = slots.groupBy("sid").agg(F.first("width").alias("width"))
+    own = told.join(widths, "sid", "left").select(F.col("source").alias("_s"), "sid", "source_size", "target", "quota", "width")
     placed = saved(streams(rows.join(own, F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "source")))
-    starts = placed.where("size > 0").select("sid", "pos", "size", "quota", F.explode(F.array(F.col("lo"), F.col("lo") + F.col("source_size"))).alias("lo")).where("lo < quota")
+    starts = placed.where("size > 0").select("sid", "pos", "size", "quota", "width", F.posexplode(F.array(F.col("lo"), F.col("lo") + F.col("source_size"))).alias("turn", "lo")).where("lo < quota")
     starts = starts.withColumn("hi", F.least(F.col("lo") + F.col("size"), F.col("quota")))
-    pieces = starts.select("sid", "pos", "lo", "hi", F.explode(F.sequence(F.expr(f"lo div {block}"), F.expr(f"(hi - 1) div {block}"))).alias("rank"))
-    base = F.col("rank") * F.lit(block)
-    met = pieces.join(schedule(told.select("sid", "quota"), block), ["sid", "rank"])
-    taken = met.select("sid", "pos", F.greatest(F.lit(0), F.least("hi", base + F.col("words")) - F.greatest("lo", base)).alias("w")).groupBy("sid", "pos").agg(F.sum("w").alias("taken"))
-    return placed.join(taken, ["sid", "pos"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    pieces = starts.select("sid", "pos", "turn", "lo", "hi", F.explode(F.sequence(F.expr("lo div width"), F.expr("(hi - 1) div width"))).alias("rank"))
+    base = F.col("rank") * F.col("width")
+    met = pieces.join(slots, ["sid", "rank"]).select("sid", "pos", "turn", "slot", (F.least("hi", base + F.col("words")) - F.greatest("lo", base)).alias("w"))
+    return placed, met.where("w > 0")
+
+
+def plan(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, first_slot, n_slots) for every row of ``docs``."""
+    placed, met = _met(docs, block)
+    taken = met.groupBy("sid", "pos", "slot").agg(F.sum("w").alias("w")).groupBy("sid", "pos").agg(F.sum("w").alias("taken"), F.min("slot").alias("first_slot"), F.count("*").alias("n_slots"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return placed.join(taken, ["sid", "pos"], "left").select("doc_id", "size", "source_size", "target", zero("taken"), "first_slot", zero("n_slots"))
 
 
 def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``docs`` as the mix has them: each as often (0, 1 or 2 times) as the nearest
-    whole number of times its words are taken; rows of one id go alike."""
-    id_, times_, copy_ = fresh(docs, "_id", "_times", "_copy")
-    times = plan(docs, block).groupBy("doc_id").agg(F.sum("taken").alias("t"), F.sum("size").alias("n")).where("t > 0")
-    times = times.select(F.col("doc_id").alias(id_), F.round(F.col("t") / F.col("n")).cast("int").alias(times_)).where(F.col(times_) > 0)
+    """``docs`` as the mix has them, in the order of their slots: each as often (0, 1 or 2
+    times) as the nearest whole number of times its words are taken; rows of one id go alike."""
+    id_, slots_, slot_ = fresh(docs, "_id", "_slots", "_slot")
+    placed, met = _met(docs, block)
+    turns = met.groupBy("sid", "pos", "turn").agg(F.sum("w").alias("t"), F.min("slot").alias("slot"))
+    each = turns.join(placed.select("sid", "pos", "doc_id", "size"), ["sid", "pos"]).groupBy("doc_id", "turn").agg(F.sum("t").alias("t"), F.min("slot").alias("slot"))
+    sizes = placed.groupBy("doc_id").agg(F.sum("size").alias("n"))
+    times = each.groupBy(F.col("doc_id").alias(id_)).agg(F.sum("t").alias("t"), F.sort_array(F.collect_list("slot")).alias(slots_))
+    times = times.join(sizes, F.col(id_).eqNullSafe(F.col("doc_id"))).select(id_, F.slice(slots_, F.lit(1), F.round(F.col("t") / F.col("n")).cast("int")).alias(slots_)).where(F.size(slots_) > 0)
     rows = docs.join(times, F.col("doc_id").eqNullSafe(F.col(id_)))
-    return rows.withColumn(copy_, F.explode(F.sequence(F.lit(1), F.col(times_)))).select(*quoted(docs.columns))
+    return rows.withColumn(slot_, F.explode(slots_)).repartitionByRange(slot_, id_).sortWithinPartitions(slot_, id_).select(*quoted(docs.columns))
 
 
 def op10_source_mixing(spark, sf_dir: str) -> DataFrame:
+    """Every document's target and share of the mix, and its slots in the schedule."""
     return plan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
@@ -151,14 +172,39 @@ WITH sized AS (
   SELECT *, CASE WHEN ratio < level THEN cap
                  ELSE weight * (SELECT level FROM levels WHERE ratio >= level ORDER BY ratio, sid LIMIT 1) END AS target
   FROM levels
+), quotas AS (
+  SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS quota FROM told
+), ranged AS (
+  SELECT sid, quota, CAST(sum(quota) OVER (ORDER BY sid) AS BIGINT) AS hi, CAST(sum(quota) OVER () AS BIGINT) AS whole
+  FROM quotas WHERE quota > 0
+), blocks AS (
+  SELECT CAST(ceil(max(whole) / 1024.0) AS BIGINT) AS n, max(whole) AS whole FROM ranged
+), points AS (
+  SELECT slot, least(CAST(floor((slot % 2147483648 * 2654435769 % 4294967296) / CAST(4294967296.0 AS DOUBLE) * CAST(whole AS DOUBLE)) AS BIGINT), whole - 1) AS x
+  FROM (SELECT unnest(range(n)) AS slot, whole FROM blocks)
+), drawn AS (
+  SELECT slot, sid, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS rank
+  FROM points JOIN ranged ON x >= hi - quota AND x < hi
+), late AS (
+  SELECT (SELECT n FROM blocks) + row_number() OVER (ORDER BY sid) - 1 AS slot, sid, 0 AS rank
+  FROM ranged WHERE sid NOT IN (SELECT sid FROM drawn)
+), slots AS (
+  SELECT slot, sid, rank, CAST(ceil(quota / CAST(count(*) OVER (PARTITION BY sid) AS DOUBLE)) AS BIGINT) AS width
+  FROM (FROM drawn UNION ALL FROM late) JOIN quotas USING (sid)
 ), placed AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS quota,
+  SELECT s.doc_id, s.size, t.sid, t.source_size, t.target, t.quota,
+         row_number() OVER (PARTITION BY t.sid ORDER BY s.key, s.size, s.doc_id) AS pos,
          CAST(sum(s.size) OVER (PARTITION BY t.sid ORDER BY s.key, s.size, s.doc_id
                                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - s.size AS lo
-  FROM sized s JOIN told t ON s.source IS NOT DISTINCT FROM t.source
+  FROM sized s JOIN quotas t ON s.source IS NOT DISTINCT FROM t.source
+), starts AS (
+  SELECT sid, pos, size, quota, unnest([lo, lo + source_size]) AS lo FROM placed WHERE size > 0
+), met AS (
+  SELECT sid, pos, slot, least(lo + size, quota, (rank + 1) * width) - greatest(lo, rank * width) AS w
+  FROM starts JOIN slots USING (sid) WHERE lo < quota AND rank * width < least(lo + size, quota) AND (rank + 1) * width > lo
+), taken AS (
+  SELECT sid, pos, CAST(sum(w) AS BIGINT) AS taken, min(slot) AS first_slot, count(DISTINCT slot) AS n_slots FROM met GROUP BY sid, pos
 )
-SELECT doc_id, size, source_size, target,
-       greatest(0, least(lo + size, quota) - lo)
-       + greatest(0, least(source_size + lo + size, quota) - source_size - lo) AS taken
-FROM placed
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, first_slot, coalesce(n_slots, 0) AS n_slots
+FROM placed LEFT JOIN taken USING (sid, pos)
 """

@@ -37,7 +37,37 @@ def brute(rows):
 
 
 def rows_of(df):
-    return sorted([tuple(r) for r in df.collect()], key=str)
+    return sorted([tuple(r)[:5] for r in df.collect()], key=str)
+
+
+def brute_slots(rows, block):
+    """Each row's first slot and number of slots, by a walk over the slots and words one by one."""
+    told = {(i, n, own, target): 0 for i, n, own, target, _ in brute(rows)}
+    size = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _ in rows]
+    names = sorted({s for _, _, s in rows}, key=lambda s: (s is None, (s or "").encode()))
+    own = {s: sum(n for n, r in zip(size, rows, strict=True) if r[2] == s) for s in names}
+    quota = {s: int(next((t for _, _, o, t in told if o == own[s] and any(r[2] == s for r in rows)), 0) + 0.5) for s in names}
+    for i, t, s in rows:
+        quota[s] = int(next(x for d, n, o, x in told if d == i and o == own[s] and n == len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) + 0.5)
+    total, slots = sum(quota.values()), []
+    for i in range(-(-total // block)):
+        x = min(total - 1, int((i % (1 << 31) * 2654435769 % (1 << 32)) / float(1 << 32) * float(total)))
+        for s in names:
+            if x < quota[s]:
+                slots.append((i, s))
+                break
+            x -= quota[s]
+    slots += [(len(slots) + k, s) for k, s in enumerate(s for s in names if quota[s] and s not in {y for _, y in slots})]
+    met = [set() for _ in rows]
+    for s in names:
+        mine = [i for i, y in slots if y == s]
+        width = -(-quota[s] // len(mine)) if mine else 1
+        order = sorted((k for k, r in enumerate(rows) if r[2] == s), key=lambda k: (hashlib.md5(("" if rows[k][0] is None else str(rows[k][0])).encode()).hexdigest(), size[k]))
+        for at, k in enumerate(k for k in order * 2 for _ in range(size[k])):
+            if at >= quota[s]:
+                break
+            met[k].add(mine[at // width])
+    return sorted(((i, n, min(m) if m else None, len(m)) for (i, _, _), n, m in zip(rows, size, met, strict=True)), key=str)
 
 
 def test_against_brute_force(spark):
@@ -45,6 +75,7 @@ def test_against_brute_force(spark):
     rows = [(r.doc_id, r.text, r.source) for r in docs.select("doc_id", "text", "source").collect()]
     for block in (64, M.BLOCK):
         assert rows_of(M.plan(docs, block)) == brute(rows)
+        assert sorted(((r.doc_id, r.size, r.first_slot, r.n_slots) for r in M.plan(docs, block).collect()), key=str) == brute_slots(rows, block)
     assert rows_of(M.plan(cases.empty(spark))) == []
 
 
@@ -71,6 +102,28 @@ def test_schedule_follows_the_shares_all_along(spark):
     assert all(x == list(range(len(x))) for x in ranks.values())
 
 
+def test_a_tiny_source_costs_one_slot(spark):
+    from lattica.llm.store import saved
+
+    quotas = [(k, 1) for k in range(1, 40, 2)] + [(2, 1_000_000), (4, 500_000)]
+    slots = sorted(M.schedule(saved(spark.createDataFrame(quotas, "sid int, quota long"))).collect())
+    assert len(slots) <= -(-1_500_020 // M.BLOCK) + len(quotas)
+    late = [r.slot for r in slots if r.sid % 2 and r.sid > 1]  # the first point falls to the first source
+    assert late == list(range(-(-1_500_020 // M.BLOCK), -(-1_500_020 // M.BLOCK) + 19))
+    held = defaultdict(int)
+    for r in slots:
+        held[r.sid] += r.words
+    assert held == dict(quotas)
+
+
+def test_mixed_comes_by_slot(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source")
+    first = {r.doc_id: r.first_slot for r in M.plan(docs).collect()}
+    order = [r.doc_id for r in M.mixed(docs).collect()]
+    once = [i for i in dict.fromkeys(order)]
+    assert [first[i] for i in once] == sorted(first[i] for i in once)
+
+
 def test_mixed_repeats_documents(spark):
     docs = cases.documents(spark)
     out = M.mixed(docs)
