@@ -4,7 +4,7 @@ Each document is tokenised where it lies and cut there: into whole sequences, th
 what is left, a half and a quarter of a sequence if it has them, so that no piece that
 has to find room is over a quarter but those. The pieces' lengths and digests move, and
 the ids of short pieces, which may be cut once more to fill a sequence to the end.
-Pieces are hashed to bins of a bounded number of tokens; in a bin, pieces by descending
+Pieces are hashed to bins of a bounded number of tokens, repeated rows each on its own; in a bin, pieces by descending
 length go to the open sequence of least cost (linear plus quadratic in each piece's
 length, as attention within documents costs) that has room for them. Sequences without
 room for the present length wait by their room and come back when lengths have fallen to
@@ -14,9 +14,9 @@ Tokenising keeps, in each Python worker, the ids of the words that it has met; t
 new words of a text are got from the tokenizer together. The words are what ASCII spaces
 separate, across which this tokenizer neither normalises nor merges.
 
-Defined results: a null or empty text is the end id alone; rows are packed one by one,
-repeated or not, with or without id; other columns are ignored; an empty table gives an
-empty result.
+Defined results: a null or empty text is the end id alone; a text of any length is cut to
+pieces of at most a sequence; rows are packed one by one, repeated or not, with or without
+id; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,11 +24,12 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +43,8 @@ QUADRATIC = 4096
 #: Pieces of under 1 / SHORT of a sequence may be cut once more.
 SHORT = 16
 
-NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
+NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "copy"]
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def default_tokenizer() -> str:
@@ -153,27 +154,31 @@ def cuts(n: int, capacity: int = CAPACITY) -> list[int]:
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, keep_ids: bool = False) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens, ids): every id of every document in
-    one piece; ``ids`` is null for pieces that are not short, unless ``keep_ids``."""
+    """(doc_id, start, length, ids_crc32, doc_tokens, ids, copy): every id of every document
+    in one piece; ``ids`` is null for pieces that are not short, unless ``keep_ids``; ``copy``
+    is zero but for repeated rows, which it tells apart so that they spread over the bins."""
     last, short = np.array([end], dtype="<u4").tobytes(), capacity // SHORT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(path)
-        for b in batches:
-            got = []
+        words, task = word_ids(path), TaskContext.get().partitionId()
+        for no, b in enumerate(batches):
+            got, seen = [], Counter()
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 ids = words.ids(text.as_py() or b"") + last
                 at, n = 0, len(ids) // 4
+                own = (doc, zlib.crc32(ids))
+                copy = seen[own] and hash((task, no, seen[own])) >> 1
+                seen[own] += 1
                 for size in cuts(n, capacity):
                     part = ids[at * 4 : (at + size) * 4]
-                    got.append((doc, at, size, zlib.crc32(part), n, part if keep_ids or size < short else None))
+                    got.append((doc, at, size, zlib.crc32(part), n, part if keep_ids or size < short else None, copy))
                     at += size
-            kinds = [pa.int64()] * 5 + [pa.binary()]
+            kinds = [pa.int64()] * 5 + [pa.binary(), pa.int64()]
             for k in range(0, len(got), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got[k : k + 20_000], strict=True), kinds, strict=True)], NAMES)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return map_arrow(rows, run, SCHEMA)
+    return map_arrow(rows, run, SCHEMA + ", ids binary, copy long")
 
 
 def packed(lengths: list[int], capacity: int = CAPACITY, quadratic: int = QUADRATIC, short: int = 0) -> Iterator[tuple[int, int, int, int, int]]:
@@ -230,8 +235,8 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, bin_tokens: int = BIN_TOKENS,
         columns = [t["doc_id"], pa.array(t["start"].to_numpy() + start), pa.array(length), pa.array(crc), t["doc_tokens"], pa.array(first + sequence), pa.array(offset)]
         return pa.table(columns + [pa.array(ids, pa.binary())] * keep_ids, names=NAMES[:5] + ["sequence_id", "offset"] + ["ids"] * keep_ids)
 
-    dealt = cut.withColumn("bin", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(bins)))
-    schema = SCHEMA.replace("ids binary", "sequence_id long, offset long") + ", ids binary" * keep_ids
+    dealt = cut.withColumn("bin", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "copy"), F.lit(bins)))
+    schema = SCHEMA + ", sequence_id long, offset long" + ", ids binary" * keep_ids
     return map_groups(dealt, ["bin"], run, schema)
 
 

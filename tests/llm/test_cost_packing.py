@@ -57,6 +57,17 @@ def test_awkward_documents(spark):
     assert P.packed_documents(cases.empty(spark)).collect() == []
 
 
+def test_repeated_rows_spread_over_bins(spark):
+    docs = spark.createDataFrame([(1, "one two three four " * 20)] * 3000 + [(2, None)] * 500, "doc_id long, text string").repartition(2)
+    cut = P.saved(P.pieces(docs, PATH))
+    total = sum(r.length for r in cut.collect())
+    got = P.pack(cut, bin_tokens=total // 16).collect()
+    held = defaultdict(int)
+    for r in got:
+        held[r.sequence_id >> 32] += r.length
+    assert sum(held.values()) == total and len(held) == 16 and max(held.values()) < 1.5 * total / 16
+
+
 def test_ids_can_be_kept(spark):
     docs = cases.documents(spark)
     rows = P.packed_documents(docs, keep_ids=True).collect()
