@@ -1,7 +1,8 @@
 """Sharding through fixed virtual slots.
 
-A row's hash gives one of a few thousand slots, for good. Bytes are aggregated for each
-slot; a versioned slot map says which shard owns a slot. The first version places slots
+A row's hash gives one of a few thousand slots, for good; of repeated rows (one id, size and
+CRC), which count as copies 0, 1, ... of one row, each copy hashes on its own. Bytes are
+aggregated for each slot; a versioned slot map says which shard owns a slot. The first version places slots
 by descending bytes on the least loaded shard; a later one is an edit: only as many
 slots move as the new or light shards need, all others stay. The driver holds the slot
 totals and the map, whose size is the number of slots, never the rows.
@@ -10,9 +11,13 @@ The law is ``bytes``: shards are near equal in bytes. A row's place in its shard
 number of rows in the shard's earlier slots (from the slot totals) plus its rank in its
 own slot, so ranking is parallel over slots and no shard is sorted as a whole.
 
-Defined results: a null text has size 8 and the CRC of no bytes; repeated rows share a
-slot and get places next to each other; a null id hashes by its text alone; other
-columns are ignored; an empty table gives an empty result and a map by slot number.
+The query stores the map and its next version, the edit for one shard more, and reports
+both owners of each row's slot.
+
+Defined results: a null text has size 8 and the CRC of no bytes; a text of any length is one
+row of its size; repeated rows are spread over the slots like others; a null id hashes by its
+text alone; other columns are ignored; an empty table gives an empty result and maps by slot
+number.
 """
 
 from __future__ import annotations
@@ -28,6 +33,8 @@ from .store import checkpoint_folder, saved
 
 SLOTS, SHARDS = 8192, 24
 ROW_BYTES = 8
+#: Copies of a row that are made at once.
+COPIES = 4096
 
 
 @dataclass(frozen=True)
@@ -83,9 +90,16 @@ class SlotMap:
 
 
 def sized(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """(doc_id, size, text_crc32, vslot)."""
+    """(doc_id, size, text_crc32, copy, vslot), a row for every row of ``docs``.
+
+    Equal rows are combined before they shuffle and made again from their number, in
+    two steps so that no array grows with it.
+    """
     rows = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
-    return rows.withColumn("vslot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int"))
+    counted = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
+    parts = counted.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES))))
+    copies = parts.withColumn("copy", F.explode(F.sequence(F.col("part") * COPIES, F.least("n", (F.col("part") + 1) * COPIES) - 1))).drop("n", "part")
+    return copies.withColumn("vslot", F.pmod(F.xxhash64("doc_id", "text_crc32", "copy"), F.lit(slots)).cast("int"))
 
 
 def totals(rows: DataFrame) -> dict[int, tuple[int, int]]:
@@ -93,24 +107,28 @@ def totals(rows: DataFrame) -> dict[int, tuple[int, int]]:
     return {r.vslot: (r.size, r.n) for r in rows.groupBy("vslot").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}
 
 
-def placed(rows: DataFrame, slot_map: SlotMap, held: dict[int, tuple[int, int]]) -> DataFrame:
-    """``rows`` with ``shard`` and ``slot``, the row's place in its shard, gapless from 0."""
+def placed(rows: DataFrame, slot_map: SlotMap, held: dict[int, tuple[int, int]], after: SlotMap | None = None) -> DataFrame:
+    """``rows`` with ``shard`` and ``slot``, the row's place in its shard, gapless from 0,
+    and ``next_shard`` by the map ``after``."""
     spark, ahead, owned = rows.sparkSession, [0] * slot_map.shards, []
-    for vslot, shard in enumerate(slot_map.owner):
-        owned.append((vslot, shard, ahead[shard]))
+    for vslot, (shard, new) in enumerate(zip(slot_map.owner, (after or slot_map).owner, strict=True)):
+        owned.append((vslot, shard, ahead[shard], new))
         ahead[shard] += held.get(vslot, (0, 0))[1]
-    table = F.broadcast(spark.createDataFrame(owned, "vslot int, shard int, ahead long"))  # a row for each slot
-    rank = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size"))
+    table = F.broadcast(spark.createDataFrame(owned, "vslot int, shard int, ahead long, next_shard int"))  # a row for each slot
+    rank = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size", "copy"))
     return rows.withColumn("rank", rank).join(table, "vslot").withColumn("slot", F.col("ahead") + F.col("rank") - 1).drop("rank", "ahead")
 
 
 def op7_slot_sharding(spark, sf_dir: str) -> DataFrame:
-    """Every document's shard and place under the law of near-equal bytes."""
+    """Every document's shard and place under the law of near-equal bytes, and its shard
+    after an edit of the map for one shard more."""
     rows = saved(sized(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     held = totals(rows)
+    loads = {s: b for s, (b, _) in held.items()}
     folder = f"{checkpoint_folder(spark).rstrip('/')}/slot-maps-{uuid.uuid4().hex}"
-    SlotMap.first({s: b for s, (b, _) in held.items()}, SLOTS, SHARDS).save(spark, folder)
-    slot_map = SlotMap.load(spark, folder, 1)
-    return placed(rows, slot_map, held).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").alias("virtual_slot"), F.lit(slot_map.version).alias("map_version")
+    SlotMap.first(loads, SLOTS, SHARDS).save(spark, folder)
+    first = SlotMap.load(spark, folder, 1)
+    first.rebalanced(loads, SHARDS + 1).save(spark, folder)
+    return placed(rows, first, held, SlotMap.load(spark, folder, 2)).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").alias("virtual_slot"), F.lit(first.version).alias("map_version"), "next_shard"
     )

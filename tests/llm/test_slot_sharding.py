@@ -1,6 +1,9 @@
+import struct
 import zlib
 from collections import Counter, defaultdict
 
+import xxhash
+
 from lattica.llm import slot_sharding as H
 
 from . import cases
@@ -25,6 +28,44 @@ def test_awkward_documents(spark):
     assert placed(cases.empty(spark))[0] == []
 
 
+def plain(rows, slots, shards):
+    """(row, shard, place) by loops: hash chain of id, CRC and copy; the largest slot to the lightest shard."""
+    seen, of, loads, n = Counter(), [], [0] * slots, [0] * shards
+    for i, size, crc in sorted(rows, key=str):
+        h = 42
+        for v in (i, crc, seen[i, size, crc]):
+            h = h if v is None else xxhash.xxh64(struct.pack("<q", v), seed=h).intdigest()
+        seen[i, size, crc] += 1
+        of.append(((h - (1 << 64) if h >> 63 else h) % slots, (i, size, crc), seen[i, size, crc]))
+        loads[of[-1][0]] += size
+    owner, held = {}, [(0, 0)] * shards
+    for slot in sorted(range(slots), key=lambda s: (-loads[s], s)):
+        owner[slot] = min(range(shards), key=lambda s: (held[s], s))
+        held[owner[slot]] = (held[owner[slot]][0] + loads[slot], held[owner[slot]][1] + 1)
+    out = []
+    for slot, (i, size, crc), _ in sorted(of, key=lambda x: (x[0], x[1][0] is not None, x[1][0] or 0, x[1][2], x[1][1], x[2])):
+        out.append((i, size, crc, owner[slot], n[owner[slot]], slot))
+        n[owner[slot]] += 1
+    return Counter(out)
+
+
+def test_against_plain_placement(spark):
+    docs = cases.documents(spark)
+    rows = [(r.doc_id, len((r.text or "").encode()) + 8, zlib.crc32((r.text or "").encode())) for r in docs.select("doc_id", "text").collect()]
+    got, _, _ = placed(docs)
+    assert Counter((r.doc_id, r.size, r.text_crc32, r.shard, r.slot, r.vslot) for r in got) == plain(rows, 256, 5)
+
+
+def test_repeated_rows_spread_over_shards(spark):
+    docs = spark.createDataFrame([(7, "x" * 92)] * 20_000 + [(i, "y" * 92) for i in range(4000)] + [(None, None)] * 50, "doc_id long, text string")
+    got = H.placed(rows := H.saved(H.sized(docs)), H.SlotMap.first({s: b for s, (b, _) in H.totals(rows).items()}, H.SLOTS, H.SHARDS), H.totals(rows)).collect()
+    held = Counter()
+    for r in got:
+        held[r.shard] += r.size
+    mean = sum(held.values()) / H.SHARDS
+    assert len(got) == 24_050 and max(held.values()) <= 1.02 * mean + 100 and min(held.values()) >= 0.98 * mean - 100
+
+
 def test_shards_are_near_equal_in_bytes(spark):
     got = H.op7_slot_sharding(spark, "/root/testdata/sf0.01").collect()
     held = Counter()
@@ -33,6 +74,11 @@ def test_shards_are_near_equal_in_bytes(spark):
     mean = sum(held.values()) / H.SHARDS
     assert len(held) == H.SHARDS and max(held.values()) < 1.02 * mean and min(held.values()) > 0.98 * mean
     assert {r.law for r in got} == {"bytes"} and {r.grown_shard for r in got} == {None}
+    moved = Counter()
+    for r in got:
+        assert r.next_shard in (r.shard, H.SHARDS)
+        moved[r.next_shard] += r.size
+    assert 0.75 < moved[H.SHARDS] / (sum(held.values()) / (H.SHARDS + 1)) < 1.01
 
 
 def test_rebalancing_edits_the_map(spark, tmp_path):
