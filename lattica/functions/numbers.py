@@ -97,6 +97,7 @@ def bar_ends(y: Column, lower: Column, upper: Column) -> tuple[Column, Column]:
     return y - F.coalesce(lower, upper), y + F.coalesce(upper, lower)
 
 
-def exact_sum(x: Column, digits: int = 4) -> Column:
-    """A sum that does not depend on the order of its terms: by way of decimals."""
-    return F.sum(x.cast(f"decimal(20,{digits})")).cast("double")
+def summed(x: Column, digits: int | None = None) -> Column:
+    """A sum of doubles. Where the caller knows that ``digits`` decimals hold every term
+    (amounts of money, say), the sum is exact and does not depend on the order of terms."""
+    return F.sum(x.cast("double") if digits is None else x.cast(f"decimal(28,{digits})")).cast("double")

@@ -85,10 +85,17 @@ def leading_number(text: Column) -> Column:
     return F.nullif(found, F.lit("")).try_cast("double")
 
 
-def plain_number(value: Column, digits: int = 10) -> Column:
-    """A number's text without an exponent and without trailing zeros."""
-    text = value.cast(f"decimal(38,{digits})").cast("string")
-    return F.regexp_replace(F.regexp_replace(text, "(\\.[0-9]*?)0+$", "$1"), "\\.$", "")
+def plain_number(value: Column) -> Column:
+    """A number's whole text without an exponent and without trailing zeros, whatever its size."""
+    text = value.cast("string")
+    part = lambda i: F.regexp_extract(text, "^(-?)([0-9]+)(?:\\.([0-9]+))?(?:[eE]([+-]?[0-9]+))?$", i)
+    digits, power = F.concat(part(2), part(3)), F.coalesce(F.nullif(part(4), F.lit("")).cast("int"), F.lit(0))
+    point = F.length(part(2)) + power  # the digits before the point
+    whole = F.when(point <= 0, F.lit("0")).otherwise(F.rpad(F.substring(digits, F.lit(1), point), point, F.lit("0")))
+    rest = F.when(point <= 0, F.concat(F.repeat(F.lit("0"), -point), digits)).otherwise(F.substring(digits, point + 1, F.length(digits)))
+    rest = F.rtrim(rest, F.lit("0"))
+    plain = F.concat(part(1), F.regexp_replace(whole, "^0+(?=[0-9])", ""), F.when(rest == "", "").otherwise(F.concat(F.lit("."), rest)))
+    return F.when(part(2) == "", text).otherwise(plain)
 
 
 def csv_field(value: Column, quote: str = '"') -> Column:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.functions.numbers import exact_sum
+from lattica.functions.numbers import summed
 
 HIDE_ABOVE = 0.6
 
@@ -39,21 +40,22 @@ def unique_ratio(df: DataFrame, columns: Sequence[str], above: float = HIDE_ABOV
     return told.select("column", "bins", "ratio", (F.col("ratio") > F.col("limit")).alias("_many"), (F.col("bins") <= 1).alias("_one")).select("column", "bins", "ratio", (F.col("_many") | F.col("_one")).alias("hidden"))
 
 
-def totals_by(df: DataFrame, key: Sequence[str], value: str, name: str = "total") -> DataFrame:
-    """Exact sums by key; nulls are skipped."""
-    return df.groupBy(*key).agg(exact_sum(F.col(value)).alias(name))
+def totals_by(df: DataFrame, key: Sequence[str], value: str, name: str = "total", digits: int | None = None) -> DataFrame:
+    """Sums by key; nulls are skipped. ``digits`` here and below: as in ``summed``."""
+    return df.groupBy(*key).agg(summed(F.col(value), digits).alias(name))
 
 
-def percent_of(df: DataFrame, key: Sequence[str], value: str, name: str = "percent") -> DataFrame:
+def percent_of(df: DataFrame, key: Sequence[str], value: str, name: str = "percent", digits: int | None = None) -> DataFrame:
     """Each value as a percentage of its key's total; 0 where that is zero."""
-    total = F.sum(F.col(value).cast("decimal(20,4)")).over(Window.partitionBy(*key)).cast("double")
-    return df.withColumn("_t", total).withColumn(name, F.when(F.col("_t") == 0, F.lit(0.0)).otherwise(F.lit(100.0) * F.col(value) / F.col("_t"))).drop("_t")
+    totals = df.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(summed(F.col(value), digits).alias("_t"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key])
+    return df.join(totals, same).drop(*[f"_{k}" for k in key]).withColumn(name, F.when(F.col("_t") == 0, F.lit(0.0)).otherwise(F.lit(100.0) * F.col(value) / F.col("_t"))).drop("_t")
 
 
-def sum_within(df: DataFrame, key: Sequence[str], x: str, y: str, low, high) -> DataFrame:
+def sum_within(df: DataFrame, key: Sequence[str], x: str, y: str, low, high, digits: int | None = None) -> DataFrame:
     """Sums by key of what lies strictly between two x."""
     inside = (F.col(x) > F.lit(low)) & (F.col(x) < F.lit(high))
-    return df.groupBy(*key).agg(F.coalesce(exact_sum(F.when(inside, F.col(y))), F.lit(0.0)).alias("total"))
+    return df.groupBy(*key).agg(F.coalesce(summed(F.when(inside, F.col(y)), digits), F.lit(0.0)).alias("total"))
 
 
 def log_range(df: DataFrame, key: Sequence[str], y: str) -> DataFrame:
@@ -68,9 +70,9 @@ def least_gap(df: DataFrame, key: Sequence[str], x: str, default: float = 0.5) -
     return df.withColumn("_d", d).groupBy(*key).agg(F.coalesce(F.min(F.when(F.col("_d") > 0, F.col("_d"))), F.lit(default)).alias("min_gap"))
 
 
-def stacked_extremes(df: DataFrame, index: Sequence[str], y: str) -> DataFrame:
+def stacked_extremes(df: DataFrame, index: Sequence[str], y: str, digits: int | None = None) -> DataFrame:
     """The greatest stack of positive and the least stack of negative values over all indices."""
-    each = df.groupBy(*index).agg(F.coalesce(exact_sum(F.when(F.col(y) > 0, F.col(y))), F.lit(0.0)).alias("p"), F.coalesce(exact_sum(F.when(F.col(y) < 0, F.col(y))), F.lit(0.0)).alias("n"))
+    each = df.groupBy(*index).agg(F.coalesce(summed(F.when(F.col(y) > 0, F.col(y)), digits), F.lit(0.0)).alias("p"), F.coalesce(summed(F.when(F.col(y) < 0, F.col(y)), digits), F.lit(0.0)).alias("n"))
     return each.agg(F.max("p").alias("max_stack"), F.min("n").alias("min_stack"))
 
 
@@ -82,16 +84,16 @@ def padded_range(df: DataFrame, key: Sequence[str], x: str, y: str, low, high, p
     return ends.select(*key, F.when(a < 0, a * (1 + pad)).otherwise(a * (1 - pad)).alias("y_min"), F.when(b < 0, b * (1 - pad)).otherwise(b * (1 + pad)).alias("y_max"))
 
 
-def combined_slices(df: DataFrame, key: Sequence[str], label: str, value: str, threshold: float, other: str = "Other") -> DataFrame:
+def combined_slices(df: DataFrame, key: Sequence[str], label: str, value: str, threshold: float, other: str = "Other", digits: int | None = None) -> DataFrame:
     """(key, label, value, percent, angle): slices of at most ``threshold`` of the total in
     one, if there are two or more of them; values that are null or negative count 0."""
     w = Window.partitionBy(*key)
     rows = df.withColumn("_v", F.greatest(F.coalesce(F.col(value), F.lit(0.0)), F.lit(0.0)))
-    rows = rows.withColumn("_t", F.sum(F.col("_v").cast("decimal(20,4)")).over(w).cast("double"))
+    rows = rows.withColumn("_t", F.sum(F.col("_v") if digits is None else F.col("_v").cast(f"decimal(28,{digits})")).over(w).cast("double"))
     share = F.when(F.col("_t") > 0, F.col("_v") / F.col("_t")).otherwise(F.lit(0.0))
     rows = rows.withColumn("_small", share <= threshold).withColumn("_few", F.count_if(F.col("_small")).over(w))
     named = rows.withColumn("label", F.when(F.col("_small") & (F.col("_few") >= 2), F.lit(other)).otherwise(F.col(label)))
-    out = named.groupBy(*key, "label").agg(exact_sum(F.col("_v")).alias("value"), F.max("_t").alias("_t"))
+    out = named.groupBy(*key, "label").agg(summed(F.col("_v"), digits).alias("value"), F.max("_t").alias("_t"))
     part = F.when(F.col("_t") > 0, F.col("value") / F.col("_t")).otherwise(F.lit(0.0))
     return out.select(*key, "label", "value", (part * 100).alias("percent"), (part * 360).alias("angle"))
 
@@ -101,6 +103,21 @@ def ohlc_range(df: DataFrame, key: Sequence[str], low: str = "l", high: str = "h
     return df.groupBy(*key).agg(F.min(low).alias("y_min"), F.max(high).alias("y_max"))
 
 
+def y_range(df: DataFrame, key: Sequence[str], kind: str, y: str, low: str, high: str, goals: str) -> DataFrame:
+    """The y-range of series of several types: ``kind`` is line (``y``), range, candle or box
+    (least ``low`` and greatest ``high``); ``goals``, an array or null, widens any of them."""
+    wide = F.col(kind).isin("range", "candle", "box")
+    lows, highs = F.when(wide, F.col(low)).otherwise(F.col(y)), F.when(wide, F.col(high)).otherwise(F.col(y))
+    return df.groupBy(*key).agg(F.min(F.least(lows, F.array_min(goals))).alias("y_min"), F.max(F.greatest(highs, F.array_max(goals))).alias("y_max"))
+
+
+def legend_positions(entries: DataFrame, label: str, at: str, how: str = "ascending", custom: Sequence | None = None) -> DataFrame:
+    """Legend entries (few) with ``pos``: by label ascending or descending, ``reverse`` of
+    their own order ``at``, or by a ``custom`` order."""
+    order = {"ascending": [F.col(label).asc()], "descending": [F.col(label).desc()], "reverse": [F.col(at).desc()]}
+    return entries.withColumn("pos", F.row_number().over(Window.orderBy(*(custom or order[how]), at)).cast("long") - 1)
+
+
 def longest(df: DataFrame, series: str, pos: str) -> DataFrame:
     """The series with the most points, the first one on a tie."""
     each = df.groupBy(series).agg(F.count("*").alias("n"), F.min(pos).alias("_p"))
@@ -108,5 +125,7 @@ def longest(df: DataFrame, series: str, pos: str) -> DataFrame:
 
 
 def series_facts(df: DataFrame, series: Sequence[str], x: str, y: str) -> DataFrame:
-    """Whether all values of a series are null, and whether all are equal."""
-    return df.groupBy(*series).agg(F.count("*").alias("n"), F.min(x).alias("first_x"), (F.count(y) == 0).alias("all_null"), (F.min(y) == F.max(y)).alias("all_equal"))
+    """Whether all values of a series are null, whether all are equal, its first x, and
+    whether all series have that first x."""
+    each = df.groupBy(*series).agg(F.count("*").alias("n"), F.min(x).alias("first_x"), (F.count(y) == 0).alias("all_null"), (F.min(y) == F.max(y)).alias("all_equal"))
+    return each.withColumn("shared_first_x", each.agg(F.count_distinct("first_x") <= 1).scalar())

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.sources.written import written
+
 from .ordering import position
 
 
@@ -49,15 +51,41 @@ def outer_align(tables: Sequence[tuple[DataFrame, str]], x: str = "x", mode: str
     out = reduce(lambda a, b: a.join(b, x, "full_outer"), parts)
     names = [n for _, n in tables]
     if mode == "expand":
-        w = Window.orderBy(x)
-        for n in names:  # absent slots next to an explicit null, through any run of absent slots
-            null_slot = F.when(F.col(f"_{n}"), F.col(n).isNull())
-            before = F.last(null_slot, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-            after = F.first(null_slot, True).over(w.rowsBetween(0, Window.unboundedFollowing))
-            out = out.withColumn(f"gap_{n}", F.coalesce(F.col(f"_{n}"), F.lit(False)) & F.col(n).isNull() | (F.col(f"_{n}").isNull() & (F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False)))))
+        out = _with_gaps(out, names, x)
     return out.drop(*[f"_{n}" for n in names])
 
 
+def _with_gaps(aligned: DataFrame, names: Sequence[str], x: str) -> DataFrame:
+    """Adds ``gap_*``: explicit nulls, and absent slots next to one through any run of absent slots.
+
+    Windows run within the partitions of a sorted, written copy; what lies before and after
+    a partition is one row for each of them.
+    """
+    spark = aligned.sparkSession
+    slot = {n: F.when(F.col(f"_{n}"), F.col(n).isNull()) for n in names}
+    held = written(aligned.orderBy(x).withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33).cast("int"))
+    ends = [e for n in names for e in (F.min_by(slot[n], F.when(slot[n].isNotNull(), F.col("_at"))).alias(f"_first_{n}"), F.max_by(slot[n], F.when(slot[n].isNotNull(), F.col("_at"))).alias(f"_last_{n}"))]
+    parts = held.groupBy("_part").agg(*ends).orderBy("_part").collect()  # a row for each partition
+    rows = [[r["_part"]] for r in parts]
+    for n in names:
+        seen = None
+        for r, row in zip(parts, rows, strict=True):
+            row.append(seen)
+            seen = r[f"_last_{n}"] if r[f"_last_{n}"] is not None else seen
+        seen = None
+        for r, row in zip(reversed(parts), reversed(rows), strict=True):
+            row.append(seen)
+            seen = r[f"_first_{n}"] if r[f"_first_{n}"] is not None else seen
+    schema = "_part int" + "".join(f", `_before_{n}` boolean, `_after_{n}` boolean" for n in names)
+    out = held.join(F.broadcast(spark.createDataFrame([tuple(r) for r in rows], schema)), "_part")
+    w = Window.partitionBy("_part").orderBy("_at")
+    for n in names:
+        before = F.coalesce(F.last(slot[n], True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col(f"_before_{n}"), F.lit(False))
+        after = F.coalesce(F.first(slot[n], True).over(w.rowsBetween(0, Window.unboundedFollowing)), F.col(f"_after_{n}"), F.lit(False))
+        out = out.withColumn(f"gap_{n}", F.coalesce(slot[n], before | after))
+    return out.drop("_part", "_at", *[f"_{side}_{n}" for n in names for side in ("before", "after")])
+
+
 def nearest(left: DataFrame, right: DataFrame, key: Sequence[str], x: str, rid: str) -> DataFrame:
     """For each left row the right row with the nearest x within the key; the lower one on a tie.
 
@@ -126,9 +154,14 @@ def filled_between(series: DataFrame, partner: DataFrame, key: Sequence[str], x:
     return both.select(*key, x, F.col("base_y").alias("bottom"), F.col("other_y").alias("top"))
 
 
-def overlaid(background: DataFrame, foreground: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Clips (clip, start, end) of two timelines that show at the same time, by key."""
-    a = background.select(*key, F.col("clip").alias("bg_clip"), F.col("start").alias("_s1"), F.col("end").alias("_e1"))
-    b = foreground.select(*key, F.col("clip").alias("fg_clip"), F.col("start").alias("_s2"), F.col("end").alias("_e2"))
-    met = a.join(b, list(key)).where("_s1 < _e2 and _s2 < _e1")
+def overlaid(background: DataFrame, foreground: DataFrame, key: Sequence[str], width: float = 10) -> DataFrame:
+    """Clips (clip, start, end) of two timelines that show at the same time, by key.
+
+    As in ``overlaps``, clips meet in the buckets of ``width`` that they cover, a pair in the
+    first one that both do.
+    """
+    cells = lambda: F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))).alias("_cell")
+    a = background.select(*key, F.col("clip").alias("bg_clip"), F.col("start").alias("_s1"), F.col("end").alias("_e1"), cells())
+    b = foreground.select(*key, F.col("clip").alias("fg_clip"), F.col("start").alias("_s2"), F.col("end").alias("_e2"), cells())
+    met = a.join(b, [*key, "_cell"]).where("_s1 < _e2 and _s2 < _e1").where(F.col("_cell") == F.floor(F.greatest("_s1", "_s2") / width))
     return met.select(*key, "bg_clip", "fg_clip", F.greatest("_s1", "_s2").alias("start"), F.least("_e1", "_e2").alias("end"))

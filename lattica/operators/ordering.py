@@ -12,9 +12,12 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.functions.text import leading_number
 from lattica.sources.written import written
 
 PAGE, GRID_PAGE = 10, 20
+#: Rows, at most, that are taken as the top of the order by one task; what lies deeper is numbered in parallel.
+TOP = 100_000
 
 
 def position(*partition: str, order: Sequence[Column | str]) -> Column:
@@ -40,7 +43,8 @@ def page(df: DataFrame, order: Sequence[Column], number, size: int = PAGE, rever
     number is page 1, what is out of range the last page, as a lenient paginator does.
 
     One job counts, one takes the page's end as a top-k; from the far half of the table
-    it is taken from the other side where ``reverse``, the opposite order, is given.
+    it is taken from the other side where ``reverse``, the opposite order, is given. A page
+    more than ``TOP`` rows from both ends is cut from the numbered order instead.
     """
     total = df.count()
     pages = max(1, ceil(total / size))
@@ -51,7 +55,9 @@ def page(df: DataFrame, order: Sequence[Column], number, size: int = PAGE, rever
     at = at if 1 <= at <= pages else pages
     first, last = (at - 1) * size, min(at * size, total)
     every = Window.orderBy(*order)
-    if reverse and total - first < last:
+    if min(last, total - first if reverse else last) > TOP:
+        rows = global_position(df, order)
+    elif reverse and total - first < last:
         rows = df.orderBy(*reverse).limit(total - first)
         rows = rows.withColumn("pos", F.row_number().over(every).cast("long") - 1 + first)
     else:
@@ -69,10 +75,25 @@ def grid_page(df: DataFrame, order: Sequence[Column], number: int, size: int = G
 def between_positions(df: DataFrame, order: Sequence[Column], a: int, b: int) -> DataFrame:
     """Rows from one position to the other in the order, ends included and in either order."""
     low, high = min(a, b), max(a, b)
+    if high >= TOP:
+        return global_position(df, order).where(F.col("pos").between(low, high))
     top = df.orderBy(*order).limit(high + 1)
     return top.withColumn("pos", F.row_number().over(Window.orderBy(*order)).cast("long") - 1).where(F.col("pos").between(low, high))
 
 
+def sort_key(column: Column, kind: str) -> Column:
+    """What a grid sorts a column by: ``string`` nulls first, ``number`` and ``date`` with
+    null as zero, ``numberAsString`` by the number that a text begins with (texts without
+    one, between which the order is undefined, come last)."""
+    if kind == "number":
+        return F.coalesce(column.cast("double"), F.lit(0.0)).asc()
+    if kind == "date":
+        return F.coalesce(column.cast("timestamp_ntz"), F.lit("1970-01-01").cast("timestamp_ntz")).asc()
+    if kind == "numberAsString":
+        return leading_number(column).asc_nulls_last()
+    return column.cast("string").asc_nulls_first()
+
+
 def scroll_window(df: DataFrame, order: Sequence[Column], pixels: int, row_height: int, shown: int) -> DataFrame:
     """The rows visible at a pixel offset."""
     first = pixels // row_height

@@ -12,8 +12,25 @@ UNITS = (
     ("years", 5 * 365 * 86400.0), ("half_year", 800 * 86400.0), ("months", 180 * 86400.0), ("months_fortnight", 90 * 86400.0), ("months_days", 60 * 86400.0), ("week_days", 30 * 86400.0),
     ("days", 2 * 86400.0), ("hours", 2.4 * 3600), ("minutes_fives", 15 * 60.0), ("minutes", 5 * 60.0), ("seconds_tens", 60.0), ("seconds_fives", 20.0),
 )
-#: What a unit truncates to.
-TRUNCATED = {"years": "year", "half_year": "quarter", "months": "month", "months_fortnight": "month", "months_days": "month", "week_days": "week", "days": "day", "hours": "hour", "minutes_fives": "minute", "minutes": "minute", "seconds_tens": "second", "seconds_fives": "second", "seconds": "second"}
+#: What a unit truncates to; the rest of it comes in steps of its own, see ``truncated``.
+TRUNCATED = {"years": "year", "months": "month", "months_days": "day", "week_days": "day", "days": "day", "hours": "hour", "minutes": "minute", "seconds": "second"}
+# Tick sizes in milliseconds from 1 ms to 100 years.
+INCREMENTS = (
+    1, 2, 5, 10, 20, 25, 50, 100, 200, 250, 500,
+    1_000, 5_000, 10_000, 15_000, 30_000,
+    60_000, 300_000, 600_000, 900_000, 1_800_000,
+    3_600_000, 7_200_000, 10_800_000, 14_400_000, 21_600_000, 28_800_000, 43_200_000,
+    86_400_000, 172_800_000, 259_200_000, 345_600_000, 432_000_000, 518_400_000, 604_800_000, 691_200_000, 777_600_000, 864_000_000, 1_296_000_000,
+    2_592_000_000, 5_184_000_000, 7_776_000_000, 10_368_000_000, 15_552_000_000,
+    31_536_000_000, 63_072_000_000, 157_680_000_000, 315_360_000_000, 788_400_000_000, 1_576_800_000_000, 3_153_600_000_000,
+)
+# Steps of a time axis (size, unit), and the length of a unit in seconds.
+STEPS = (
+    (1, "second"), (2, "second"), (5, "second"), (10, "second"), (30, "second"), (1, "minute"), (2, "minute"), (5, "minute"), (10, "minute"), (30, "minute"),
+    (1, "hour"), (2, "hour"), (4, "hour"), (8, "hour"), (12, "hour"), (1, "day"), (2, "day"), (3, "day"), (0.25, "month"), (0.5, "month"), (1, "month"), (2, "month"),
+)
+MONTHS, QUARTERS = ((3, "month"), (6, "month"), (1, "year")), ((1, "quarter"), (2, "quarter"), (1, "year"))
+LENGTHS = {"second": 1.0, "minute": 60.0, "hour": 3600.0, "day": 86400.0, "month": 30 * 86400.0, "quarter": 90 * 86400.0, "year": 365.2425 * 86400.0}
 
 
 def unit_of(span_seconds: Column) -> Column:
@@ -29,15 +46,27 @@ def truncated(at: Column, unit: Column) -> Column:
     out = F.date_trunc("second", at)
     for name, part in TRUNCATED.items():
         out = F.when(unit == name, F.date_trunc(part, at)).otherwise(out)
+    year, month, minute = (F.date_trunc(p, at) for p in ("year", "month", "minute"))
+    out = F.when(unit == "half_year", F.when(F.month(at) > 6, year + F.expr("interval 6 months")).otherwise(year)).otherwise(out)
+    out = F.when(unit == "months_fortnight", F.when(F.dayofmonth(at) > 14, month + F.expr("interval 14 days")).otherwise(month)).otherwise(out)
+    out = F.when(unit == "minutes_fives", minute - F.make_dt_interval(mins=F.minute(at) % 5)).otherwise(out)
+    for name, n in (("seconds_tens", 10), ("seconds_fives", 5)):
+        second = F.second(at)
+        out = F.when(unit == name, minute + F.make_dt_interval(secs=(second - second % n).cast("decimal(18,6)"))).otherwise(out)
     return out.cast("timestamp_ntz")
 
 
-def increments() -> list[int]:
-    """Tick sizes in milliseconds from 1 ms to 100 years: 1, 2 and 5 of each decimal place, and calendar steps."""
-    second, minute, hour, day = 1000, 60_000, 3_600_000, 86_400_000
-    small = [m * 10**k for k in range(3) for m in (1, 2, 5)]
-    steps = small + [n * second for n in (1, 5, 10, 15, 30)] + [n * minute for n in (1, 5, 10, 15, 30)] + [n * hour for n in (1, 2, 3, 4, 6, 8, 12)]
-    return steps + [n * day for n in (*range(1, 11), 15)] + [n * 30 * day for n in (1, 2, 3, 4, 6)] + [n * 365 * day for n in (1, 2, 5, 10, 25, 50, 100)]
+def chosen_step(span_seconds: Column, ticks: float, quarters: bool = False) -> Column:
+    """(size, unit) of the steps for about ``ticks`` ticks over a span: the first step whose
+    mean with the next one is above the distance asked for; several years by ``nice_step``."""
+    spec = STEPS + (QUARTERS if quarters else MONTHS)
+    length = [n * LENGTHS[u] for n, u in spec]
+    delta = span_seconds / F.lit(float(ticks))
+    pick = lambda n, u: F.struct(n.cast("double").alias("size"), F.lit(u).alias("unit"))
+    out = pick(F.greatest(F.lit(1.0), nice_step(span_seconds / F.lit(LENGTHS["year"]), ticks)), "year")
+    for i in range(len(spec) - 2, -1, -1):
+        out = F.when(delta < (length[i] + length[i + 1]) / 2, pick(F.lit(spec[i][0]), spec[i][1])).otherwise(out)
+    return out
 
 
 def calendar_ticks(ends: DataFrame, low: str, high: str, step: str) -> DataFrame:
@@ -80,6 +109,19 @@ def log_ticks(ranges: DataFrame, low: str, high: str, base: float = 10.0) -> Dat
     return ranges.select(*keep, F.explode(powers).alias("power")).select(*keep, F.col("power").cast("long").alias("power"), F.pow(F.lit(base), F.col("power")).alias("tick"))
 
 
+def log_spaced(ranges: DataFrame, low: str, high: str, base: float = 10.0) -> DataFrame:
+    """(…, i, tick): ticks evenly spaced in the logarithm from ``low`` to ``high`` exactly, as
+    many as there are powers of the base between them, and one more at the end."""
+    lg = lambda c: F.ln(c) / F.lit(math.log(base))
+    keep = [c for c in ranges.columns if c not in (low, high)]
+    top = F.when(F.col(high) > 0, F.col(high)).otherwise(F.greatest(F.col(low), F.lit(base)))
+    bottom = F.when(F.col(low) > 0, F.col(low)).otherwise(F.least(top, F.lit(base)))
+    held = ranges.select(*keep, lg(bottom).alias("_a"), lg(top).alias("_b")).withColumn("_n", F.floor(F.col("_b") - F.col("_a") + 0.5).cast("int"))
+    ticks = held.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("_n"))))
+    at = F.when(F.col("i") == F.col("_n"), F.col("_b")).otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) / F.nullif(F.col("_n"), F.lit(0)) * F.col("i"))
+    return ticks.select(*keep, F.col("i").cast("long").alias("i"), F.pow(F.lit(base), at).alias("tick"))
+
+
 def padded_limits(low: Column, high: Column, pad: float = 0.1, soft_low: float | None = None, soft_high: float | None = None) -> tuple[Column, Column]:
     """A range padded by a share of its span, rounded outwards to a tenth of the span's
     power of ten, and held at a soft limit that the data do not cross."""

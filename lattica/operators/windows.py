@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import position
+from .ordering import global_position, position
 
 
 def _w(key: Sequence[str], order: Sequence):
@@ -32,6 +33,16 @@ def runs(df: DataFrame, key: Sequence[str], order: Sequence, value: str, none: s
     return named.withColumn("_new", changed).withColumn("group_no", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_new")
 
 
+def nested_runs(df: DataFrame, key: Sequence[str], order: Sequence, values: Sequence[str], none: str = "No group") -> DataFrame:
+    """Runs within runs: ``group_1`` and ``group_no_1`` by the first value, ``group_2`` and
+    ``group_no_2`` by the second within a run of the first, and so on."""
+    held = list(key)
+    for level, value in enumerate(values, 1):
+        df = runs(df, held, order, value, none).withColumnsRenamed({"group": f"group_{level}", "group_no": f"group_no_{level}"})
+        held.append(f"group_no_{level}")
+    return df
+
+
 def with_headers(df: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Rows with ``group_no`` and ``group`` and, at level 0, a header row for each group with its number of rows."""
     rows = df.select(*key, "group_no", "group", F.lit(1).alias("level"), F.lit(1).cast("long").alias("n"), *columns)
@@ -52,13 +63,13 @@ def first_of(df: DataFrame, key: Sequence[str], order: Sequence) -> DataFrame:
 def encoded(df: DataFrame, value: str, pos: str, preset: Sequence[str] = ()) -> DataFrame:
     """(value, code): codes in the order of first appearance, going on after preset values.
 
-    Ranks only the distinct values.
+    Ranks only the distinct values, which are numbered in parallel.
     """
     seen = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.min(pos).alias("_first"))
     fixed = F.array_position(F.array(*map(F.lit, preset)), F.col(value)) - 1 if preset else F.lit(-1)
     told = seen.withColumn("_fixed", fixed.cast("long"))
-    free = told.where("_fixed < 0").withColumn("code", F.row_number().over(Window.orderBy("_first", value)).cast("long") - 1 + len(preset))
-    return free.select(value, "code").union(told.where("_fixed >= 0").select(value, "_fixed"))
+    free = global_position(told.where("_fixed < 0"), ["_first", value], "code")
+    return free.select(value, (F.col("code") + len(preset)).alias("code")).union(told.where("_fixed >= 0").select(value, "_fixed"))
 
 
 def first_last_filled(df: DataFrame, key: Sequence[str], x: str, y: str) -> DataFrame:
@@ -95,6 +106,25 @@ def crossings(df: DataFrame, key: Sequence[str], below: float, x: str = "x", y:
     return df.select(*key, x, y, F.when(F.col(y) < level, "under").otherwise("over").alias("part")).union(put)
 
 
+def bands(df: DataFrame, key: Sequence[str], thresholds: Sequence[float], x: str = "x", y: str = "y") -> DataFrame:
+    """(key, x, y, band, crossing): the series by the number of ascending thresholds that are
+    not above it, with a point put in wherever the line crosses one of them."""
+    levels = sorted(float(t) for t in thresholds)
+    band = lambda c: reduce(lambda a, b: a + b, [(c >= t).cast("int") for t in levels])
+    w = _w(key, [x])
+    pairs = df.withColumn("_x", F.lag(x).over(w)).withColumn("_y", F.lag(y).over(w)).where("_y is not null")
+    between = F.filter(F.array(*map(F.lit, levels)), lambda t: (F.least(F.col(y), F.col("_y")) < t) & (t < F.greatest(F.col(y), F.col("_y"))))
+    cross = pairs.withColumn("_t", F.explode(between))
+    at = F.col("_x") + (F.col("_t") - F.col("_y")) * (F.col(x) - F.col("_x")) / (F.col(y) - F.col("_y"))
+    put = cross.select(*key, at.alias(x), F.col("_t").alias(y), band(F.col("_t")).alias("band"), F.lit(True).alias("crossing"))
+    return df.select(*key, x, y, band(F.col(y)).alias("band"), F.lit(False).alias("crossing")).union(put)
+
+
+def fill_right(columns: Sequence[str], step: float | None = None) -> list[Column]:
+    """The columns filled from the first one: with its value, or with an arithmetic series from it."""
+    return [(F.col(columns[0]) + F.lit(i * step) if step is not None else F.col(columns[0])).alias(c) for i, c in enumerate(columns)]
+
+
 def reordered(df: DataFrame, key: Sequence[str], sequence: str, new_order: Sequence) -> DataFrame:
     """The values of the sequence column dealt anew by the new order; only rows that change."""
     old = df.withColumn("_n", position(*key, order=[sequence])).select(*key, "_n", F.col(sequence).alias("new_value"))

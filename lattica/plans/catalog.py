@@ -308,16 +308,17 @@ def csv_line(spark, sf_dir):
 
 
 @query("""
-WITH top AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rn FROM documents)
-SELECT source, doc_id, n_chars, 'merged_' || lpad((rn - 1)::VARCHAR, 3, '0') AS frame FROM top WHERE rn <= 3
+WITH f AS (SELECT source, doc_id, lang || '/' || lpad(doc_id::VARCHAR, 9, '0') AS path FROM documents)
+SELECT source, doc_id, path, 'merged_' || lpad((row_number() OVER (PARTITION BY source ORDER BY path) - 1)::VARCHAR, 6, '0') AS frame FROM f
 """)
 def numbered_frames(spark, sf_dir):
-    """Names by position, a few per bucket."""
+    """Names by position of all files of a bucket in the order of their paths."""
     from lattica.operators.windows import frame_name
 
-    rn = F.row_number().over(Window.partitionBy("source").orderBy(F.col("n_chars").desc(), "doc_id"))
-    top = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars", rn.alias("rn")).where("rn <= 3")
-    return top.select("source", "doc_id", "n_chars", frame_name(F.col("rn") - 1, "merged", 3).alias("frame"))
+    path = F.concat("lang", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 9, "0"))
+    files = table(spark, sf_dir, "documents").select("source", "doc_id", path.alias("path"))
+    pos = F.row_number().over(Window.partitionBy("source").orderBy("path")) - 1
+    return files.select("source", "doc_id", "path", frame_name(pos, "merged", 6).alias("frame"))
 
 
 _FRAMES_SQL = f"""

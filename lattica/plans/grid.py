@@ -38,6 +38,20 @@ def grid_sort_nulls_first(spark, sf_dir):
     return ordering.global_position(c, [F.col("seg").asc_nulls_first(), F.col("c_custkey")])
 
 
+@query("""
+WITH p AS (SELECT p_partkey, CASE WHEN p_size > 45 THEN NULL ELSE p_size - 10 END AS n, CASE WHEN p_size > 45 THEN NULL ELSE TIMESTAMP '1969-12-20' + to_days(CAST(p_size AS INTEGER)) END AS d,
+                  CASE WHEN p_size > 45 THEN 'none' ELSE p_retailprice || 'px' END AS s, p_retailprice AS r, p_size FROM part)
+SELECT 'number' AS kind, p_partkey, row_number() OVER (ORDER BY coalesce(n, 0), p_partkey) - 1 AS pos FROM p UNION ALL SELECT 'date', p_partkey, row_number() OVER (ORDER BY coalesce(d, TIMESTAMP '1970-01-01'), p_partkey) - 1 FROM p
+UNION ALL SELECT 'numberAsString', p_partkey, row_number() OVER (ORDER BY CASE WHEN p_size > 45 THEN NULL ELSE r END NULLS LAST, p_partkey) - 1 FROM p
+""")
+def grid_sort_kinds(spark, sf_dir):
+    """Sorting as numbers, dates and numbers in texts."""
+    some = F.col("p_size") <= 45
+    p = table(spark, sf_dir, "part").select("p_partkey", F.when(some, F.col("p_size") - 10).alias("number"), F.when(some, F.to_timestamp_ntz(F.lit("1969-12-20 00:00:00")) + F.make_dt_interval(days=F.col("p_size").cast("int"))).alias("date"), F.when(some, F.concat(F.col("p_retailprice").cast("string"), F.lit("px"))).otherwise("none").alias("numberAsString"))
+    each = [ordering.global_position(p.select(F.lit(k).alias("kind"), "p_partkey", F.col(k).alias("v")), [ordering.sort_key(F.col("v"), k), F.col("p_partkey")]).select("kind", "p_partkey", "pos") for k in ("number", "date", "numberAsString")]
+    return each[0].union(each[1]).union(each[2])
+
+
 @query("""
 SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) - 1 AS pos, CAST(3 AS BIGINT) AS page, CAST(ceil((SELECT count(*) FROM customer) / 20.0) AS BIGINT) AS n_pages
 FROM customer QUALIFY pos BETWEEN 40 AND 59

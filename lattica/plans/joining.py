@@ -172,4 +172,4 @@ def overlay_timelines(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     bg = timeline(e.where("event_type = 'click'").select("user_id", "ts", F.col("event_id").alias("clip"), F.lit(2).cast("long").alias("d")), ["user_id"], ["ts"], "d")
     fg = timeline(e.where("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("clip"), F.lit(3).cast("long").alias("d")), ["user_id"], ["ts"], "d")
-    return J.overlaid(bg, fg, ["user_id"])
+    return J.overlaid(bg, fg, ["user_id"], 12)

@@ -22,20 +22,21 @@ SELECT page_id, t AS plain, length(t) AS n_chars, sha256(regexp_replace(html, '<
 """)
 def html_strip(spark, sf_dir):
     """Export text of HTML and tag-free text."""
-    plain = X.plain_text(F.col("html"))
-    return table(spark, sf_dir, "pages").select("page_id", plain.alias("plain"), F.length(plain).cast("long").alias("n_chars"), F.sha2(X.strip_tags(F.col("html")).cast("binary"), 256).alias("no_tags"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "html", F.explode(F.array(X.plain_text(F.col("html")))).alias("plain"))  # a generator's column is worked out once
+    return pages.select("page_id", "plain", F.length("plain").cast("long").alias("n_chars"), F.sha2(X.strip_tags(F.col("html")).cast("binary"), 256).alias("no_tags"))
 
 
 @query(r"""
 SELECT event_id, TRY_CAST(nullif(regexp_extract(value || 'px', '^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)', 1), '') AS DOUBLE) AS lead,
        TRY_CAST(nullif(regexp_extract(event_type, '^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)', 1), '') AS DOUBLE) AS none,
-       regexp_replace(regexp_replace(CAST(CAST(value / 1000 AS DECIMAL(38, 10)) AS VARCHAR), '(\.[0-9]*?)0+$', '\1'), '\.$', '') AS plain
+       regexp_replace(regexp_replace(CAST(CAST(value AS DECIMAL(38, 10)) AS VARCHAR), '(\.[0-9]*?)0+$', '\1'), '\.$', '') AS plain,
+       regexp_replace(regexp_replace('0.00000000000000' || lpad(CAST(event_id AS VARCHAR), 12, '0'), '0+$', ''), '\.$', '') AS tiny, CASE WHEN event_id = 0 THEN '0' ELSE CAST(event_id AS VARCHAR) || '000000000000' END AS huge
 FROM events
 """)
 def number_text(spark, sf_dir):
     """Numbers from text and text from numbers without exponent."""
     v = F.col("value")
-    return table(spark, sf_dir, "events").select("event_id", X.leading_number(F.concat(v.cast("string"), F.lit("px"))).alias("lead"), X.leading_number(F.col("event_type")).alias("none"), X.plain_number(v / 1000).alias("plain"))
+    return table(spark, sf_dir, "events").select("event_id", X.leading_number(F.concat(v.cast("string"), F.lit("px"))).alias("lead"), X.leading_number(F.col("event_type")).alias("none"), X.plain_number(v).alias("plain"), X.plain_number(F.concat("event_id", F.lit("e-26")).cast("double")).alias("tiny"), X.plain_number(F.concat("event_id", F.lit("e12")).cast("double")).alias("huge"))
 
 
 @query("""

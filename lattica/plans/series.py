@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
 from pyspark.sql import functions as F
 
-from lattica.functions.numbers import exact_sum
+from lattica.functions.numbers import summed
 from lattica.operators import aggregates as A
 from lattica.operators import timescale as T
 from lattica.sources.listing import series_points
@@ -13,13 +14,16 @@ from lattica.sources.tables import table
 
 from .base import query
 
+#: Decimals that hold the amounts and values of these tables, which have two.
+CENTS = 4
+
 
 @query("""
 SELECT l_returnflag, l_linenumber, CAST(sum(CAST(l_quantity AS DECIMAL(20, 4))) AS DOUBLE) AS total FROM lineitem GROUP BY ALL
 """)
 def stack_totals(spark, sf_dir):
     """Totals by index across series."""
-    return A.totals_by(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linenumber"], "l_quantity")
+    return A.totals_by(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linenumber"], "l_quantity", digits=CENTS)
 
 
 @query("""
@@ -29,8 +33,8 @@ FROM t
 """)
 def percent_of_total(spark, sf_dir):
     """Percentages of the index total."""
-    t = A.totals_by(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linenumber"], "l_quantity")
-    return A.percent_of(t, ["l_linenumber"], "total")
+    t = A.totals_by(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linenumber"], "l_quantity", digits=CENTS)
+    return A.percent_of(t, ["l_linenumber"], "total", digits=CENTS)
 
 
 @query("""
@@ -39,7 +43,7 @@ SELECT event_type, coalesce(CAST(sum(CAST(value AS DECIMAL(20, 4))) FILTER (WHER
 def series_sum_exclusive_range(spark, sf_dir):
     """Sums strictly between two x."""
     a, b = (F.to_timestamp_ntz(F.lit(x)) for x in ("2024-01-05 00:00:00", "2024-01-10 00:00:00"))
-    return A.sum_within(table(spark, sf_dir, "events"), ["event_type"], "ts", "value", a, b)
+    return A.sum_within(table(spark, sf_dir, "events"), ["event_type"], "ts", "value", a, b, digits=CENTS)
 
 
 @query("""
@@ -89,17 +93,26 @@ SELECT max(p) AS max_stack, min(n) AS min_stack FROM t
 """)
 def stacked_extremes(spark, sf_dir):
     """Greatest positive and least negative stack."""
-    s = table(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").agg(exact_sum(F.col("c_acctbal") - 4500).alias("y"))
-    return A.stacked_extremes(s, ["c_nationkey"], "y")
+    s = table(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").agg(summed(F.col("c_acctbal") - 4500, CENTS).alias("y"))
+    return A.stacked_extremes(s, ["c_nationkey"], "y", digits=CENTS)
+
+
+def _window(spark, sf_dir, parts, first, last):
+    """The events with their time in microseconds, and the ends of a share of its span."""
+    e = table(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    end = lambda n: e.agg(F.min("us") + F.expr(f"(max(us) - min(us)) * {n} div {parts}")).scalar()
+    return e, end(first), end(last)
 
 
 @query("""
-WITH r AS (SELECT event_type, min(value) FILTER (WHERE event_id BETWEEN 100 AND 700) AS a, max(value) FILTER (WHERE event_id BETWEEN 100 AND 700) AS b FROM events GROUP BY 1)
+WITH w AS (SELECT min(epoch_us(ts)) AS a, max(epoch_us(ts)) - min(epoch_us(ts)) AS d FROM events), r AS (
+  SELECT event_type, min(value) FILTER (WHERE epoch_us(ts) BETWEEN w.a + d // 4 AND w.a + d * 3 // 4) AS a, max(value) FILTER (WHERE epoch_us(ts) BETWEEN w.a + d // 4 AND w.a + d * 3 // 4) AS b FROM events, w GROUP BY 1)
 SELECT event_type, round(CASE WHEN a < 0 THEN a * 1.1 ELSE a * 0.9 END, 6) AS y_min, round(CASE WHEN b < 0 THEN b * 0.9 ELSE b * 1.1 END, 6) AS y_max FROM r
 """)
 def padded_y_range(spark, sf_dir):
-    """The range of y in a window of x, padded."""
-    out = A.padded_range(table(spark, sf_dir, "events"), ["event_type"], "event_id", "value", 100, 700)
+    """The range of y in the middle half of x, padded."""
+    e, low, high = _window(spark, sf_dir, 4, 1, 3)
+    out = A.padded_range(e, ["event_type"], "us", "value", low, high)
     return out.select("event_type", F.round("y_min", 6).alias("y_min"), F.round("y_max", 6).alias("y_max"))
 
 
@@ -123,8 +136,8 @@ FROM v
 """)
 def pie_and_treemap(spark, sf_dir):
     """Pie angles, treemap areas, polar and radial values."""
-    v = table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(exact_sum(F.col("c_acctbal")).alias("v"))
-    rows = v.withColumn("t", v.agg(exact_sum(F.col("v"))).scalar()).withColumn("m", v.agg(F.max("v")).scalar()).withColumn("n", v.agg(F.count("*")).scalar())
+    v = table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(summed(F.col("c_acctbal"), CENTS).alias("v"))
+    rows = v.withColumn("t", v.agg(summed(F.col("v"), CENTS)).scalar()).withColumn("m", v.agg(F.max("v")).scalar()).withColumn("n", v.agg(F.count("*")).scalar())
     share = F.col("v") / F.col("t")
     return rows.select("c_mktsegment", (share * 360).alias("angle"), (share * 480000).alias("area"), (F.col("v") / F.col("m")).alias("radius"), (F.lit(360.0) / F.col("n")).alias("polar_angle"), F.greatest(F.lit(0.0), F.least(F.col("v") / 1e5, F.lit(100.0))).alias("radial"))
 
@@ -136,11 +149,12 @@ def longest_series(spark, sf_dir):
 
 
 @query("""
-SELECT event_type, count(*) AS n, min(event_id) AS first_x, count(y) = 0 AS all_null, min(y) = max(y) AS all_equal FROM (
-  SELECT event_type, event_id, CASE event_type WHEN 'error' THEN NULL WHEN 'view' THEN 1.0 ELSE value END AS y FROM events) GROUP BY 1
+WITH s AS (SELECT event_type, count(*) AS n, min(event_id) AS first_x, count(y) = 0 AS all_null, min(y) = max(y) AS all_equal FROM (
+  SELECT event_type, event_id, CASE event_type WHEN 'error' THEN NULL WHEN 'view' THEN 1.0 ELSE value END AS y FROM events) GROUP BY 1)
+SELECT *, (SELECT count(DISTINCT first_x) FROM s) <= 1 AS shared_first_x FROM s
 """)
 def series_facts(spark, sf_dir):
-    """All null, all equal, first x."""
+    """All null, all equal, first x and whether all series share it."""
     y = F.when(F.col("event_type") == "error", F.lit(None)).when(F.col("event_type") == "view", 1.0).otherwise(F.col("value"))
     return A.series_facts(table(spark, sf_dir, "events").withColumn("y", y), ["event_type"], "event_id", "y")
 
@@ -151,7 +165,7 @@ SELECT l_linenumber, l_returnflag, CASE WHEN l_returnflag = 'N' THEN 0.0::DOUBLE
 def hidden_series(spark, sf_dir):
     """Hidden series left out, or zero where bars are stacked."""
     li = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'A'")
-    return A.totals_by(li.withColumn("v", F.when(F.col("l_returnflag") == "N", F.lit(0.0)).otherwise(F.col("l_quantity"))), ["l_linenumber", "l_returnflag"], "v")
+    return A.totals_by(li.withColumn("v", F.when(F.col("l_returnflag") == "N", F.lit(0.0)).otherwise(F.col("l_quantity"))), ["l_linenumber", "l_returnflag"], "v", digits=CENTS)
 
 
 @query("""
@@ -189,7 +203,7 @@ def bucket_by_unit(spark, sf_dir):
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     unit = e.agg(T.unit_of((F.max(us) - F.min(us)) / 1e6)).scalar()
     at = T.truncated(F.col("ts"), F.col("unit"))
-    return e.withColumn("unit", unit).groupBy("event_type", at.alias("at")).agg(F.count("*").alias("n"), exact_sum(F.col("value")).alias("total"))
+    return e.withColumn("unit", unit).groupBy("event_type", at.alias("at")).agg(F.count("*").alias("n"), summed(F.col("value"), CENTS).alias("total"))
 
 
 @query("""
@@ -247,28 +261,39 @@ def padded_limits(spark, sf_dir):
 
 
 @query("""
-SELECT CASE WHEN event_type IN ('click', 'view') THEN 'left' ELSE 'right' END AS scale, min(value) FILTER (WHERE event_type <> 'error' AND event_id BETWEEN 50 AND 800) AS y_min,
-       max(value) FILTER (WHERE event_type <> 'error' AND event_id BETWEEN 50 AND 800) AS y_max FROM events GROUP BY 1
+WITH w AS (SELECT min(epoch_us(ts)) AS a, max(epoch_us(ts)) - min(epoch_us(ts)) AS d FROM events)
+SELECT CASE WHEN event_type IN ('click', 'view') THEN 'left' ELSE 'right' END AS scale, min(value) FILTER (WHERE event_type <> 'error' AND epoch_us(ts) BETWEEN a + d // 10 AND a + d * 8 // 10) AS y_min,
+       max(value) FILTER (WHERE event_type <> 'error' AND epoch_us(ts) BETWEEN a + d // 10 AND a + d * 8 // 10) AS y_max FROM events, w GROUP BY 1
 """)
 def scale_extents(spark, sf_dir):
     """Extents of scales over visible series in a window."""
-    e = table(spark, sf_dir, "events").withColumn("scale", F.when(F.col("event_type").isin("click", "view"), "left").otherwise("right"))
-    return T.scale_extents(e, "scale", "event_id", "value", 50, 800, F.col("event_type") != "error")
+    e, low, high = _window(spark, sf_dir, 10, 1, 8)
+    e = e.withColumn("scale", F.when(F.col("event_type").isin("click", "view"), "left").otherwise("right"))
+    return T.scale_extents(e, "scale", "us", "value", low, high, F.col("event_type") != "error")
 
 
-@query("SELECT unnest([" + ", ".join(map(str, T.increments())) + "])::BIGINT AS ms")
+@query("""
+WITH w AS (SELECT unnest([1, 10, 100]) AS p), s AS (
+  SELECT CAST(m * p AS BIGINT) AS ms FROM w, (SELECT unnest([1, 2, 2.5, 5]) AS m) WHERE m * p % 1 = 0
+  UNION ALL SELECT unnest([1, 5, 10, 15, 30]) * 1000 UNION ALL SELECT unnest([1, 5, 10, 15, 30]) * 60000 UNION ALL SELECT unnest([1, 2, 3, 4, 6, 8, 12]) * 3600000
+  UNION ALL SELECT unnest([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 15]) * 86400000 UNION ALL SELECT unnest([1, 2, 3, 4, 6])::BIGINT * 2592000000 UNION ALL SELECT unnest([1, 2, 5, 10, 25, 50, 100])::BIGINT * 31536000000)
+SELECT ms FROM s
+""")
 def tick_increments(spark, sf_dir):
     """Tick sizes from 1 ms to 100 years."""
-    return spark.createDataFrame([(x,) for x in T.increments()], "ms long")
+    return spark.createDataFrame([(x,) for x in T.INCREMENTS], "ms long")
 
 
 @query("""
-SELECT label, total, row_number() OVER (ORDER BY label DESC) - 1 AS pos FROM (SELECT c_mktsegment AS label, CAST(sum(CAST(c_acctbal AS DECIMAL(20, 4))) AS DOUBLE) AS total FROM customer GROUP BY 1)
+WITH t AS (SELECT c_mktsegment AS label, CAST(sum(CAST(c_acctbal AS DECIMAL(20, 4))) AS DOUBLE) AS total, min(c_custkey) AS "at" FROM customer GROUP BY 1)
+SELECT 'ascending' AS how, label, total, row_number() OVER (ORDER BY label) - 1 AS pos FROM t UNION ALL SELECT 'descending', label, total, row_number() OVER (ORDER BY label DESC) - 1 FROM t
+UNION ALL SELECT 'reverse', label, total, row_number() OVER (ORDER BY "at" DESC) - 1 FROM t UNION ALL SELECT 'custom', label, total, row_number() OVER (ORDER BY length(label), total DESC) - 1 FROM t
 """)
 def legend_order(spark, sf_dir):
-    """Legend entries in descending order."""
-    t = A.totals_by(table(spark, sf_dir, "customer").withColumnRenamed("c_mktsegment", "label"), ["label"], "c_acctbal")
-    return t.withColumn("pos", F.row_number().over(Window.orderBy(F.col("label").desc())).cast("long") - 1)
+    """Legend entries in ascending, descending, reversed and a custom order."""
+    t = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("label")).agg(summed(F.col("c_acctbal"), CENTS).alias("total"), F.min("c_custkey").alias("at"))
+    ways = [(how, None) for how in ("ascending", "descending", "reverse")] + [("custom", [F.length("label"), F.col("total").desc()])]
+    return reduce(lambda a, b: a.union(b), [A.legend_positions(t, "label", "at", how, custom).select(F.lit(how).alias("how"), "label", "total", "pos") for how, custom in ways])
 
 
 @query("SELECT user_id, array_to_string(list_sort(list(DISTINCT CAST(floor(value / 100) * 100 AS BIGINT))), ',') AS thresholds FROM events GROUP BY user_id")
@@ -286,3 +311,68 @@ def chart_csv_rows(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("ts").cast("date").alias("day"), F.date_format(F.col("ts").cast("timestamp"), "dd, MMM").alias("label"), "event_type", F.lit(1).alias("label_"))
     wide = e.groupBy("day", "label").pivot("event_type", ["click", "view", "error"]).agg(F.count("label_"))
     return wide.select("day", F.replace("label", F.lit(","), F.lit("")).alias("label"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("click", "view", "error")])
+
+
+@query("""
+WITH s AS (SELECT s_nationkey, s_suppkey % 4 AS kind, s_acctbal AS y, s_acctbal - 100 AS lo, s_acctbal + 50 AS hi, CASE WHEN s_suppkey % 7 = 0 THEN 12000.0 END AS goal FROM supplier)
+SELECT s_nationkey, min(least(CASE WHEN kind = 0 THEN y ELSE lo END, goal)) AS y_min, max(greatest(CASE WHEN kind = 0 THEN y ELSE hi END, goal)) AS y_max FROM s GROUP BY 1
+""")
+def typed_y_range(spark, sf_dir):
+    """The y-range of line, range, candle and box series with goals."""
+    kind = F.element_at(F.array(*map(F.lit, ("line", "range", "candle", "box"))), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    s = table(spark, sf_dir, "supplier").select("s_nationkey", kind.alias("kind"), F.col("s_acctbal").alias("y"), (F.col("s_acctbal") - 100).alias("lo"), (F.col("s_acctbal") + 50).alias("hi"), F.when(F.col("s_suppkey") % 7 == 0, F.array(F.lit(12000.0))).alias("goals"))
+    return A.y_range(s, ["s_nationkey"], "kind", "y", "lo", "hi", "goals")
+
+
+@query(f"""
+SELECT strftime(day, '%Y-%m-%d') AS category, event_type || ' open' AS "column", o AS value FROM ({_CANDLES}) UNION ALL SELECT strftime(day, '%Y-%m-%d'), event_type || ' high', h FROM ({_CANDLES})
+UNION ALL SELECT strftime(day, '%Y-%m-%d'), event_type || ' low', l FROM ({_CANDLES}) UNION ALL SELECT strftime(day, '%Y-%m-%d'), event_type || ' close', c FROM ({_CANDLES})
+""")
+def candle_csv_cells(spark, sf_dir):
+    """Cells of an export of candles, a column for each of their values."""
+    parts = F.array(*[F.struct(F.concat("event_type", F.lit(f" {name}")).alias("column"), F.col(c).alias("value")) for name, c in (("open", "o"), ("high", "h"), ("low", "l"), ("close", "c"))])
+    return _candles(spark, sf_dir).select(F.date_format("day", "yyyy-MM-dd").alias("category"), F.inline(parts))
+
+
+@query("""
+WITH p AS (SELECT event_id, ts, ['years', 'half_year', 'months', 'months_fortnight', 'months_days', 'week_days', 'days', 'hours', 'minutes_fives', 'minutes', 'seconds_tens', 'seconds_fives', 'seconds'][CAST(event_id % 13 + 1 AS INTEGER)] AS unit FROM events)
+SELECT unit, CASE unit WHEN 'years' THEN date_trunc('year', ts) WHEN 'half_year' THEN date_trunc('year', ts) + to_months(CAST((month(ts) - 1) // 6 * 6 AS INTEGER)) WHEN 'months' THEN date_trunc('month', ts)
+  WHEN 'months_fortnight' THEN date_trunc('month', ts) + CASE WHEN day(ts) > 14 THEN INTERVAL 14 DAY ELSE INTERVAL 0 DAY END WHEN 'hours' THEN date_trunc('hour', ts)
+  WHEN 'minutes_fives' THEN time_bucket(INTERVAL 5 MINUTE, ts) WHEN 'minutes' THEN date_trunc('minute', ts) WHEN 'seconds_tens' THEN time_bucket(INTERVAL 10 SECOND, ts)
+  WHEN 'seconds_fives' THEN time_bucket(INTERVAL 5 SECOND, ts) WHEN 'seconds' THEN date_trunc('second', ts) ELSE date_trunc('day', ts) END AS at, count(*) AS n
+FROM p GROUP BY ALL
+""")
+def bucket_by_each_unit(spark, sf_dir):
+    """Buckets of every unit, fortnights and fives among them (B1)."""
+    names = [n for n, _ in T.UNITS] + ["seconds"]
+    e = table(spark, sf_dir, "events").withColumn("unit", F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % 13 + 1).cast("int")))
+    return e.groupBy("unit", T.truncated(F.col("ts"), F.col("unit")).alias("at")).agg(F.count("*").alias("n"))
+
+
+_STEP_SECONDS = "[1, 2, 5, 10, 30, 60, 120, 300, 600, 1800, 3600, 7200, 14400, 28800, 43200, 86400, 172800, 259200, 648000, 1296000, 2592000, 5184000, 7776000, 15552000, 31556952]"
+
+
+@query(f"""
+WITH g AS (SELECT event_id % 12 AS k, event_id // pow(2, event_id % 12)::BIGINT AS g, epoch_us(ts) AS us FROM events), r AS (SELECT k, g, (max(us) - min(us)) / 1e6 AS span FROM g GROUP BY ALL),
+s AS (SELECT unnest({_STEP_SECONDS}) AS len, generate_subscripts({_STEP_SECONDS}, 1) AS i), n AS (SELECT i, len, (len + lead(len) OVER (ORDER BY i)) / 2 AS until FROM s),
+u AS (SELECT i, unnest([1, 2, 5, 10, 30, 1, 2, 5, 10, 30, 1, 2, 4, 8, 12, 1, 2, 3, 0.25, 0.5, 1, 2, 3, 6, 1])::DOUBLE AS size FROM (SELECT 0 AS i)), z AS (SELECT row_number() OVER () AS i, size FROM u)
+SELECT k, g, z.size, CASE WHEN z.i <= 5 THEN 'second' WHEN z.i <= 10 THEN 'minute' WHEN z.i <= 15 THEN 'hour' WHEN z.i <= 18 THEN 'day' WHEN z.i <= 24 THEN 'month' ELSE 'year' END AS unit
+FROM r JOIN z ON z.i = coalesce((SELECT min(i) FROM n WHERE span / 8.0::DOUBLE < until), 25)
+""")
+def time_step_choice(spark, sf_dir):
+    """Size and unit of the steps for about eight ticks over a span (B2)."""
+    k = F.col("event_id") % 12
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    e = table(spark, sf_dir, "events").select(k.alias("k"), F.floor(F.col("event_id") / F.pow(F.lit(2.0), k)).cast("long").alias("g"), us.alias("us"))
+    return e.groupBy("k", "g").agg(((F.max("us") - F.min("us")) / 1e6).alias("span")).withColumn("_s", T.chosen_step(F.col("span"), 8)).select("k", "g", "_s.size", "_s.unit")
+
+
+@query("""
+WITH r AS (SELECT s_nationkey, min(s_acctbal) AS lo, max(s_acctbal) AS hi FROM supplier GROUP BY 1), f AS (SELECT s_nationkey, lo, CASE WHEN hi <= 0 THEN greatest(lo, 10.0) ELSE hi END AS hi FROM r),
+l AS (SELECT s_nationkey, ln(CASE WHEN lo <= 0 THEN least(hi, 10.0) ELSE lo END) / ln(10.0::DOUBLE) AS a, ln(hi) / ln(10.0::DOUBLE) AS b FROM f), n AS (SELECT *, CAST(floor(b - a + 0.5) AS INTEGER) AS n FROM l)
+SELECT s_nationkey, i, round(pow(10.0::DOUBLE, CASE WHEN i = n THEN b ELSE a + (b - a) / n * i END), 6) AS tick FROM (SELECT *, unnest(range(n + 1)) AS i FROM n)
+""")
+def log_spaced_ticks(spark, sf_dir):
+    """Ticks evenly spaced in the logarithm, ends exact."""
+    r = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.min("s_acctbal").alias("lo"), F.max("s_acctbal").alias("hi"))
+    return T.log_spaced(r, "lo", "hi").withColumn("tick", F.round("tick", 6))

@@ -41,6 +41,33 @@ def run_groups(spark, sf_dir):
     return _runs(spark, sf_dir).groupBy("user_id", "group_no", "group").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
 
 
+@query(_RUNS + """, h AS (SELECT *, coalesce(CAST(floor(value / 40) AS BIGINT)::VARCHAR, 'No group') AS inner_group FROM g),
+i AS (SELECT *, CASE WHEN lag(inner_group) OVER (PARTITION BY user_id, group_no ORDER BY ts) = inner_group THEN 0 ELSE 1 END AS fresh FROM h)
+SELECT user_id, event_id, "group" AS group_1, group_no AS group_no_1, inner_group AS group_2, CAST(sum(fresh) OVER (PARTITION BY user_id, group_no ORDER BY ts ROWS UNBOUNDED PRECEDING) AS BIGINT) AS group_no_2 FROM i""")
+def nested_run_groups(spark, sf_dir):
+    """Runs within runs."""
+    e = table(spark, sf_dir, "events").withColumn("kind", F.when(F.col("event_type") != "error", F.col("event_type"))).withColumn("size", F.floor(F.col("value") / 40).cast("long"))
+    return W.nested_runs(e, ["user_id"], ["ts"], ["kind", "size"]).select("user_id", "event_id", "group_1", "group_no_1", "group_2", "group_no_2")
+
+
+@query("""
+WITH p AS (SELECT user_id, epoch_us(ts) / 1e6 AS x, value AS y FROM events), l AS (SELECT *, lag(x) OVER w AS x0, lag(y) OVER w AS y0 FROM p WINDOW w AS (PARTITION BY user_id ORDER BY x)), t AS (SELECT unnest([10.0, 40.0, 90.0])::DOUBLE AS t)
+SELECT user_id, x, y, CAST(y >= 10 AS INTEGER) + CAST(y >= 40 AS INTEGER) + CAST(y >= 90 AS INTEGER) AS band, FALSE AS crossing FROM p
+UNION ALL SELECT user_id, x0 + (t - y0) * (x - x0) / (y - y0), t, CAST(t >= 10 AS INTEGER) + CAST(t >= 40 AS INTEGER) + CAST(t >= 90 AS INTEGER), TRUE FROM l, t WHERE y0 IS NOT NULL AND least(y, y0) < t AND t < greatest(y, y0)
+""")
+def threshold_bands(spark, sf_dir):
+    """Bands of a series between several ascending thresholds, with all crossings."""
+    e = table(spark, sf_dir, "events").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("x"), F.col("value").alias("y"))
+    return W.bands(e, ["user_id"], [90, 10, 40])
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity AS c1, l_quantity + 2.5::DOUBLE AS c2, l_quantity + 5.0::DOUBLE AS c3, l_quantity AS d2 FROM lineitem")
+def autofill_right(spark, sf_dir):
+    """Columns filled from the first one, as a series and as a copy."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("c1"), F.col("l_tax").alias("c2"), F.col("l_discount").alias("c3"))
+    return li.select("l_orderkey", "l_linenumber", *W.fill_right(["c1", "c2", "c3"], 2.5), W.fill_right(["c1", "c2"])[1].alias("d2"))
+
+
 @query(_RUNS + """SELECT user_id, group_no, "group", 1 AS level, CAST(1 AS BIGINT) AS n, event_id FROM g
 UNION ALL SELECT user_id, group_no, "group", 0, count(*), -1 FROM g GROUP BY ALL""")
 def run_headers(spark, sf_dir):

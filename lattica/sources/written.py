@@ -4,16 +4,26 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no folder, as in tests.
+#: Used only where the session names no folder and runs in one process, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir`` (or of ``setCheckpointDir``), which a cluster must name."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        named = set_dir.get() if set_dir.isDefined() else None
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("a cluster needs a shared folder in spark.checkpoint.dir: executors and the driver share no local one")
+    return (named or LOCAL_CHECKPOINTS).rstrip("/")
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df``, written as Parquet and read again: evaluated once, and safe if executors are lost."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
-    path = f"{folder.rstrip('/')}/lattica-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/lattica-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
