@@ -6,8 +6,8 @@ miss is found by prefixes: two sets with a similarity of s or more share one of
 n - ceil(s n) + 1 shingles of each in any common order. The order here has the commonest
 shingles last and is that of the hashes else, so that a passage that many documents share
 makes candidates only of documents that hold little besides. In the list of a shingle
-every member is held against one of another component, and when that joins no more,
-against all that are still apart, in pairs of blocks. A candidate whose sizes or folded
+every member is held against one or two of another component, the same in most lists,
+and when that joins no more, against all that are still apart, in pairs of blocks. A candidate whose sizes or folded
 sets (parities of 1,024 buckets, for long documents of at least four for each shingle,
 which differ in no more places than the sets differ in shingles) rule similarity out
 goes; all others are verified on the whole sets, so the components are exactly those of
@@ -39,8 +39,8 @@ from .store import components, dropped, in_block_pairs, map_arrow, saved
 SHINGLE = 5
 #: The least similarity, 4/5, in whole numbers.
 PART, WHOLE = 4, 5
-#: Rounds, at most, against one member of a list.
-ROUNDS = 3
+#: Rounds, at most, against one member of a list, and members of its lists that a class meets in a round.
+ROUNDS, HUBS = 8, 2
 #: Common shingles, at most, that the order knows; shingles that are counted at once, and the part of a chunk's documents that makes one common.
 COMMON, CHUNK, OFTEN = 65_536, 4_000_000, 512
 #: Bits of a folded set; sets of more shingles than that have a wide one too, of ``WIDE`` bits a shingle at least.
@@ -235,7 +235,10 @@ def near_copies(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     at = _apart(lists, edges)
     for turn in range(ROUNDS):
         hub = _open(at, turn).select("gram", F.col("hub.node").alias("b"), F.col("hub.n").alias("m"), F.col("hub.part").alias("other"))
-        found = verified(at.join(hub, "gram").where(F.col("part") != F.col("other")).where(_near_sizes("n", "m")).select(F.col("node").alias("a"), "b"))
+        met = at.join(hub, "gram").where(F.col("part") != F.col("other")).where(_near_sizes("n", "m"))
+        # a class has a hub for each shingle of its prefix at most; the same few come first in all lists
+        few = F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64("b", F.lit(turn)).alias("h"), "b"))), F.lit(1), F.lit(HUBS))
+        found = verified(met.groupBy(F.col("node").alias("a")).agg(few.alias("hubs")).select("a", F.explode("hubs.b").alias("b")))
         if not found.limit(1).count():
             break
         edges = edges.union(found)
