@@ -5,12 +5,14 @@ the dialogue is rendered once with that speaker as the assistant and all other s
 as named users. The mask says which characters are trained on: those of the assistant's
 texts, as half-open character spans of the rendered text.
 
-Turns meet their conversation's participants by an equi-join on conv_id, so the work
-grows with turns times participants of one conversation, which is what is put out.
+A conversation's turns are shuffled once, by conv_id; participants, places and rendering
+are windows and aggregates over that distribution. The work grows with turns times
+participants of one conversation, which is what is put out.
 
 Defined results: turns are ordered by (turn, role, text), nulls first, and repeated
-turns are rendered as often as they occur; a null role speaks as ``unknown``; a null
-text is ''; a conversation without participants (system turns only) has no rendering;
+turns are rendered as often as they occur; a null role speaks as ``unknown``, and is one
+speaker with a role of that name; a role is written as it is, marks and all; a null text is
+'', a text of any length is rendered whole; a conversation without participants (system turns only) has no rendering;
 a null conv_id is one conversation; other columns are ignored; an empty table gives an
 empty result.
 """
@@ -26,8 +28,8 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 def perspectives(turns: DataFrame) -> DataFrame:
     """(conv_id, perspective, n_turns, n_trained, trained_chars, rendered, mask)."""
     said = turns.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    speakers = said.where("role <> 'system'").groupBy(F.col("conv_id").alias("_c"), F.col("role").alias("perspective")).agg(F.lit(1).alias("one")).drop("one")
-    each = said.join(speakers, F.col("conv_id").eqNullSafe(F.col("_c"))).drop("_c")
+    speakers = F.collect_set(F.when(F.col("role") != "system", F.col("role"))).over(Window.partitionBy("conv_id"))
+    each = said.withColumn("speakers", speakers).select("conv_id", "turn", "role", "text", F.explode("speakers").alias("perspective"))
     own = F.col("role") == F.col("perspective")
     head = F.concat(F.lit(OPEN), F.when(own, F.lit("assistant")).when(F.col("role") == "system", F.lit("system")).otherwise(F.concat(F.lit("user name="), F.col("role"))), F.lit("\n"))
     order = Window.partitionBy("conv_id", "perspective").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
@@ -46,6 +48,7 @@ def perspectives(turns: DataFrame) -> DataFrame:
 
 
 def op5_chat_perspectives(spark, sf_dir: str) -> DataFrame:
+    """Every conversation from the perspective of each of its participants."""
     return perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 

@@ -10,7 +10,7 @@ between those positions, so a text's reassembly is linear in its lines.
 Defined results: a null or empty text is one empty line and stays ''; empty keys are
 never dropped; a document is a doc_id, so repeated rows count once and are treated
 alike; rows with a null id are kept and count as one document; other columns pass
-through ``dedup``, but ones named n_lines or n_dropped are replaced; an empty table
+through ``dedup``, but ones named as the counts are replaced; an empty table
 gives an empty result.
 """
 
@@ -37,8 +37,8 @@ def _lines(text):
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_length: int = 1) -> DataFrame:
-    """``docs`` with its columns, ``text`` reassembled, and ``n_lines`` and ``n_dropped`` added."""
+def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_length: int = 1, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """``docs`` with its columns, ``text`` reassembled, and its lines and dropped lines counted in ``counts``."""
     mark = F.xxhash64(F.coalesce("text", F.lit("")))
     lines = docs.select(F.col("doc_id").alias("id"), mark.alias("mark"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
     keys = lines.select("id", "mark", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_length)
@@ -56,8 +56,8 @@ def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_length: int = 1) -> Dat
     whole = F.coalesce(F.col("text"), F.lit(""))
     out = joined.withColumns(
         {
-            "n_lines": n.cast("long"),
-            "n_dropped": F.coalesce(F.size(at_), F.lit(0)).cast("long"),
+            counts[0]: n.cast("long"),
+            counts[1]: F.coalesce(F.size(at_), F.lit(0)).cast("long"),
             "text": F.when(F.col(at_).isNull(), whole).otherwise(F.array_join(F.flatten(runs), "\n")),
         }
     )

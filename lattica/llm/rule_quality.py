@@ -9,7 +9,8 @@ functions over all documents and ships no model.
 Only the sample's statistics reach the driver: at most ``SAMPLE`` rows, chosen by a hash
 of doc_id among labelled documents that are not held out.
 
-Defined results: a null or empty text has all statistics zero and a score; a document is
+Defined results: a null or empty text has all statistics zero and a score; a text of any
+length is split and scored whole; of a labelled id that repeats, the smallest text is learned; a document is
 held out if crc32 of its id as text modulo 3 is 1, and a null id is never held out nor
 learned from; where labels repeat, the largest counts, and null labels count as none;
 without labels of both classes every score is the share of label 1 (0.5 if there is
@@ -197,8 +198,9 @@ def trained(docs: DataFrame, labels: DataFrame, label: str = "quality", sample:
     known = known.groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("_y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # a top-k on each task, then one of those
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows of two numbers
+    texts = texts.groupBy("doc_id", "_y").agg(F.min("text").alias("text"))  # of repeated ids one text, so that no more rows reach the driver
     told, names, s_ = with_statistics(texts)
-    rows = told.select("doc_id", "_y", *[F.col(f"{s_}.{n}").alias(n) for n in names]).toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    rows = told.select("doc_id", "_y", *[F.col(f"{s_}.{n}").alias(n) for n in names]).toPandas().sort_values("doc_id")
     return RuleEnsemble.fitted(names, rows[names].to_numpy(dtype=np.float64).reshape(-1, len(names)), rows["_y"].to_numpy(dtype=np.float64))
 
 
@@ -210,6 +212,7 @@ def scored(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
 
 
 def op2_rule_ensemble(spark, sf_dir: str) -> DataFrame:
+    """Every document's score by the rules learned from labels that are not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = trained(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored(docs, model).select("doc_id", "held_out", "score", "predicted")

@@ -3,6 +3,11 @@
 All but the last keep the columns of ``docs``. What a stage decides takes effect:
 rejected documents, shared lines and near copies go, documents are repeated or left out
 by the mix, and the last stage puts out the packed pieces.
+
+Defined results, in every stage: null and empty texts, null ids, ties and repeated rows are
+those of the operator that the stage calls; a text of any length is one document; columns
+besides ``doc_id``, ``text`` and ``source`` pass through unchanged, whatever they are called
+(but ``n_chars``, which follows a changed text); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import cost_packing, line_dedup, rule_quality, shingle_overlap, source_mixing
-from .store import quoted, saved
+from .store import fresh, quoted, saved
 
 
 def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +28,7 @@ def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that many share; ``n_chars``, if there, follows the text."""
-    out = line_dedup.dedup(docs)
+    out = line_dedup.dedup(docs, counts=tuple(fresh(docs, "_lines", "_dropped")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*quoted(docs.columns))

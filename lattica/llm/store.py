@@ -13,13 +13,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no folder, as in tests.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+from lattica.sources.written import shared_folder
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``, or a local one where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
+    """The shared folder of ``spark.checkpoint.dir``; a local one only without a cluster."""
+    return shared_folder(spark)
 
 
 def saved(df: DataFrame) -> DataFrame:

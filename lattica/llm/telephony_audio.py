@@ -32,7 +32,7 @@ RATE, RESAMPLED = 8000, 16000
 ALAW, MULAW, IMA = 6, 7, 17
 NAMES = {ALAW: "alaw", MULAW: "mulaw", IMA: "ima_adpcm"}
 #: Blocks decoded at once, and bytes of text handled at once.
-BLOCKS, HELD = 16_384, 16 << 20
+BLOCKS, HELD = 16_384, 4 << 20
 
 # Fixed values of the IMA ADPCM format.
 IMA_INDEX = np.array([-1, -1, -1, -1, 2, 4, 6, 8, -1, -1, -1, -1, 2, 4, 6, 8], dtype=np.int32)
@@ -97,13 +97,13 @@ def padded(text: bytes, unit: int = UNIT) -> bytes:
 
 def stored(payload: bytes, codec: int, unit: int = UNIT) -> bytes:
     """The WAV file that holds ``payload`` in its samples."""
-    if codec == IMA:  # every block: predictor 0, index 0, then its nibbles
+    if codec == IMA:  # every block: its first sample 0, index 0, then its nibbles
         body = b"".join(b"\0\0\0\0" + payload[i : i + unit] for i in range(0, len(payload), unit))
         align, bits, extra = unit + 4, 4, struct.pack("<HH", 2, 2 * unit + 1)
         per_second = RATE * align // (2 * unit + 1)
     else:
         body, align, bits, extra, per_second = payload, 1, 8, struct.pack("<H", 0), RATE
-    samples = len(payload) * 2 if codec == IMA else len(payload)
+    samples = len(body) // align * (2 * unit + 1) if codec == IMA else len(payload)
     fmt = struct.pack("<HHIIHH", codec, 1, RATE, per_second, align, bits) + extra
     chunks = b"fmt " + struct.pack("<I", len(fmt)) + fmt + b"fact" + struct.pack("<II", 4, samples) + b"data" + struct.pack("<I", len(body)) + body + b"\0" * (len(body) & 1)
     return b"RIFF" + struct.pack("<I", 4 + len(chunks)) + b"WAVE" + chunks
@@ -138,6 +138,7 @@ def decoded(files: list[tuple[int, np.ndarray]]) -> list[np.ndarray]:
     every = np.concatenate([files[i][1] for i in ima])
     predictor, index = every[:, :2].copy().view("<i2").ravel(), np.minimum(every[:, 2], 88)
     pcm = np.concatenate([decode_blocks(every[at : at + BLOCKS, 4:], predictor[at : at + BLOCKS], index[at : at + BLOCKS]) for at in range(0, len(every), BLOCKS)])
+    pcm = np.hstack([predictor[:, None], pcm])  # a block's header is its first sample
     ends = np.cumsum([len(files[i][1]) for i in ima])
     for i, part in zip(ima, np.split(pcm, ends[:-1]), strict=True):
         out[i] = part.ravel()
@@ -205,5 +206,5 @@ def audio(docs: DataFrame, unit: int = UNIT, media: bool = True, pcm: bool = Tru
 
 
 def op9_telephony_audio(spark, sf_dir: str) -> DataFrame:
-    """Every document through its stored audio form and back."""
-    return audio(spark.read.parquet(f"{sf_dir}/documents.parquet"), media=False, pcm=False)
+    """Every document through its stored audio form and back, with the form and its resampled PCM as columns."""
+    return audio(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -25,6 +26,32 @@ def test_held_out_labels_are_not_learned_from(spark):
     assert R.trained(docs, labels) == R.trained(docs, turned)
 
 
+def plain_statistics(text):
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    n = max(1, len(w))
+    found = lambda p: len(re.findall(p, text)) / n
+    return [
+        len(w), len(text) / n, len(set(w)) / n, sum(a == b for a, b in zip(w, w[1:], strict=False)) / n, sum(len(x) <= 3 for x in w) / n, found(r"\|"), found("!"), found(r"[#$%&*@~^=<>_{}\[\]\\+]+"),
+        found("[A-Z]"), found("[0-9]+"), found("[.?]"), found(","), found("\n"),
+    ]
+
+
+def test_statistics_by_plain_python(spark):
+    docs = cases.documents(spark).select("text").union(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text"))
+    told, names, s_ = R.with_statistics(docs)
+    rows = told.select("text", *[F.col(f"{s_}.{n}").alias(n) for n in names]).collect()
+    assert names == ["words", "word_length", "distinct", "repeats", "short", "pipes", "bangs", "symbols", "capitals", "digits", "stops", "commas", "lines"]
+    for r in rows:
+        assert np.allclose([r[n] for n in names], plain_statistics(r.text), rtol=1e-12)
+
+
+def test_a_repeated_labelled_id_is_one_row(spark):
+    docs = spark.createDataFrame([(2, "a text of words"), (3, "ooo ||| !!!")] + [(2, "a text of words")] * 5000, "doc_id long, text string")
+    labels = spark.createDataFrame([(2, 1), (3, 0)], "doc_id long, quality int")
+    assert R.trained(docs, labels) == R.trained(docs.distinct(), labels)
+
+
 def test_compiled_score_is_the_model(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = R.trained(docs, spark.read.parquet(f"{SF}/labels.parquet"), sample=100)

@@ -1,5 +1,7 @@
 import hashlib
+import math
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -50,6 +52,55 @@ def test_wav_is_readable_as_a_riff_file():
     assert int.from_bytes(media[4:8], "little") == len(media) - 8
 
 
+def plain_pcm(media):
+    """Format tag and PCM of a WAV file, chunk by chunk and sample by sample."""
+    chunks, at = {}, 12
+    while at < len(media):
+        size = int.from_bytes(media[at + 4 : at + 8], "little")
+        chunks[media[at : at + 4]] = media[at + 8 : at + 8 + size]
+        at += 8 + size + size % 2
+    tag, channels, rate, _, align, bits = struct.unpack_from("<HHIIHH", chunks[b"fmt "])
+    assert (channels, rate) == (1, 8000) and bits == (4 if tag == 17 else 8)
+    out, data = [], chunks[b"data"]
+    if tag == 17:
+        per_block = struct.unpack_from("<H", chunks[b"fmt "], 18)[0]
+        for k in range(0, len(data), align):
+            first = int.from_bytes(data[k : k + 2], "little", signed=True)
+            block = [first, *slow_ima(data[k + 4 : k + align], first, data[k + 2])]
+            assert len(block) == per_block
+            out += block
+    for b in data if tag == 7 else b"":
+        b = ~b & 255
+        size = ((b & 15) * 2 + 33 << (b >> 4 & 7)) - 33 << 2
+        out.append(-size if b & 128 else size)
+    for b in data if tag == 6 else b"":
+        b ^= 0x55
+        e, m = b >> 4 & 7, b & 15
+        size = (m * 16 + 8) if e == 0 else (m * 16 + 264) * 2 ** (e - 1)
+        out.append(size if b & 128 else -size)
+    assert int.from_bytes(chunks[b"fact"], "little") == len(out)
+    return tag, out
+
+
+def test_query_rows_by_plain_decoding(spark):
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    rows = T.op9_telephony_audio(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    for r in rows:
+        text = docs[r.doc_id]
+        payload = text + b" " * (max(1, -(-len(text) // 192)) * 192 - len(text))
+        assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (len(text), len(payload), zlib.crc32(payload[-16:])) and r.payload_sha256 == hashlib.sha256(payload).hexdigest()
+        if len(payload) > 6000:
+            continue  # slow by hand
+        tag, pcm = plain_pcm(bytes(r.media))
+        ahead = pcm[1:] + pcm[-1:]
+        twice = [v for a, b in zip(pcm, ahead, strict=True) for v in (a, (a + b) // 2)]
+        assert struct.pack(f"<{len(twice)}h", *twice) == bytes(r.pcm)
+        rms = math.isqrt(sum(v * v for v in twice) // len(twice))
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(twice, twice[1:], strict=False))
+        assert r.feature == f"codec={T.NAMES[tag]};rate=16000;samples={len(twice)};rms={rms};peak={max(map(abs, twice))};crossings={crossings};pcm_crc32={zlib.crc32(bytes(r.pcm))}"
+
+
 def test_resampling():
     assert T.resampled(np.array([0, 10, -10], dtype=np.int16)).tolist() == [0, 5, 10, 0, -10, -10]
     assert len(T.resampled(np.arange(80, dtype=np.int16), 8000, 11025)) == 110 and len(T.resampled(np.zeros(0, np.int16))) == 0
