@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .simhash_vptree import links, majority, shingles
@@ -40,7 +40,7 @@ SHINGLE = 5
 #: The least similarity, 4/5, in whole numbers.
 PART, WHOLE = 4, 5
 #: Rounds, at most, against one member of a list, and members of its lists that a class meets in a round.
-ROUNDS, HUBS = 8, 2
+ROUNDS, HUBS = 2, 2
 #: Common shingles, at most, that the order knows; shingles that are counted at once, and the part of a chunk's documents that makes one common.
 COMMON, CHUNK, OFTEN = 65_536, 4_000_000, 512
 #: Bits of a folded set; sets of more shingles than that have a wide one too, of ``WIDE`` bits a shingle at least.
@@ -197,22 +197,26 @@ def _near_sizes(a: str, b: str):
 
 
 def _lists(prefixes: DataFrame) -> DataFrame:
-    """(gram, node, n), written: the shingles that prefixes of several classes share."""
+    """(gram, node, n, central), written: the shingles that prefixes of several classes share,
+    and what part of its set that is for each class: most for the one that a group's others are edits of."""
     every = prefixes.select("node", "n", F.explode("grams").alias("gram"))
     several = every.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("gram")
-    return saved(every.join(several, "gram").select("gram", "node", "n"))
+    shared = every.join(several, "gram").select("gram", "node", "n")
+    return saved(shared.withColumn("central", F.count("*").over(Window.partitionBy("node")) / F.col("n")))
 
 
 def _apart(lists: DataFrame, edges: DataFrame) -> DataFrame:
     """The lists with the component of each member, written."""
     labels = components(edges)
-    return saved(lists.join(labels, "node", "left").select("gram", "node", "n", F.coalesce("label", "node").alias("part")))
+    return saved(lists.join(labels, "node", "left").select("gram", "node", "n", "central", F.coalesce("label", "node").alias("part")))
 
 
 def _open(at: DataFrame, turn: int) -> DataFrame:
-    """(gram, size, hub): the lists that hold several components, with their length and one member."""
-    several = at.groupBy("gram").agg(F.count("*").alias("size"), F.min_by(F.struct("node", "n", "part"), F.xxhash64("node", F.lit(turn))).alias("hub"), F.min("part").alias("low"), F.max("part").alias("high"))
-    return several.where("low < high").select("gram", "size", "hub")
+    """(gram, size, hub): the lists that hold several components, with their length and one
+    member: the most central one at first, later ones more and more at random."""
+    chance = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1000)) * F.lit(0.0002 * turn)
+    several = at.groupBy("gram").agg(F.count("*").alias("size"), F.max_by(F.struct("node", "n", "part"), F.struct((F.col("central") + chance).alias("c"), "node")).alias("hub"), F.max(F.col("central") + chance).alias("c"), F.min("part").alias("low"), F.max("part").alias("high"))
+    return several.where("low < high").select("gram", "size", "hub", "c")
 
 
 def near_copies(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -234,19 +238,21 @@ def near_copies(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     dropped(prefixes)
     at = _apart(lists, edges)
     for turn in range(ROUNDS):
-        hub = _open(at, turn).select("gram", F.col("hub.node").alias("b"), F.col("hub.n").alias("m"), F.col("hub.part").alias("other"))
+        hub = _open(at, turn).select("gram", "c", F.col("hub.node").alias("b"), F.col("hub.n").alias("m"), F.col("hub.part").alias("other"))
         met = at.join(hub, "gram").where(F.col("part") != F.col("other")).where(_near_sizes("n", "m"))
         # a class has a hub for each shingle of its prefix at most; the same few come first in all lists
-        few = F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64("b", F.lit(turn)).alias("h"), "b"))), F.lit(1), F.lit(HUBS))
+        few = F.slice(F.sort_array(F.collect_set(F.struct("c", "b")), False), F.lit(1), F.lit(HUBS))
         found = verified(met.groupBy(F.col("node").alias("a")).agg(few.alias("hubs")).select("a", F.explode("hubs.b").alias("b")))
         if not found.limit(1).count():
             break
         edges = edges.union(found)
         dropped(at)
         at = _apart(lists, edges)
-    dealt = saved(in_block_pairs(at.join(_open(at, 0).select("gram", "size"), "gram"), "size", "node", BLOCK))
-    mine, other = dealt.select("gram", "block_i", "block_j", "node", "n", "part", "own"), dealt.select("gram", "block_i", "block_j", F.col("node").alias("b"), F.col("n").alias("m"), F.col("part").alias("other"), F.col("own").alias("own_b"))
+    left = at.join(_open(at, 0).select("gram", "size"), "gram").join(full.select("node", "fold"), "node")
+    dealt = saved(in_block_pairs(left, "size", "node", BLOCK))
+    mine, other = dealt.select("gram", "block_i", "block_j", "node", "n", "part", "own", "fold"), dealt.select("gram", "block_i", "block_j", F.col("node").alias("b"), F.col("n").alias("m"), F.col("part").alias("other"), F.col("own").alias("own_b"), F.col("fold").alias("fold_b"))
     rest = mine.join(other, ["gram", "block_i", "block_j"]).where("part < other and (block_i = block_j or own <> own_b)").where(_near_sizes("n", "m"))
+    rest = rest.where(_differ(F.col("fold"), F.col("fold_b")) * (PART + WHOLE) <= (F.col("n") + F.col("m")) * (WHOLE - PART))  # within the join: no pair is put out that sizes or folds rule out
     labels = components(edges.union(verified(rest.select(F.col("node").alias("a"), "b"))))
     named = classes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
