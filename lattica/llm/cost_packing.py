@@ -166,7 +166,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 ids = words.ids(text.as_py() or b"") + last
                 at, n = 0, len(ids) // 4
-                own = (doc, zlib.crc32(ids))
+                own = (doc, n)  # rows of one id and length count as repeated
                 copy = seen[own] and hash((task, no, seen[own])) >> 1
                 seen[own] += 1
                 for size in cuts(n, capacity):
