@@ -11,9 +11,15 @@ further by a tree of its own, in memory, down to leaves that are compared whole.
 gives one edge for each member of a local component, so links grow with the documents
 and not with the square of a group of copies.
 
-The driver's tree is bounded by its sample; when documents outgrow it, shards grow, not
-the driver: 16,000 shards of a million points are 16 billion distinct fingerprints, at
-16 MB a task. A shard beyond ``BLOCK`` points is dealt over pairs of blocks.
+Copies: most distances to a vantage point lie near 32 bits, so each level copies about a
+fifth of the points and a tree of L levels sends a point to about 1.2^L shards. Shards
+are therefore halved, from ``LARGEST`` points down to ``SHARD``, only as long as the tree
+copies a point ``COPIES`` times or less on average (measured on the sample). Where shards
+of ``LARGEST`` are copied more often than that, copies grow about as the cube root of the
+fingerprints, at 20 bytes each: on random ones 2.9 for a million, 4.0 for ten million, 8.8
+for a hundred million and 18.6 for a billion. The tree is bounded by its sample: when
+documents outgrow it, shards grow, not the driver, and a shard beyond ``BLOCK`` points is
+dealt over pairs of blocks.
 
 Defined results: a null or empty text has no shingles and fingerprint zero; rows with
 equal texts have equal fingerprints; a row with a null id gets its fingerprint and
@@ -36,6 +42,8 @@ from .store import components, in_block_pairs, local_roots, map_arrow, map_group
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Points in a shard, about, and in a leaf of its own tree; points in a block of a shard that is too large for one task.
 SHARD, LEAF, BLOCK = 8192, 1024, 1 << 20
+#: Copies of a point, on average, from which shards grow instead, and the points they grow to.
+COPIES, LARGEST = 3.0, 1 << 18
 #: Fingerprints, at most, that the driver sees to choose vantage points.
 SAMPLE = 262_144
 
@@ -100,16 +108,19 @@ class VantageTree:
         return at
 
     def _split(self, points: np.ndarray):
-        """The vantage and radius that copy the fewest points while both sides shrink."""
-        best, least = None, None
+        """The vantage and radius that copy the fewest points for what they divide, while both sides shrink."""
+        best, least = None, np.inf
         some = points[:: max(1, len(points) // 2048)]
         for v in points[:: max(1, len(points) // 12)][:12]:
-            d = np.bitwise_count(some ^ v).astype(np.int64)
-            for q in (35, 50, 65):
-                cut = int(np.percentile(d, q))
-                near, far = np.count_nonzero(d <= cut), np.count_nonzero(d > cut - self.radius)
-                if max(near, far) <= 0.8 * len(some) and (least is None or near + far < least):
-                    best, least = (v, cut), near + far
+            within = np.bincount(np.bitwise_count(some ^ v), minlength=65).cumsum() / len(some)  # share of points within each distance
+            near, far = within[self.radius : 64], 1 - within[: 64 - self.radius]
+            fits = np.flatnonzero((np.maximum(near, far) <= 0.8) & (np.minimum(near, far) > 0))
+            if not len(fits):
+                continue
+            near, far = near[fits], far[fits]
+            cost = np.log(near + far) / -(near * np.log(near) + far * np.log(far))
+            if cost.min() < least:
+                best, least = (v, int(fits[cost.argmin()]) + self.radius), cost.min()
         if best is None:
             return None
         return best[0], best[1], np.bitwise_count(points ^ best[0]).astype(np.int64)
@@ -180,13 +191,27 @@ def _compared(radius: int, leaf: int):
     return run
 
 
-def links(points: DataFrame, radius: int = RADIUS, shard: int = SHARD, leaf: int = LEAF, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+def fitted(sample: np.ndarray, total: int, radius: int, shard: int = SHARD, copies: float = COPIES, largest: int = LARGEST) -> tuple[VantageTree, float]:
+    """The tree with the smallest shards that copies a point at most ``copies`` times on average, and how often it does."""
+    probe = np.unique(sample)[:: max(1, len(sample) // 20_000)]
+    best, size = None, max(shard, largest)
+    while True:
+        tree = VantageTree(sample, total, size, radius)
+        factor = len(tree.route(probe)[0]) / max(1, len(probe))
+        if best is None or factor <= copies:
+            best = tree, factor
+        if factor > copies or size <= shard:
+            return best
+        size = max(shard, size // 2)
+
+
+def links(points: DataFrame, radius: int = RADIUS, shard: int = SHARD, leaf: int = LEAF, sample: int = SAMPLE, block: int = BLOCK, copies: float = COPIES) -> DataFrame:
     """Edges (a, b) that connect exactly the ``node``s whose ``fp`` are joined by chains
     of points within ``radius`` bits. ``points``: written table of distinct fps."""
     spark = points.sparkSession
     total = points.count()
     some = points.select("fp").where(F.pmod(F.xxhash64("fp"), F.lit(max(4, -(-total // sample)))) == 0) if total > shard else points.limit(0)
-    tree = VantageTree(np.array([r.fp for r in some.collect()], dtype=np.int64).view(np.uint64), total, shard, radius)
+    tree, _ = fitted(np.array([r.fp for r in some.collect()], dtype=np.int64).view(np.uint64), total, radius, shard, copies)
     shared = spark.sparkContext.broadcast(tree)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -57,15 +57,25 @@ def test_components_of_awkward_documents(spark):
     assert S.near_duplicates(cases.empty(spark)).collect() == []
 
 
-@pytest.mark.parametrize(("shard", "leaf", "block"), [(16, 16, 10_000), (64, 20, 10_000), (5000, 40, 10_000), (100, 5000, 30), (5000, 5000, 100)])
-def test_tree_finds_every_link(spark, shard, leaf, block):
+def test_shards_grow_where_points_would_be_copied_too_often():
+    rng = np.random.default_rng(2)
+    points = rng.integers(0, 1 << 63, 100_000, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 100_000, dtype=np.uint64)
+    for total, most in ((100_000, 3.0), (1_000_000, 3.0), (10_000_000, 4.5)):
+        tree, told = S.fitted(points[:50_000], total, 2)
+        rows, shards = tree.route(points[50_000:])
+        assert tree.leaves > 8 and len(rows) / 50_000 < most and told < most
+        assert np.bincount(shards).max() / 50_000 * total < S.BLOCK
+
+
+@pytest.mark.parametrize(("shard", "leaf", "block", "copies"), [(16, 16, 10_000, 99), (64, 20, 10_000, 99), (64, 20, 10_000, 3), (5000, 40, 10_000, 3), (100, 5000, 30, 99), (5000, 5000, 100, 3)])
+def test_tree_finds_every_link(spark, shard, leaf, block, copies):
     rng = np.random.default_rng(5)
     centres = rng.integers(0, 1 << 63, 150, dtype=np.uint64)
     flips = lambda x, n: x ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, n, dtype=np.uint64))
     points = np.unique(np.concatenate([centres, [flips(c, k % 4 + 1) for k, c in enumerate(centres)], [flips(centres[0], 2) for _ in range(120)], rng.integers(0, 1 << 63, 200, dtype=np.uint64)]))
     node = np.random.default_rng(1).permutation(len(points))
     table = store.saved(spark.createDataFrame([(int(p.view(np.int64)), int(n)) for p, n in zip(points, node, strict=True)], "fp long, node long"))
-    labels = {r.node: r.label for r in store.components(S.links(table, 2, shard=shard, leaf=leaf, block=block)).collect()}
+    labels = {r.node: r.label for r in store.components(S.links(table, 2, shard=shard, leaf=leaf, block=block, copies=copies)).collect()}
     d = np.bitwise_count(points[:, None] ^ points)
     want = roots([int(n) for n in node], [(int(node[i]), int(node[j])) for i, j in np.argwhere(np.triu(d <= 2, 1))])
     assert {n: labels.get(n, n) for n in want} == want
