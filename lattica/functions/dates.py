@@ -69,14 +69,21 @@ def days_in_year(at: Column) -> Column:
 
 
 def from_epoch(n: Column, unit: str) -> Column:
-    """A timestamp without zone from seconds, milliseconds or microseconds, clamped to what a date can hold."""
+    """A timestamp without zone from seconds, milliseconds or microseconds, clamped to 100 million days
+    on either side of 1970 (years beyond 9999 stay in Spark: Python's dates end there)."""
     per = {"seconds": 1, "milliseconds": 1000, "microseconds": 1_000_000}[unit]
-    most = 253_402_300_799 * per  # the end of the year 9999
+    most = 8_640_000_000_000 * per
     held = F.least(F.greatest(n, F.lit(-most)), F.lit(most))
     at = {"seconds": F.timestamp_seconds, "milliseconds": F.timestamp_millis, "microseconds": F.timestamp_micros}[unit](held)
     return at.cast("timestamp_ntz")
 
 
+def clamped_range(begins: Column, ends: Column, least: Column, most: Column) -> tuple[Column, Column]:
+    """A chosen range moved into the allowed one: each end that lies outside becomes the nearer bound."""
+    held = lambda at: F.least(F.greatest(at, least), most)
+    return held(begins), held(ends)
+
+
 def presets(today: Column) -> dict[str, tuple[Column, Column]]:
     """Named date ranges, both ends included."""
     month = F.trunc(today, "month")

@@ -89,6 +89,13 @@ def fill_down(df: DataFrame, key: Sequence[str], order: Sequence, value: str, na
     return df.withColumn(name, F.first(value).over(_w(key, order)))
 
 
+def series_cells(df: DataFrame, key: Sequence[str], order: Sequence, columns: Sequence[str], step) -> DataFrame:
+    """An arithmetic series over the cells of a key, row by row, from its first row's first column."""
+    w, wide = _w(key, order), len(columns)
+    first, at = F.first(columns[0]).over(w), (F.row_number().over(w) - 1) * wide
+    return df.withColumns({c: first + (at + j) * F.lit(step) for j, c in enumerate(columns)})
+
+
 def alternating(df: DataFrame, key: Sequence[str], order: Sequence) -> DataFrame:
     """``side`` a for even and b for odd positions, and ``side_pos`` in it."""
     numbered = df.withColumn("_n", position(*key, order=order))

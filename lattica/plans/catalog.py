@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from lattica.functions import text as X
 from lattica.operators import joins, ordering
 from lattica.sources import listing, sinks
 from lattica.sources.tables import table
+from lattica.sources.written import shared_folder
 
 from .base import query
 
@@ -184,6 +187,47 @@ def upload_and_archive(spark, sf_dir):
     return sinks.upload_batches(files).select("path", "batch", "batch_size", "accepted")
 
 
+@query("""
+WITH f AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, count(*) OVER (PARTITION BY o_custkey) > 12 AS refused FROM orders)
+SELECT o_orderkey, CASE WHEN refused THEN 'too many files' WHEN o_totalprice < 50000 THEN 'empty file' WHEN o_orderstatus = 'P' THEN 'unknown type' END AS error FROM f
+""")
+def upload_outcomes(spark, sf_dir):
+    """Uploads file by file: one that fails hinders no other of its batch."""
+    faults = {"empty file": F.col("o_totalprice") < 50000, "unknown type": F.col("o_orderstatus") == "P"}
+    return sinks.upload_outcomes(table(spark, sf_dir, "orders"), "o_custkey", faults, 12).select("o_orderkey", "error")
+
+
+@query("SELECT 'size=' || p_size AS bucket, CAST(sum(strlen(p_name) + 1) AS BIGINT) AS bytes FROM part GROUP BY 1")
+def stored_listing(spark, sf_dir):
+    """Text files written by bucket to the shared folder, listed with their sizes, without a page limit."""
+    root = f"{shared_folder(spark)}/lattica-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "part").select(F.col("p_size").alias("size"), "p_name").write.partitionBy("size").text(root)
+    return listing.objects(spark, root, [".txt"]).groupBy("bucket").agg(F.sum("size").alias("bytes"))
+
+
+@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'png' WHEN 2 THEN 'jpeg' ELSE 'gif' END AS kind FROM documents WHERE text IS NOT NULL AND doc_id % 5 IN (0, 2, 3)")
+def valid_image_files(spark, sf_dir):
+    """Files that are whole images by their first and last bytes; cut, other and missing ones are dropped."""
+    n, text, png = F.col("doc_id") % 5, F.col("text").cast("binary"), F.unhex(F.lit(listing.SIGNATURES["png"]))
+    whole = F.when(n == 0, F.concat(png, text, F.unhex(F.lit(listing.PNG_END)))).when(n == 1, F.concat(png, text))
+    content = whole.when(n == 2, F.concat(F.unhex(F.lit(listing.SIGNATURES["jpeg"])), text)).when(n == 3, F.concat(F.unhex(F.lit(listing.SIGNATURES["gif"])), text))
+    files = table(spark, sf_dir, "documents").select("doc_id", content.alias("content"))
+    return listing.valid_images(files).select("doc_id", listing.image_kind(F.col("content")).alias("kind"))
+
+
+@query("""
+WITH m AS (SELECT unnest(['customer', 'orders', 'part']) AS model, unnest([1, 2, 3]) AS n), a AS (SELECT unnest(['add', 'change', 'delete', 'view']) AS act, unnest([1, 2, 3, 4]) AS k)
+SELECT CAST((n - 1) * 4 + k AS BIGINT) AS id, 'Can ' || act || ' ' || model AS name, act || '_' || model AS codename, model FROM m, a
+""")
+def dump_rows(spark, sf_dir):
+    """Rows of a dump, permissions with their content types, as tables of a fixed schema."""
+    models, actions = ["customer", "orders", "part"], ["add", "change", "delete", "view"]
+    types = listing.rows_table(spark, list(enumerate(models, 1)), "content_type_id long, model string")
+    rows = [(i * 4 + k + 1, f"Can {a} {m}", i + 1, f"{a}_{m}") for i, m in enumerate(models) for k, a in enumerate(actions)]
+    permissions = listing.rows_table(spark, rows, "id long, name string, content_type_id long, codename string")
+    return permissions.join(types, "content_type_id").select("id", "name", "codename", "model")
+
+
 @query("""
 SELECT p_partkey, lower(replace(p_name, ' ', '-')) AS slug, regexp_matches(lower(replace(p_name, ' ', '-')), '^[a-z0-9][a-z0-9-]{1,61}[a-z0-9]$') AS valid,
        CASE WHEN p_size < 5 THEN NULL ELSE 'https://example.com/' || ltrim(p_brand, '/') END AS page_url,

@@ -66,7 +66,7 @@ def date_parts(spark, sf_dir):
 
 @query("""
 SELECT event_id, make_timestamp(event_id * 86400 * 1000000) AS seconds, make_timestamp(event_id * 1000) AS millis, make_timestamp(event_id) AS micros,
-       CAST(9999 AS INTEGER) AS clamped_year, ts + INTERVAL 2 HOUR AS shifted
+       CAST(275760 AS INTEGER) AS clamped_year, ts + INTERVAL 2 HOUR AS shifted
 FROM events
 """)
 def epoch_units(spark, sf_dir):
@@ -93,6 +93,16 @@ def date_presets(spark, sf_dir):
     return table(spark, sf_dir, "orders").agg(F.array(*parts).alias("_p")).select(F.inline("_p"))
 
 
+@query("""
+SELECT o_orderkey, least(greatest(o_orderdate::DATE - 20, DATE '1995-01-01'), DATE '1996-12-31') AS begins, least(greatest(o_orderdate::DATE + 20, DATE '1995-01-01'), DATE '1996-12-31') AS ends FROM orders
+""")
+def date_range_clamped(spark, sf_dir):
+    """Ranges of dates held within the earliest and latest allowed one."""
+    day = F.col("o_orderdate").cast("date")
+    begins, ends = D.clamped_range(F.date_sub(day, 20), F.date_add(day, 20), F.to_date(F.lit("1995-01-01")), F.to_date(F.lit("1996-12-31")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", begins.alias("begins"), ends.alias("ends"))
+
+
 @query("""
 WITH g AS (SELECT p_partkey, CAST(p_size * 97 AS BIGINT) AS w, CAST(p_size * 41 AS BIGINT) AS h FROM part)
 SELECT p_partkey, w + w % 2 AS even_w, h + h % 2 AS even_h, CASE WHEN w > 1920 THEN (w - 1920) // 2 ELSE 0 END AS crop_left, CASE WHEN h > 1080 THEN (h - 1080) // 2 ELSE 0 END AS crop_top,

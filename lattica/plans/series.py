@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lattica.functions.numbers import summed
 from lattica.operators import aggregates as A
 from lattica.operators import timescale as T
+from lattica.sources import sinks
 from lattica.sources.listing import series_points
 from lattica.sources.tables import table
 
@@ -313,6 +314,19 @@ def chart_csv_rows(spark, sf_dir):
     return wide.select("day", F.replace("label", F.lit(","), F.lit("")).alias("label"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("click", "view", "error")])
 
 
+@query("""
+SELECT event_type, CAST(ts AS DATE) AS day, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS "close",
+       round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q3, min(event_id) AS range_start, max(event_id) AS range_end
+FROM events GROUP BY ALL
+""")
+def chart_csv_typed(spark, sf_dir):
+    """Candle, box and range series of a chart export, a column for each of their parts."""
+    quarters = F.transform(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))), lambda q: F.round(q, 6))
+    candle = F.array(F.min_by("value", "ts"), F.max("value"), F.min("value"), F.max_by("value", "ts"))
+    series = table(spark, sf_dir, "events").groupBy("event_type", F.col("ts").cast("date").alias("day")).agg(candle.alias("candle"), quarters.alias("box"), F.array(F.min("event_id"), F.max("event_id")).alias("span"))
+    return sinks.expanded(sinks.expanded(sinks.expanded(series, "candle", ["open", "high", "low", "close"]), "box", ["q1", "median", "q3"]), "span", ["range_start", "range_end"])
+
+
 @query("""
 WITH s AS (SELECT s_nationkey, s_suppkey % 4 AS kind, s_acctbal AS y, s_acctbal - 100 AS lo, s_acctbal + 50 AS hi, CASE WHEN s_suppkey % 7 = 0 THEN 12000.0 END AS goal FROM supplier)
 SELECT s_nationkey, min(least(CASE WHEN kind = 0 THEN y ELSE lo END, goal)) AS y_min, max(greatest(CASE WHEN kind = 0 THEN y ELSE hi END, goal)) AS y_max FROM s GROUP BY 1

@@ -135,6 +135,17 @@ def autofill_series(spark, sf_dir):
     return W.fill_down(out, ["o_custkey"], order, "o_orderstatus", "down").select("o_orderkey", "o_custkey", "series", "down")
 
 
+@query("""
+SELECT l_orderkey, l_linenumber, l_quantity, first_value(l_partkey) OVER w + (row_number() OVER w - 1) * 10 AS l_partkey,
+       first_value(l_partkey) OVER w + (row_number() OVER w - 1) * 10 + 5 AS l_suppkey
+FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity)
+""")
+def autofill_cells(spark, sf_dir):
+    """A series that runs over several columns, row by row."""
+    cells = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey", "l_suppkey")
+    return W.series_cells(cells, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], ["l_partkey", "l_suppkey"], 5)
+
+
 @query("""
 WITH n AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos FROM documents)
 SELECT doc_id, source, CASE WHEN pos % 2 = 0 THEN 'a' ELSE 'b' END AS side, pos // 2 AS side_pos FROM n

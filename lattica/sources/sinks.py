@@ -51,5 +51,19 @@ def upload_batches(files: DataFrame, batch: str = "batch", limit: int = UPLOAD_L
     return files.join(sizes, batch).withColumn("accepted", F.col("batch_size") <= limit)
 
 
+def upload_outcomes(files: DataFrame, batch: str, faults: dict[str, Column], limit: int = UPLOAD_LIMIT) -> DataFrame:
+    """Files with ``error``: a batch above the limit is refused as a whole; in others each file stands
+    for itself, fails by the first fault that holds for it, and hinders no other. Null: uploaded."""
+    error = F.when(~F.col("accepted"), F.lit("too many files"))
+    for text, fault in faults.items():
+        error = error.when(fault, F.lit(text))
+    return upload_batches(files, batch, limit).withColumn("error", error)
+
+
+def expanded(df: DataFrame, series: str, names: Sequence[str]) -> DataFrame:
+    """An array of parts (open to close, least to most, start and end) as a column for each part."""
+    return df.select(*[c for c in df.columns if c != series], *[F.get(series, i).alias(n) for i, n in enumerate(names)])
+
+
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)

@@ -21,7 +21,7 @@ def test_listing_of_folders(spark, tmp_path):
 
 
 def test_valid_images(spark):
-    rows = [("p", bytes.fromhex("89504E470D0A1A0A00")), ("j", bytes.fromhex("FFD8FFE0")), ("g", b"GIF89a"), ("t", b"text"), ("e", b""), ("n", None)]
+    rows = [("p", bytes.fromhex("89504E470D0A1A0A000000000049454E44AE426082")), ("c", bytes.fromhex("89504E470D0A1A0A00")), ("j", bytes.fromhex("FFD8FFE0")), ("g", b"GIF89a"), ("t", b"text"), ("e", b""), ("n", None)]
     files = spark.createDataFrame(rows, "name string, content binary")
     assert sorted(r.name for r in listing.valid_images(files).collect()) == ["g", "j", "p"]
 
@@ -55,6 +55,13 @@ def test_append_and_batches(spark, tmp_path):
     assert {(r.batch, r.accepted) for r in sinks.upload_batches(files).collect()} == {("big", False), ("small", True)}
 
 
+def test_a_failed_upload_hinders_no_other(spark):
+    files = spark.createDataFrame([("a", "x.png", 0), ("a", "y.png", 5), ("a", "z", None), ("b", "u.png", 5), ("b", "v.png", 0), ("b", "w.png", 1), ("b", "t.png", 1)], "batch string, name string, size int")
+    faults = {"empty": F.coalesce("size", F.lit(0)) == 0, "no suffix": ~F.col("name").contains(".")}
+    got = {r.name: r.error for r in sinks.upload_outcomes(files, "batch", faults, 3).collect()}
+    assert got == {"x.png": "empty", "y.png": None, "z": "empty"} | dict.fromkeys(["u.png", "v.png", "w.png", "t.png"], "too many files")
+
+
 def test_composition_plan(spark):
     bg = spark.createDataFrame([(1, f"{c}.png") for c in "abcde"] + [(1, "z.txt")], "id long, object string")
     fg = spark.createDataFrame([(1, f"{c}.jpg") for c in "xyz"], "id long, object string")
