@@ -2,24 +2,31 @@
 
 Words are hashed; every window of ``WINDOW`` words has as anchor the least hash of the
 ``GRAM``-word grams in it (winnowing), so equal windows have equal anchors, and
-consecutive windows with one anchor form a run: the text that the anchor extends over
-to the left and to the right. A row per run, keyed by (anchor, hash of the whole run),
-is what documents are joined on:
+consecutive windows with one anchor form a run, the text around the anchor:
 
 1. seeds: runs equal as a whole are one class; its smallest document keeps it, and in
    any larger document every window of the run is a repeat. Copies end here, combined
    before they shuffle, however many there are.
-2. extension: where different classes share an anchor, the run of each class's smallest
-   document is extended window by window to both sides of the anchor, and a window
-   that a smaller document has too is a repeat.
-3. overlapping repeats of a document merge to maximal intervals, which are removed.
-
-No pairs of documents are formed anywhere. Identity is 128 bits (anchor and window).
+2. extension: where classes share an anchor, their smallest document's run is the hub.
+   Every other class is laid on the hub at the anchor and extended word by word to the
+   left and to the right, as far as both agree; a match of ``WINDOW`` words or more is
+   a maximal repeat in the runs. One extension a class, so no pairs.
+3. what reaches beyond the hub's match: two classes that share such a window leave the
+   hub at the same word, to the left or to the right. So only classes that leave it
+   equally, in two documents at least, are compared, by the hashes of the windows over
+   that word. An anchor that stands several times in one run has no single place to
+   extend from; all windows of its runs are compared so.
+4. overlapping repeats of a document merge to maximal intervals, which are removed.
+
+No pairs of documents are formed anywhere. Identity is 128 bits (anchor and run or
+window), or the words themselves in the extension.
 
 Defined results: a null text has no words; a document of under ``WINDOW`` words loses
-nothing; documents with equal ids are one document, so repeated rows keep what only
-they share; rows with a null id lose nothing and take nothing from others; other
-columns are ignored; an empty table gives an empty result.
+nothing; a text is read whole however long (a task holds one batch of texts and the
+word hashes of one); documents with equal ids are one document, so repeated rows keep
+what only they share; of passages that tie, the smallest id's stays; rows with a null
+id lose nothing and take nothing from others; other columns are ignored, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import map_arrow, saved
+from .store import dropped, map_arrow, saved
 
 WINDOW, GRAM = 50, 16
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -118,16 +125,108 @@ def _as_batch(got: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(r.view(np.int64)), pa.array(i.astype(np.int64)), pa.array(m.astype(np.int64)), pa.array(f.astype(np.int32)), pa.array(n.astype(np.int32))], names)
 
 
-def _window_rows(window: int):
-    """The hash of every window of the given spans of a text."""
+def _context_rows(window: int, gram: int):
+    """The words of the given runs of a text, after the place of the anchor among them
+    (``words``), and whether that is its only place (``alone``)."""
+    names = ["anchor", "id", "mark", "lo", "first", "alone", "words"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            rows: list[tuple] = []
             for text, i, mark, spans in zip(b.column("text"), b.column("id").to_pylist(), b.column("mark").to_pylist(), b.column("spans").to_pylist(), strict=True):
-                h = rolling(word_hashes(text.as_py().split()), window, _BASE * 5 | 1).view(np.int64)
-                at = np.concatenate([np.arange(s["first"], s["first"] + s["windows"]) for s in spans])
-                a = np.repeat(np.array([s["anchor"] for s in spans], dtype=np.int64), [s["windows"] for s in spans])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(h[at]), pa.array(np.full(len(at), i, dtype=np.int64)), pa.array(np.full(len(at), mark, dtype=np.int64)), pa.array(at.astype(np.int32))], ["anchor", "window", "id", "mark", "at"])
+                words = text.as_py().split()
+                grams = rolling(word_hashes(words), gram).view(np.int64)
+                for s in spans:
+                    first, end = s["first"], s["first"] + s["windows"] + window - 1
+                    places = np.flatnonzero(grams[first : end - gram + 1] == s["anchor"])
+                    rows.append((s["anchor"], i, mark, s["lo"], first, len(places) == 1, b"%d %b" % (places[0], b" ".join(words[first:end]))))
+                    if len(rows) >= 5_000:
+                        yield _from_rows(rows, names, types)
+                        rows = []
+            if rows:
+                yield _from_rows(rows, names, types)
+
+    return run
+
+
+def _from_rows(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+
+def agreeing(one: list[bytes], i: int, other: list[bytes], j: int, gram: int) -> tuple[int, int]:
+    """How many words agree to the left and to the right of grams at ``i`` and ``j``."""
+    left = right = 0
+    for a, b in zip(reversed(one[:i]), reversed(other[:j]), strict=False):
+        if a != b:
+            break
+        left += 1
+    for a, b in zip(one[i + gram :], other[j + gram :], strict=False):
+        if a != b:
+            break
+        right += 1
+    return left, right
+
+
+def _key(side: bytes, count: int, words: list[bytes]) -> int:
+    v = xxhash.xxh64_intdigest(b"%b%d %b" % (side, count, b" ".join(words)))
+    return v - (1 << 64) if v >> 63 else v
+
+
+def _extended(window: int, gram: int):
+    """Each run laid on its anchor's hub: the maximal repeat (no ``key``), and the parts
+    that reach beyond the match, keyed by how they leave the hub."""
+    names = ["anchor", "key", "id", "mark", "s", "e", "words"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+
+    def parts(words: list[bytes], seed: int, hub: list[bytes], at: int):
+        """(key or None, from, to) within the run."""
+        if words[seed : seed + gram] != hub[at : at + gram]:  # another gram with this hash
+            yield _key(b"g", 0, words[seed : seed + gram]), 0, len(words)
+            return
+        left, right = agreeing(words, seed, hub, at, gram)
+        s, e = seed - left, seed + gram + right
+        if e - s >= window:
+            yield None, s, e
+        if s > 0:
+            yield _key(b"l", left, words[s - 1 : s]), 0, min(s + window - 1, len(words))
+        if e < len(words):
+            yield _key(b"r", right, words[e : e + 1]), max(0, e - window + 1), len(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            for a, i, mark, lo, first, single, text, hub in zip(*(b.column(c).to_pylist() for c in ["anchor", "id", "mark", "lo", "first", "single", "words", "hub"]), strict=True):
+                seed, *words = text.split()
+                if single:
+                    at, *other = hub.split()
+                    found = parts(words, int(seed), other, int(at))
+                else:
+                    found = [(0, 0, len(words))]
+                for key, s, e in found:
+                    if key is not None:
+                        rows.append((a, key, i, mark, first + s, first + e, b" ".join(words[s:e])))
+                    elif lo < i:
+                        rows.append((a, None, i, mark, first + s, first + e, None))
+            if rows:
+                yield _from_rows(rows, names, types)
+
+    return run
+
+
+def _window_rows(window: int):
+    """The hash of every window of the given parts of runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = []
+            for a, i, mark, s, text in zip(*(b.column(c).to_pylist() for c in ["anchor", "id", "mark", "s", "words"]), strict=True):
+                h = rolling(word_hashes(text.split()), window, _BASE * 5 | 1)
+                n = len(h)
+                got.append((np.full(n, a), h, np.arange(s, s + n), np.full(n, i), np.full(n, mark)))
+            if got:
+                a, h, at, i, m = (np.concatenate(x) for x in zip(*got, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(h.view(np.int64)), pa.array(i), pa.array(m), pa.array(at.astype(np.int32))], ["anchor", "window", "id", "mark", "at"])
 
     return run
 
@@ -140,15 +239,28 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     known = docs.where("id is not null")
     runs = saved(map_arrow(known, _run_rows(window, gram), "anchor long, run long, id long, mark long, first int, windows int"))
     classes = saved(runs.groupBy("anchor", "run").agg(F.min("id").alias("least")))
-    several = saved(classes.groupBy("anchor").agg(F.count("*").alias("n"), F.min("least").alias("lo"), F.max("least").alias("hi")).where("lo < hi").select("anchor"))
+    several = classes.groupBy("anchor").agg(F.min("least").alias("lo"), F.max("least").alias("hi")).where("lo < hi").select("anchor", "lo")
     told = runs.join(classes, ["anchor", "run"])
     whole = told.where("least < id").select("id", "mark", F.col("first").alias("s"), (F.col("first") + F.col("windows") + F.lit(window - 1)).alias("e"))
-    open_runs = told.where("least = id").join(several, "anchor").groupBy("id", "mark").agg(F.collect_set(F.struct("anchor", "first", "windows")).alias("spans"))
+
+    open_runs = told.where("least = id").join(several, "anchor").groupBy("id", "mark").agg(F.collect_set(F.struct("anchor", "lo", "first", "windows")).alias("spans"))
     again = known.join(open_runs, ["id", "mark"]).select("id", "mark", "text", "spans")
-    windows = saved(map_arrow(again, _window_rows(window), "anchor long, window long, id long, mark long, at int"))
-    lowest = saved(windows.groupBy("anchor", "window").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("anchor", "window", "least"))
+    contexts = saved(map_arrow(again, _context_rows(window, gram), "anchor long, id long, mark long, lo long, first int, alone boolean, words binary"))
+    hubs = contexts.groupBy("anchor").agg(F.bool_and("alone").alias("single"), F.min(F.when(F.col("id") == F.col("lo"), F.col("words"))).alias("hub"))
+    laid = contexts.join(hubs, "anchor").select("anchor", "id", "mark", "lo", "first", "single", "words", "hub")
+    found = saved(map_arrow(laid, _extended(window, gram), "anchor long, key long, id long, mark long, s int, e int, words binary"))
+    matched = found.where("key is null").select("id", "mark", "s", "e")
+
+    beyond = found.where("key is not null")
+    alike = beyond.groupBy("anchor", "key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor", "key")
+    rest = beyond.join(alike, ["anchor", "key"]).select("anchor", "id", "mark", "s", "words")
+    windows = saved(map_arrow(rest, _window_rows(window), "anchor long, window long, id long, mark long, at int"))
+    lowest = windows.groupBy("anchor", "window").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("anchor", "window", "least")
     single = windows.join(lowest, ["anchor", "window"]).where("least < id").select("id", "mark", F.col("at").alias("s"), (F.col("at") + F.lit(window)).alias("e"))
-    return whole.union(single).groupBy("id", "mark").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    out = saved(whole.union(matched).union(single).groupBy("id", "mark").agg(F.collect_set(F.struct("s", "e")).alias("spans")))
+    for table in (runs, classes, contexts, found, windows):
+        dropped(table)
+    return out
 
 
 def _cut(b: pa.RecordBatch) -> Iterator[tuple[int, int, bytes]]:

@@ -30,7 +30,7 @@ def rows_of(df):
 
 
 def test_against_brute_force(spark):
-    docs = cases.documents(spark).where("length(text) < 20000 or text is null")
+    docs = cases.documents(spark)
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     assert rows_of(B.dedup(docs)) == brute(rows)
     assert rows_of(B.dedup(cases.empty(spark))) == []
@@ -51,6 +51,31 @@ def test_small_windows_against_brute_force(spark):
     assert rows_of(B.dedup(docs, window=8, gram=3)) == brute(rows, 8)
 
 
+def test_branching_passages_against_brute_force(spark):
+    """Passages that leave each other at many words on both sides, some within one document."""
+    rng = random.Random(10)
+    vocabulary = [cases.prose(rng, 1) + str(k) for k in range(60)]
+    stems = [[rng.choice(vocabulary) for _ in range(30)] for _ in range(4)]
+    rows = []
+    for i in range(150):
+        out = []
+        for _ in range(rng.randrange(1, 4)):
+            stem = list(rng.choice(stems))
+            for _ in range(rng.choice((0, 1, 2))):
+                stem[rng.randrange(30)] = rng.choice(vocabulary[:3])
+            out += stem[rng.randrange(6) : 30 - rng.randrange(6)] + [rng.choice(vocabulary[:2])] * rng.randrange(2)
+        rows.append((rng.randrange(120), " ".join(out)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert rows_of(B.dedup(docs, window=10, gram=4)) == brute(rows, 10)
+
+
+def test_agreeing_words_on_both_sides():
+    one, other = b"x a b S T c d".split(), b"a b S T c e f".split()
+    assert B.agreeing(one, 3, other, 2, 2) == (2, 1)
+    assert B.agreeing(one, 3, one, 3, 2) == (3, 2)
+    assert B.agreeing(one[3:5], 0, other, 2, 2) == (0, 0)
+
+
 def test_rolling_hashes_do_not_depend_on_place():
     h = np.random.default_rng(1).integers(0, 1 << 63, 200, dtype=np.uint64)
     both = np.concatenate([h, h[10:60], h])
