@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat_perspectives import OP5_SQL, op5_chat_perspectives
 from .cost_packing import op4_cost_packing
+from .infilling import OP11_SQL, op11_automaton_infilling
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .pivot_index import OP3_SQL, op3_pivot_permutations
 from .rule_quality import op2_rule_ensemble
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_telephony_audio": op9_telephony_audio,
     "op10_source_mixing": op10_source_mixing,
+    "op11_automaton_infilling": op11_automaton_infilling,
 }
 
 ORACLES = {
@@ -32,4 +34,5 @@ ORACLES = {
     "op6_line_dedup": OP6_SQL,
     "op8_substring_dedup": OP8_SQL,
     "op10_source_mixing": OP10_SQL,
+    "op11_automaton_infilling": OP11_SQL,
 }
