@@ -13,6 +13,7 @@ from .slot_sharding import op7_slot_sharding
 from .source_mixing import OP10_SQL, op10_source_mixing
 from .substring_dedup import OP8_SQL, op8_substring_dedup
 from .telephony_audio import op9_telephony_audio
+from .token_alignment import op13_postings_alignment
 
 QUERIES = {
     "op1_simhash_vptree": op1_simhash_vptree,
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_telephony_audio": op9_telephony_audio,
     "op10_source_mixing": op10_source_mixing,
     "op11_automaton_infilling": op11_automaton_infilling,
+    "op13_postings_alignment": op13_postings_alignment,
 }
 
 ORACLES = {
