@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat_perspectives import OP5_SQL, op5_chat_perspectives
 from .cost_packing import op4_cost_packing
+from .credential_linking import OP12_SQL, op12_credential_linking
 from .infilling import OP11_SQL, op11_automaton_infilling
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .pivot_index import OP3_SQL, op3_pivot_permutations
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_telephony_audio": op9_telephony_audio,
     "op10_source_mixing": op10_source_mixing,
     "op11_automaton_infilling": op11_automaton_infilling,
+    "op12_credential_linking": op12_credential_linking,
     "op13_postings_alignment": op13_postings_alignment,
 }
 
@@ -37,4 +39,5 @@ ORACLES = {
     "op8_substring_dedup": OP8_SQL,
     "op10_source_mixing": OP10_SQL,
     "op11_automaton_infilling": OP11_SQL,
+    "op12_credential_linking": OP12_SQL,
 }
