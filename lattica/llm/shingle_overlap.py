@@ -200,9 +200,12 @@ def _lists(prefixes: DataFrame) -> DataFrame:
     """(gram, node, n, central), written: the shingles that prefixes of several classes share,
     and what part of its set that is for each class: most for the one that a group's others are edits of."""
     every = prefixes.select("node", "n", F.explode("grams").alias("gram"))
-    several = every.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("gram")
+    # written, as every aggregate that meets hot shingles: adaptive execution splits a join's side only straight after an exchange of its own
+    several = saved(every.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("gram"))
     shared = every.join(several, "gram").select("gram", "node", "n")
-    return saved(shared.withColumn("central", F.count("*").over(Window.partitionBy("node")) / F.col("n")))
+    out = saved(shared.withColumn("central", F.count("*").over(Window.partitionBy("node")) / F.col("n")))
+    dropped(several)
+    return out
 
 
 def _apart(lists: DataFrame, edges: DataFrame) -> DataFrame:
@@ -212,11 +215,11 @@ def _apart(lists: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _open(at: DataFrame, turn: int) -> DataFrame:
-    """(gram, size, hub): the lists that hold several components, with their length and one
-    member: the most central one at first, later ones more and more at random."""
+    """(gram, size, hub), written: the lists that hold several components, with their length and
+    one member: the most central one at first, later ones more and more at random."""
     chance = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1000)) * F.lit(0.0002 * turn)
     several = at.groupBy("gram").agg(F.count("*").alias("size"), F.max_by(F.struct("node", "n", "part"), F.struct((F.col("central") + chance).alias("c"), "node")).alias("hub"), F.max(F.col("central") + chance).alias("c"), F.min("part").alias("low"), F.max("part").alias("high"))
-    return several.where("low < high").select("gram", "size", "hub", "c")
+    return saved(several.where("low < high").select("gram", "size", "hub", "c"))
 
 
 def near_copies(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -238,17 +241,20 @@ def near_copies(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     dropped(prefixes)
     at = _apart(lists, edges)
     for turn in range(ROUNDS):
-        hub = _open(at, turn).select("gram", "c", F.col("hub.node").alias("b"), F.col("hub.n").alias("m"), F.col("hub.part").alias("other"))
+        several = _open(at, turn)
+        hub = several.select("gram", "c", F.col("hub.node").alias("b"), F.col("hub.n").alias("m"), F.col("hub.part").alias("other"))
         met = at.join(hub, "gram").where(F.col("part") != F.col("other")).where(_near_sizes("n", "m"))
         # a class has a hub for each shingle of its prefix at most; the same few come first in all lists
         few = F.slice(F.sort_array(F.collect_set(F.struct("c", "b")), False), F.lit(1), F.lit(HUBS))
         found = verified(met.groupBy(F.col("node").alias("a")).agg(few.alias("hubs")).select("a", F.explode("hubs.b").alias("b")))
+        dropped(several)
         if not found.limit(1).count():
             break
         edges = edges.union(found)
         dropped(at)
         at = _apart(lists, edges)
-    left = at.join(_open(at, 0).select("gram", "size"), "gram").join(full.select("node", "fold"), "node")
+    several = _open(at, 0)
+    left = at.join(several.select("gram", "size"), "gram").join(full.select("node", "fold"), "node")
     dealt = saved(in_block_pairs(left, "size", "node", BLOCK))
     mine, other = dealt.select("gram", "block_i", "block_j", "node", "n", "part", "own", "fold"), dealt.select("gram", "block_i", "block_j", F.col("node").alias("b"), F.col("n").alias("m"), F.col("part").alias("other"), F.col("own").alias("own_b"), F.col("fold").alias("fold_b"))
     rest = mine.join(other, ["gram", "block_i", "block_j"]).where("part < other and (block_i = block_j or own <> own_b)").where(_near_sizes("n", "m"))
@@ -257,6 +263,6 @@ def near_copies(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     named = classes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     out = saved(told.select("doc_id", "node").join(named.select("node", "label"), "node").join(least, "label").select("doc_id", "component_id"))
-    for t in (every, classes, others, points, lists, at, dealt):
+    for t in (every, classes, others, points, lists, at, several, dealt):
         dropped(t)
     return out
