@@ -239,30 +239,32 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     known = docs.where("id is not null")
     runs = saved(map_arrow(known, _run_rows(window, gram), "anchor long, run long, id long, mark long, first int, windows int"))
     classes = saved(runs.groupBy("anchor", "run").agg(F.min("id").alias("least"), F.max("id").alias("most")))
-    several = classes.groupBy("anchor").agg(F.min("least").alias("lo"), F.max("least").alias("hi")).where("lo < hi").select("anchor", "lo")
+    # aggregates are written before they meet a hot anchor: adaptive execution splits a join's side only straight after an exchange of its own
+    several = saved(classes.groupBy("anchor").agg(F.min("least").alias("lo"), F.max("least").alias("hi")).where("lo < hi").select("anchor", "lo"))
     told = classes.join(several, "anchor", "left").where("least < most or lo is not null").select("anchor", "run", "least", "lo")
     shared = saved(runs.join(told, ["anchor", "run"]).where("least < id or lo is not null").select("anchor", "id", "mark", "first", "windows", "least", "lo"))
-    dropped(runs)
-    dropped(classes)
+    for table in (runs, classes, several):
+        dropped(table)
     whole = shared.where("least < id").select("id", "mark", F.col("first").alias("s"), (F.col("first") + F.col("windows") + F.lit(window - 1)).alias("e"))
 
     open_runs = shared.where("least = id and lo is not null").groupBy("id", "mark").agg(F.collect_set(F.struct("anchor", "lo", "first", "windows")).alias("spans"))
     again = known.join(open_runs, ["id", "mark"]).select("id", "mark", "text", "spans")
     contexts = saved(map_arrow(again, _context_rows(window, gram), "anchor long, id long, mark long, lo long, first int, alone boolean, words binary"))
-    hubs = contexts.groupBy("anchor").agg(F.bool_and("alone").alias("single"), F.min(F.when(F.col("id") == F.col("lo"), F.col("words"))).alias("hub"))
+    hubs = saved(contexts.groupBy("anchor").agg(F.bool_and("alone").alias("single"), F.min(F.when(F.col("id") == F.col("lo"), F.col("words"))).alias("hub")))
     laid = contexts.join(hubs, "anchor").select("anchor", "id", "mark", "lo", "first", "single", "words", "hub")
     found = saved(map_arrow(laid, _extended(window, gram), "anchor long, key long, id long, mark long, s int, e int, words binary"))
     dropped(contexts)
+    dropped(hubs)
     matched = found.where("key is null").select("id", "mark", "s", "e")
 
     beyond = found.where("key is not null")
-    alike = beyond.groupBy("anchor", "key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor", "key")
+    alike = saved(beyond.groupBy("anchor", "key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor", "key"))
     rest = beyond.join(alike, ["anchor", "key"]).select("anchor", "id", "mark", "s", "words")
     windows = saved(map_arrow(rest, _window_rows(window), "anchor long, window long, id long, mark long, at int"))
-    lowest = windows.groupBy("anchor", "window").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("anchor", "window", "least")
+    lowest = saved(windows.groupBy("anchor", "window").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("anchor", "window", "least"))
     single = windows.join(lowest, ["anchor", "window"]).where("least < id").select("id", "mark", F.col("at").alias("s"), (F.col("at") + F.lit(window)).alias("e"))
     out = saved(whole.union(matched).union(single).groupBy("id", "mark").agg(F.collect_set(F.struct("s", "e")).alias("spans")))
-    for table in (shared, found, windows):
+    for table in (shared, found, alike, windows, lowest):
         dropped(table)
     return out
 
