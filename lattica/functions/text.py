@@ -48,7 +48,9 @@ def token(*parts: Column, length: int = 8) -> Column:
 
 def auto_name(prefix: str, at: Column, *parts: Column) -> Column:
     """``prefix_yyyymmddhhmmss_suffix``."""
-    return F.concat(F.lit(f"{prefix}_"), F.date_format(at.cast("timestamp"), "yyyyMMddHHmmss"), F.lit("_"), token(*parts, length=6))
+    from .dates import strftime
+
+    return F.concat(F.lit(f"{prefix}_"), strftime(at.cast("timestamp_ntz"), "%Y%m%d%H%M%S"), F.lit("_"), token(*parts, length=6))
 
 
 def slug_or_token(slug: Column, *parts: Column) -> Column:

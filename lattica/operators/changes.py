@@ -7,15 +7,24 @@ the table would hold, for a caller that writes it.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lattica.sources.written import written
 
 
 def inserted(df: DataFrame, rows: DataFrame) -> DataFrame:
     return df.unionByName(rows, allowMissingColumns=True)
 
 
+def changed_rows(df: DataFrame, where: Column) -> DataFrame:
+    """One row, ``changed``: how many rows an update with this condition meets."""
+    return df.agg(F.count_if(F.coalesce(where, F.lit(False))).alias("changed"))
+
+
 def updated(df: DataFrame, where: Column, values: dict[str, Column]) -> DataFrame:
     """Columns with new values where the condition holds (null counts as not)."""
     return df.withColumns({c: F.when(where, v).otherwise(F.col(c)) for c, v in values.items()})
@@ -29,11 +38,115 @@ def merged(df: DataFrame, edits: DataFrame, key: Sequence[str]) -> DataFrame:
     return out.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in names else F.col(c) for c in df.columns])
 
 
+def deep_merge(old: Column, new: Column, old_type: T.DataType, new_type: T.DataType) -> Column:
+    """``new`` over ``old``: structs by field (fields of either), arrays by place, maps by key, to
+    any depth; everything else is the new value, or the old one where that is null. A value
+    whose kind changes (a struct for a number) cannot be typed and is refused."""
+    if isinstance(old_type, T.StructType) and isinstance(new_type, T.StructType):
+        a, b = {f.name: f.dataType for f in old_type}, {f.name: f.dataType for f in new_type}
+        fields = []
+        for name in [*a, *(n for n in b if n not in a)]:
+            part = old[name] if name not in b else new[name] if name not in a else deep_merge(old[name], new[name], a[name], b[name])
+            fields.append(part.alias(name))
+        return F.when(old.isNull() & new.isNull(), F.lit(None)).otherwise(F.struct(*fields))
+    if isinstance(old_type, T.ArrayType) and isinstance(new_type, T.ArrayType):
+        size = F.greatest(F.size(old), F.size(new))
+        merged_at = lambda i: deep_merge(F.get(old, i), F.get(new, i), old_type.elementType, new_type.elementType)
+        both = F.when(size > 0, F.transform(F.sequence(F.lit(0), size - 1), merged_at)).otherwise(old)
+        return F.when(old.isNull(), new).when(new.isNull(), old).otherwise(both)
+    if isinstance(old_type, T.MapType) and isinstance(new_type, T.MapType):
+        both = F.map_zip_with(old, new, lambda _, a, b: deep_merge(a, b, old_type.valueType, new_type.valueType))
+        return F.when(old.isNull(), new).when(new.isNull(), old).otherwise(both)
+    if any(isinstance(t, (T.StructType, T.ArrayType, T.MapType)) for t in (old_type, new_type)) and not isinstance(new_type, T.NullType):
+        raise TypeError(f"{new_type.simpleString()} cannot be merged over {old_type.simpleString()}")
+    return F.coalesce(new, old)
+
+
+def deep_merged(df: DataFrame, edits: DataFrame, key: Sequence[str]) -> DataFrame:
+    """As ``merged``, nested columns included (see ``deep_merge``); columns that only the edits have are added."""
+    names = [c for c in edits.columns if c not in key]
+    new = edits.select(*key, *[F.col(c).alias(f"_new_{c}") for c in names])
+    out = df.join(new, list(key), "left")
+    old_types, new_types = ({f.name: f.dataType for f in x.schema} for x in (df, edits))
+    one = lambda c: deep_merge(F.col(c), F.col(f"_new_{c}"), old_types[c], new_types[c]).alias(c) if c in names else F.col(c)
+    return out.select(*[one(c) for c in df.columns], *[F.col(f"_new_{c}").alias(c) for c in names if c not in df.columns])
+
+
 def deleted(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows whose key is not among ``keys``."""
     return df.join(keys, list(on), "left_anti")
 
 
+def cascade(tables: dict[str, DataFrame], links: Sequence[tuple[str, Sequence[str], str, Sequence[str]]], root: str, doomed: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Deletes rows of ``root`` and, table by table, all rows that refer to a row that goes.
+
+    ``links``: foreign keys (child, its columns, parent, the parent's columns); ``doomed``:
+    the keys of the root's rows, by columns of the root. Returns what stays of each table and
+    (table, deleted), a row for each table. A null reference refers to nothing.
+
+    The closure goes parents first, with one join for each foreign key. Tables that refer to
+    each other in a ring (or to themselves, as trees do) are joined anew until a round finds
+    nothing more; a round takes only the rows that the one before has found.
+    """
+    groups, rings = _parents_first([t for t in tables], links, root)
+    gone: dict[str, DataFrame] = {}
+    stays = dict(tables)
+
+    def references(t: str, parents: dict[str, DataFrame]) -> list[tuple[Sequence[str], DataFrame]]:
+        return [(own, parents[p].select(*keys)) for c, own, p, keys in links if c == t and p in parents]
+
+    for group in groups:
+        outer = {t: references(t, gone) + ([(doomed.columns, doomed)] if t == root else []) for t in group}
+        if not rings.intersection(group):
+            (t,) = group
+            told = _flagged(tables[t], outer[t])
+            gone[t], stays[t] = told.where("_hit").drop("_hit"), told.where("not _hit").drop("_hit")
+            continue
+        held = {t: written(tables[t].withColumn("_no", F.monotonically_increasing_id())) for t in group}
+        fresh = {t: written(_flagged(held[t], refs).where("_hit").drop("_hit")) for t, refs in outer.items() if refs}
+        found = dict(fresh)
+        while fresh:
+            hits = {t: _flagged(held[t], refs).where("_hit").drop("_hit") for t in group if (refs := references(t, fresh))}
+            hits = {t: written(df.join(found[t].select("_no"), "_no", "left_anti") if t in found else df) for t, df in hits.items()}
+            fresh = {t: df for t, df in hits.items() if not df.isEmpty()}
+            found |= {t: written(found[t].unionByName(df)) if t in found else df for t, df in fresh.items()}
+        for t, df in found.items():
+            gone[t], stays[t] = df.drop("_no"), held[t].join(df.select("_no"), "_no", "left_anti").drop("_no")
+    spark = doomed.sparkSession
+    none = lambda t: spark.range(1).select(F.lit(t).alias("table"), F.lit(0).cast("long").alias("deleted"))
+    counts = [gone[t].agg(F.lit(t).alias("table"), F.count("*").alias("deleted")) if t in gone else none(t) for t in tables]
+    return stays, reduce(DataFrame.union, counts)
+
+
+def _flagged(df: DataFrame, references: Sequence[tuple[Sequence[str], DataFrame]]) -> DataFrame:
+    """``df`` with ``_hit``: whether a row refers, by its own columns, to one of the rows of any reference."""
+    hit = F.lit(False)
+    for n, (own, keys) in enumerate(references):
+        names = [f"_to_{n}_{i}" for i in range(len(own))]
+        df = df.join(keys.toDF(*names).distinct().withColumn(f"_hit_{n}", F.lit(True)), [F.col(o) == F.col(k) for o, k in zip(own, names, strict=True)], "left").drop(*names)
+        hit |= F.col(f"_hit_{n}").isNotNull()
+    return df.withColumn("_hit", hit).drop(*[f"_hit_{n}" for n in range(len(references))])
+
+
+def _parents_first(tables: Sequence[str], links: Sequence[tuple], root: str) -> tuple[list[list[str]], set[str]]:
+    """The tables that the root reaches, in groups, parents before children, and the tables of rings; a ring is one group."""
+    children = {t: {c for c, _, p, _ in links if p == t} for t in tables}
+    under: dict[str, set[str]] = {}
+    for t in tables:
+        seen, todo = set(), [t]
+        while todo:
+            new = children[todo.pop()] - seen
+            seen |= new
+            todo += sorted(new)
+        under[t] = seen
+    left, groups = under[root] | {root}, []
+    while left:
+        first = next(t for t in sorted(left) if all(o in under[t] or t not in under[o] for o in left))
+        groups.append(sorted({first} | {o for o in left if o in under[first] and first in under[o]}))
+        left -= set(groups[-1])
+    return groups, {t for t in tables if t in under[t]}
+
+
 def get_or_created(df: DataFrame, rows: DataFrame, on: Sequence[str]) -> DataFrame:
     """``df`` with those of ``rows`` whose key it lacks."""
     return df.unionByName(rows.dropDuplicates(list(on)).join(df, list(on), "left_anti"), allowMissingColumns=True)

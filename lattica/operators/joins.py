@@ -14,18 +14,29 @@ from pyspark.sql import functions as F
 
 from lattica.sources.written import written
 
-from .ordering import position
+from .ordering import keyed_position, position
 
 
-def zip_join(left: DataFrame, right: DataFrame, key: Sequence[str], left_order: Sequence, right_order: Sequence) -> DataFrame:
-    """The i-th row of the left with the i-th of the right, within a key; the shorter side ends it."""
-    a = left.withColumn("pos", position(*key, order=left_order))
-    b = right.withColumn("pos", position(*key, order=right_order))
+def _numbered(df: DataFrame, key: Sequence[str], order: Sequence, name: str, hot: bool) -> DataFrame:
+    return keyed_position(df, key, order, name) if hot else df.withColumn(name, position(*key, order=order))
+
+
+def zip_join(left: DataFrame, right: DataFrame, key: Sequence[str], left_order: Sequence, right_order: Sequence, hot: bool = False) -> DataFrame:
+    """The i-th row of the left with the i-th of the right, within a key; the shorter side ends it.
+    ``hot``: a key may hold more rows than a task should number."""
+    a = _numbered(left, key, left_order, "pos", hot)
+    b = _numbered(right, key, right_order, "pos", hot)
     return a.join(b, [*key, "pos"])
 
 
-def adjacent_pairs(df: DataFrame, key: Sequence[str], order: Sequence, columns: Sequence[str]) -> DataFrame:
-    """Rows 2k and 2k + 1 side by side as ``first_*`` and ``second_*``; an odd last row is left out."""
+def adjacent_pairs(df: DataFrame, key: Sequence[str], order: Sequence, columns: Sequence[str], hot: bool = False) -> DataFrame:
+    """Rows 2k and 2k + 1 side by side as ``first_*`` and ``second_*``; an odd last row is left out.
+    ``hot``: as in ``zip_join``; the two rows then meet by their pair, not in a window over the key."""
+    if hot:
+        numbered = keyed_position(df, key, order, "_n").withColumn("pair", F.expr("_n div 2"))
+        side = lambda c, odd: F.max(F.when(F.col("_n") % 2 == odd, F.struct(c)))[c]
+        both = numbered.groupBy(*key, "pair").agg(F.count("*").alias("_both"), *[side(c, 0).alias(f"first_{c}") for c in columns], *[side(c, 1).alias(f"second_{c}") for c in columns])
+        return both.where("_both = 2").drop("_both")
     w = Window.partitionBy(*key).orderBy(*order)
     numbered = df.withColumn("_n", position(*key, order=order))
     ahead = numbered.select(*key, (F.col("_n") / 2).cast("long").alias("pair"), "_n", *[F.col(c).alias(f"first_{c}") for c in columns], *[F.lead(c).over(w).alias(f"second_{c}") for c in columns], F.lead("_n").over(w).alias("_next"))
@@ -124,26 +135,30 @@ def overlaps(df: DataFrame, key: Sequence[str], rid: str, low: str, high: str, w
 
 
 def interpolated(base: DataFrame, other: DataFrame, key: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
-    """Both series on the union of their x within the key: (key, x, base_y, other_y),
-    where a value that is missing lies on the line between its neighbours and is null
-    beyond the series' ends. Inputs have unique x and no nulls."""
-    a = base.select(*key, F.col(x), F.col(y).alias("base_y"))
-    b = other.select(*key, F.col(x), F.col(y).alias("other_y"))
+    """Both series on the union of their x within the key: (key, x, base_y, other_y, base_gap,
+    other_gap), where a value that is missing lies on the line between its neighbours and is
+    null beyond the series' ends. Inputs have unique x. A row with a null y is a gap (told by
+    ``*_gap`` at its x): the line ends before it and begins anew behind it."""
+    a = base.select(*key, F.col(x), F.col(y).alias("base_y"), F.lit(True).alias("_base"))
+    b = other.select(*key, F.col(x), F.col(y).alias("other_y"), F.lit(True).alias("_other"))
     both = a.join(b, [*key, x], "full_outer")
     w = Window.partitionBy(*key).orderBy(x)
     up, down = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
 
     def line(name: str) -> Column:
-        point = F.when(F.col(name).isNotNull(), F.struct(F.col(x).alias("x"), F.col(name).alias("y")))
+        y, own = F.col(f"{name}_y"), F.col(f"_{name}")
+        point = F.when(own, F.struct(F.col(x).alias("x"), y.alias("y")))  # gaps are neighbours too
         p, q = F.last(point, True).over(up), F.first(point, True).over(down)
         between = p["y"] + (q["y"] - p["y"]) * (F.col(x) - p["x"]) / F.nullif(q["x"] - p["x"], F.lit(0.0))
-        return F.when(F.col(name).isNotNull(), F.col(name)).when(p.isNotNull() & q.isNotNull(), between)
+        return F.when(own, y).when(p["y"].isNotNull() & q["y"].isNotNull(), between)
 
-    return both.select(*key, x, line("base_y").alias("base_y"), line("other_y").alias("other_y"))
+    gap = lambda name: F.coalesce(F.col(f"_{name}") & F.col(f"{name}_y").isNull(), F.lit(False)).alias(f"{name}_gap")
+    return both.select(*key, x, line("base").alias("base_y"), line("other").alias("other_y"), gap("base"), gap("other"))
 
 
 def stacked(base: DataFrame, other: DataFrame, key: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
-    """``other`` on top of ``base``: (key, x, bottom, top) at every x of either within both."""
+    """``other`` on top of ``base``: (key, x, bottom, top) at every x of either within ``other``,
+    over zero where ``base`` has no line."""
     both = interpolated(base, other, key, x, y).where("other_y is not null")
     return both.select(*key, x, F.coalesce("base_y", F.lit(0.0)).alias("bottom"), (F.coalesce("base_y", F.lit(0.0)) + F.col("other_y")).alias("top"))
 
@@ -154,6 +169,39 @@ def filled_between(series: DataFrame, partner: DataFrame, key: Sequence[str], x:
     return both.select(*key, x, F.col("base_y").alias("bottom"), F.col("other_y").alias("top"))
 
 
+def stacked_lines(base: DataFrame, other: DataFrame, key: Sequence[str], x: str = "x", y: str = "y", add: bool = True, steps: bool = False) -> DataFrame:
+    """Lines with gaps over each other: (key, x, seq, bottom, top).
+
+    A row stands wherever both lines are defined, and none where one has not begun, has ended
+    or is broken. A gap of ``other``, and one of ``base`` before the end of ``other``, is a row
+    of nulls, so that what is drawn breaks there. Without ``add`` the base is only the bottom
+    (an area between two lines). With ``steps`` a line keeps its height up to the next point:
+    before each point (seq 1) whose top differs from that of the point before it stands one
+    (seq 0) at its x with the top and bottom of that point before.
+    """
+    both = interpolated(base, other, key, x, y)
+    end = F.max(F.when(F.col("other_y").isNotNull() | F.col("other_gap"), F.col(x))).over(Window.partitionBy(*key))
+    both = both.withColumn("_end", end)
+    gap = F.col("other_gap") | (F.col("base_gap") & (F.col(x) < F.col("_end")))
+    defined = F.col("base_y").isNotNull() & F.col("other_y").isNotNull()
+    top = F.col("base_y") + F.col("other_y") if add else F.col("other_y")
+    rows = both.where(defined | gap).select(*key, x, F.lit(1).alias("seq"), F.when(defined, F.col("base_y")).alias("bottom"), F.when(defined, top).alias("top"))
+    if not steps:
+        return rows
+    w = Window.partitionBy(*key).orderBy(x)
+    risers = rows.withColumn("_top", F.lag("top").over(w)).withColumn("_bottom", F.lag("bottom").over(w)).where("_top is not null and top is not null and top <> _top")
+    return rows.union(risers.select(*key, x, F.lit(0).alias("seq"), "_bottom", "_top"))
+
+
+def stacked_bars(base: DataFrame, other: DataFrame, key: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
+    """Bars on bars: (key, x, bottom, top) at the x of ``other``, over the base's bar of that x or
+    over zero; a null bar stays null."""
+    below = base.select(*key, F.col(x), F.coalesce(y, F.lit(0.0)).alias("bottom"))
+    rows = other.select(*key, F.col(x), F.col(y).alias("_y")).join(below, [*key, x], "left")
+    bottom = F.when(F.col("_y").isNotNull(), F.coalesce("bottom", F.lit(0.0)))
+    return rows.select(*key, x, bottom.alias("bottom"), (bottom + F.col("_y")).alias("top"))
+
+
 def overlaid(background: DataFrame, foreground: DataFrame, key: Sequence[str], width: float = 10) -> DataFrame:
     """Clips (clip, start, end) of two timelines that show at the same time, by key.
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattica.functions.dates import day_start, epoch_micros, plus, truncated_to
+
 # The unit by the span it is used above, in days, hours, minutes or seconds.
 UNITS = (
     ("years", 5 * 365 * 86400.0), ("half_year", 800 * 86400.0), ("months", 180 * 86400.0), ("months_fortnight", 90 * 86400.0), ("months_days", 60 * 86400.0), ("week_days", 30 * 86400.0),
@@ -43,41 +46,92 @@ def unit_of(span_seconds: Column) -> Column:
 
 def truncated(at: Column, unit: Column) -> Column:
     """``at`` truncated to the unit, without zone."""
-    out = F.date_trunc("second", at)
+    out = truncated_to(at, "second")
     for name, part in TRUNCATED.items():
-        out = F.when(unit == name, F.date_trunc(part, at)).otherwise(out)
-    year, month, minute = (F.date_trunc(p, at) for p in ("year", "month", "minute"))
-    out = F.when(unit == "half_year", F.when(F.month(at) > 6, year + F.expr("interval 6 months")).otherwise(year)).otherwise(out)
-    out = F.when(unit == "months_fortnight", F.when(F.dayofmonth(at) > 14, month + F.expr("interval 14 days")).otherwise(month)).otherwise(out)
-    out = F.when(unit == "minutes_fives", minute - F.make_dt_interval(mins=F.minute(at) % 5)).otherwise(out)
+        out = F.when(unit == name, truncated_to(at, part)).otherwise(out)
+    year, month, minute = (truncated_to(at, p) for p in ("year", "month", "minute"))
+    half = F.make_timestamp_ntz(F.year(at), F.lit(7), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+    out = F.when(unit == "half_year", F.when(F.month(at) > 6, half).otherwise(year)).otherwise(out)
+    out = F.when(unit == "months_fortnight", F.when(F.dayofmonth(at) > 14, plus(month, days=F.lit(14))).otherwise(month)).otherwise(out)
+    out = F.when(unit == "minutes_fives", plus(minute, seconds=-60 * (F.minute(at) % 5))).otherwise(out)
     for name, n in (("seconds_tens", 10), ("seconds_fives", 5)):
         second = F.second(at)
-        out = F.when(unit == name, minute + F.make_dt_interval(secs=(second - second % n).cast("decimal(18,6)"))).otherwise(out)
-    return out.cast("timestamp_ntz")
+        out = F.when(unit == name, plus(minute, seconds=second - second % n)).otherwise(out)
+    return out
 
 
 def chosen_step(span_seconds: Column, ticks: float, quarters: bool = False) -> Column:
     """(size, unit) of the steps for about ``ticks`` ticks over a span: the first step whose
-    mean with the next one is above the distance asked for; several years by ``nice_step``."""
+    mean with the next one is above the distance asked for; beyond, the one of 1, 2, 5 and 10
+    times a power of ten years that is nearest to it."""
     spec = STEPS + (QUARTERS if quarters else MONTHS)
     length = [n * LENGTHS[u] for n, u in spec]
     delta = span_seconds / F.lit(float(ticks))
     pick = lambda n, u: F.struct(n.cast("double").alias("size"), F.lit(u).alias("unit"))
-    out = pick(F.greatest(F.lit(1.0), nice_step(span_seconds / F.lit(LENGTHS["year"]), ticks)), "year")
+    years = delta / F.lit(LENGTHS["year"])
+    power = F.pow(F.lit(10.0), F.floor(F.log10(F.nullif(years, F.lit(0.0)))))
+    part = years / power
+    out = pick(F.greatest(F.lit(1.0), F.when(part < 1.5, power).when(part < 3, power * 2).when(part < 7.5, power * 5).otherwise(power * 10)), "year")
     for i in range(len(spec) - 2, -1, -1):
         out = F.when(delta < (length[i] + length[i + 1]) / 2, pick(F.lit(spec[i][0]), spec[i][1])).otherwise(out)
     return out
 
 
+def least_increment(span_seconds: Column, steps: int) -> Column:
+    """The least tick size of the catalogue, in milliseconds, that gives at most so many steps over a span; null beyond it."""
+    return F.get(F.filter(F.array(*[F.lit(ms).cast("long") for ms in INCREMENTS]), lambda ms: ms * F.lit(float(steps)) >= span_seconds * 1000), F.lit(0))
+
+
 def calendar_ticks(ends: DataFrame, low: str, high: str, step: str) -> DataFrame:
-    """(…, tick): ticks from the one at or before ``low`` to ``high``; step such as '3 months' or '1 day'."""
+    """(…, tick): ticks from the one at or before ``low`` to ``high``; one step for all rows, such as '3 months' or '1 day'."""
     n, unit = step.split()
-    unit = unit.rstrip("s")
-    first = F.date_trunc(unit, F.col(low))
-    n, size = (str(3 * int(n)), "month") if unit == "quarter" else (n, unit)
+    stepped = stepped_ticks(ends.withColumns({"_size": F.lit(float(n)), "_unit": F.lit(unit.rstrip("s"))}), low, high, "_size", "_unit")
+    return stepped.drop("_size", "_unit")
+
+
+def stepped_ticks(ends: DataFrame, low: str, high: str, size: str, unit: str) -> DataFrame:
+    """(…, tick): ticks from the one at or before ``low`` to ``high``, by each row's own step, as
+    ``chosen_step`` gives it: ``size`` a column of numbers, ``unit`` of names.
+
+    The first tick is ``low`` floored: seconds, minutes and hours to a multiple of the size
+    within their larger unit, days to midnight, months, quarters and years to a multiple of
+    the size; steps of four days or more begin with a month, of two months with a quarter, of
+    half a year with a half of the year, of a year with the year. A size below 1 (of
+    a month or a quarter) divides each into parts of whole days.
+    """
+    at, n, what = F.col(low), F.col(size), F.col(unit)
+    whole = F.greatest(n, F.lit(1.0)).cast("int")
+    floored = lambda part: (F.floor(part / whole) * whole).cast("int")
+    day, minute = truncated_to(at, "day"), truncated_to(at, "minute")
+    seconds = n * F.element_at(F.create_map(*[F.lit(x) for u in ("second", "minute", "hour", "day") for x in (u, LENGTHS[u])]), what)
+    clock = F.when(what == "second", plus(minute, seconds=floored(F.second(at)))).when(what == "minute", plus(truncated_to(at, "hour"), seconds=60 * floored(F.minute(at)))).when(what == "hour", plus(day, seconds=3600 * floored(F.hour(at)))).otherwise(day)
+    clock = F.when((what == "day") & (n >= 4), truncated_to(at, "month")).otherwise(clock)
+    months = F.when(what == "quarter", n * 3).when(what == "year", n * 12).otherwise(n)
+    # the month, counted from the year 0, that the first step begins with
+    month = F.month(at) - 1
+    begun = F.when(months < 2, floored(month)).when(what == "month", F.floor(floored(month) / 3) * 3).otherwise(F.floor(month / 3 / whole) * 3 * whole)
+    begun = F.when(what == "year", F.lit(0)).when(months >= 6, F.floor(begun / 6) * 6).otherwise(begun)
+    year = F.when(what == "year", floored(F.year(at))).otherwise(F.year(at))
+    first = year * 12 + begun
+    by_clock = what.isin("second", "minute", "hour", "day")
+    ahead = (epoch_micros(F.col(high)) - epoch_micros(clock)) / (seconds * 1_000_000)
+    last_month = F.year(high) * 12 + F.month(high) - 1
+    count = F.when(by_clock, F.floor(ahead)).otherwise(F.floor((last_month - first + 1) / months))
     keep = [c for c in ends.columns if c not in (low, high)]
-    every = F.sequence(first.cast("timestamp"), F.col(high).cast("timestamp"), F.expr(f"interval {n} {size}"))
-    return ends.select(*keep, F.explode(every).alias("tick")).withColumn("tick", F.col("tick").cast("timestamp_ntz"))
+    held = ends.select(*keep, F.col(high).alias("_high"), clock.alias("_clock"), seconds.alias("_seconds"), months.alias("_months"), first.alias("_first"), by_clock.alias("_by_clock"), count.alias("_count"))
+    k = F.col("_k")
+    ticks = held.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("_count", F.lit(0)).cast("long"))))
+    # a part of a month or quarter: its month by whole months, then days of it
+    span = F.greatest("_months", F.lit(1.0))
+    span = F.when(what == "quarter", F.greatest(F.lit(3.0), F.col("_months"))).otherwise(span)
+    parts = F.round(span / F.col("_months")).cast("long")
+    at_month = F.col("_first") + F.floor(k / parts) * span
+    begin = lambda m: F.make_date(F.floor(m / 12).cast("int"), (F.pmod(m, F.lit(12)) + 1).cast("int"), F.lit(1))
+    length = F.date_diff(begin(at_month + span), begin(at_month))
+    into = F.floor(F.round(F.pmod(k, parts) * length / parts, 6)).cast("int")
+    by_month = day_start(F.date_add(begin(at_month), into))
+    tick = F.when(F.col("_by_clock"), plus(F.col("_clock"), F.floor(k * F.col("_seconds") / 86400), k * F.col("_seconds") - F.floor(k * F.col("_seconds") / 86400) * 86400)).otherwise(by_month)
+    return ticks.select(*keep, tick.alias("tick"), "_high").where(F.col("tick") <= F.col("_high")).drop("_high")
 
 
 def nice_step(span: Column, ticks: int) -> Column:
@@ -122,14 +176,16 @@ def log_spaced(ranges: DataFrame, low: str, high: str, base: float = 10.0) -> Da
     return ticks.select(*keep, F.col("i").cast("long").alias("i"), F.pow(F.lit(base), at).alias("tick"))
 
 
-def padded_limits(low: Column, high: Column, pad: float = 0.1, soft_low: float | None = None, soft_high: float | None = None) -> tuple[Column, Column]:
+def padded_limits(low: Column, high: Column, pad: float = 0.1, soft_low: float | None = None, soft_high: float | None = None, hard_low: float | None = None, hard_high: float | None = None) -> tuple[Column, Column]:
     """A range padded by a share of its span, rounded outwards to a tenth of the span's
-    power of ten, and held at a soft limit that the data do not cross."""
+    power of ten, held at a soft limit that the data do not cross, and never beyond a hard one."""
     span = F.when(high > low, high - low).otherwise(F.greatest(F.abs(high), F.lit(1.0)))
     unit = F.pow(F.lit(10.0), F.floor(F.log10(span))) / 10
     a, b = F.floor((low - span * pad) / unit) * unit, F.ceil((high + span * pad) / unit) * unit
     a = F.when((low >= soft_low) & (a < soft_low), F.lit(soft_low)).otherwise(a) if soft_low is not None else a
     b = F.when((high <= soft_high) & (b > soft_high), F.lit(soft_high)).otherwise(b) if soft_high is not None else b
+    a = F.greatest(a, F.lit(float(hard_low))) if hard_low is not None else a
+    b = F.least(b, F.lit(float(hard_high))) if hard_high is not None else b
     return a, b
 
 
@@ -143,3 +199,35 @@ def scale_extents(points: DataFrame, scale: str, x: str, y: str, low, high, visi
     """The extent of each scale over its visible series within a window of x."""
     inside = visible & F.col(x).between(F.lit(low), F.lit(high))
     return points.groupBy(scale).agg(F.min(F.when(inside, F.col(y))).alias("y_min"), F.max(F.when(inside, F.col(y))).alias("y_max"))
+
+
+def derived_scales(extents: DataFrame, rules: dict[str, tuple[str, Callable[[Column, Column], tuple[Column, Column]]]], scale: str = "scale", low: str = "y_min", high: str = "y_max") -> DataFrame:
+    """``extents`` and, for each rule name: (from, range), a scale whose ends ``range`` makes of
+    another's, which may itself be derived. A scale whose source is absent is absent too.
+
+    Rules are put in the order in which they depend on each other; a ring is refused. What
+    derives from one scale is put out beside its row, so ``extents`` is evaluated once.
+    """
+    known: dict[str, tuple[str, list[str]]] = {}  # the scale at the root, and the rules that lead from it
+
+    def chain(name: str, seen: tuple[str, ...] = ()) -> tuple[str, list[str]]:
+        if name in seen:
+            raise ValueError(f"scales derive from each other: {' from '.join((*seen, name))}")
+        if name not in rules:
+            return name, []
+        if name not in known:
+            root, path = chain(rules[name][0], (*seen, name))
+            known[name] = root, [*path, name]
+        return known[name]
+
+    keep = [c for c in extents.columns if c not in (scale, low, high)]
+    ends = lambda name, a, b: F.struct(F.lit(name).alias(scale) if isinstance(name, str) else name.alias(scale), a.cast("double").alias(low), b.cast("double").alias(high))
+    every = [ends(F.col(scale), F.col(low), F.col(high))]
+    for name in rules:
+        root, path = chain(name)
+        a, b = F.col(low).cast("double"), F.col(high).cast("double")
+        for step in path:
+            a, b = rules[step][1](a, b)
+        every.append(F.when(F.col(scale) == root, ends(name, a, b)))
+    told = extents.where(~F.col(scale).isin(*rules)) if rules else extents
+    return told.select(*keep, F.explode(F.array_compact(F.array(*every))).alias("_s")).select(*keep, "_s.*")

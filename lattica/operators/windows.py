@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import global_position, position
+from .ordering import global_position, keyed_position, position
 
 
 def _w(key: Sequence[str], order: Sequence):
@@ -97,8 +97,8 @@ def series_cells(df: DataFrame, key: Sequence[str], order: Sequence, columns: Se
 
 
 def alternating(df: DataFrame, key: Sequence[str], order: Sequence) -> DataFrame:
-    """``side`` a for even and b for odd positions, and ``side_pos`` in it."""
-    numbered = df.withColumn("_n", position(*key, order=order))
+    """``side`` a for even and b for odd positions, and ``side_pos`` in it; a key may be of any size."""
+    numbered = keyed_position(df, key, order, "_n")
     return numbered.withColumn("side", F.when(F.col("_n") % 2 == 0, "a").otherwise("b")).withColumn("side_pos", (F.col("_n") / 2).cast("long")).drop("_n")
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lattica.functions import predicates as P
@@ -205,6 +204,30 @@ def stored_listing(spark, sf_dir):
     return listing.objects(spark, root, [".txt"]).groupBy("bucket").agg(F.sum("size").alias("bytes"))
 
 
+@query("""
+SELECT 'b' || p_size % 4 AS bucket, TRUE AS ok, CAST(sum(strlen(p_name) + 1) AS BIGINT) AS bytes FROM part GROUP BY ALL UNION ALL SELECT 'missing', FALSE, NULL UNION ALL SELECT 'unreadable', FALSE, NULL
+""")
+def isolated_listing(spark, sf_dir):
+    """Buckets listed together, two of which cannot be: they are told and skipped."""
+    root = f"{shared_folder(spark)}/lattica-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "part").select(F.concat(F.lit("b"), F.col("p_size") % 4).alias("bucket"), "p_name").write.partitionBy("bucket").text(root)
+    roots = {"b2": f"{root}/bucket=b2", "missing": f"{root}/bucket=none", "b0": f"{root}/bucket=b0", "unreadable": f"nostore://{uuid.uuid4().hex}/x", "b1": f"{root}/bucket=b1", "b3": f"{root}/bucket=b3"}
+    files, told = listing.isolated(spark, roots, [".txt"])
+    return told.join(files.groupBy("bucket").agg(F.sum("size").alias("bytes")), "bucket", "left").select("bucket", "ok", "bytes")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_size > 40")
+def jdbc_scan(spark, sf_dir):
+    """A catalogue in a database, read in four ranges of its key with the filter pushed down.
+
+    The database is an embedded one of this process, so the query is for a local session."""
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("an embedded database is open to one process: use listing.jdbc_parts with the url of a server")
+    url = f"jdbc:derby:memory:parts{uuid.uuid4().hex};create=true"
+    table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name").write.format("jdbc").option("url", url).option("dbtable", "parts").save()
+    return listing.jdbc_parts(spark, url, "parts", "p_partkey", 4).where("p_size > 40").select("p_partkey", "p_name")
+
+
 @query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'png' WHEN 2 THEN 'jpeg' ELSE 'gif' END AS kind FROM documents WHERE text IS NOT NULL AND doc_id % 5 IN (0, 2, 3)")
 def valid_image_files(spark, sf_dir):
     """Files that are whole images by their first and last bytes; cut, other and missing ones are dropped."""
@@ -216,16 +239,19 @@ def valid_image_files(spark, sf_dir):
 
 
 @query("""
-WITH m AS (SELECT unnest(['customer', 'orders', 'part']) AS model, unnest([1, 2, 3]) AS n), a AS (SELECT unnest(['add', 'change', 'delete', 'view']) AS act, unnest([1, 2, 3, 4]) AS k)
-SELECT CAST((n - 1) * 4 + k AS BIGINT) AS id, 'Can ' || act || ' ' || model AS name, act || '_' || model AS codename, model FROM m, a
+WITH types AS (SELECT c_mktsegment AS model, min(c_custkey) AS id FROM customer GROUP BY 1), a AS (SELECT unnest(['add', 'change', 'delete', 'view']) AS act, unnest([0, 1, 2, 3]) AS k)
+SELECT c_custkey AS user_id, id * 4 + k AS permission_id, 'Can ' || act || ' ' || lower(model) AS name, act || '_' || lower(model) AS codename FROM customer JOIN types ON c_mktsegment = model, a WHERE k < 1 + c_nationkey % 4
 """)
 def dump_rows(spark, sf_dir):
-    """Rows of a dump, permissions with their content types, as tables of a fixed schema."""
-    models, actions = ["customer", "orders", "part"], ["add", "change", "delete", "view"]
-    types = listing.rows_table(spark, list(enumerate(models, 1)), "content_type_id long, model string")
-    rows = [(i * 4 + k + 1, f"Can {a} {m}", i + 1, f"{a}_{m}") for i, m in enumerate(models) for k, a in enumerate(actions)]
-    permissions = listing.rows_table(spark, rows, "id long, name string, content_type_id long, codename string")
-    return permissions.join(types, "content_type_id").select("id", "name", "codename", "model")
+    """Rows of a dump met by their declared keys: users, their permissions, the permissions' content types."""
+    c = table(spark, sf_dir, "customer")
+    types = c.groupBy(F.col("c_mktsegment").alias("model")).agg(F.min("c_custkey").alias("content_type_id"))
+    actions = F.posexplode(F.array(*map(F.lit, ("add", "change", "delete", "view")))).alias("k", "act")
+    permissions = types.select("content_type_id", F.lower("model").alias("m"), actions)
+    permissions = permissions.select((F.col("content_type_id") * 4 + F.col("k")).alias("permission_id"), "content_type_id", F.concat(F.lit("Can "), "act", F.lit(" "), "m").alias("name"), F.concat("act", F.lit("_"), "m").alias("codename"))
+    granted = c.join(types, F.col("c_mktsegment") == F.col("model")).select(F.col("c_custkey").alias("user_id"), F.explode(F.sequence(F.lit(0), F.col("c_nationkey") % 4)).alias("k"), "content_type_id")
+    granted = granted.select("user_id", (F.col("content_type_id") * 4 + F.col("k")).alias("permission_id"))
+    return granted.join(permissions, "permission_id").select("user_id", "permission_id", "name", "codename")
 
 
 @query("""
@@ -361,8 +387,8 @@ def numbered_frames(spark, sf_dir):
 
     path = F.concat("lang", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 9, "0"))
     files = table(spark, sf_dir, "documents").select("source", "doc_id", path.alias("path"))
-    pos = F.row_number().over(Window.partitionBy("source").orderBy("path")) - 1
-    return files.select("source", "doc_id", "path", frame_name(pos, "merged", 6).alias("frame"))
+    numbered = ordering.keyed_position(files, ["source"], ["path"])
+    return numbered.select("source", "doc_id", "path", frame_name(F.col("pos"), "merged", 6).alias("frame"))
 
 
 _FRAMES_SQL = f"""

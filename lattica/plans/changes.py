@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.operators import changes as C
@@ -24,6 +27,35 @@ def delete_ids(spark, sf_dir):
     return C.deleted(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), keys, ["o_custkey"])
 
 
+_LINKS = [("nation", ["n_regionkey"], "region", ["r_regionkey"]), ("customer", ["c_nationkey"], "nation", ["n_nationkey"]), ("supplier", ["s_nationkey"], "nation", ["n_nationkey"]), ("orders", ["o_custkey"], "customer", ["c_custkey"]), ("lineitem", ["l_orderkey"], "orders", ["o_orderkey"]), ("lineitem", ["l_suppkey"], "supplier", ["s_suppkey"])]
+
+_CASCADE = """
+WITH n AS (SELECT n_nationkey FROM nation WHERE n_nationkey IN (3, 7)), c AS (SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT * FROM n)), s AS (SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT * FROM n)),
+o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT * FROM c)), l AS (SELECT *, l_orderkey IN (SELECT * FROM o) OR l_suppkey IN (SELECT * FROM s) AS gone FROM lineitem)
+"""
+
+
+def _cascade(spark, sf_dir):
+    tables = {t: table(spark, sf_dir, t) for t in ("region", "nation", "customer", "supplier", "orders", "lineitem")}
+    return C.cascade(tables, _LINKS, "nation", tables["nation"].where("n_nationkey in (3, 7)").select("n_nationkey"))
+
+
+@query(_CASCADE + """SELECT 'region' AS "table", CAST(0 AS BIGINT) AS deleted UNION ALL SELECT 'nation', count(*) FROM n UNION ALL SELECT 'customer', count(*) FROM c UNION ALL SELECT 'supplier', count(*) FROM s
+UNION ALL SELECT 'orders', count(*) FROM o UNION ALL SELECT 'lineitem', count(*) FROM l WHERE gone""")
+def cascade_counts(spark, sf_dir):
+    """Rows that go from each table when two nations do, by five foreign keys (K3 A1)."""
+    return _cascade(spark, sf_dir)[1]
+
+
+@query(_CASCADE + """SELECT 'customer' AS "table", c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT * FROM c) UNION ALL SELECT 'orders', o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT * FROM o)
+UNION ALL SELECT 'lineitem', l_orderkey FROM l WHERE NOT gone""")
+def cascade_survivors(spark, sf_dir):
+    """What stays of the tables after a cascading delete (K3)."""
+    stays = _cascade(spark, sf_dir)[0]
+    keys = {"customer": "c_custkey", "orders": "o_orderkey", "lineitem": "l_orderkey"}
+    return reduce(DataFrame.union, [stays[t].select(F.lit(t).alias("table"), F.col(k).cast("long").alias("key")) for t, k in keys.items()])
+
+
 @query("""
 SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_acctbal > 4000
 UNION ALL SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal <= 4000 AND s_nationkey < 15
@@ -47,6 +79,23 @@ def grid_edit(spark, sf_dir):
     return C.inserted(C.deleted(C.merged(n, edits, ["id"]), gone, ["id"]), added).fillna(-1, ["region"])
 
 
+@query("""
+SELECT p_partkey, CASE WHEN p_size > 25 THEN 'new ' || p_brand ELSE p_brand END AS c, p_size AS d, p_type AS e, CASE WHEN p_size > 40 THEN ['first', 'none'] || string_split(p_name, ' ')[3:] WHEN p_size > 25 THEN ['first'] || string_split(p_name, ' ')[2:] ELSE string_split(p_name, ' ') END AS tags,
+       CASE WHEN p_size > 25 THEN p_retailprice + 1 ELSE p_retailprice END AS price, CASE WHEN p_size > 25 THEN 7.0::DOUBLE END AS tax
+FROM part
+""")
+def grid_edit_deep(spark, sf_dir):
+    """Edits of nested items: one field of a struct, places of an array, keys of a map."""
+    p = table(spark, sf_dir, "part")
+    some = p.where("p_size > 25")
+    inner = F.struct(F.struct(F.col("p_brand").alias("c"), F.col("p_size").alias("d")).alias("b"), F.col("p_type").alias("e"))
+    items = p.select("p_partkey", inner.alias("a"), F.split("p_name", " ").alias("tags"), F.create_map(F.lit("price"), F.col("p_retailprice")).alias("m"))
+    tags = F.when(F.col("p_size") > 40, F.array(F.lit("first"), F.lit("none"))).otherwise(F.array(F.lit("first")))
+    edits = some.select("p_partkey", F.struct(F.struct(F.concat(F.lit("new "), "p_brand").alias("c")).alias("b")).alias("a"), tags.alias("tags"), F.create_map(F.lit("price"), F.col("p_retailprice") + 1, F.lit("tax"), F.lit(7.0)).alias("m"))
+    out = C.deep_merged(items, edits, ["p_partkey"])
+    return out.select("p_partkey", F.col("a.b.c").alias("c"), F.col("a.b.d").alias("d"), F.col("a.e").alias("e"), "tags", F.col("m")["price"].alias("price"), F.col("m")["tax"].alias("tax"))
+
+
 @query("""
 WITH need AS (SELECT DISTINCT o_custkey AS id, 'video/' || o_orderkey AS key FROM orders WHERE o_orderstatus <> 'P'), gone AS (SELECT 'video/' || o_orderkey AS key FROM orders WHERE o_totalprice < 400000)
 SELECT id, count(*) AS required, count(g.key) AS done, count(*) = count(g.key) AS may_delete FROM need LEFT JOIN gone g USING (key) GROUP BY id

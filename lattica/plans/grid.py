@@ -52,6 +52,32 @@ def grid_sort_kinds(spark, sf_dir):
     return each[0].union(each[1]).union(each[2])
 
 
+_ACCENTED = "CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN upper(p_name) WHEN 2 THEN replace(p_name, 'e', 'é') WHEN 3 THEN replace(replace(p_name, 'a', 'ä'), 'o', 'Ö') ELSE p_name END"
+
+
+@query(f"""
+WITH p AS (SELECT p_partkey, {_ACCENTED} AS name FROM part)
+SELECT 'up' AS way, p_partkey, name, row_number() OVER (ORDER BY name COLLATE en NULLS FIRST, p_partkey) - 1 AS pos FROM p
+UNION ALL SELECT 'down', p_partkey, name, row_number() OVER (ORDER BY name COLLATE en DESC NULLS LAST, p_partkey) - 1 FROM p
+""")
+def grid_sort_locale(spark, sf_dir):
+    """Accented names in mixed case, in the order of a locale and in the opposite one."""
+    n, name = F.col("p_partkey") % 5, F.col("p_name")
+    told = F.when(n == 1, F.upper(name)).when(n == 2, F.replace(name, F.lit("e"), F.lit("é"))).when(n == 3, F.replace(F.replace(name, F.lit("a"), F.lit("ä")), F.lit("o"), F.lit("Ö"))).when(n == 4, name)
+    p = table(spark, sf_dir, "part").select("p_partkey", told.alias("name"))
+    each = [ordering.global_position(p.select(F.lit(way).alias("way"), "p_partkey", "name"), [ordering.sort_key(F.col("name"), "string", down, "UNICODE"), F.col("p_partkey")]) for way, down in (("up", False), ("down", True))]
+    return each[0].union(each[1])
+
+
+@query("""
+SELECT c_custkey, bal, row_number() OVER (ORDER BY coalesce(bal, 0) DESC, c_custkey) - 1 AS pos FROM (SELECT c_custkey, CASE WHEN c_acctbal > 500 THEN c_acctbal WHEN c_acctbal < 0 THEN c_acctbal END AS bal FROM customer)
+""")
+def grid_sort_descending(spark, sf_dir):
+    """A grid sorted by the same number column again: the other way round, null as zero."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.when((F.col("c_acctbal") > 500) | (F.col("c_acctbal") < 0), F.col("c_acctbal")).alias("bal"))
+    return ordering.global_position(c, [ordering.sort_key(F.col("bal"), "number", ordering.toggled("bal", "bal", False)), F.col("c_custkey")])
+
+
 @query("""
 SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) - 1 AS pos, CAST(3 AS BIGINT) AS page, CAST(ceil((SELECT count(*) FROM customer) / 20.0) AS BIGINT) AS n_pages
 FROM customer QUALIFY pos BETWEEN 40 AND 59

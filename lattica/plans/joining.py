@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lattica.functions.dates import epoch_micros, from_micros
 from lattica.operators import joins as J
 from lattica.operators.windows import timeline
 from lattica.sources.tables import table
@@ -93,9 +94,9 @@ QUALIFY row_number() OVER (PARTITION BY c.event_id ORDER BY abs(epoch_us(near_ts
 """)
 def nearest_event(spark, sf_dir):
     """For each click the user's nearest purchase in time, the earlier on a tie."""
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", epoch_micros(F.col("ts")).alias("us"))
     out = J.nearest(e.where("event_type = 'click'").select("event_id", "user_id", "us"), e.where("event_type = 'purchase'").select("user_id", "us", "event_id"), ["user_id"], "us", "event_id")
-    return out.select("event_id", "user_id", "near_id", F.timestamp_micros("near_x").cast("timestamp_ntz").alias("near_ts"))
+    return out.select("event_id", "user_id", "near_id", from_micros(F.col("near_x")).alias("near_ts"))
 
 
 @query("""
@@ -130,7 +131,7 @@ l AS (SELECT user_id, x, CASE WHEN ya IS NOT NULL THEN ya WHEN ax0 IS NOT NULL A
 
 
 def _curves(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("user_id", "event_type", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("x"), F.col("value").alias("y"))
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", (epoch_micros(F.col("ts")) / 1e6).alias("x"), F.col("value").alias("y"))
     return e.where("event_type = 'click'").drop("event_type"), e.where("event_type = 'view'").drop("event_type")
 
 
@@ -148,6 +149,60 @@ def fill_between(spark, sf_dir):
     return J.filled_between(series, partner, ["user_id"]).select("user_id", "x", F.round("bottom", 4).alias("bottom"), F.round("top", 4).alias("top"))
 
 
+_BROKEN = """
+WITH a AS (SELECT user_id, epoch_us(ts) / 1e6 AS x, CASE WHEN value <= 60 THEN value END AS y, TRUE AS own FROM events WHERE event_type = 'click'),
+b AS (SELECT user_id, epoch_us(ts) / 1e6 AS x, CASE WHEN value <= 60 THEN value END AS y, TRUE AS own FROM events WHERE event_type = 'view'),
+j AS (SELECT user_id, x, a.y AS ya, b.y AS yb, coalesce(a.own, FALSE) AS oa, coalesce(b.own, FALSE) AS ob FROM a FULL JOIN b USING (user_id, x)),
+n AS (SELECT *, last_value(CASE WHEN oa THEN {'x': x, 'y': ya} END IGNORE NULLS) OVER up AS a0, first_value(CASE WHEN oa THEN {'x': x, 'y': ya} END IGNORE NULLS) OVER down AS a1,
+             last_value(CASE WHEN ob THEN {'x': x, 'y': yb} END IGNORE NULLS) OVER up AS b0, first_value(CASE WHEN ob THEN {'x': x, 'y': yb} END IGNORE NULLS) OVER down AS b1, max(CASE WHEN ob THEN x END) OVER (PARTITION BY user_id) AS last_b
+      FROM j WINDOW up AS (PARTITION BY user_id ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), down AS (PARTITION BY user_id ORDER BY x ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+v AS (SELECT user_id, x, last_b, oa AND ya IS NULL AS ga, ob AND yb IS NULL AS gb, CASE WHEN oa THEN ya ELSE a0.y + (a1.y - a0.y) * (x - a0.x) / (a1.x - a0.x) END AS a, CASE WHEN ob THEN yb ELSE b0.y + (b1.y - b0.y) * (x - b0.x) / (b1.x - b0.x) END AS b FROM n),
+l AS (SELECT user_id, x, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN a END AS bottom, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN b END AS own, a + b AS top FROM v WHERE (a IS NOT NULL AND b IS NOT NULL) OR gb OR (ga AND x < last_b))
+"""
+
+
+def _broken_curves(spark, sf_dir):
+    return [df.withColumn("y", F.when(F.col("y") <= 60, F.col("y"))) for df in _curves(spark, sf_dir)]
+
+
+def _rounded(df):
+    return df.select("user_id", "x", *[c for c in df.columns if c == "seq"], F.round("bottom", 4).alias("bottom"), F.round("top", 4).alias("top"))
+
+
+@query(_BROKEN + "SELECT user_id, x, 1 AS seq, round(bottom, 4) AS bottom, round(top, 4) AS top FROM l")
+def stacked_gaps(spark, sf_dir):
+    """Stacked lines that break at nulls of either series."""
+    base, other = _broken_curves(spark, sf_dir)
+    return _rounded(J.stacked_lines(base, other, ["user_id"]))
+
+
+@query(_BROKEN + """, r AS (SELECT *, lag(top) OVER w AS t0, lag(bottom) OVER w AS b0 FROM l WINDOW w AS (PARTITION BY user_id ORDER BY x))
+SELECT user_id, x, 1 AS seq, round(bottom, 4) AS bottom, round(top, 4) AS top FROM l UNION ALL SELECT user_id, x, 0, round(b0, 4), round(t0, 4) FROM r WHERE t0 <> top""")
+def stacked_steps(spark, sf_dir):
+    """Stacked lines with gaps that keep their height up to the next point."""
+    base, other = _broken_curves(spark, sf_dir)
+    return _rounded(J.stacked_lines(base, other, ["user_id"], steps=True))
+
+
+@query(_BROKEN + "SELECT user_id, x, 1 AS seq, round(bottom, 4) AS bottom, round(own, 4) AS top FROM l")
+def fill_between_gaps(spark, sf_dir):
+    """The area between two lines that break at nulls."""
+    partner, series = _broken_curves(spark, sf_dir)
+    return _rounded(J.stacked_lines(partner, series, ["user_id"], add=False))
+
+
+@query("""
+WITH h AS (SELECT event_type, epoch_us(date_trunc('hour', ts)) // 3600000000 AS x, max(value) AS v FROM events GROUP BY ALL), a AS (SELECT x, v FROM h WHERE event_type = 'click'), b AS (SELECT x, CASE WHEN v < 95 THEN v END AS v FROM h WHERE event_type = 'view')
+SELECT 1 AS k, x, CASE WHEN b.v IS NOT NULL THEN coalesce(a.v, 0) END AS bottom, coalesce(a.v, 0) + b.v AS top FROM b LEFT JOIN a USING (x)
+""")
+def stacked_bar_series(spark, sf_dir):
+    """Hourly bars on bars, nothing interpolated."""
+    us = epoch_micros(F.col("ts"))
+    h = table(spark, sf_dir, "events").groupBy("event_type", F.floor(us / 3_600_000_000).cast("long").alias("x")).agg(F.max("value").alias("y"))
+    one = lambda kind: h.where(F.col("event_type") == kind).select(F.lit(1).alias("k"), "x", "y")
+    return J.stacked_bars(one("click"), one("view").withColumn("y", F.when(F.col("y") < 95, F.col("y"))), ["k"])
+
+
 @query("SELECT p_partkey, coalesce(lag(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_partkey), -1) AS below FROM part")
 def stack_key_lookup(spark, sf_dir):
     """The last earlier series with the same stack key, -1 without one."""

@@ -78,6 +78,33 @@ def epoch_units(spark, sf_dir):
     )
 
 
+_ZONED = """
+WITH e AS (SELECT event_id, ts + INTERVAL 60 DAY AS t FROM events), z AS (SELECT unnest(['America/New_York', 'Europe/Berlin', 'Asia/Kathmandu']) AS zone),
+l AS (SELECT event_id, zone, t, timezone(zone, timezone('UTC', t)) AS shown, (epoch_us(timezone(zone, timezone('UTC', t))) - epoch_us(t)) // 60000000 AS off FROM e, z)
+"""
+
+
+@query(_ZONED + """SELECT event_id, zone, shown, strftime(shown, '%Y-%m-%d %H:%M:%S ') || CASE WHEN off < 0 THEN '-' ELSE '+' END || lpad((abs(off) // 60)::VARCHAR, 2, '0') || ':' || lpad((abs(off) % 60)::VARCHAR, 2, '0') || ' K' AS text,
+       epoch_us(shown) // 3600000000 - epoch_us(t) // 3600000000 AS hours FROM l""")
+def zone_clocks(spark, sf_dir):
+    """What clocks of three zones show, with their offsets, over weeks in which two of them are put forward."""
+    zones = F.explode(F.array(*map(F.lit, ("America/New_York", "Europe/Berlin", "Asia/Kathmandu"))))
+    e = table(spark, sf_dir, "events").select("event_id", D.plus(F.col("ts"), days=F.lit(60)).alias("t"), zones.alias("zone"))
+    hour = lambda at: F.floor(D.epoch_micros(at) / 3_600_000_000)
+    e = e.withColumn("shown", D.in_zone(F.col("t"), F.col("zone")))
+    return e.select("event_id", "zone", "shown", D.token_format(F.col("t"), "yyyy-MM-dd HH:mm:ss K \\K", F.col("zone")).alias("text"), (hour(F.col("shown")) - hour(F.col("t"))).alias("hours"))
+
+
+@query("""
+WITH e AS (SELECT event_id, ts + INTERVAL 60 DAY AS t FROM events) SELECT event_id, timezone('UTC', timezone('Europe/Berlin', t)) AS utc FROM e WHERE NOT (t >= TIMESTAMP '2024-03-31 02:00:00' AND t < TIMESTAMP '2024-03-31 03:00:00')
+""")
+def clocks_to_utc(spark, sf_dir):
+    """UTC from what a clock shows, but for the hour that it skips."""
+    e = table(spark, sf_dir, "events").select("event_id", D.plus(F.col("ts"), days=F.lit(60)).alias("t"))
+    skipped = [F.to_timestamp_ntz(F.lit(x)) for x in ("2024-03-31 02:00:00", "2024-03-31 03:00:00")]
+    return e.where(~((F.col("t") >= skipped[0]) & (F.col("t") < skipped[1]))).select("event_id", D.out_of_zone(F.col("t"), "Europe/Berlin").alias("utc"))
+
+
 @query("""
 WITH t AS (SELECT DATE '1998-03-15' AS today), r AS (
   SELECT 'today' AS name, today AS a, today AS b FROM t UNION ALL SELECT 'yesterday', today - 1, today - 1 FROM t UNION ALL SELECT 'last 7 days', today - 6, today FROM t

@@ -6,11 +6,12 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from lattica.functions.dates import epoch_micros, strftime
 from lattica.functions.numbers import summed
 from lattica.operators import aggregates as A
 from lattica.operators import timescale as T
 from lattica.sources import sinks
-from lattica.sources.listing import series_points
+from lattica.sources.listing import parsed_series, series_points
 from lattica.sources.tables import table
 
 from .base import query
@@ -63,7 +64,7 @@ SELECT user_id, coalesce(min(d) FILTER (WHERE d > 0), 0.5) AS min_gap FROM d GRO
 """)
 def min_gap(spark, sf_dir):
     """The least positive gap in x."""
-    e = table(spark, sf_dir, "events").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("x"))
+    e = table(spark, sf_dir, "events").select("user_id", (epoch_micros(F.col("ts")) / 1e6).alias("x"))
     return A.least_gap(e, ["user_id"], "x")
 
 
@@ -100,7 +101,7 @@ def stacked_extremes(spark, sf_dir):
 
 def _window(spark, sf_dir, parts, first, last):
     """The events with their time in microseconds, and the ends of a share of its span."""
-    e = table(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    e = table(spark, sf_dir, "events").withColumn("us", epoch_micros(F.col("ts")))
     end = lambda n: e.agg(F.min("us") + F.expr(f"(max(us) - min(us)) * {n} div {parts}")).scalar()
     return e, end(first), end(last)
 
@@ -178,6 +179,42 @@ def flat_points(spark, sf_dir):
     return series_points(e, "ys", 10, 0.5).withColumn("idx", F.col("idx").cast("long"))
 
 
+@query("""
+SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS INTEGER) AS pos,
+       CASE user_id % 3 WHEN 0 THEN CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id END WHEN 1 THEN event_id ELSE 5 + (row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1) * 0.5 END::DOUBLE AS x,
+       CASE WHEN user_id % 3 = 0 AND event_id % 7 = 0 THEN event_type END AS label, CASE WHEN value <= 90 THEN value END AS y FROM events
+""")
+def mixed_series(spark, sf_dir):
+    """Series as JSON in three forms, objects, pairs and values, parsed to one table of points."""
+    y = F.when(F.col("value") <= 90, F.col("value"))
+    said = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit('"'), y.cast("string"), F.lit('px"'))).otherwise(y.cast("string"))
+    said = F.coalesce(said, F.lit("null"))
+    last = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("[0, "), said, F.lit("]"))).otherwise(said)
+    x = F.when(F.col("event_id") % 7 == 0, F.concat(F.lit('"'), "event_type", F.lit('"'))).otherwise(F.col("event_id").cast("string"))
+    item = F.when(F.col("user_id") % 3 == 0, F.concat(F.lit('{"x": '), x, F.lit(', "y": '), last, F.lit("}"))).when(F.col("user_id") % 3 == 1, F.concat(F.lit("["), F.col("event_id").cast("string"), F.lit(", "), said, F.lit("]"))).otherwise(said)
+    e = table(spark, sf_dir, "events").select("user_id", "ts", item.alias("item"))
+    items = F.transform(F.sort_array(F.collect_list(F.struct("ts", "item"))), lambda p: p["item"])
+    series = e.groupBy("user_id").agg(F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]")).alias("data"))
+    return parsed_series(series, "data", 5, 0.5)
+
+
+_SPANS = """
+WITH e AS (SELECT 'events' AS src, event_id % 12 AS k, event_id // pow(2, event_id % 12)::BIGINT AS g, ts AS t FROM events UNION ALL SELECT 'orders', o_orderkey % 12, o_orderkey // pow(2, o_orderkey % 12)::BIGINT, o_orderdate::TIMESTAMP FROM orders),
+r AS (SELECT src, k, g, min(t) AS a, max(t) AS b, (epoch_us(max(t)) - epoch_us(min(t))) / 1e6 AS span FROM e GROUP BY ALL)
+"""
+
+
+def _spans(spark, sf_dir):
+    """Groups of events and of orders with spans from nothing to years: (src, k, g, a, b, span)."""
+
+    def one(name, rid, at):
+        k = F.col(rid) % 12
+        return table(spark, sf_dir, name).select(F.lit(name).alias("src"), k.alias("k"), F.floor(F.col(rid) / F.pow(F.lit(2.0), k)).cast("long").alias("g"), F.col(at).cast("timestamp_ntz").alias("t"))
+
+    r = one("events", "event_id", "ts").union(one("orders", "o_orderkey", "o_orderdate")).groupBy("src", "k", "g").agg(F.min("t").alias("a"), F.max("t").alias("b"))
+    return r.withColumn("span", (epoch_micros(F.col("b")) - epoch_micros(F.col("a"))) / 1e6)
+
+
 _UNIT = """CASE WHEN s > 5 * 365 * 86400 THEN 'years' WHEN s > 800 * 86400 THEN 'half_year' WHEN s > 180 * 86400 THEN 'months' WHEN s > 90 * 86400 THEN 'months_fortnight' WHEN s > 60 * 86400 THEN 'months_days'
  WHEN s > 30 * 86400 THEN 'week_days' WHEN s > 2 * 86400 THEN 'days' WHEN s > 2.4 * 3600 THEN 'hours' WHEN s > 900 THEN 'minutes_fives' WHEN s > 300 THEN 'minutes' WHEN s > 60 THEN 'seconds_tens' WHEN s > 20 THEN 'seconds_fives' ELSE 'seconds' END"""
 
@@ -188,7 +225,7 @@ SELECT k, g, s AS span, {_UNIT} AS unit FROM r
 """)
 def time_unit_choice(spark, sf_dir):
     """The time unit for a span (B1)."""
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    us = epoch_micros(F.col("ts"))
     k = F.col("event_id") % 12
     e = table(spark, sf_dir, "events").select(k.alias("k"), F.floor(F.col("event_id") / F.pow(F.lit(2.0), k)).cast("long").alias("g"), us.alias("us"))
     r = e.groupBy("k", "g").agg(((F.max("us") - F.min("us")) / 1e6).alias("span"))
@@ -201,7 +238,7 @@ SELECT event_type, date_trunc('day', ts) AS at, count(*) AS n, CAST(sum(CAST(val
 def bucket_by_unit(spark, sf_dir):
     """Buckets of the unit that the data's span asks for (B1): days for this month of events."""
     e = table(spark, sf_dir, "events")
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    us = epoch_micros(F.col("ts"))
     unit = e.agg(T.unit_of((F.max(us) - F.min(us)) / 1e6)).scalar()
     at = T.truncated(F.col("ts"), F.col("unit"))
     return e.withColumn("unit", unit).groupBy("event_type", at.alias("at")).agg(F.count("*").alias("n"), summed(F.col("value"), CENTS).alias("total"))
@@ -274,15 +311,27 @@ def scale_extents(spark, sf_dir):
 
 
 @query("""
-WITH w AS (SELECT unnest([1, 10, 100]) AS p), s AS (
+WITH s AS (SELECT CASE WHEN event_type IN ('click', 'view') THEN 'left' ELSE 'right' END AS scale, CAST(ts AS DATE) AS day, min(value) AS a, max(value) AS b FROM events GROUP BY ALL)
+SELECT day, scale, a AS y_min, b AS y_max FROM s UNION ALL SELECT day, 'percent', a * 100, b * 100 FROM s WHERE scale = 'left' UNION ALL SELECT day, 'padded', a * 100 - 10, b * 100 + 10 FROM s WHERE scale = 'left'
+UNION ALL SELECT day, 'mirror', -b, -a FROM s WHERE scale = 'right'
+""")
+def derived_scales(spark, sf_dir):
+    """Scales taken from others, two levels deep, for each day."""
+    scale = F.when(F.col("event_type").isin("click", "view"), "left").otherwise("right")
+    own = table(spark, sf_dir, "events").groupBy(F.col("ts").cast("date").alias("day"), scale.alias("scale")).agg(F.min("value").alias("y_min"), F.max("value").alias("y_max"))
+    rules = {"padded": ("percent", lambda a, b: (a - 10, b + 10)), "percent": ("left", lambda a, b: (a * 100, b * 100)), "mirror": ("right", lambda a, b: (-b, -a)), "lost": ("absent", lambda a, b: (a, b))}
+    return T.derived_scales(own, rules)
+
+
+@query(f"""{_SPANS}, w AS (SELECT unnest([1, 10, 100]) AS p), c AS (
   SELECT CAST(m * p AS BIGINT) AS ms FROM w, (SELECT unnest([1, 2, 2.5, 5]) AS m) WHERE m * p % 1 = 0
   UNION ALL SELECT unnest([1, 5, 10, 15, 30]) * 1000 UNION ALL SELECT unnest([1, 5, 10, 15, 30]) * 60000 UNION ALL SELECT unnest([1, 2, 3, 4, 6, 8, 12]) * 3600000
   UNION ALL SELECT unnest([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 15]) * 86400000 UNION ALL SELECT unnest([1, 2, 3, 4, 6])::BIGINT * 2592000000 UNION ALL SELECT unnest([1, 2, 5, 10, 25, 50, 100])::BIGINT * 31536000000)
-SELECT ms FROM s
+SELECT src, k, g, (SELECT min(ms) FROM c WHERE ms * 10::DOUBLE >= span * 1000) AS ms FROM r
 """)
 def tick_increments(spark, sf_dir):
-    """Tick sizes from 1 ms to 100 years."""
-    return spark.createDataFrame([(x,) for x in T.INCREMENTS], "ms long")
+    """The least tick size of the catalogue, 1 ms to 100 years, that gives at most ten steps over a span."""
+    return _spans(spark, sf_dir).select("src", "k", "g", T.least_increment(F.col("span"), 10).alias("ms"))
 
 
 @query("""
@@ -309,7 +358,7 @@ SELECT day, replace(label, ',', '') AS label, click, view, error FROM (
 """)
 def chart_csv_rows(spark, sf_dir):
     """Wide rows of a chart export, delimiters taken from labels."""
-    e = table(spark, sf_dir, "events").select(F.col("ts").cast("date").alias("day"), F.date_format(F.col("ts").cast("timestamp"), "dd, MMM").alias("label"), "event_type", F.lit(1).alias("label_"))
+    e = table(spark, sf_dir, "events").select(F.col("ts").cast("date").alias("day"), strftime(F.col("ts"), "%d, %b").alias("label"), "event_type", F.lit(1).alias("label_"))
     wide = e.groupBy("day", "label").pivot("event_type", ["click", "view", "error"]).agg(F.count("label_"))
     return wide.select("day", F.replace("label", F.lit(","), F.lit("")).alias("label"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("click", "view", "error")])
 
@@ -376,11 +425,35 @@ FROM r JOIN z ON z.i = coalesce((SELECT min(i) FROM n WHERE span / 8.0::DOUBLE <
 def time_step_choice(spark, sf_dir):
     """Size and unit of the steps for about eight ticks over a span (B2)."""
     k = F.col("event_id") % 12
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    us = epoch_micros(F.col("ts"))
     e = table(spark, sf_dir, "events").select(k.alias("k"), F.floor(F.col("event_id") / F.pow(F.lit(2.0), k)).cast("long").alias("g"), us.alias("us"))
     return e.groupBy("k", "g").agg(((F.max("us") - F.min("us")) / 1e6).alias("span")).withColumn("_s", T.chosen_step(F.col("span"), 8)).select("k", "g", "_s.size", "_s.unit")
 
 
+_STEP_SIZES = "[1, 2, 5, 10, 30, 1, 2, 5, 10, 30, 1, 2, 4, 8, 12, 1, 2, 3, 0.25, 0.5, 1, 2, 3, 6, 1]::DOUBLE[]"
+
+
+@query(f"""{_SPANS}, s AS (SELECT unnest({_STEP_SECONDS}) AS len, generate_subscripts({_STEP_SECONDS}, 1) AS i), n AS (SELECT i, (len + lead(len) OVER (ORDER BY i)) / 2 AS until FROM s),
+c AS (SELECT r.*, coalesce((SELECT min(i) FROM n WHERE span / 3.0::DOUBLE < until), 25) AS i, span / 3.0::DOUBLE / (365.2425 * 86400)::DOUBLE AS y FROM r),
+p AS (SELECT *, CASE WHEN i = 25 THEN pow(10.0::DOUBLE, floor(log10(y))) END AS p FROM c),
+z AS (SELECT *, CASE WHEN i < 25 THEN ({_STEP_SIZES})[i] ELSE greatest(1, CASE WHEN y / p < 1.5 THEN p WHEN y / p < 3 THEN 2 * p WHEN y / p < 7.5 THEN 5 * p ELSE 10 * p END) END AS size,
+             CASE WHEN i <= 5 THEN 'second' WHEN i <= 10 THEN 'minute' WHEN i <= 15 THEN 'hour' WHEN i <= 18 THEN 'day' WHEN i <= 24 THEN 'month' ELSE 'year' END AS unit FROM p),
+clock AS (SELECT *, CASE unit WHEN 'second' THEN date_trunc('minute', a) + to_seconds(floor(second(a) / size) * size) WHEN 'minute' THEN date_trunc('hour', a) + to_seconds(60 * floor(minute(a) / size) * size)
+                              WHEN 'hour' THEN date_trunc('day', a) + to_seconds(3600 * floor(hour(a) / size) * size) ELSE date_trunc('day', a) END AS f,
+                 to_seconds(size * CASE unit WHEN 'second' THEN 1 WHEN 'minute' THEN 60 WHEN 'hour' THEN 3600 ELSE 86400 END) AS step FROM z WHERE i <= 18),
+parts AS (SELECT *, unnest(generate_series(date_trunc('month', a), b, INTERVAL 1 MONTH)) AS m FROM z WHERE size < 1),
+piece AS (SELECT *, m + to_days(CAST(floor(round(unnest(range(CAST(1 / size AS BIGINT))) * datediff('day', m, m + INTERVAL 1 MONTH) * size, 6)) AS INTEGER)) AS tick FROM parts),
+whole AS (SELECT *, CASE WHEN unit = 'year' THEN make_timestamp(CAST(floor(year(a) / size) * size AS BIGINT), 1, 1, 0, 0, 0)
+                         ELSE make_timestamp(year(a), CAST(1 + CASE WHEN size = 1 THEN month(a) - 1 WHEN size = 2 THEN floor(floor((month(a) - 1) / 2) * 2 / 3) * 3 ELSE floor((month(a) - 1) / size) * size END AS BIGINT), 1, 0, 0, 0) END AS f,
+                 to_months(CAST(size * CASE unit WHEN 'year' THEN 12 ELSE 1 END AS INTEGER)) AS step FROM z WHERE i > 18 AND size >= 1)
+SELECT src, k, g, size, unit, unnest(generate_series(f, b, step)) AS tick FROM clock UNION ALL SELECT src, k, g, size, unit, tick FROM piece WHERE tick <= b UNION ALL SELECT src, k, g, size, unit, unnest(generate_series(f, b, step)) FROM whole
+""")
+def time_step_ticks(spark, sf_dir):
+    """The ticks of each span by the step that was chosen for it, from seconds to years, parts of months too (B2)."""
+    r = _spans(spark, sf_dir).withColumn("_s", T.chosen_step(F.col("span"), 3)).select("src", "k", "g", "a", "b", "_s.size", "_s.unit")
+    return T.stepped_ticks(r, "a", "b", "size", "unit").select("src", "k", "g", "size", "unit", "tick")
+
+
 @query("""
 WITH r AS (SELECT s_nationkey, min(s_acctbal) AS lo, max(s_acctbal) AS hi FROM supplier GROUP BY 1), f AS (SELECT s_nationkey, lo, CASE WHEN hi <= 0 THEN greatest(lo, 10.0) ELSE hi END AS hi FROM r),
 l AS (SELECT s_nationkey, ln(CASE WHEN lo <= 0 THEN least(hi, 10.0) ELSE lo END) / ln(10.0::DOUBLE) AS a, ln(hi) / ln(10.0::DOUBLE) AS b FROM f), n AS (SELECT *, CAST(floor(b - a + 0.5) AS INTEGER) AS n FROM l)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lattica.functions.dates import epoch_micros
 from lattica.operators import windows as W
+from lattica.operators.ordering import keyed_position
 from lattica.sources.tables import table
 
 from .base import query
@@ -57,7 +59,7 @@ UNION ALL SELECT user_id, x0 + (t - y0) * (x - x0) / (y - y0), t, CAST(t >= 10 A
 """)
 def threshold_bands(spark, sf_dir):
     """Bands of a series between several ascending thresholds, with all crossings."""
-    e = table(spark, sf_dir, "events").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("x"), F.col("value").alias("y"))
+    e = table(spark, sf_dir, "events").select("user_id", (epoch_micros(F.col("ts")) / 1e6).alias("x"), F.col("value").alias("y"))
     return W.bands(e, ["user_id"], [90, 10, 40])
 
 
@@ -91,7 +93,7 @@ UNION ALL SELECT user_id, round(x0 + (20 - y0) * (x - x0) / (y - y0), 3), 20.0,
 """)
 def threshold_split(spark, sf_dir):
     """Parts of a series under and over a threshold, with the crossings."""
-    e = table(spark, sf_dir, "events").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("x"), F.col("value").alias("y"))
+    e = table(spark, sf_dir, "events").select("user_id", (epoch_micros(F.col("ts")) / 1e6).alias("x"), F.col("value").alias("y"))
     return W.crossings(e, ["user_id"], 20).withColumn("x", F.round("x", 3))
 
 
@@ -114,7 +116,8 @@ def dedupe_keep_first(spark, sf_dir):
 @query("SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS label FROM documents")
 def generated_labels(spark, sf_dir):
     """Labels 1 to n."""
-    return table(spark, sf_dir, "documents").select("source", "doc_id", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long").alias("label"))
+    numbered = keyed_position(table(spark, sf_dir, "documents").select("source", "doc_id"), ["source"], ["doc_id"])
+    return numbered.select("source", "doc_id", (F.col("pos") + 1).alias("label"))
 
 
 @query("SELECT user_id, min(CASE WHEN value > 20 THEN event_id END) AS first_x, max(CASE WHEN value > 20 THEN event_id END) AS last_x FROM events GROUP BY user_id")
@@ -172,6 +175,6 @@ FROM p GROUP BY event_type, bucket
 """)
 def downsample_m4(spark, sf_dir):
     """First, least, greatest and last value an hour."""
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    us = epoch_micros(F.col("ts"))
     e = table(spark, sf_dir, "events").select("event_type", us.alias("x"), "event_id", F.when(F.col("value") <= 60, F.col("value")).alias("y"))
     return W.downsampled(e, ["event_type"], "x", "y", "event_id", 473352 * 3_600_000_000, 3_600_000_000)
