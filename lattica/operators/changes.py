@@ -49,14 +49,14 @@ def deep_merge(old: Column, new: Column, old_type: T.DataType, new_type: T.DataT
             part = old[name] if name not in b else new[name] if name not in a else deep_merge(old[name], new[name], a[name], b[name])
             fields.append(part.alias(name))
         return F.when(old.isNull() & new.isNull(), F.lit(None)).otherwise(F.struct(*fields))
+    neither = old.isNull() & new.isNull()
     if isinstance(old_type, T.ArrayType) and isinstance(new_type, T.ArrayType):
-        size = F.greatest(F.size(old), F.size(new))
+        length = F.greatest(*[F.when(x.isNull(), 0).otherwise(F.size(x)) for x in (old, new)])
         merged_at = lambda i: deep_merge(F.get(old, i), F.get(new, i), old_type.elementType, new_type.elementType)
-        both = F.when(size > 0, F.transform(F.sequence(F.lit(0), size - 1), merged_at)).otherwise(old)
-        return F.when(old.isNull(), new).when(new.isNull(), old).otherwise(both)
+        return F.when(~neither, F.slice(F.transform(F.sequence(F.lit(0), F.greatest(length, F.lit(1)) - 1), merged_at), F.lit(1), length))
     if isinstance(old_type, T.MapType) and isinstance(new_type, T.MapType):
-        both = F.map_zip_with(old, new, lambda _, a, b: deep_merge(a, b, old_type.valueType, new_type.valueType))
-        return F.when(old.isNull(), new).when(new.isNull(), old).otherwise(both)
+        held = lambda x, t: F.coalesce(x, F.map_from_arrays(F.array().cast(T.ArrayType(t.keyType)), F.array().cast(T.ArrayType(t.valueType))))
+        return F.when(~neither, F.map_zip_with(held(old, old_type), held(new, new_type), lambda _, a, b: deep_merge(a, b, old_type.valueType, new_type.valueType)))
     if any(isinstance(t, (T.StructType, T.ArrayType, T.MapType)) for t in (old_type, new_type)) and not isinstance(new_type, T.NullType):
         raise TypeError(f"{new_type.simpleString()} cannot be merged over {old_type.simpleString()}")
     return F.coalesce(new, old)
