@@ -1,7 +1,7 @@
 """Positional, nearest, interval and interpolating joins.
 
 Joins on order are unions and windows within a key, or equi-joins on position, never
-theta joins over a whole table; interval joins meet in time buckets first.
+theta joins over a whole table; interval joins meet in cells first.
 """
 
 from __future__ import annotations
@@ -121,17 +121,48 @@ def nearest_point(points: DataFrame, px, py, x: str, y: str, item: str, key: Seq
     return points.groupBy(*key).agg(F.min_by(item, F.struct(d, F.col(item))).alias(item), F.min(d).alias("distance2"))
 
 
+#: Intervals of up to so many cells are kept in them; longer ones in cells that many times as wide, and so on.
+LONG, LEVELS = 64, 4
+
+
+def _celled(df: DataFrame, low: str, high: str, width: float) -> DataFrame:
+    """``df`` with ``_own``, the level of cells that suits the interval's length, and a row for
+    each cell (``_level``, ``_cell``) that it covers on its own and on coarser levels: ``LONG`` + 1
+    on any level but the coarsest, at most."""
+    span = (F.col(high) - F.col(low)) / F.lit(float(width))
+    own = F.lit(LEVELS - 1)
+    for n in range(LEVELS - 2, -1, -1):
+        own = F.when(span < F.lit(float(LONG ** (n + 1))), F.lit(n)).otherwise(own)
+    held = df.withColumn("_own", own)
+
+    def covered(n: int) -> Column:
+        at = lambda c: F.floor(F.col(c) / F.lit(float(width * LONG**n))).cast("long")
+        cells = F.transform(F.sequence(at(low), at(high)), lambda c: F.struct(F.lit(n).alias("_level"), c.alias("_cell")))
+        return F.when(F.col("_own") <= n, cells).otherwise(F.array().cast("array<struct<_level:int,_cell:bigint>>"))
+
+    return held.withColumn("_c", F.explode(F.concat(*map(covered, range(LEVELS))))).select("*", "_c._level", "_c._cell").drop("_c")
+
+
+def _first_cell(width: float, a: str, b: str) -> Column:
+    """The cell, on the row's level, in which two intervals that begin at ``a`` and ``b`` both are for the first time."""
+    wide = F.lit(float(width)) * F.pow(F.lit(float(LONG)), F.col("_level"))
+    return F.floor(F.greatest(a, b) / wide).cast("long")
+
+
 def overlaps(df: DataFrame, key: Sequence[str], rid: str, low: str, high: str, width: int) -> DataFrame:
     """Pairs (a_id < b_id) of intervals of a key that touch, ends included.
 
-    Each interval enters the buckets of ``width`` that it covers; a pair is taken in the
-    first bucket that both cover, so no pair comes twice and only near rows ever meet.
+    Each interval enters the cells of ``width`` that it covers; a long one enters wider
+    cells instead, where all intervals can meet it. A pair is taken on the level of the longer
+    of the two, in the first cell that both cover, so no pair comes twice, only near rows ever
+    meet, and an interval of any length has a bounded number of rows.
     """
-    cells = df.select(*key, rid, low, high, F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))).alias("_cell"))
-    a = cells.select(*key, "_cell", F.col(rid).alias("a_id"), F.col(low).alias("a_low"), F.col(high).alias("a_high"))
-    b = cells.select(*key, "_cell", F.col(rid).alias("b_id"), F.col(low).alias("b_low"), F.col(high).alias("b_high"))
-    met = a.join(b, [*key, "_cell"]).where("a_id < b_id and a_low <= b_high and b_low <= a_high")
-    return met.where(F.col("_cell") == F.floor(F.greatest("a_low", "b_low") / width)).drop("_cell", "a_low", "a_high", "b_low", "b_high")
+    cells = _celled(df.select(*key, rid, low, high), low, high, width)
+    a = cells.where("_own = _level").select(*key, "_level", "_cell", F.col(rid).alias("a_id"), F.col(low).alias("a_low"), F.col(high).alias("a_high"))
+    b = cells.select(*key, "_level", "_cell", F.col(rid).alias("b_id"), F.col(low).alias("b_low"), F.col(high).alias("b_high"), F.col("_own").alias("b_own"))
+    met = a.join(b, [*key, "_level", "_cell"]).where("(b_own < _level or a_id < b_id) and a_low <= b_high and b_low <= a_high")
+    met = met.where(F.col("_cell") == _first_cell(width, "a_low", "b_low"))
+    return met.select(*key, F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id"))
 
 
 def interpolated(base: DataFrame, other: DataFrame, key: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
@@ -205,11 +236,13 @@ def stacked_bars(base: DataFrame, other: DataFrame, key: Sequence[str], x: str =
 def overlaid(background: DataFrame, foreground: DataFrame, key: Sequence[str], width: float = 10) -> DataFrame:
     """Clips (clip, start, end) of two timelines that show at the same time, by key.
 
-    As in ``overlaps``, clips meet in the buckets of ``width`` that they cover, a pair in the
-    first one that both do.
+    As in ``overlaps``, clips meet in cells that suit the longer of the two, a pair in the
+    first one that both cover.
     """
-    cells = lambda: F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))).alias("_cell")
-    a = background.select(*key, F.col("clip").alias("bg_clip"), F.col("start").alias("_s1"), F.col("end").alias("_e1"), cells())
-    b = foreground.select(*key, F.col("clip").alias("fg_clip"), F.col("start").alias("_s2"), F.col("end").alias("_e2"), cells())
-    met = a.join(b, [*key, "_cell"]).where("_s1 < _e2 and _s2 < _e1").where(F.col("_cell") == F.floor(F.greatest("_s1", "_s2") / width))
+    a = _celled(background.select(*key, F.col("clip").alias("bg_clip"), F.col("start").alias("_s1"), F.col("end").alias("_e1")), "_s1", "_e1", width)
+    b = _celled(foreground.select(*key, F.col("clip").alias("fg_clip"), F.col("start").alias("_s2"), F.col("end").alias("_e2")), "_s2", "_e2", width)
+    on = [*key, "_level", "_cell"]
+    longer = a.where("_own = _level").drop("_own").join(b.withColumnRenamed("_own", "_other"), on).where("_other <= _level").drop("_other")
+    shorter = b.where("_own = _level").drop("_own").join(a.withColumnRenamed("_own", "_other"), on).where("_other < _level").drop("_other")
+    met = longer.unionByName(shorter).where("_s1 < _e2 and _s2 < _e1").where(F.col("_cell") == _first_cell(width, "_s1", "_s2"))
     return met.select(*key, "bg_clip", "fg_clip", F.greatest("_s1", "_s2").alias("start"), F.least("_e1", "_e2").alias("end"))

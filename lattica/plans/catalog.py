@@ -115,30 +115,47 @@ objects AS (
 """
 
 
+def _image_urls(spark, sf_dir):
+    """(bucket, key, url) of the images in buckets that the catalogue names."""
+    named = table(spark, sf_dir, "nation").select(F.concat(F.lit("src"), F.col("n_nationkey")).alias("bucket"))
+    found = _objects(spark, sf_dir).where(P.has_suffix(F.col("key"), P.IMAGES)).join(named, "bucket", "left_semi")
+    return found.select("bucket", "key", X.object_url(F.col("bucket"), F.col("key")).alias("url"))
+
+
 @query(f"""
 WITH {_OBJECTS_SQL}, named AS (SELECT 'src' || n_nationkey AS bucket FROM nation),
 images AS (SELECT * FROM objects WHERE bucket IN (SELECT bucket FROM named) AND regexp_matches(lower(key), '(\\.png|\\.jpg|\\.jpeg)$')),
 urls AS (SELECT bucket, key, 'https://' || bucket || '.s3.amazonaws.com/' || key AS url FROM images),
 picks AS (
   SELECT bucket, arg_min(url, key) AS first_url, arg_min(url, sha256(key)) AS pick, count(*) AS n_images,
-         string_agg(url, ' ' ORDER BY key) AS urls FROM urls GROUP BY bucket
+         CAST(sum(('0x' || sha256(url)[1:12])::BIGINT) AS BIGINT) AS urls FROM urls GROUP BY bucket
 ), general AS (SELECT arg_min(url, sha256(url)) AS url FROM urls)
 SELECT n.bucket, coalesce(n_images, 0) AS n_images, first_url, coalesce(pick, (SELECT url FROM general)) AS thumbnail,
-       sha256(coalesce(urls, '')) AS urls_sha256
+       coalesce(urls, 0) AS urls_digest
 FROM named n LEFT JOIN picks USING (bucket)
 """)
 def source_library(spark, sf_dir):
     """The source library: catalogue names met with stored buckets, images by suffix, a
-    fixed pick for each bucket, all URLs, and a general fallback (E3: J4 J5 A3 A4 A5 F6 U1)."""
+    fixed pick for each bucket, a digest of all its URLs (the sum of their hashes; the URLs
+    are the rows of ``source_urls``), and a general fallback (E3: J4 J5 A3 A4 F6 U1)."""
+    urls = _image_urls(spark, sf_dir)
     named = table(spark, sf_dir, "nation").select(F.concat(F.lit("src"), F.col("n_nationkey")).alias("bucket"))
-    found = _objects(spark, sf_dir).where(P.has_suffix(F.col("key"), P.IMAGES)).join(named, "bucket", "left_semi")
-    urls = found.select("bucket", "key", X.object_url(F.col("bucket"), F.col("key")).alias("url"))
     sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
-    all_urls = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("key", "url"))), lambda x: x["url"]), " ")
-    picks = urls.groupBy("bucket").agg(F.min_by("url", "key").alias("first_url"), F.min_by("url", sha("key")).alias("thumbnail"), F.count("*").alias("n_images"), all_urls.alias("urls"))
+    digest = F.sum(F.conv(F.substring(sha("url"), 1, 12), 16, 10).cast("long"))
+    picks = urls.groupBy("bucket").agg(F.min_by("url", "key").alias("first_url"), F.min_by("url", sha("key")).alias("thumbnail"), F.count("*").alias("n_images"), digest.alias("urls"))
     general = urls.agg(F.min_by("url", sha("url")).alias("thumbnail"))
     out = joins.with_fallback(named.join(picks.drop("thumbnail"), "bucket", "left"), picks, ["bucket"], "thumbnail", general)
-    return out.select("bucket", F.coalesce("n_images", F.lit(0)).cast("long").alias("n_images"), "first_url", "thumbnail", F.sha2(F.coalesce("urls", F.lit("")).cast("binary"), 256).alias("urls_sha256"))
+    return out.select("bucket", F.coalesce("n_images", F.lit(0)).cast("long").alias("n_images"), "first_url", "thumbnail", F.coalesce("urls", F.lit(0)).cast("long").alias("urls_digest"))
+
+
+@query(f"""
+WITH {_OBJECTS_SQL}, named AS (SELECT 'src' || n_nationkey AS bucket FROM nation)
+SELECT bucket, row_number() OVER (PARTITION BY bucket ORDER BY key) - 1 AS pos, 'https://' || bucket || '.s3.amazonaws.com/' || key AS url
+FROM objects WHERE bucket IN (SELECT bucket FROM named) AND regexp_matches(lower(key), '(\\.png|\\.jpg|\\.jpeg)$')
+""")
+def source_urls(spark, sf_dir):
+    """All URLs of every source, in the order of their keys (A5)."""
+    return ordering.keyed_position(_image_urls(spark, sf_dir), ["bucket"], ["key"]).select("bucket", "pos", "url")
 
 
 @query("SELECT n_name AS name FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9500) INTERSECT SELECT n_name FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier)")

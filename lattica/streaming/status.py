@@ -10,13 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-EVENTS = "task_id long, seq long, status string"
+EVENTS, VERSIONS = "task_id long, seq long, status string", "bucket int, number int"
+BUCKETS = 64
 STEPS = {("uncompleted", "processing"), ("processing", "completed"), ("processing", "failed"), ("failed", "processing")}
 
 
-def events(spark: SparkSession, folder: str) -> DataFrame:
+def events(spark: SparkSession, folder: str, files_a_batch: int | None = None) -> DataFrame:
     """A stream of JSON event files."""
-    return spark.readStream.schema(EVENTS).json(folder)
+    reader = spark.readStream.schema(EVENTS)
+    return (reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader).json(folder)
 
 
 def valid_steps(history: DataFrame) -> DataFrame:
@@ -41,14 +43,63 @@ def folded(table: DataFrame, batch: DataFrame) -> DataFrame:
     return after.where("now.status is not null").select("task_id", "now.seq", "now.status")
 
 
-def run(spark: SparkSession, folder: str, out: str, checkpoint: str) -> None:
-    """Folds what is in ``folder`` into versions of the table below ``out``, one for each batch."""
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and the path."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    files, p = _files(spark, path)
+    files.delete(p, True)
+
+
+def versions(spark: SparkSession, out: str, number: int | None = None) -> dict[int, int]:
+    """The batch that last wrote each bucket, as of the batch ``number`` (the last one without it)."""
+    files, p = _files(spark, f"{out}/versions")
+    if not files.exists(p):
+        return {}
+    known = [int(f.getPath().getName()) for f in files.listStatus(p)]
+    at = max(known, default=-1) if number is None else number
+    if at not in known:
+        return {}
+    return {r["bucket"]: r["number"] for r in spark.read.schema(VERSIONS).parquet(f"{out}/versions/{at}").collect()}  # a row for each bucket
 
-    def fold(batch: DataFrame, number: int) -> None:
-        old = spark.read.parquet(f"{out}/{number - 1}") if number else spark.createDataFrame([], EVENTS)
-        folded(old, batch).write.mode("overwrite").parquet(f"{out}/{number}")
 
-    query = events(spark, folder).writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def current(spark: SparkSession, out: str, of: dict[int, int] | None = None) -> DataFrame:
+    """The status table (task_id, seq, status), or the part of it in the buckets ``of`` these versions."""
+    of = versions(spark, out) if of is None else of
+    paths = [f"{out}/data/{n}/bucket={b}" for b, n in of.items()]
+    return spark.read.schema(EVENTS).parquet(*paths) if paths else spark.createDataFrame([], EVENTS)
+
+
+def run(spark: SparkSession, folder: str, out: str, checkpoint: str, buckets: int = BUCKETS, files_a_batch: int | None = None) -> None:
+    """Folds what is in ``folder`` into the status table below ``out``.
+
+    The table lies in ``buckets`` by task. A batch reads and rewrites only the buckets that its
+    tasks lie in, and then puts down which batch wrote each bucket last; readers go by that,
+    so they see a batch whole or not at all. A batch that is run again, after a failure, finds
+    the versions before it, which go only when the next batch has ended.
+    """
+    bucket = F.pmod(F.xxhash64("task_id"), F.lit(buckets)).cast("int").alias("bucket")
+
+    def fold(batch: DataFrame, number: int) -> None:
+        before = versions(spark, out, number - 1) if number else {}
+        touched = [r["bucket"] for r in batch.select(bucket).distinct().collect()]  # ``buckets`` at most
+        old = current(spark, out, {b: before[b] for b in touched if b in before})
+        folded(old, batch).select("*", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/data/{number}")
+        files, p = _files(spark, f"{out}/data/{number}")
+        written = {int(f.getPath().getName().split("=")[1]) for f in files.listStatus(p) if "=" in f.getPath().getName()}
+        after = before | dict.fromkeys(written, number)
+        spark.createDataFrame(sorted(after.items()), VERSIONS).coalesce(1).write.mode("overwrite").parquet(f"{out}/versions/{number}")
+        if number > 1:
+            earlier = versions(spark, out, number - 2)
+            for b, n in earlier.items():
+                if n not in (before.get(b), after.get(b)):
+                    _drop(spark, f"{out}/data/{n}/bucket={b}")
+            _drop(spark, f"{out}/versions/{number - 2}")
+
+    query = events(spark, folder, files_a_batch).writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 

@@ -334,3 +334,28 @@ def test_scales_derive_in_the_order_of_their_dependence(spark):
 def test_hard_limits_hold_what_soft_ones_let_through(spark):
     a, b = T.padded_limits(F.lit(-5.0), F.lit(100.0), soft_low=0.0, hard_low=-8.0, hard_high=100.0)
     assert (value(spark, a), value(spark, b)) == (-8.0, 100.0)
+
+
+# intervals of very different lengths
+
+
+def test_long_intervals_meet_in_wider_cells(spark):
+    import random
+
+    rng = random.Random(4)
+    spans = [(i, 1, rng.randrange(0, 4000), rng.choice((0, 1, 5, 60, 700, 9000, 2_000_000, 10**9))) for i in range(160)]
+    df = spark.createDataFrame([(i, k, a, a + n) for i, k, a, n in spans], "id long, k long, a long, b long")
+    got = sorted((r.a_id, r.b_id) for r in J.overlaps(df, ["k"], "id", "a", "b", 2).collect())
+    assert got == sorted((x[0], y[0]) for x in spans for y in spans if x[0] < y[0] and x[2] <= y[2] + y[3] and y[2] <= x[2] + x[3])
+    assert J._celled(df, "a", "b", 2).count() < 160 * 4 * 66 + 160 * 2000
+
+
+def test_long_clips_overlay_short_ones(spark):
+    import random
+
+    rng = random.Random(5)
+    side = lambda name, n: [(f"{name}{i}", 1, float(a), float(a + d)) for i in range(n) for a, d in [(rng.randrange(0, 3000), rng.choice((1, 7, 900, 50_000, 8_000_000)))]]
+    bg, fg = side("b", 60), side("f", 50)
+    frame = lambda rows: spark.createDataFrame(rows, "clip string, k long, start double, end double")
+    got = sorted((r.bg_clip, r.fg_clip, r.start, r.end) for r in J.overlaid(frame(bg), frame(fg), ["k"], 3).collect())
+    assert got == sorted((x[0], y[0], max(x[2], y[2]), min(x[3], y[3])) for x in bg for y in fg if x[2] < y[3] and y[2] < x[3])

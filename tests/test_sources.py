@@ -79,10 +79,48 @@ def test_status_stream(spark, tmp_path):
     status.run(spark, str(folder), str(tmp_path / "table"), str(tmp_path / "ck"))
     (folder / "2.json").write_text(json.dumps({"task_id": 2, "seq": 2, "status": "failed"}))
     status.run(spark, str(folder), str(tmp_path / "table"), str(tmp_path / "ck"))
-    last = spark.read.parquet(str(tmp_path / "table" / "1"))
+    last = status.current(spark, str(tmp_path / "table"))
     assert sorted((r.task_id, r.seq, r.status) for r in last.collect()) == [(1, 2, "completed"), (2, 2, "failed")]
 
 
+def test_status_batches_rewrite_their_buckets_alone(spark, tmp_path):
+    folder, out = tmp_path / "events", str(tmp_path / "table")
+    folder.mkdir()
+    kinds = ["Processing", "completed", "failed", "processing"]
+    every = [(t, s, kinds[(t * 7 + s * 3) % 4]) for t in range(40) for s in range(1, 7)]
+    for n, part in enumerate([every[:150], [e for e in every[150:] if e[0] % 2] + every[3:9], [e for e in every[150:] if not e[0] % 2]]):
+        (folder / f"{n}.json").write_text("\n".join(json.dumps(dict(zip(("task_id", "seq", "status"), e, strict=True))) for e in part))
+    status.run(spark, str(folder), out, str(tmp_path / "ck"), buckets=8, files_a_batch=1)
+    want = {}  # a loop over the events in order; parts hold a task's events in order
+    for t, s, x in every:
+        at, was = want.get(t, (0, "uncompleted"))
+        if (was, x.lower()) in status.STEPS and s > at:
+            want[t] = (s, x.lower())
+    assert {r.task_id: (r.seq, r.status) for r in status.current(spark, out).collect()} == want
+    # the third batch, of a single task, touches its bucket alone and leaves no version but the last two
+    (folder / "9.json").write_text(json.dumps({"task_id": 1000, "seq": 1, "status": "processing"}))
+    before = status.versions(spark, out)
+    status.run(spark, str(folder), out, str(tmp_path / "ck"), buckets=8, files_a_batch=1)
+    after = status.versions(spark, out)
+    assert sum(before.get(b) != n for b, n in after.items()) == 1 and max(after.values()) == 3
+    held = {(int(p.parent.name), int(p.name.split("=")[1])) for p in (tmp_path / "table" / "data").glob("*/bucket=*")}
+    assert held == {(n, b) for v in (before, after) for b, n in v.items()}
+    assert sorted(p.name for p in (tmp_path / "table" / "versions").iterdir()) == ["2", "3"]
+
+
+def test_a_batch_that_is_run_again_gives_the_same(spark, tmp_path):
+    folder, out = tmp_path / "events", str(tmp_path / "table")
+    folder.mkdir()
+    for n, x in enumerate(["processing", "failed", "processing"]):
+        (folder / f"{n}.json").write_text(json.dumps({"task_id": 5, "seq": n + 1, "status": x}))
+    status.run(spark, str(folder), out, str(tmp_path / "ck"), files_a_batch=1)
+    (tmp_path / "ck" / "commits" / "2").unlink()  # as if the driver was lost before the batch was committed
+    (tmp_path / "ck" / "commits" / ".2.crc").unlink(missing_ok=True)
+    status.run(spark, str(folder), out, str(tmp_path / "ck"), files_a_batch=1)
+    assert [tuple(r) for r in status.current(spark, out).collect()] == [(5, 3, "processing")]
+    assert status.current(spark, str(tmp_path / "none")).collect() == []
+
+
 def test_invalid_steps_are_told(spark):
     df = spark.createDataFrame([(1, 1, "Processing"), (1, 2, "completed"), (1, 3, "processing"), (2, 1, "Completed")], "task_id long, seq long, status string")
     assert [r.valid for r in status.valid_steps(df).orderBy("task_id", "seq").collect()] == [True, True, False, False]
