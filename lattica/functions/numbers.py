@@ -67,6 +67,57 @@ def log_clamped(x: Column, least: float) -> Column:
     return F.ln(F.greatest(x, F.lit(least)))
 
 
+def log_height(x: Column, low: Column, high: Column, base: float) -> Column:
+    """The height of x on a logarithmic axis from ``low`` to ``high``, as a share of it: 0 for 0, in
+    proportion to x below 1; an end that is 0 counts as a power below 1 (``low``) or as 1."""
+    bottom = F.when(low == 0, F.lit(-1.0)).otherwise(log_base(low, base))
+    levels = F.nullif(F.when(high == 0, F.lit(0.0)).otherwise(log_base(high, base)) - bottom, F.lit(0.0))
+    return F.when(x == 0, F.lit(0.0)).when(x < 1, x / levels).otherwise((log_base(x, base) - bottom) / levels)
+
+
+def decimals_of(x: Column, most: int = 10) -> Column:
+    """How many decimals a value needs, ``most`` at most."""
+    text = F.regexp_replace(F.format_string(f"%.{most}f", x.cast("double")), "0+$", "")
+    return F.when(x.isNotNull(), F.length(F.substring_index(text, ".", -1)))
+
+
+def axis_label(x: Column, decimals: Column, span: Column) -> Column:
+    """A value as an axis shows it: with the decimals that the data need, or if they need none with one for a span under 5."""
+    with_them = F.concat(F.lit("%."), F.when(decimals > 0, decimals).when(span < 5, 1).otherwise(0).cast("string"), F.lit("f"))
+    return F.when(x.isNotNull(), F.call_function("format_string", with_them, x.cast("double")))
+
+
+def percent_of_ends(x: Column, low: Column, high: Column) -> Column:
+    """x as a percentage of the sizes of both ends together; a range of nothing counts as a tiny negative one."""
+    size = F.abs(low) + F.abs(high)
+    return F.lit(100.0) * x / F.when(size == 0, F.lit(-0.000001)).otherwise(size)
+
+
+def class_percent(x: Column, ranges: Sequence[tuple[float, float, str]], low: Column, high: Column) -> Column:
+    """``percent_of_ends`` within the last range that holds x, else within ``low`` and ``high``."""
+    out = percent_of_ends(x, low, high)
+    for a, b, _ in ranges:
+        out = F.when((x >= a) & (x <= b), percent_of_ends(x, F.lit(float(a)), F.lit(float(b)))).otherwise(out)
+    return out
+
+
+def colour_of(x: Column, low: Column, high: Column, colours: Sequence[str], default: str) -> Column:
+    """The colour of x on a scale that goes through ``colours`` (such as #c8eeff), which lie apart
+    by their distance as points of red, green and blue; ``default`` for null and NaN."""
+    rgb = [[int(c.lstrip("#")[i : i + 2], 16) for i in (0, 2, 4)] for c in colours]
+    lengths = [math.dist(a, b) for a, b in zip(rgb, rgb[1:])]
+    whole = sum(lengths) or 1.0
+    at = F.least(F.greatest((x - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)) * F.lit(whole)
+    parts = []
+    for channel in range(3):
+        out, begun = F.lit(float(rgb[-1][channel])), sum(lengths)
+        for a, b, n in reversed(list(zip(rgb, rgb[1:], lengths))):
+            begun -= n
+            out = F.when(at < begun + n, a[channel] + (at - F.lit(begun)) / F.lit(n or 1.0) * (b[channel] - a[channel])).otherwise(out)
+        parts.append(F.lpad(F.lower(F.hex(F.floor(F.round(out, 6)).cast("long"))), 2, "0"))
+    return F.when(x.isNull() | F.isnan(x.cast("double")), F.lit(default)).otherwise(F.concat(F.lit("#"), *parts))
+
+
 def saturated(x: Column, most: float) -> Column:
     """Infinities as the largest finite value of either sign."""
     return F.when(x == float("inf"), F.lit(most)).when(x == float("-inf"), F.lit(-most)).otherwise(x)

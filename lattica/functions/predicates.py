@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 # File types by how they are handled.
 IMAGES = (".png", ".jpg", ".jpeg")
 SAMPLES = (*IMAGES, ".gif")
-VIDEOS = (".mp4", ".avi", ".mov")
+VIDEOS = (".mp4", ".avi", ".mov", ".mkv")
 
 
 def iexact(name: Column, value: Column | str) -> Column:
@@ -22,12 +22,16 @@ def has_suffix(key: Column, suffixes: Sequence[str]) -> Column:
     return F.lower(key).rlike("(" + "|".join(s.replace(".", "\\.") for s in suffixes) + ")$")
 
 
+# Fixed value: what names of buckets look like.
+BUCKET_NAME = "^[a-z0-9][a-z0-9-]{1,61}[a-z0-9]$"
+
+
 def media_kind(ext: Column) -> Column:
     return F.when(ext.isin(*IMAGES), "image").when(ext == ".gif", "gif").when(ext.isin(*VIDEOS), "video").otherwise("unsupported")
 
 
 def valid_bucket_name(name: Column) -> Column:
-    return name.rlike("^[a-z0-9][a-z0-9-]{1,61}[a-z0-9]$")
+    return name.rlike(BUCKET_NAME)
 
 
 def filled(value: Column) -> Column:

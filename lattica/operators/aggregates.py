@@ -98,16 +98,33 @@ def combined_slices(df: DataFrame, key: Sequence[str], label: str, value: str, t
     return out.select(*key, "label", "value", (part * 100).alias("percent"), (part * 360).alias("angle"))
 
 
+def pie_angles(df: DataFrame, key: Sequence[str], value: str, full: float = 360.0, digits: int | None = None) -> DataFrame:
+    """``df`` with ``angle`` (the slice's share of its pie), ``polar_angle`` (all equal) and ``radius``
+    (of a polar slice: its share of the pie's greatest value, which is 0 at least). Negative
+    values and nulls have no angle; in a pie without positive values no slice has one."""
+    pie, v = Window.partitionBy(*key), F.greatest(F.coalesce(F.col(value), F.lit(0.0)), F.lit(0.0))
+    rows = df.withColumn("_v", v if digits is None else v.cast(f"decimal(28,{digits})"))
+    total, most = F.sum("_v").over(pie).cast("double"), F.greatest(F.max(value).over(pie), F.lit(0.0))
+    rows = rows.withColumns({"_total": total, "_most": most, "_n": F.count("*").over(pie)})
+    share = F.coalesce(F.col("_v").cast("double") / F.nullif(F.col("_total"), F.lit(0.0)), F.lit(0.0))
+    out = rows.withColumns({"angle": share * full, "polar_angle": F.lit(float(full)) / F.col("_n"), "radius": F.col(value) / F.nullif(F.col("_most"), F.lit(0.0))})
+    return out.drop("_v", "_total", "_most", "_n")
+
+
 def ohlc_range(df: DataFrame, key: Sequence[str], low: str = "l", high: str = "h") -> DataFrame:
     """The y-range of candles: least low and greatest high."""
     return df.groupBy(*key).agg(F.min(low).alias("y_min"), F.max(high).alias("y_max"))
 
 
-def y_range(df: DataFrame, key: Sequence[str], kind: str, y: str, low: str, high: str, goals: str) -> DataFrame:
-    """The y-range of series of several types: ``kind`` is line (``y``), range, candle or box
-    (least ``low`` and greatest ``high``); ``goals``, an array or null, widens any of them."""
-    wide = F.col(kind).isin("range", "candle", "box")
-    lows, highs = F.when(wide, F.col(low)).otherwise(F.col(y)), F.when(wide, F.col(high)).otherwise(F.col(y))
+def y_range(df: DataFrame, key: Sequence[str], kind: str, y: str, ends: dict[str, tuple[str, str]], goals: str) -> DataFrame:
+    """The y-range of series of several types. ``ends`` names the columns with the least and the
+    greatest part of a type: low and high of candles, start and end of ranges, and of boxes,
+    five numbers that lie in the parts of a candle, the first and the last. Other types have
+    ``y`` alone; ``goals``, an array or null, widens any of them."""
+    lows = highs = F.col(y)
+    for name, (low, high) in ends.items():
+        lows = F.when(F.col(kind) == name, F.least(low, high)).otherwise(lows)
+        highs = F.when(F.col(kind) == name, F.greatest(low, high)).otherwise(highs)
     return df.groupBy(*key).agg(F.min(F.least(lows, F.array_min(goals))).alias("y_min"), F.max(F.greatest(highs, F.array_max(goals))).alias("y_max"))
 
 

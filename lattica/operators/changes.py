@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -171,6 +171,40 @@ def two_phase(required: DataFrame, outcome: DataFrame, group: str, key: str) ->
     return told.withColumn("may_delete", F.col("required") == F.col("done"))
 
 
+def registered(wanted: DataFrame, users: DataFrame, seq: str = "seq") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Registrations (``seq``, username, email, password_ok) against the users (id, username, email):
+    (outcomes, new users, their profiles).
+
+    Requests are met in the order of ``seq``: one is refused for passwords that differ, else for
+    a name that is taken, else for a mail that is; of those with one name or mail the
+    first that could be created is, and the others find it taken. New ids go on from the greatest one.
+    """
+    from lattica.operators.ordering import global_position
+
+    names = users.select("username", F.lit(True).alias("_name")).distinct()
+    mails = users.select("email", F.lit(True).alias("_mail")).distinct()
+    told = wanted.join(names, "username", "left").join(mails, "email", "left")
+    refusal = F.when(~F.col("password_ok"), "password mismatch").when(F.col("_name"), "username taken").when(F.col("_mail"), "email taken")
+    told = written(told.select(seq, "username", "email", refusal.alias("outcome")))
+    allowed = told.where("outcome is null").drop("outcome")
+    open_, done = allowed, allowed.limit(0)
+    first = lambda by: F.col(seq) == F.min(seq).over(Window.partitionBy(by))
+    while True:
+        # what is first of its name and of its mail among those still open is created, and shuts the others of either out
+        new = written(open_.withColumn("_n", first("username")).withColumn("_m", first("email")).where("_n and _m").drop("_n", "_m"))
+        if new.isEmpty():
+            break
+        done = done.union(new)
+        open_ = written(open_.join(new.select("username"), "username", "left_anti").join(new.select("email"), "email", "left_anti").select(seq, "username", "email"))
+    by_name, by_mail = (done.select(c, F.col(seq).alias(f"_{c}")) for c in ("username", "email"))
+    met = allowed.join(by_name, "username", "left").join(by_mail, "email", "left")
+    fate = F.when(F.col("_username") == F.col(seq), "created").when(F.col("_username") < F.col(seq), "username taken").otherwise("email taken")
+    outcomes = told.where("outcome is not null").select(seq, "outcome").union(met.select(seq, fate.alias("outcome")))
+    most = users.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    created = global_position(done, [seq], "_row").select((most + F.col("_row") + 1).alias("id"), "username", "email")
+    return outcomes, created, created.select(F.col("id").alias("user_id"))
+
+
 def name_conflicts(wanted: DataFrame, known: DataFrame, remote: DataFrame, name: str = "name") -> DataFrame:
     """Whether a name may be created: its slug is valid and neither the catalogue (ignoring
     case) nor the remote store (exactly) has it."""

@@ -19,6 +19,13 @@ def frame_name(pos: Column, prefix: str = "frame", width: int = 4) -> Column:
     return F.concat(F.lit(f"{prefix}_"), F.lpad(pos.cast("string"), width, "0"))
 
 
+def held_last(df: DataFrame, key: Sequence[str], end: str = "end", hold: int = 1) -> DataFrame:
+    """A timeline with the last clip of each key once more behind its end, for ``hold``: a player
+    that drops the last entry of a list then shows every clip whole."""
+    last = df.groupBy(*key).agg(F.max_by(F.struct(*[c for c in df.columns if c not in key]), end).alias("_l")).select(*key, "_l.*")
+    return df.withColumn("held", F.lit(False)).unionByName(last.withColumn("start", F.col(end)).withColumn(end, F.col(end) + hold).withColumn("held", F.lit(True)))
+
+
 def timeline(df: DataFrame, key: Sequence[str], order: Sequence, duration: str) -> DataFrame:
     """Clips one after the other: ``start`` and ``end``."""
     before = F.sum(duration).over(_w(key, order).rowsBetween(Window.unboundedPreceding, -1))
@@ -43,11 +50,15 @@ def nested_runs(df: DataFrame, key: Sequence[str], order: Sequence, values: Sequ
     return df
 
 
-def with_headers(df: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Rows with ``group_no`` and ``group`` and, at level 0, a header row for each group with its number of rows."""
+def with_headers(df: DataFrame, key: Sequence[str], columns: Sequence[str], footer: dict[str, Column] | None = None) -> DataFrame:
+    """Rows with ``group_no`` and ``group`` and, at level 0, a header row for each group with its
+    number of rows; with ``footer``, aggregates by name, a footer row with them at level 2."""
     rows = df.select(*key, "group_no", "group", F.lit(1).alias("level"), F.lit(1).cast("long").alias("n"), *columns)
-    head = df.groupBy(*key, "group_no", "group").agg(F.count("*").alias("n")).select(*key, "group_no", "group", F.lit(0).alias("level"), "n")
-    return rows.unionByName(head, allowMissingColumns=True)
+    groups = df.groupBy(*key, "group_no", "group").agg(F.count("*").alias("n"), *[c.alias(name) for name, c in (footer or {}).items()])
+    shown = [F.lit(0).alias("level")] if footer is None else [F.explode(F.array(F.lit(0), F.lit(2))).alias("level")]
+    head = groups.select(*key, "group_no", "group", *shown, "n", *(footer or {}))
+    told = [F.when(F.col("level") == 2, F.col(name)).alias(name) for name in footer or {}]
+    return rows.unionByName(head.select(*key, "group_no", "group", "level", "n", *told), allowMissingColumns=True)
 
 
 def cumulative(df: DataFrame, key: Sequence[str], order: Sequence, value: str, name: str) -> DataFrame:

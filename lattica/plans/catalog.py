@@ -255,6 +255,23 @@ def valid_image_files(spark, sf_dir):
     return listing.valid_images(files).select("doc_id", listing.image_kind(F.col("content")).alias("kind"))
 
 
+@query("""
+SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'png' WHEN 2 THEN 'jpeg' ELSE 'gif' END AS kind, CASE doc_id % 6 WHEN 0 THEN 640 WHEN 3 THEN 320 END::BIGINT AS width, CASE doc_id % 6 WHEN 0 THEN doc_id % 1000 + 1 WHEN 3 THEN doc_id % 200 + 1 END::BIGINT AS height
+FROM documents WHERE text IS NOT NULL AND doc_id % 6 IN (0, 2, 3)
+""")
+def whole_image_files(spark, sf_dir):
+    """Image files whole from header to end, with the sizes that their headers tell."""
+    n, text = F.col("doc_id") % 6, F.col("text").cast("binary")
+    raw = lambda *parts: F.concat(*[F.unhex(p if not isinstance(p, str) else F.lit(p)) if p is not text else p for p in parts])
+    big = lambda v: F.lpad(F.hex(v), 8, "0")
+    little = lambda v: F.concat(F.lpad(F.hex(v % 256), 2, "0"), F.lpad(F.hex(F.floor(v / 256).cast("long")), 2, "0"))
+    png = lambda h: (listing.SIGNATURES["png"], "0000000D49484452", big(F.lit(640)), big(h))
+    content = F.when(n == 0, raw(*png(F.col("doc_id") % 1000 + 1), text, listing.PNG_END)).when(n == 1, raw(*png(F.lit(0)), text, listing.PNG_END))
+    content = content.when(n == 2, raw(listing.SIGNATURES["jpeg"], text, "FFD90000")).when(n == 3, raw(listing.SIGNATURES["gif"], "3961", little(F.lit(320)), little(F.col("doc_id") % 200 + 1), text, "003B")).when(n == 4, raw(listing.SIGNATURES["jpeg"], text))
+    files = table(spark, sf_dir, "documents").select("doc_id", content.alias("content"))
+    return listing.whole_images(files).select("doc_id", "kind", "width", "height")
+
+
 @query("""
 WITH types AS (SELECT c_mktsegment AS model, min(c_custkey) AS id FROM customer GROUP BY 1), a AS (SELECT unnest(['add', 'change', 'delete', 'view']) AS act, unnest([0, 1, 2, 3]) AS k)
 SELECT c_custkey AS user_id, id * 4 + k AS permission_id, 'Can ' || act || ' ' || lower(model) AS name, act || '_' || lower(model) AS codename FROM customer JOIN types ON c_mktsegment = model, a WHERE k < 1 + c_nationkey % 4
@@ -383,6 +400,16 @@ def concat_manifest(spark, sf_dir):
     return sinks.manifest(frames, ["bucket"])
 
 
+@query("""
+WITH n AS (SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS no FROM orders)
+SELECT CAST(0 AS BIGINT) AS line_no, '"o_orderkey","o_orderpriority","o_custkey"' AS line UNION ALL SELECT no, '"' || o_orderkey || '","' || o_orderpriority || '","' || o_custkey || '"' FROM n
+UNION ALL SELECT count(*) + 1, '"' || count(*) || '","","' || max(o_custkey) || '"' FROM n
+""")
+def csv_export(spark, sf_dir):
+    """A whole export in order, with header and footer."""
+    return sinks.delimited_lines(table(spark, sf_dir, "orders"), ["o_orderdate", "o_orderkey"], ["o_orderkey", "o_orderpriority", "o_custkey"], footer={"o_orderkey": F.count("*"), "o_custkey": F.max("o_custkey")})
+
+
 @query("""
 SELECT n_nationkey, '"' || replace(n_name, '"', '""') || '","' || n_regionkey || '","' || replace('say "' || n_name || '"', '"', '""') || '"' AS line,
        '"' || n_name || '"' || chr(9) || '"' || n_regionkey || '"' AS tab_line

@@ -20,6 +20,42 @@ def update_status(spark, sf_dir):
     return C.updated(o, F.col("o_orderkey").isin(7, 11, 13), {"o_orderstatus": F.lit("Completed")})
 
 
+@query("SELECT count(*) FILTER (WHERE o_custkey % 10 = 3 AND o_orderstatus = 'O') AS changed FROM orders")
+def update_count(spark, sf_dir):
+    """How many rows an update changes (K2 A1)."""
+    return C.changed_rows(table(spark, sf_dir, "orders"), (F.col("o_custkey") % 10 == 3) & (F.col("o_orderstatus") == "O"))
+
+
+_REGISTERED = """
+WITH users AS (SELECT c_custkey AS id, 'user' || c_custkey % 1000 AS username, 'user' || c_custkey % 1000 || '@example.com' AS email FROM customer WHERE c_acctbal < 0),
+wanted AS (SELECT c_custkey AS seq, 'user' || c_custkey % 700 AS username, 'user' || CASE WHEN c_custkey % 11 = 0 THEN c_custkey % 1000 ELSE c_custkey % 700 END || '@example.com' AS email, c_acctbal <= 8000 AS ok FROM customer WHERE c_custkey % 11 <> 0 OR c_custkey % 700 IN (SELECT id % 1000 FROM users)),
+told AS (SELECT *, CASE WHEN NOT ok THEN 'password mismatch' WHEN username IN (SELECT username FROM users) THEN 'username taken' WHEN email IN (SELECT email FROM users) THEN 'email taken' END AS refused FROM wanted),
+done AS (SELECT *, coalesce(refused, CASE WHEN row_number() OVER (PARTITION BY username, refused IS NULL ORDER BY seq) = 1 THEN 'created' ELSE 'username taken' END) AS outcome FROM told)
+"""
+
+
+def _registered(spark, sf_dir):
+    c, n = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    mail = lambda m: F.concat(F.lit("user"), m.cast("string"), F.lit("@example.com"))
+    users = c.where("c_acctbal < 0").select(n.alias("id"), F.concat(F.lit("user"), (n % 1000).cast("string")).alias("username"), mail(n % 1000).alias("email"))
+    wanted = c.select(n.alias("seq"), F.concat(F.lit("user"), (n % 700).cast("string")).alias("username"), mail(F.when(n % 11 == 0, n % 1000).otherwise(n % 700)).alias("email"), (F.col("c_acctbal") <= 8000).alias("password_ok"))
+    known = users.select((F.col("id") % 1000).alias("_k")).distinct()
+    wanted = wanted.join(known, F.col("seq") % 700 == F.col("_k"), "left").where("seq % 11 <> 0 or _k is not null").drop("_k")
+    return C.registered(wanted, users)
+
+
+@query(_REGISTERED + "SELECT seq, outcome FROM done")
+def registration_outcomes(spark, sf_dir):
+    """Registrations met one after the other: what becomes of each."""
+    return _registered(spark, sf_dir)[0]
+
+
+@query(_REGISTERED + "SELECT (SELECT max(id) FROM users) + row_number() OVER (ORDER BY seq) AS id, username, email FROM done WHERE outcome = 'created'")
+def registration_rows(spark, sf_dir):
+    """The users that registrations add, with ids that go on from the greatest."""
+    return _registered(spark, sf_dir)[1]
+
+
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)")
 def delete_ids(spark, sf_dir):
     """Rows without those whose key is in a set (K3 K8)."""

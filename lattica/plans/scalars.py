@@ -185,6 +185,58 @@ def range_classes(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", first.alias("first_class"), N.last_class(x, [(1, 20, "a"), (10, 30, "b"), (20, 50, "c")]).alias("last_class"))
 
 
+@query("""
+WITH r AS (SELECT event_id, CASE WHEN event_id % 50 = 0 THEN 0 WHEN event_id % 7 = 0 THEN value / 1000 ELSE value END AS v, event_type FROM events), e AS (SELECT event_type, CASE WHEN event_type = 'view' THEN 0 ELSE 2 END AS lo, CASE WHEN event_type = 'error' THEN 0 ELSE 1000 END AS hi FROM r GROUP BY 1),
+l AS (SELECT event_type, CASE lo WHEN 0 THEN -1 ELSE ln(lo) / ln(10::DOUBLE) END AS a, CASE hi WHEN 0 THEN 0 ELSE ln(hi) / ln(10::DOUBLE) END AS b FROM e)
+SELECT event_id, round(CASE WHEN v = 0 THEN 0 WHEN v < 1 THEN v / (b - a) ELSE (ln(v) / ln(10::DOUBLE) - a) / (b - a) END, 6) AS height FROM r JOIN l USING (event_type)
+""")
+def log_heights(spark, sf_dir):
+    """Heights on logarithmic axes, with zeros and values below 1 (P25)."""
+    n, kind = F.col("event_id"), F.col("event_type")
+    v = F.when(n % 50 == 0, F.lit(0.0)).when(n % 7 == 0, F.col("value") / 1000).otherwise(F.col("value"))
+    low, high = F.when(kind == "view", 0.0).otherwise(2.0), F.when(kind == "error", 0.0).otherwise(1000.0)
+    return table(spark, sf_dir, "events").select("event_id", F.round(N.log_height(v, low, high, 10), 6).alias("height"))
+
+
+@query("""
+WITH v AS (SELECT p_brand, p_partkey, CASE WHEN p_brand < 'Brand#3' THEN round(p_retailprice) WHEN p_brand < 'Brand#5' THEN round(p_retailprice) / 4 ELSE round(p_retailprice) / 1000 END AS v FROM part),
+d AS (SELECT *, length(regexp_extract(rtrim(printf('%.6f', v), '0'), '[.]([0-9]*)$', 1)) AS d FROM v), r AS (SELECT p_brand, max(d) AS d, max(v) - min(v) AS span FROM d GROUP BY 1)
+SELECT p_partkey, CASE WHEN r.d = 1 THEN printf('%.1f', v) WHEN r.d = 2 THEN printf('%.2f', v) WHEN r.d = 3 THEN printf('%.3f', v) WHEN span < 5 THEN printf('%.1f', v) ELSE printf('%.0f', v) END AS label FROM v JOIN r USING (p_brand)
+""")
+def axis_labels_decimals(spark, sf_dir):
+    """Labels with as many decimals as the data of their axis need."""
+    whole = F.round("p_retailprice")
+    v = F.when(F.col("p_brand") < "Brand#3", whole).when(F.col("p_brand") < "Brand#5", whole / 4).otherwise(whole / 1000)
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", v.alias("v"))
+    axes = p.groupBy("p_brand").agg(F.max(N.decimals_of(F.col("v"), 6)).alias("d"), (F.max("v") - F.min("v")).alias("span"))
+    return p.join(axes, "p_brand").select("p_partkey", N.axis_label(F.col("v"), F.col("d"), F.col("span")).alias("label"))
+
+
+@query("""
+WITH s AS (SELECT s_suppkey, s_acctbal AS v, min(s_acctbal) OVER () AS lo, max(s_acctbal) OVER () AS hi FROM supplier)
+SELECT s_suppkey, CASE WHEN v BETWEEN 2000 AND 9000 THEN 'c' WHEN v BETWEEN 0 AND 3000 THEN 'b' WHEN v BETWEEN -100 AND 100 THEN 'a' END AS class,
+       CASE WHEN v BETWEEN 2000 AND 9000 THEN 100.0::DOUBLE * v / 11000 WHEN v BETWEEN 0 AND 3000 THEN 100.0::DOUBLE * v / 3000 WHEN v BETWEEN -100 AND 100 THEN 100.0::DOUBLE * v / 200 ELSE 100.0::DOUBLE * v / (abs(hi) + abs(lo)) END AS percent
+FROM s
+""")
+def class_percents(spark, sf_dir):
+    """The last range that holds a value, and the percentage within it."""
+    s, v, ranges = table(spark, sf_dir, "supplier"), F.col("s_acctbal"), [(-100, 100, "a"), (0, 3000, "b"), (2000, 9000, "c")]
+    ends = s.agg(F.min("s_acctbal")).scalar(), s.agg(F.max("s_acctbal")).scalar()
+    return s.select("s_suppkey", N.last_class(v, ranges).alias("class"), N.class_percent(v, ranges, *ends).alias("percent"))
+
+
+@query("""
+WITH s AS (SELECT c_custkey, CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE c_acctbal END AS v FROM customer), r AS (SELECT min(v) AS lo, max(v) AS hi FROM s),
+t AS (SELECT c_custkey, v, least(greatest((v - lo) / (hi - lo), 0), 1) * 200.0::DOUBLE AS q FROM s, r),
+c AS (SELECT c_custkey, v, CASE WHEN q < 120 THEN [200.0 - q, 0.0, 0.0]::DOUBLE[] ELSE [80.0, q - 120, 0.0]::DOUBLE[] END AS rgb FROM t)
+SELECT c_custkey, CASE WHEN v IS NULL THEN '#ffffff' ELSE '#' || lpad(lower(printf('%x', CAST(floor(round(rgb[1], 6)) AS BIGINT))), 2, '0') || lpad(printf('%x', CAST(floor(round(rgb[2], 6)) AS BIGINT)), 2, '0') || '00' END AS colour FROM c
+""")
+def scale_colours(spark, sf_dir):
+    """Values as colours of a scale through three of them, a default for what has no value."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 13 != 0, F.col("c_acctbal")).alias("v"))
+    return c.select("c_custkey", N.colour_of(F.col("v"), c.agg(F.min("v")).scalar(), c.agg(F.max("v")).scalar(), ["#c80000", "#500000", "#505000"], "#ffffff").alias("colour"))
+
+
 @query("""
 WITH s AS (SELECT s_suppkey, s_nationkey, s_acctbal, min(s_acctbal) OVER (PARTITION BY s_nationkey) AS lo, max(s_acctbal) OVER (PARTITION BY s_nationkey) AS hi,
                   (SELECT min(s_acctbal) FROM supplier) AS glo, (SELECT max(s_acctbal) FROM supplier) AS ghi FROM supplier)

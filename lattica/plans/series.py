@@ -144,6 +144,18 @@ def pie_and_treemap(spark, sf_dir):
     return rows.select("c_mktsegment", (share * 360).alias("angle"), (share * 480000).alias("area"), (F.col("v") / F.col("m")).alias("radius"), (F.lit(360.0) / F.col("n")).alias("polar_angle"), F.greatest(F.lit(0.0), F.least(F.col("v") / 1e5, F.lit(100.0))).alias("radial"))
 
 
+@query("""
+WITH v AS (SELECT s_suppkey, CASE WHEN s_acctbal < 0 AND s_suppkey % 2 = 0 THEN -1 ELSE s_nationkey % 5 END AS pie, CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE s_acctbal - 500 END AS v FROM supplier),
+t AS (SELECT *, greatest(coalesce(v, 0), 0) AS p, CAST(sum(CAST(greatest(coalesce(v, 0), 0) AS DECIMAL(28, 4))) OVER (PARTITION BY pie) AS DOUBLE) AS total, greatest(max(v) OVER (PARTITION BY pie), 0) AS most, count(*) OVER (PARTITION BY pie) AS n FROM v)
+SELECT s_suppkey, CASE WHEN total = 0 THEN 0::DOUBLE ELSE CAST(CAST(p AS DECIMAL(28, 4)) AS DOUBLE) / total * 360 END AS angle, 360.0::DOUBLE / n AS polar_angle, v / nullif(most, 0) AS radius FROM t
+""")
+def pie_angles(spark, sf_dir):
+    """Angles of pies with negative values and of one without any positive value."""
+    pie = F.when((F.col("s_acctbal") < 0) & (F.col("s_suppkey") % 2 == 0), F.lit(-1)).otherwise(F.col("s_nationkey") % 5)
+    v = table(spark, sf_dir, "supplier").select("s_suppkey", pie.alias("pie"), F.when(F.col("s_suppkey") % 9 != 0, F.col("s_acctbal") - 500).alias("v"))
+    return A.pie_angles(v, ["pie"], "v", digits=CENTS).select("s_suppkey", "angle", "polar_angle", "radius")
+
+
 @query("SELECT event_type, n FROM (SELECT event_type, count(*) AS n, min(event_id) AS f FROM events GROUP BY 1) ORDER BY n DESC, f LIMIT 1")
 def longest_series(spark, sf_dir):
     """The series with the most points."""
@@ -298,6 +310,18 @@ def padded_limits(spark, sf_dir):
     return r.select("event_type", F.round(a, 6).alias("low"), F.round(b, 6).alias("high"), p.alias("log_low"), q.alias("log_high"))
 
 
+@query("""
+WITH r AS (SELECT user_id, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1), s AS (SELECT *, CASE WHEN hi > lo THEN hi - lo ELSE greatest(abs(hi), 1.0) END AS span FROM r),
+u AS (SELECT *, pow(10.0::DOUBLE, floor(log10(span))) / 10 AS unit FROM s)
+SELECT user_id, round(greatest(floor((lo - span * 0.1::DOUBLE) / unit) * unit, -2.0::DOUBLE), 6) AS low, round(least(ceil((hi + span * 0.1::DOUBLE) / unit) * unit, 100.0::DOUBLE), 6) AS high FROM u
+""")
+def hard_limits(spark, sf_dir):
+    """Padded ranges that never go beyond hard limits."""
+    r = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    a, b = T.padded_limits(F.col("lo"), F.col("hi"), hard_low=-2.0, hard_high=100.0)
+    return r.select("user_id", F.round(a, 6).alias("low"), F.round(b, 6).alias("high"))
+
+
 @query("""
 WITH w AS (SELECT min(epoch_us(ts)) AS a, max(epoch_us(ts)) - min(epoch_us(ts)) AS d FROM events)
 SELECT CASE WHEN event_type IN ('click', 'view') THEN 'left' ELSE 'right' END AS scale, min(value) FILTER (WHERE event_type <> 'error' AND epoch_us(ts) BETWEEN a + d // 10 AND a + d * 8 // 10) AS y_min,
@@ -377,14 +401,14 @@ def chart_csv_typed(spark, sf_dir):
 
 
 @query("""
-WITH s AS (SELECT s_nationkey, s_suppkey % 4 AS kind, s_acctbal AS y, s_acctbal - 100 AS lo, s_acctbal + 50 AS hi, CASE WHEN s_suppkey % 7 = 0 THEN 12000.0 END AS goal FROM supplier)
-SELECT s_nationkey, min(least(CASE WHEN kind = 0 THEN y ELSE lo END, goal)) AS y_min, max(greatest(CASE WHEN kind = 0 THEN y ELSE hi END, goal)) AS y_max FROM s GROUP BY 1
+WITH s AS (SELECT s_nationkey, s_suppkey % 4 AS kind, s_acctbal AS y, s_acctbal - 100 AS lo, s_acctbal + 50 AS hi, s_acctbal - 170 AS o, s_acctbal + 90 AS c, CASE WHEN s_suppkey % 7 = 0 THEN 12000.0 END AS goal FROM supplier)
+SELECT s_nationkey, min(least(CASE kind WHEN 0 THEN y WHEN 3 THEN o ELSE lo END, goal)) AS y_min, max(greatest(CASE kind WHEN 0 THEN y WHEN 3 THEN c ELSE hi END, goal)) AS y_max FROM s GROUP BY 1
 """)
 def typed_y_range(spark, sf_dir):
     """The y-range of line, range, candle and box series with goals."""
     kind = F.element_at(F.array(*map(F.lit, ("line", "range", "candle", "box"))), (F.col("s_suppkey") % 4 + 1).cast("int"))
-    s = table(spark, sf_dir, "supplier").select("s_nationkey", kind.alias("kind"), F.col("s_acctbal").alias("y"), (F.col("s_acctbal") - 100).alias("lo"), (F.col("s_acctbal") + 50).alias("hi"), F.when(F.col("s_suppkey") % 7 == 0, F.array(F.lit(12000.0))).alias("goals"))
-    return A.y_range(s, ["s_nationkey"], "kind", "y", "lo", "hi", "goals")
+    s = table(spark, sf_dir, "supplier").select("s_nationkey", kind.alias("kind"), F.col("s_acctbal").alias("y"), (F.col("s_acctbal") - 100).alias("lo"), (F.col("s_acctbal") + 50).alias("hi"), (F.col("s_acctbal") - 170).alias("o"), (F.col("s_acctbal") + 90).alias("c"), F.when(F.col("s_suppkey") % 7 == 0, F.array(F.lit(12000.0))).alias("goals"))
+    return A.y_range(s, ["s_nationkey"], "kind", "y", {"range": ("lo", "hi"), "candle": ("lo", "hi"), "box": ("o", "c")}, "goals")
 
 
 @query(f"""

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lattica.functions.dates import epoch_micros
+from lattica.functions.numbers import summed
 from lattica.operators import windows as W
 from lattica.operators.ordering import keyed_position
 from lattica.sources.tables import table
@@ -77,6 +78,37 @@ def run_headers(spark, sf_dir):
     return W.with_headers(_runs(spark, sf_dir), ["user_id"], ["event_id"]).fillna(-1, ["event_id"])
 
 
+@query(_RUNS + """SELECT user_id, group_no, "group", 1 AS level, CAST(1 AS BIGINT) AS n, event_id, NULL::DOUBLE AS total, NULL::DOUBLE AS most FROM g
+UNION ALL SELECT user_id, group_no, "group", 0, count(*), NULL, NULL, NULL FROM g GROUP BY ALL
+UNION ALL SELECT user_id, group_no, "group", 2, count(*), NULL, CAST(sum(CAST(value AS DECIMAL(28, 4))) AS DOUBLE), max(value) FROM g GROUP BY user_id, group_no, "group" """)
+def run_footers(spark, sf_dir):
+    """Rows, headers and footers of runs, the latter with sums."""
+    return W.with_headers(_runs(spark, sf_dir), ["user_id"], ["event_id"], {"total": summed(F.col("value"), 4), "most": F.max("value")})
+
+
+@query("""
+WITH v AS (SELECT epoch_us(ts) // 3600000000 AS x, event_type IN ('click', 'view') AS stack, event_type, sum(CAST(value AS DECIMAL(28, 4))) AS y FROM events GROUP BY ALL)
+SELECT x, stack, event_type, CAST(coalesce(sum(y) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS bottom, CAST(sum(y) OVER (w ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS top
+FROM v WINDOW w AS (PARTITION BY x, stack ORDER BY event_type)
+""")
+def stacked_per_x(spark, sf_dir):
+    """At every x the series of a stack on top of each other, in their order."""
+    hour, stack = F.floor(epoch_micros(F.col("ts")) / 3_600_000_000).cast("long"), F.col("event_type").isin("click", "view")
+    v = table(spark, sf_dir, "events").groupBy(hour.alias("x"), stack.alias("stack"), "event_type").agg(F.sum(F.col("value").cast("decimal(28,4)")).alias("y"))
+    top = W.cumulative(v, ["x", "stack"], ["event_type"], "y", "top")
+    return top.select("x", "stack", "event_type", (F.col("top") - F.col("y")).cast("double").alias("bottom"), F.col("top").cast("double").alias("top"))
+
+
+@query("""
+WITH t AS (SELECT user_id, event_id, CAST((row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1) * 500 AS BIGINT) AS s, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+SELECT user_id, event_id, s AS "start", s + 500 AS "end", FALSE AS held FROM t UNION ALL SELECT user_id, event_id, s + 500, s + 1500, TRUE FROM t WHERE s = (n - 1) * 500
+""")
+def timeline_held(spark, sf_dir):
+    """A timeline whose last frame is held for another second."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", F.lit(500).cast("long").alias("d"))
+    return W.held_last(W.timeline(e, ["user_id"], ["ts"], "d").select("user_id", "event_id", "start", "end"), ["user_id"], hold=1000)
+
+
 @query("""
 SELECT user_id, event_type, event_id, CAST(sum(CAST(value AS DECIMAL(20, 4))) OVER (PARTITION BY user_id, event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS stacked FROM events
 """)

@@ -21,6 +21,22 @@ def header_line(columns: Sequence[str], sep: str = ",", quote: str = '"') -> str
     return sep.join(quote + c.replace(quote, quote * 2) + quote for c in columns)
 
 
+def delimited_lines(df: DataFrame, order: Sequence, columns: Sequence[str] | None = None, sep: str = ",", quote: str = '"', footer: dict[str, Column] | None = None) -> DataFrame:
+    """(line_no, line) of a whole export: a header at 0, the rows from 1 in their order and, with
+    ``footer`` (aggregates by column, '' for the others), a footer behind them."""
+    from lattica.operators.ordering import global_position
+
+    columns = list(columns or df.columns)
+    body = global_position(df, order, "_row").select((F.col("_row") + 1).alias("line_no"), delimited(df, columns, sep, quote).alias("line"))
+    head = df.sparkSession.range(1).select(F.lit(0).cast("long").alias("line_no"), F.lit(header_line(columns, sep, quote)).alias("line"))
+    out = head.union(body)
+    if footer is None:
+        return out
+    last = df.agg(F.count("*").alias("_n"), *[c.cast("string").alias(f"_f_{n}") for n, c in footer.items()])
+    fields = [csv_field(F.col(f"_f_{c}") if c in footer else F.lit(""), quote) for c in columns]
+    return out.union(last.select((F.col("_n") + 1).alias("line_no"), F.concat_ws(sep, *fields).alias("line")))
+
+
 def write_delimited(df: DataFrame, path: str, sep: str = ",", bom: bool = False) -> None:
     """Parallel part files with a header each; a byte-order mark if asked for."""
     names = [("﻿" if bom and i == 0 else "") + c for i, c in enumerate(df.columns)]

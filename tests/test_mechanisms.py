@@ -7,13 +7,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.functions import dates as D
+from lattica.functions import numbers as N
+from lattica.functions import predicates as P
+from lattica.operators import aggregates as A
 from lattica.operators import changes as C
 from lattica.operators import joins as J
 from lattica.operators import ordering as O
 from lattica.operators import timescale as T
 from lattica.operators import windows as W
 from lattica.plans.registry import QUERIES
-from lattica.sources import listing
+from lattica.sources import listing, sinks
 
 SF = "/root/testdata/sf0.001"
 
@@ -359,3 +362,82 @@ def test_long_clips_overlay_short_ones(spark):
     frame = lambda rows: spark.createDataFrame(rows, "clip string, k long, start double, end double")
     got = sorted((r.bg_clip, r.fg_clip, r.start, r.end) for r in J.overlaid(frame(bg), frame(fg), ["k"], 3).collect())
     assert got == sorted((x[0], y[0], max(x[2], y[2]), min(x[3], y[3])) for x in bg for y in fg if x[2] < y[3] and y[2] < x[3])
+
+
+# values
+
+
+def test_pies_without_positive_values_have_no_angles(spark):
+    df = spark.createDataFrame([(1, 3.0), (1, -1.0), (1, 1.0), (2, -4.0), (2, 0.0), (3, None)], "k long, v double")
+    got = sorted((r.k, r.angle, r.polar_angle, r.radius) for r in A.pie_angles(df, ["k"], "v").fillna(-9.0, ["radius"]).collect())
+    assert got == [(1, 0.0, 120.0, -1 / 3), (1, 90.0, 120.0, 1 / 3), (1, 270.0, 120.0, 1.0), (2, 0.0, 180.0, -9.0), (2, 0.0, 180.0, -9.0), (3, 0.0, 360.0, -9.0)]
+
+
+def test_boxes_range_over_their_first_and_last_part(spark):
+    df = spark.createDataFrame([("box", None, 1.0, 5.0, 2.0, 4.0, None), ("line", 3.0, 0.0, 99.0, 0.0, 99.0, [8.0])], "kind string, y double, o double, c double, lo double, hi double, goals array<double>")
+    r = A.y_range(df, [], "kind", "y", {"box": ("o", "c"), "candle": ("lo", "hi")}, "goals").first()
+    assert (r.y_min, r.y_max) == (1.0, 8.0)
+
+
+def test_groups_have_footers_with_their_aggregates(spark):
+    df = spark.createDataFrame([(1, 1, "a", 2.0), (1, 1, "a", 3.0), (1, 2, "b", 7.0)], "k long, group_no long, group string, v double")
+    got = sorted((r.group_no, r.level, r.n, r.total) for r in W.with_headers(df, ["k"], ["v"], {"total": F.sum("v")}).where("level <> 1").fillna(-1.0, ["total"]).collect())
+    assert got == [(1, 0, 2, -1.0), (1, 2, 2, 5.0), (2, 0, 1, -1.0), (2, 2, 1, 7.0)]
+
+
+def test_numbers_on_axes(spark):
+    assert [value(spark, N.decimals_of(F.lit(x))) for x in (3.0, 2.5, 0.125, 1e-12)] == [0, 1, 3, 0]
+    label = lambda x, d, span: value(spark, N.axis_label(F.lit(x), F.lit(d), F.lit(span)))
+    assert [label(2.25, 2, 100.0), label(2.25, 0, 4.9), label(2.75, 0, 5.0)] == ["2.25", "2.3", "3"]
+    height = lambda x, a, b: round(value(spark, N.log_height(F.lit(x), F.lit(a), F.lit(b), 10)), 9)
+    assert [height(0.0, 1.0, 1000.0), height(100.0, 1.0, 1000.0), height(0.5, 1.0, 100.0), height(10.0, 0.0, 100.0)] == [0.0, round(2 / 3, 9), 0.25, round(2 / 3, 9)]
+    assert value(spark, N.percent_of_ends(F.lit(0.0), F.lit(0.0), F.lit(0.0))) == 0.0 and value(spark, N.percent_of_ends(F.lit(5.0), F.lit(-10.0), F.lit(10.0))) == 25.0
+    assert value(spark, N.class_percent(F.lit(5.0), [(0, 10, "a"), (4, 6, "b")], F.lit(0.0), F.lit(100.0))) == 50.0
+
+
+def test_colours_of_a_scale(spark):
+    colour = lambda x: value(spark, N.colour_of(F.lit(x).cast("double"), F.lit(0.0), F.lit(10.0), ["#000000", "#640000", "#64c800"], "#ffffff"))
+    assert [colour(x) for x in (0.0, 10.0, 20.0, None, float("nan"))] == ["#000000", "#64c800", "#64c800", "#ffffff", "#ffffff"]
+    assert colour(10 / 3) == "#640000" and colour(5 / 3) == "#320000"
+
+
+def test_registrations_one_after_the_other(spark):
+    import random
+
+    rng = random.Random(8)
+    users = [(10, "u0", "m0"), (12, "u1", "m9")]
+    wanted = [(s, f"u{rng.randrange(25)}", f"m{rng.randrange(25)}", rng.random() < 0.9) for s in range(120)]
+    outcomes, created, profiles = C.registered(spark.createDataFrame(wanted, "seq long, username string, email string, password_ok boolean"), spark.createDataFrame(users, "id long, username string, email string"))
+    names, mails, want, new = {u for _, u, _ in users}, {m for _, _, m in users}, {}, []
+    for s, u, m, ok in wanted:
+        want[s] = "password mismatch" if not ok else "username taken" if u in names else "email taken" if m in mails else "created"
+        if want[s] == "created":
+            names.add(u)
+            mails.add(m)
+            new.append((13 + len(new), u, m))
+    assert {r.seq: r.outcome for r in outcomes.collect()} == want
+    assert sorted(tuple(r) for r in created.collect()) == new and sorted(r.user_id for r in profiles.collect()) == [i for i, _, _ in new]
+    nothing = C.registered(spark.createDataFrame([], "seq long, username string, email string, password_ok boolean"), spark.createDataFrame(users, "id long, username string, email string"))
+    assert all(df.collect() == [] for df in nothing)
+
+
+def test_whole_exports(spark):
+    df = spark.createDataFrame([(2, 'b"x'), (1, None)], "id long, name string")
+    lines = lambda **k: [r.line for r in sinks.delimited_lines(df, ["id"], **k).orderBy("line_no").collect()]
+    assert lines() == ['"id","name"', '"1",""', '"2","b""x"']
+    assert lines(sep="\t", columns=["name"], footer={"name": F.count("name")}) == ['"name"', '""', '"b""x"', '"1"']
+
+
+def test_the_last_clip_is_held(spark):
+    df = spark.createDataFrame([(1, "a", 0, 5), (1, "b", 5, 9), (2, "c", 0, 1)], "k long, clip string, start long, end long")
+    assert sorted((r.k, r.clip, r.start, r.end) for r in W.held_last(df, ["k"], hold=3).where("held").collect()) == [(1, "b", 9, 12), (2, "c", 1, 4)]
+
+
+def test_images_are_whole_to_their_ends(spark):
+    png = bytes.fromhex(listing.SIGNATURES["png"] + "0000000D49484452" + "00000010" + "00000020") + b"..."
+    gif, jpeg = bytes.fromhex(listing.SIGNATURES["gif"] + "3961" + "4001" + "0700") + b"...", bytes.fromhex(listing.SIGNATURES["jpeg"]) + b"..."
+    end = {k: bytes.fromhex(v) for k, v in listing.ENDS.items()}
+    files = {1: png + end["png"], 2: png, 3: gif + end["gif"] + b"\0\0", 4: gif, 5: jpeg + end["jpeg"], 6: jpeg, 7: b"GIF8", 8: b"", 9: None, 10: b"text;"}
+    got = listing.whole_images(spark.createDataFrame(list(files.items()), "id long, content binary")).collect()
+    assert sorted((r.id, r.kind, r.width, r.height) for r in got) == [(1, "png", 16, 32), (3, "gif", 320, 7), (5, "jpeg", None, None)]
+    assert value(spark, P.media_kind(F.lit(".mkv"))) == "video"
