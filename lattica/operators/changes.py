@@ -196,10 +196,11 @@ def registered(wanted: DataFrame, users: DataFrame, seq: str = "seq") -> tuple[D
             break
         done = done.union(new)
         open_ = written(open_.join(new.select("username"), "username", "left_anti").join(new.select("email"), "email", "left_anti").select(seq, "username", "email"))
-    by_name, by_mail = (done.select(c, F.col(seq).alias(f"_{c}")) for c in ("username", "email"))
-    met = allowed.join(by_name, "username", "left").join(by_mail, "email", "left")
+    by_name = done.select("username", F.col(seq).alias("_username"))
+    final = F.coalesce(F.col("outcome") != "email taken", F.lit(False))  # a mail that users have counts only where the name was free still
+    met = told.where(~final).join(by_name, "username", "left")
     fate = F.when(F.col("_username") == F.col(seq), "created").when(F.col("_username") < F.col(seq), "username taken").otherwise("email taken")
-    outcomes = told.where("outcome is not null").select(seq, "outcome").union(met.select(seq, fate.alias("outcome")))
+    outcomes = told.where(final).select(seq, "outcome").union(met.select(seq, fate.alias("outcome")))
     most = users.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
     created = global_position(done, [seq], "_row").select((most + F.col("_row") + 1).alias("id"), "username", "email")
     return outcomes, created, created.select(F.col("id").alias("user_id"))

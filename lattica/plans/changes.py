@@ -30,7 +30,8 @@ _REGISTERED = """
 WITH users AS (SELECT c_custkey AS id, 'user' || c_custkey % 1000 AS username, 'user' || c_custkey % 1000 || '@example.com' AS email FROM customer WHERE c_acctbal < 0),
 wanted AS (SELECT c_custkey AS seq, 'user' || c_custkey % 700 AS username, 'user' || CASE WHEN c_custkey % 11 = 0 THEN c_custkey % 1000 ELSE c_custkey % 700 END || '@example.com' AS email, c_acctbal <= 8000 AS ok FROM customer WHERE c_custkey % 11 <> 0 OR c_custkey % 700 IN (SELECT id % 1000 FROM users)),
 told AS (SELECT *, CASE WHEN NOT ok THEN 'password mismatch' WHEN username IN (SELECT username FROM users) THEN 'username taken' WHEN email IN (SELECT email FROM users) THEN 'email taken' END AS refused FROM wanted),
-done AS (SELECT *, coalesce(refused, CASE WHEN row_number() OVER (PARTITION BY username, refused IS NULL ORDER BY seq) = 1 THEN 'created' ELSE 'username taken' END) AS outcome FROM told)
+made AS (SELECT username, min(seq) AS s FROM told WHERE refused IS NULL GROUP BY 1),
+done AS (SELECT t.*, CASE WHEN refused IN ('password mismatch', 'username taken') THEN refused WHEN s = seq THEN 'created' WHEN s < seq THEN 'username taken' ELSE 'email taken' END AS outcome FROM told t LEFT JOIN made USING (username))
 """
 
 
