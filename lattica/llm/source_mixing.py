@@ -1,7 +1,7 @@
 """Mixing of sources to target weights by a low-discrepancy schedule.
 
-A source's documents, shuffled by the MD5 of their id and repeated once, are its stream
-of words. The schedule is a row of slots, one for each ``BLOCK`` words of all targets:
+A source's documents, shuffled by the MD5 of their id, size and number among equal rows and
+repeated once, are its stream of words. The schedule is a row of slots, one for each ``BLOCK`` words of all targets:
 slot i maps the golden-ratio point frac(i * phi), in steps of 2^-32, through the
 cumulative target weights to a source, and slots are ranked within their source. A source
 whose share is too small for a point gets one slot after all others, in the order of the
@@ -38,6 +38,8 @@ WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 BLOCK = 1024
 #: Rows of a range of hashes, about, and slots of a range of slots.
 RANGE = 512
+#: Equal rows that one task numbers at most.
+PART = 10_000
 #: The golden ratio's fraction in units of 2^-32, and the number of points after which they repeat (so that products stay in 63 bits).
 PHI, PERIOD = 2_654_435_769, 1 << 31
 
@@ -70,15 +72,30 @@ def _ranges(rows: DataFrame, key: list[str], cell: str, **sums) -> DataFrame:
     return each.select(*key, cell, *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n}_before") for n in sums])
 
 
+def keyed(rows: DataFrame, n: int) -> DataFrame:
+    """``n`` ``rows`` (sid, doc_id, size, ...) with the hash that shuffles them (``key``) and its range (``cell``).
+
+    Equal rows are counted and told apart by their number among them, which is hashed too, so
+    that neither one id's copies nor all rows without an id fall into one range. A large
+    group is numbered in parts that many tasks take.
+    """
+    equal = rows.groupBy(*rows.columns).agg(F.count("*").alias("copies"))
+    parts = lambda low, high: F.explode(F.sequence(F.lit(low).cast("long") if isinstance(low, int) else low, high))
+    few = equal.where(F.col("copies") <= PART).select(*rows.columns, parts(1, F.col("copies")).alias("copy"))
+    many = equal.where(F.col("copies") > PART).select(*rows.columns, "copies", parts(0, F.expr(f"(copies - 1) div {PART}")).alias("part")).repartition("doc_id", "size", "part")
+    many = many.select(*rows.columns, parts(F.col("part") * PART + 1, F.least(F.col("part") * PART + PART, F.col("copies"))).alias("copy"))
+    text = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string"), F.col("copy").cast("string"))
+    hashed = few.union(many).withColumn("key", F.md5(text.cast("binary"))).drop("copy")
+    return hashed.withColumn("cell", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.lit(max(1, ceil(n / RANGE))) / F.lit(1 << 32)).cast("long"))
+
+
 def streams(rows: DataFrame) -> DataFrame:
     """``rows`` (sid, doc_id, size, ...) with ``pos``, the row's number in its source's
     shuffled stream, and ``lo``, the words before it."""
-    n = rows.count()
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    keyed = rows.withColumn("key", key).withColumn("cell", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.lit(max(1, ceil(n / RANGE))) / F.lit(1 << 32)).cast("long"))
-    ranges = _ranges(keyed, ["sid"], "cell", n=F.count("*"), size=F.sum("size"))
+    keyed_ = keyed(rows, rows.count())
+    ranges = _ranges(keyed_, ["sid"], "cell", n=F.count("*"), size=F.sum("size"))
     own = Window.partitionBy("sid", "cell").orderBy("key", "size", "doc_id")
-    within = keyed.withColumn("rn", F.row_number().over(own)).withColumn("upto", F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    within = keyed_.withColumn("rn", F.row_number().over(own)).withColumn("upto", F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, 0)))
     return within.join(ranges, ["sid", "cell"]).withColumn("pos", F.col("n_before") + F.col("rn")).withColumn("lo", F.col("size_before") + F.col("upto") - F.col("size")).drop("key", "cell", "rn", "upto", "n_before", "size_before")
 
 
@@ -150,9 +167,9 @@ def op10_source_mixing(spark, sf_dir: str) -> DataFrame:
 
 OP10_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key
-  FROM documents
+  SELECT doc_id, source, size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || size || ':' || row_number() OVER (PARTITION BY source, doc_id, size)) AS key
+  FROM (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents)
 ), sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
          row_number() OVER (ORDER BY source ASC NULLS LAST) AS sid

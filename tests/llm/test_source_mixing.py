@@ -1,18 +1,28 @@
 import hashlib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from lattica.llm import source_mixing as M
 
 from . import cases
 
 
+def shuffled(rows, size):
+    """The hash of each row, equal rows told apart by their number."""
+    seen, out = Counter(), []
+    for (i, _, s), n in zip(rows, size, strict=True):
+        seen[i, s, n] += 1
+        out.append(hashlib.md5(f"{'' if i is None else i}:{n}:{seen[i, s, n]}".encode()).hexdigest())
+    return out
+
+
 def brute(rows):
     """Targets by raising a level step by step, taken by walking the streams word by word."""
     size = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _ in rows]
     own = defaultdict(int)
     for (_, _, s), n in zip(rows, size, strict=True):
         own[s] += n
+    keys = shuffled(rows, size)
     names = sorted(own, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}
     capped, total = set(), 1.5 * sum(size)
@@ -26,7 +36,7 @@ def brute(rows):
     target = {s: 2.0 * own[s] if s in capped else left / w * weight[s] for s in names}
     taken = [0] * len(rows)
     for s in names:
-        order = sorted((k for k, r in enumerate(rows) if r[2] == s), key=lambda k: (hashlib.md5(("" if rows[k][0] is None else str(rows[k][0])).encode()).hexdigest(), size[k]))
+        order = sorted((k for k, r in enumerate(rows) if r[2] == s), key=lambda k: (keys[k], size[k]))
         left = int(target[s] + 0.5)
         for _ in range(2):
             for k in order:
@@ -58,11 +68,11 @@ def brute_slots(rows, block):
                 break
             x -= quota[s]
     slots += [(len(slots) + k, s) for k, s in enumerate(s for s in names if quota[s] and s not in {y for _, y in slots})]
-    met = [set() for _ in rows]
+    met, keys = [set() for _ in rows], shuffled(rows, size)
     for s in names:
         mine = [i for i, y in slots if y == s]
         width = -(-quota[s] // len(mine)) if mine else 1
-        order = sorted((k for k, r in enumerate(rows) if r[2] == s), key=lambda k: (hashlib.md5(("" if rows[k][0] is None else str(rows[k][0])).encode()).hexdigest(), size[k]))
+        order = sorted((k for k, r in enumerate(rows) if r[2] == s), key=lambda k: (keys[k], size[k]))
         for at, k in enumerate(k for k in order * 2 for _ in range(size[k])):
             if at >= quota[s]:
                 break
@@ -134,3 +144,19 @@ def test_mixed_repeats_documents(spark):
     for i, n, _, _, t in brute([(r.doc_id, r.text, r.source) for r in docs.dropDuplicates(["doc_id"]).select("doc_id", "text", "source").collect()]):
         if n > 5000 and t in (0, 2 * n):
             assert times[i] == t // n
+
+
+def test_rows_without_id_and_copies_spread_over_the_ranges(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(M, "PART", 700)
+    i = F.col("id")
+    doc = F.when(i < 20_000, F.lit(None).cast("long")).when(i < 30_000, F.lit(7)).otherwise(i)
+    rows = spark.range(60_000).select(F.lit(1).alias("sid"), doc.alias("doc_id"), F.when(i < 30_000, i % 3).otherwise(i % 50).alias("size"))
+    keyed = M.keyed(rows, 60_000)
+    cells = sorted(r["count"] for r in keyed.groupBy("cell").count().collect())
+    assert sum(cells) == 60_000 and cells[-1] < 4 * cells[len(cells) // 2]
+    assert keyed.select("key").distinct().count() == 60_000
+    assert sorted(tuple(r) for r in keyed.groupBy("doc_id", "size").count().where("count > 1").fillna(-1).collect()) == sorted(tuple(r) for r in rows.groupBy("doc_id", "size").count().where("count > 1").fillna(-1).collect())
+    placed = M.streams(rows)
+    assert placed.select("pos").distinct().count() == 60_000 and placed.agg(F.max(F.col("lo") + F.col("size"))).first()[0] == rows.agg(F.sum("size")).first()[0]
