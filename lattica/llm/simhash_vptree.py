@@ -19,10 +19,14 @@ of ``LARGEST`` are copied more often than that, copies grow about as the cube ro
 fingerprints, at 20 bytes each: on random ones 2.9 for a million, 4.0 for ten million, 8.8
 for a hundred million and 18.6 for a billion. The tree is bounded by its sample: when
 documents outgrow it, shards grow, not the driver, and a shard beyond ``BLOCK`` points is
-dealt over pairs of blocks.
+dealt over pairs of blocks. Points that lie so close together that no vantage point
+divides them (a template with a few words that change) are one leaf; beyond ``DENSE`` points
+its partners are looked up by changing up to ``RADIUS`` bits of each point (2,080 changes),
+so that time grows as n log n and memory with n.
 
 Defined results: a null or empty text has no shingles and fingerprint zero; rows with
-equal texts have equal fingerprints; a row with a null id gets its fingerprint and
+equal texts have equal fingerprints; a text of any length is hashed whole, in votes of 32,768
+shingles at a time; a row with a null id gets its fingerprint and
 takes its component from the documents with ids, or null if none is linked to it;
 other columns are ignored; an empty table gives an empty result.
 """
@@ -30,6 +34,8 @@ other columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +50,8 @@ SHINGLE, SEED, RADIUS = 3, 42, 2
 SHARD, LEAF, BLOCK = 8192, 1024, 1 << 20
 #: Copies of a point, on average, from which shards grow instead, and the points they grow to.
 COPIES, LARGEST = 3.0, 1 << 18
+#: Points of a leaf from which bit flips are looked up instead of comparing all, and flips that that is worth at most; rows of a tile.
+DENSE, PROBES, TILE = 16_384, 4096, 256
 #: Fingerprints, at most, that the driver sees to choose vantage points.
 SAMPLE = 262_144
 
@@ -159,12 +167,60 @@ def _leaf_roots(fp: np.ndarray, own: np.ndarray | None, radius: int) -> np.ndarr
         root = np.arange(n)
         root[some] = some[local_roots(linked[np.ix_(some, some)])]
         return root
-    root = np.arange(n)  # a dense leaf that no vantage point divides: compared row block by row block, nothing kept
+    # a dense leaf, which no vantage point divides
+    masks = flips(radius) if sum(comb(64, k) for k in range(radius + 1)) <= PROBES else None
+    return _probed(fp, own, masks) if masks is not None and n > DENSE else _tiled(fp, own, radius)
+
+
+def flips(radius: int) -> np.ndarray:
+    """All values with 1 to ``radius`` of 64 bits, fewer bits first."""
+    return np.array([sum(1 << b for b in bits) for k in range(1, radius + 1) for bits in combinations(range(64), k)], dtype=np.uint64)
+
+
+def _joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the components of a[i] and b[i], for every i; a root is the smallest member that is known."""
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (up := root[root]).tobytes() != root.tobytes():
+            root[:] = up
+
+
+def _probed(fp: np.ndarray, own: np.ndarray | None, masks: np.ndarray) -> np.ndarray:
+    """Components by looking up every point, all of them different, with each mask's bits changed: n
+    log n steps a mask, and a few numbers a point of memory, however many points are near each other."""
+    order = np.argsort(fp)
+    held, root = fp[order], np.arange(len(fp))
+    for m in masks:
+        other = held ^ m
+        up = other > held  # each pair once
+        at = np.searchsorted(held, other[up])
+        hit = at < len(held)
+        hit[hit] = held[at[hit]] == other[up][hit]
+        a, b = order[np.flatnonzero(up)[hit]], order[at[hit]]
+        if own is not None:
+            a, b = a[own[a] != own[b]], b[own[a] != own[b]]
+        _joined(root, a, b)
+    return root
+
+
+def _tiled(fp: np.ndarray, own: np.ndarray | None, radius: int) -> np.ndarray:
+    """Components by comparing tiles of the points with each other, nothing of which is kept."""
+    n = len(fp)
+    root = np.arange(n)
     while True:
         before = root.copy()
-        for at in range(0, n, 256):
-            least = np.where(rows(at), root, n).min(axis=1)
-            root[at : at + 256] = np.minimum(root[at : at + 256], least)
+        for at in range(0, n, TILE):
+            for to in range(0, n, 16 * TILE):
+                near = np.bitwise_count(fp[at : at + TILE, None] ^ fp[to : to + 16 * TILE]) <= radius
+                if own is not None:
+                    near &= own[at : at + TILE, None] != own[to : to + 16 * TILE]
+                least = np.where(near, root[to : to + 16 * TILE], n).min(axis=1)
+                root[at : at + TILE] = np.minimum(root[at : at + TILE], least)
         root = root[root]
         if (root == before).all():
             return root

@@ -133,3 +133,49 @@ def test_rows_without_ids_link_and_are_linked(spark, monkeypatch):
     alone = table.where("fp in (1 << 40, 3 << 40)".replace("1 << 40", str(1 << 40)).replace("3 << 40", str(3 << 40)))
     monkeypatch.setattr(S, "fingerprints", lambda docs: alone)
     assert [r.component_id for r in S.near_duplicates(alone).collect()] == [None, None]
+
+
+def _ball(n, bits, seed=0):
+    """Distinct values within some bits of one."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    centre = int(rng.integers(1 << 62))
+    out = {centre ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, bits + 1), replace=False)) for _ in range(n)}
+    return np.array(sorted(out), dtype=np.uint64)
+
+
+def test_dense_leaves_by_bit_flips_and_by_tiles(monkeypatch):
+    import numpy as np
+
+    from lattica.llm import simhash_vptree as S
+
+    for fp in (_ball(5000, 4), _ball(3000, 9, 1), np.concatenate([_ball(2500, 3, 2), _ball(2500, 5, 3)])):
+        fp = np.unique(fp)
+        for own in (None, np.arange(len(fp)) % 3):
+            near = np.bitwise_count(fp[:, None] ^ fp) <= 2
+            if own is not None:
+                near &= own[:, None] != own
+            from lattica.llm.store import local_roots
+
+            want = local_roots(near)
+            assert (S._probed(fp, own, S.flips(2)) == want).all() and (S._tiled(fp, own, 2) == want).all()
+    monkeypatch.setattr(S, "DENSE", 100)
+    monkeypatch.setattr(S, "LEAF", 20)
+    fp = _ball(4000, 4, 5)
+    assert (S._leaf_roots(fp, None, 2) == local_roots(np.bitwise_count(fp[:, None] ^ fp) <= 2)).all()
+
+
+def test_a_ball_of_hundreds_of_thousands_is_linked_in_bounded_memory():
+    import resource
+    import time
+
+    import numpy as np
+
+    from lattica.llm import simhash_vptree as S
+
+    fp = np.unique(np.concatenate([_ball(1, 0), np.array([0], dtype=np.uint64) ^ S.flips(2), *[S.flips(2) ^ np.uint64(1 << b) for b in range(40)]]))
+    began, before = time.time(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    root = S._leaf_roots(fp, None, 2)
+    assert len(fp) > 30_000 and len(np.unique(root)) <= 2
+    assert time.time() - began < 120 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1 << 20
