@@ -441,3 +441,24 @@ def test_images_are_whole_to_their_ends(spark):
     got = listing.whole_images(spark.createDataFrame(list(files.items()), "id long, content binary")).collect()
     assert sorted((r.id, r.kind, r.width, r.height) for r in got) == [(1, "png", 16, 32), (3, "gif", 320, 7), (5, "jpeg", None, None)]
     assert value(spark, P.media_kind(F.lit(".mkv"))) == "video"
+
+
+# written tables
+
+
+def test_written_tables_go_with_their_process(spark, tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+from pyspark.sql import SparkSession
+from lattica.sources.written import written
+s = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "{tmp_path}").getOrCreate()
+assert written(s.range(5)).count() == 5
+import os
+assert len([f for f in os.listdir("{tmp_path}") if f.startswith("lattica-")]) == 1
+s.stop()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[1], capture_output=True, timeout=120)
+    assert not list(tmp_path.glob("lattica-*"))
