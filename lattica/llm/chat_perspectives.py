@@ -11,8 +11,8 @@ participants of one conversation, which is what is put out.
 
 Defined results: turns are ordered by (turn, role, text), nulls first, and repeated
 turns are rendered as often as they occur; a null role speaks as ``unknown``, and is one
-speaker with a role of that name; a role is written as it is, marks and all; a null text is
-'', a text of any length is rendered whole; a conversation without participants (system turns only) has no rendering;
+speaker with a role of that name; roles and texts are written as they are, marks and all, so
+whoever fears forged turns strips the marks before; a null text is '', a text of any length is rendered whole; a conversation without participants (system turns only) has no rendering;
 a null conv_id is one conversation; other columns are ignored; an empty table gives an
 empty result.
 """

@@ -7,7 +7,8 @@ lose all their lines. Only (document, position, hash) is shuffled by hash; the t
 when a row meets the sorted positions of its dropped lines, and what stays is the runs
 between those positions, so a text's reassembly is linear in its lines.
 
-Defined results: a null or empty text is one empty line and stays ''; empty keys are
+Defined results: a null or empty text is one empty line and stays ''; a text of any
+length is split whole, and only its lines' hashes are shuffled by themselves; empty keys are
 never dropped; a document is a doc_id, so repeated rows count once and are treated
 alike; rows with a null id are kept and count as one document; other columns pass
 through ``dedup``, but ones named as the counts are replaced; an empty table
@@ -72,18 +73,18 @@ def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 OP6_SQL = """
 WITH lines AS (
-  SELECT doc_id, generate_subscripts(parts, 1) AS pos, unnest(parts) AS line
-  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)
+  SELECT no, doc_id, generate_subscripts(parts, 1) AS pos, unnest(parts) AS line
+  FROM (SELECT row_number() OVER () AS no, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)
 ), keyed AS (
   SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
   FROM lines
 ), common AS (
-  SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10
+  SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) >= 10
 ), told AS (
-  SELECT doc_id, pos, line, k IN (SELECT k FROM common) AS gone FROM keyed
+  SELECT no, doc_id, pos, line, k IN (SELECT k FROM common) AS gone FROM keyed
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM told GROUP BY doc_id
+FROM told GROUP BY no, doc_id
 """

@@ -9,7 +9,9 @@ length of one block whatever the number of blocks. PCM is resampled to 16 kHz.
 Defined results: a null text is an empty payload, padded to one unit; equal payloads get
 equal values, as codec and features depend on the payload alone; rows with null ids and
 repeated rows are rows like others; other columns are ignored; an empty table gives an
-empty result. Long texts are decoded in slices of a fixed number of blocks.
+empty result. Long texts are decoded in slices of a fixed number of blocks; the query keeps
+digests alone and takes texts up to the 2 GB of a value, while the columns of media and PCM
+(9 bytes and less for a byte of text) fit in a value for texts of up to 200 MB.
 """
 
 from __future__ import annotations

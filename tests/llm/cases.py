@@ -34,7 +34,7 @@ def documents(spark, rows=None, extra=True):
     if extra:
         from pyspark.sql import functions as F
 
-        names = ["_id", "_mark", "_at", "_own", "_t", "_w", "_s", "_times", "_copy", "fp", "node", "label", "size", "pos", "key", "line", "id", "mark", "words", "taken", "score.x", "cell", "spans", "bin"]
+        names = ["_id", "_mark", "_at", "_own", "_t", "_w", "_s", "_times", "_copy", "fp", "node", "label", "size", "pos", "key", "line", "id", "mark", "words", "taken", "score.x", "cell", "spans", "bin", "n_lines", "n_dropped", "score", "held_out", "predicted", "component_id", "slot", "shard", "copy", "first_slot", "part", "copies", "base", "links"]
         out = out.withColumns({n: F.lit(1) for n in names})
     return out.repartition(3)
 

@@ -47,3 +47,17 @@ def test_all_lines_dropped_and_empty_table(spark):
 def test_plan_is_native(spark):
     plan = L.dedup(cases.documents(spark))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "ExistingRDD in"))
+
+
+def test_rows_without_id_are_one_document_in_code_and_sql(spark, tmp_path):
+    rows = [(i, "same\nnine") for i in range(9)] + [(None, "same\nother"), (None, "SAME \nother"), (3, "same"), (50, "other")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted([(r.doc_id, r.n_lines, r.n_dropped, r.text) for r in L.dedup(docs).collect()], key=str)
+    assert got == brute(rows, 10) and {r.n_dropped for r in L.dedup(docs).where("doc_id is null").collect()} == {1}
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(L.OP6_SQL)
+    assert sorted([tuple(r) for r in L.op6_line_dedup(spark, str(tmp_path)).select(*want.columns).collect()], key=str) == sorted(want.fetchall(), key=str)
