@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lattica.llm import stages
-from lattica.llm.store import saved
+from lattica.llm.store import dropped, saved
 
 STAGES = [
     ("quality classifier", stages.quality),
@@ -24,8 +24,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over ``documents``."""
+    """The rows of the last stage over ``documents``. A corpus goes when the next one is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held = None
     for _, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir))
+        if held is not None:
+            dropped(held)
+        held = docs
     return STAGES[-1][1](spark, docs, sf_dir)
