@@ -144,9 +144,9 @@ def fill_right(columns: Sequence[str], step: float | None = None) -> list[Column
 
 
 def reordered(df: DataFrame, key: Sequence[str], sequence: str, new_order: Sequence) -> DataFrame:
-    """The values of the sequence column dealt anew by the new order; only rows that change."""
-    old = df.withColumn("_n", position(*key, order=[sequence])).select(*key, "_n", F.col(sequence).alias("new_value"))
-    new = df.withColumn("_n", position(*key, order=new_order))
+    """The values of the sequence column dealt anew by the new order; only rows that change. A key may be of any size."""
+    old = keyed_position(df, key, [sequence], "_n").select(*key, "_n", F.col(sequence).alias("new_value"))
+    new = keyed_position(df, key, new_order, "_n")
     return new.join(old, [*key, "_n"]).where(F.col(sequence) != F.col("new_value")).drop("_n")
 
 

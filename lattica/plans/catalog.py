@@ -48,10 +48,10 @@ def page_not_a_number(spark, sf_dir):
     return ordering.page(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), [F.col("s_suppkey")], "first")
 
 
-@query("SELECT n_nationkey, n_name, n_regionkey, row_number() OVER (ORDER BY n_name DESC, n_nationkey) - 1 AS pos FROM nation")
+@query("SELECT o_orderkey, o_custkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) - 1 AS pos FROM orders")
 def server_table_order(spark, sf_dir):
-    """A small table whole, newest first, with positions (O3, global positions without a single-task window)."""
-    return ordering.global_position(table(spark, sf_dir, "nation"), [F.col("n_name").desc(), F.col("n_nationkey")])
+    """A table whole, newest first, with positions (O3, global positions without a single-task window)."""
+    return ordering.global_position(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), [F.col("o_orderdate").desc(), F.col("o_orderkey")])
 
 
 @query("SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS pos FROM orders")
@@ -388,16 +388,14 @@ def bucket_conflicts(spark, sf_dir):
     return name_conflicts(p.select("name").distinct(), known, remote)
 
 
-@query("""
-SELECT bucket, line_no, line FROM (
-  SELECT n_regionkey AS bucket, (row_number() OVER w) * 2 - 1 AS line_no, 'file ''' || n_name || '.png''' AS line FROM nation WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey)
-  UNION ALL SELECT n_regionkey, (row_number() OVER w) * 2, 'duration 1' FROM nation WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey)
-  UNION ALL SELECT n_regionkey, count(*) * 2 + 1, 'file ''' || arg_max(n_name, n_nationkey) || '.png''' FROM nation GROUP BY n_regionkey)
+@query(f"""
+WITH {_OBJECTS_SQL}, n AS (SELECT bucket, key, row_number() OVER (PARTITION BY bucket ORDER BY key) AS no FROM objects)
+SELECT bucket, no * 2 - 1 AS line_no, 'file ''' || key || '''' AS line FROM n UNION ALL SELECT bucket, no * 2, 'duration 1' FROM n
+UNION ALL SELECT bucket, max(no) * 2 + 1, 'file ''' || arg_max(key, no) || '''' FROM n GROUP BY bucket
 """)
 def concat_manifest(spark, sf_dir):
-    """Manifest lines for frames, the last one repeated."""
-    frames = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("bucket"), F.col("n_nationkey").alias("pos"), F.concat("n_name", F.lit(".png")).alias("path"))
-    return sinks.manifest(frames, ["bucket"])
+    """Manifest lines for all files of each bucket, the last one repeated."""
+    return sinks.manifest(_objects(spark, sf_dir), ["bucket"], order="key", path="key")
 
 
 @query("""
@@ -411,14 +409,14 @@ def csv_export(spark, sf_dir):
 
 
 @query("""
-SELECT n_nationkey, '"' || replace(n_name, '"', '""') || '","' || n_regionkey || '","' || replace('say "' || n_name || '"', '"', '""') || '"' AS line,
-       '"' || n_name || '"' || chr(9) || '"' || n_regionkey || '"' AS tab_line
-FROM nation
+SELECT c_custkey, '"' || replace(c_name, '"', '""') || '","' || c_nationkey || '","' || replace('say "' || c_name || '"', '"', '""') || '"' AS line,
+       '"' || c_name || '"' || chr(9) || '"' || c_nationkey || '"' AS tab_line
+FROM customer
 """)
 def csv_line(spark, sf_dir):
     """Delimited lines, quotes doubled."""
-    n = table(spark, sf_dir, "nation").withColumn("said", F.concat(F.lit('say "'), "n_name", F.lit('"')))
-    return n.select("n_nationkey", sinks.delimited(n, ["n_name", "n_regionkey", "said"]).alias("line"), sinks.delimited(n, ["n_name", "n_regionkey"], sep="\t").alias("tab_line"))
+    n = table(spark, sf_dir, "customer").withColumn("said", F.concat(F.lit('say "'), "c_name", F.lit('"')))
+    return n.select("c_custkey", sinks.delimited(n, ["c_name", "c_nationkey", "said"]).alias("line"), sinks.delimited(n, ["c_name", "c_nationkey"], sep="\t").alias("tab_line"))
 
 
 @query("""

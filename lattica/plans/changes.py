@@ -104,15 +104,16 @@ def get_or_create(spark, sf_dir):
 
 
 @query("""
-SELECT n_nationkey AS id, coalesce(CASE WHEN n_regionkey > 2 THEN 'new ' || n_name END, n_name) AS name, n_regionkey AS region FROM nation WHERE n_nationkey <> 5
-UNION ALL SELECT 100, 'added', -1
+SELECT s_suppkey AS id, coalesce(CASE WHEN s_nationkey > 12 THEN 'new ' || s_name END, s_name) AS name, s_nationkey AS region FROM supplier WHERE s_suppkey % 5 <> 0
+UNION ALL SELECT -s_suppkey, 'added', -1 FROM supplier WHERE s_acctbal < 0
 """)
 def grid_edit(spark, sf_dir):
-    """Insert, deep-merged update and delete of grid items."""
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
-    edits = n.select("id", F.when(F.col("region") > 2, F.concat(F.lit("new "), "name")).alias("name"))
-    gone = spark.createDataFrame([(5,)], "id int")
-    added = spark.createDataFrame([(100, "added")], "id int, name string")
+    """Insert, update and delete of grid items."""
+    s = table(spark, sf_dir, "supplier")
+    n = s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("region"))
+    edits = n.select("id", F.when(F.col("region") > 12, F.concat(F.lit("new "), "name")).alias("name"))
+    gone = n.where("id % 5 = 0").select("id")
+    added = s.where("s_acctbal < 0").select((-F.col("s_suppkey")).alias("id"), F.lit("added").alias("name"))
     return C.inserted(C.deleted(C.merged(n, edits, ["id"]), gone, ["id"]), added).fillna(-1, ["region"])
 
 
@@ -147,11 +148,11 @@ def two_phase_delete_ok(spark, sf_dir):
 
 
 @query("""
-SELECT (SELECT count(*) FROM (SELECT n_regionkey FROM nation EXCEPT SELECT r_regionkey FROM region)) = 0 AND (SELECT count(*) FROM (SELECT r_regionkey FROM region EXCEPT SELECT n_regionkey FROM nation)) = 0 AS same
+SELECT (SELECT count(*) FROM (SELECT l_orderkey FROM lineitem EXCEPT SELECT o_orderkey FROM orders)) = 0 AND (SELECT count(*) FROM (SELECT o_orderkey FROM orders EXCEPT SELECT l_orderkey FROM lineitem)) = 0 AS same
 """)
 def set_equality(spark, sf_dir):
     """Whether two sets are equal."""
-    return C.same_set(table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("k")), table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("k")))
+    return C.same_set(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k")), table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")))
 
 
 @query("SELECT x FROM (SELECT l_linenumber AS x FROM lineitem UNION SELECT p_size FROM part)")

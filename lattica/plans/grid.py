@@ -195,7 +195,7 @@ def export_selection(spark, sf_dir):
     return hit.where(F.col("_sel") | ~some).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
-@query("SELECT count(*) AS rows, 1 AS header_rows, count(*) + 1 AS lines FROM nation")
+@query("SELECT count(*) AS rows, 1 AS header_rows, count(*) + 1 AS lines FROM orders")
 def export_counts(spark, sf_dir):
     """Rows and lines of an export."""
-    return table(spark, sf_dir, "nation").agg(F.count("*").alias("rows"), F.lit(1).alias("header_rows"), (F.count("*") + 1).alias("lines"))
+    return table(spark, sf_dir, "orders").agg(F.count("*").alias("rows"), F.lit(1).alias("header_rows"), (F.count("*") + 1).alias("lines"))

@@ -119,14 +119,14 @@ def padded_y_range(spark, sf_dir):
 
 
 @query("""
-WITH v AS (SELECT p_type, p_brand, CAST(count(*) AS DOUBLE) AS v FROM part WHERE p_size > 20 GROUP BY ALL), t AS (SELECT *, sum(v) OVER (PARTITION BY p_type) AS t FROM v),
+WITH v AS (SELECT p_type, p_brand, CAST(count(*) AS DOUBLE) AS v FROM part GROUP BY ALL), t AS (SELECT *, sum(v) OVER (PARTITION BY p_type) AS t FROM v),
 s AS (SELECT *, v / t <= 0.04 AS small FROM t), f AS (SELECT *, count(*) FILTER (WHERE small) OVER (PARTITION BY p_type) AS few FROM s),
 g AS (SELECT p_type, CASE WHEN small AND few >= 2 THEN 'Other' ELSE p_brand END AS label, sum(v) AS value, max(t) AS t FROM f GROUP BY ALL)
 SELECT p_type, label, value, value / t * 100 AS percent, value / t * 360 AS angle FROM g
 """)
 def combine_small_slices(spark, sf_dir):
     """Small slices as one, if there are two or more."""
-    v = table(spark, sf_dir, "part").where("p_size > 20").groupBy("p_type", "p_brand").agg(F.count("*").cast("double").alias("v"))
+    v = table(spark, sf_dir, "part").groupBy("p_type", "p_brand").agg(F.count("*").cast("double").alias("v"))
     return A.combined_slices(v, ["p_type"], "p_brand", "v", 0.04)
 
 
@@ -183,11 +183,11 @@ def hidden_series(spark, sf_dir):
 
 
 @query("""
-SELECT user_id, idx, CAST(10 + idx * 0.5 AS DOUBLE) AS x, y FROM (SELECT user_id, unnest(ys) AS y, generate_subscripts(ys, 1) - 1 AS idx FROM (SELECT user_id, list(value ORDER BY ts) AS ys FROM events WHERE event_type = 'purchase' GROUP BY user_id))
+SELECT user_id, event_type, idx, CAST(10 + idx * 0.5 AS DOUBLE) AS x, y FROM (SELECT user_id, event_type, unnest(ys) AS y, generate_subscripts(ys, 1) - 1 AS idx FROM (SELECT user_id, event_type, list(value ORDER BY ts) AS ys FROM events GROUP BY user_id, event_type))
 """)
 def flat_points(spark, sf_dir):
     """Points from one-dimensional arrays by start and step."""
-    e = table(spark, sf_dir, "events").where("event_type = 'purchase'").groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ts", "value"))), lambda p: p["value"]).alias("ys"))
+    e = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.transform(F.sort_array(F.collect_list(F.struct("ts", "value"))), lambda p: p["value"]).alias("ys"))
     return series_points(e, "ys", 10, 0.5).withColumn("idx", F.col("idx").cast("long"))
 
 

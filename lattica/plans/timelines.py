@@ -191,13 +191,13 @@ def alternating_split(spark, sf_dir):
 
 
 @query("""
-WITH o AS (SELECT n_regionkey, n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS p FROM nation),
-n AS (SELECT n_regionkey, n_nationkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name DESC) AS p FROM nation)
-SELECT n.n_regionkey, n.n_nationkey, n_name, o.n_nationkey AS new_value FROM n JOIN o ON n.n_regionkey = o.n_regionkey AND n.p = o.p WHERE n.n_nationkey <> o.n_nationkey
+WITH o AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS p FROM part),
+n AS (SELECT p_brand, p_partkey, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY p_name DESC, p_partkey) AS p FROM part)
+SELECT n.p_brand, n.p_partkey, p_name, o.p_partkey AS new_value FROM n JOIN o ON n.p_brand = o.p_brand AND n.p = o.p WHERE n.p_partkey <> o.p_partkey
 """)
 def row_reorder(spark, sf_dir):
     """Sequence values dealt anew after a move; changed rows only."""
-    return W.reordered(table(spark, sf_dir, "nation"), ["n_regionkey"], "n_nationkey", [F.col("n_name").desc()])
+    return W.reordered(table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_name"), ["p_brand"], "p_partkey", [F.col("p_name").desc(), F.col("p_partkey")])
 
 
 @query("""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.text import csv_field
@@ -45,15 +45,15 @@ def write_delimited(df: DataFrame, path: str, sep: str = ",", bom: bool = False)
 
 def manifest(frames: DataFrame, key: Sequence[str], order: str = "pos", path: str = "path", duration: int = 1) -> DataFrame:
     """Concat manifest lines (key, line_no, line): a file and a duration line for each
-    frame in order, and the last file once more."""
-    w = Window.partitionBy(*key).orderBy(order)
-    no, n = F.row_number().over(w), F.count("*").over(Window.partitionBy(*key))
-    file = F.concat(F.lit("file '"), F.col(path), F.lit("'"))
-    numbered = frames.withColumn("_no", no).withColumn("_n", n)
-    lines = F.array(F.struct((F.col("_no") * 2 - 1).alias("line_no"), file.alias("line")), F.struct((F.col("_no") * 2).alias("line_no"), F.lit(f"duration {duration}").alias("line")))
-    last = F.array(F.struct((F.col("_n") * 2 + 1).alias("line_no"), file.alias("line")))
-    every = F.when(F.col("_no") == F.col("_n"), F.concat(lines, last)).otherwise(lines)
-    return numbered.select(*key, F.explode(every).alias("_l")).select(*key, F.col("_l.line_no").cast("long").alias("line_no"), F.col("_l.line").alias("line"))
+    frame in order, and the last file once more. A key may be of any size."""
+    from lattica.operators.ordering import keyed_position
+
+    numbered = keyed_position(frames.select(*key, F.col(order).alias("_o"), F.col(path).alias("_path")), key, ["_o"], "_no")
+    file = lambda c: F.concat(F.lit("file '"), c, F.lit("'"))
+    line = lambda no, text: F.struct(no.cast("long").alias("line_no"), text.alias("line"))
+    lines = numbered.select(*key, F.explode(F.array(line(F.col("_no") * 2 + 1, file(F.col("_path"))), line(F.col("_no") * 2 + 2, F.lit(f"duration {duration}")))).alias("_l")).select(*key, "_l.*")
+    last = numbered.groupBy(*key).agg(F.max("_no").alias("_no"), F.max_by("_path", "_no").alias("_path"))
+    return lines.union(last.select(*key, F.col("_no") * 2 + 3, file(F.col("_path"))))
 
 
 def archive_paths(listing: DataFrame) -> DataFrame:
