@@ -1,4 +1,5 @@
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -90,6 +91,7 @@ def test_status_batches_rewrite_their_buckets_alone(spark, tmp_path):
     every = [(t, s, kinds[(t * 7 + s * 3) % 4]) for t in range(40) for s in range(1, 7)]
     for n, part in enumerate([every[:150], [e for e in every[150:] if e[0] % 2] + every[3:9], [e for e in every[150:] if not e[0] % 2]]):
         (folder / f"{n}.json").write_text("\n".join(json.dumps(dict(zip(("task_id", "seq", "status"), e, strict=True))) for e in part))
+        os.utime(folder / f"{n}.json", (1_700_000_000 + n,) * 2)
     status.run(spark, str(folder), out, str(tmp_path / "ck"), buckets=8, files_a_batch=1)
     want = {}  # a loop over the events in order; parts hold a task's events in order
     for t, s, x in every:
@@ -113,6 +115,7 @@ def test_a_batch_that_is_run_again_gives_the_same(spark, tmp_path):
     folder.mkdir()
     for n, x in enumerate(["processing", "failed", "processing"]):
         (folder / f"{n}.json").write_text(json.dumps({"task_id": 5, "seq": n + 1, "status": x}))
+        os.utime(folder / f"{n}.json", (1_700_000_000 + n,) * 2)  # batches take files in the order of their times
     status.run(spark, str(folder), out, str(tmp_path / "ck"), files_a_batch=1)
     (tmp_path / "ck" / "commits" / "2").unlink()  # as if the driver was lost before the batch was committed
     (tmp_path / "ck" / "commits" / ".2.crc").unlink(missing_ok=True)
