@@ -251,7 +251,7 @@ def valid_image_files(spark, sf_dir):
     n, text, png = F.col("doc_id") % 5, F.col("text").cast("binary"), F.unhex(F.lit(listing.SIGNATURES["png"]))
     whole = F.when(n == 0, F.concat(png, text, F.unhex(F.lit(listing.PNG_END)))).when(n == 1, F.concat(png, text))
     content = whole.when(n == 2, F.concat(F.unhex(F.lit(listing.SIGNATURES["jpeg"])), text)).when(n == 3, F.concat(F.unhex(F.lit(listing.SIGNATURES["gif"])), text))
-    files = table(spark, sf_dir, "documents").select("doc_id", content.alias("content"))
+    files = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(content)).alias("content"))  # a generator's column is worked out once
     return listing.valid_images(files).select("doc_id", listing.image_kind(F.col("content")).alias("kind"))
 
 
@@ -268,7 +268,7 @@ def whole_image_files(spark, sf_dir):
     png = lambda h: (listing.SIGNATURES["png"], "0000000D49484452", big(F.lit(640)), big(h))
     content = F.when(n == 0, raw(*png(F.col("doc_id") % 1000 + 1), text, listing.PNG_END)).when(n == 1, raw(*png(F.lit(0)), text, listing.PNG_END))
     content = content.when(n == 2, raw(listing.SIGNATURES["jpeg"], text, "FFD90000")).when(n == 3, raw(listing.SIGNATURES["gif"], "3961", little(F.lit(320)), little(F.col("doc_id") % 200 + 1), text, "003B")).when(n == 4, raw(listing.SIGNATURES["jpeg"], text))
-    files = table(spark, sf_dir, "documents").select("doc_id", content.alias("content"))
+    files = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(content)).alias("content"))  # a generator's column is worked out once
     return listing.whole_images(files).select("doc_id", "kind", "width", "height")
 
 
