@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,17 +89,29 @@ def leading_number(text: Column) -> Column:
     return F.nullif(found, F.lit("")).try_cast("double")
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that it uses several times and that is worked out once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def plain_number(value: Column) -> Column:
     """A number's whole text without an exponent and without trailing zeros, whatever its size."""
-    text = value.cast("string")
-    part = lambda i: F.regexp_extract(text, "^(-?)([0-9]+)(?:\\.([0-9]+))?(?:[eE]([+-]?[0-9]+))?$", i)
-    digits, power = F.concat(part(2), part(3)), F.coalesce(F.nullif(part(4), F.lit("")).cast("int"), F.lit(0))
-    point = F.length(part(2)) + power  # the digits before the point
-    whole = F.when(point <= 0, F.lit("0")).otherwise(F.rpad(F.substring(digits, F.lit(1), point), point, F.lit("0")))
-    rest = F.when(point <= 0, F.concat(F.repeat(F.lit("0"), -point), digits)).otherwise(F.substring(digits, point + 1, F.length(digits)))
-    rest = F.rtrim(rest, F.lit("0"))
-    plain = F.concat(part(1), F.regexp_replace(whole, "^0+(?=[0-9])", ""), F.when(rest == "", "").otherwise(F.concat(F.lit("."), rest)))
-    return F.when(part(2) == "", text).otherwise(plain)
+    bare = lambda number: F.regexp_replace(number, "^(-?)0*(?=[0-9])|\\.0*$|(\\.[0-9]*?[1-9])0+$", "$1$2")
+
+    def moved(s: Column) -> Column:
+        """The digits with the point moved by the power; zeros fill up to it, and before it."""
+        whole = F.concat(F.repeat(F.lit("0"), 1 - s["point"]), F.rpad(s["digits"], F.greatest(s["point"], F.length(s["digits"])), F.lit("0")))
+        at = F.greatest(s["point"], F.lit(1))
+        return _once(whole, lambda w: F.concat(s["sign"], F.substring(w, F.lit(1), at), F.lit("."), F.substring(w, at + 1, F.length(w))))
+
+    def told(text: Column) -> Column:
+        sign, mantissa = F.when(text.startswith("-"), "-").otherwise(""), F.ltrim(F.substring_index(F.upper(text), "E", 1), F.lit("-"))
+        point = F.length(F.substring_index(mantissa, ".", 1)) + F.substring_index(F.upper(text), "E", -1).cast("int")
+        parts = F.struct(sign.alias("sign"), F.replace(mantissa, F.lit("."), F.lit("")).alias("digits"), point.alias("point"))
+        plain = F.when(text.rlike("^-?[0-9]+(?:\\.[0-9]+)?$"), bare(text))
+        return plain.when(text.rlike("^-?[0-9]+(?:\\.[0-9]+)?[eE][+-]?[0-9]+$"), bare(_once(parts, moved))).otherwise(text)
+
+    return _once(value.cast("string"), told)
 
 
 def csv_field(value: Column, quote: str = '"') -> Column:

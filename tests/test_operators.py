@@ -174,6 +174,9 @@ def test_text_functions(spark):
     assert value(spark, X.plain_text(F.lit("  <p>a &amp;lt; b</p>\n<script>x<y</script><!-- n -->c "))) == "a &lt; b c"
     assert value(spark, X.leading_number(F.lit("12px"))) == 12.0 and value(spark, X.leading_number(F.lit("px"))) is None
     assert value(spark, X.plain_number(F.lit(1e-7))) == "0.0000001" and value(spark, X.plain_number(F.lit(1e15))) == "1000000000000000"
+    numbers = {"007": "7", "1.500": "1.5", "-0.50": "-0.5", "1.5E3": "1500", "-12e-1": "-1.2", "0E-10": "0", "12E+2": "1200", "1.25E1": "12.5", "abc.0": "abc.0", "NaN": "NaN", "": ""}
+    held = spark.createDataFrame(list(numbers.items()), "v string, want string").select("want", X.plain_number(F.col("v")).alias("got"))
+    assert all(r.got == r.want for r in held.collect()) and value(spark, X.plain_number(F.lit(None).cast("double"))) is None
     assert value(spark, X.base_name(F.lit("a/b.c/D.JPG"))) == "D.JPG" and value(spark, X.extension(F.lit("a/b.c/D.JPG"))) == ".jpg" and value(spark, X.extension(F.lit("a.b/c"))) == ""
     assert value(spark, X.csv_field(F.lit('a"b'))) == '"a""b"' and value(spark, X.csv_field(F.lit(None).cast("string"))) == '""'
 
