@@ -79,7 +79,10 @@ def chosen_step(span_seconds: Column, ticks: float, quarters: bool = False) -> C
 
 def least_increment(span_seconds: Column, steps: int) -> Column:
     """The least tick size of the catalogue, in milliseconds, that gives at most so many steps over a span; null beyond it."""
-    return F.get(F.filter(F.array(*[F.lit(ms).cast("long") for ms in INCREMENTS]), lambda ms: ms * F.lit(float(steps)) >= span_seconds * 1000), F.lit(0))
+    needed, first = span_seconds * 1000, F
+    for ms in INCREMENTS:
+        first = first.when(needed <= float(ms) * steps, F.lit(ms).cast("long"))
+    return first
 
 
 def calendar_ticks(ends: DataFrame, low: str, high: str, step: str) -> DataFrame:
@@ -114,11 +117,11 @@ def stepped_ticks(ends: DataFrame, low: str, high: str, size: str, unit: str) ->
     year = F.when(what == "year", floored(F.year(at))).otherwise(F.year(at))
     first = year * 12 + begun
     by_clock = what.isin("second", "minute", "hour", "day")
-    ahead = (epoch_micros(F.col(high)) - epoch_micros(clock)) / (seconds * 1_000_000)
-    last_month = F.year(high) * 12 + F.month(high) - 1
-    count = F.when(by_clock, F.floor(ahead)).otherwise(F.floor((last_month - first + 1) / months))
     keep = [c for c in ends.columns if c not in (low, high)]
-    held = ends.select(*keep, F.col(high).alias("_high"), clock.alias("_clock"), seconds.alias("_seconds"), months.alias("_months"), first.alias("_first"), by_clock.alias("_by_clock"), count.alias("_count"))
+    held = ends.select(*keep, F.col(high).alias("_high"), clock.alias("_clock"), seconds.alias("_seconds"), months.alias("_months"), first.alias("_first"), by_clock.alias("_by_clock"))
+    ahead = (epoch_micros(F.col("_high")) - epoch_micros(F.col("_clock"))) / (F.col("_seconds") * 1_000_000)
+    last_month = F.year("_high") * 12 + F.month("_high") - 1
+    held = held.withColumn("_count", F.when(F.col("_by_clock"), F.floor(ahead)).otherwise(F.floor((last_month - F.col("_first") + 1) / F.col("_months"))))
     k = F.col("_k")
     ticks = held.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("_count", F.lit(0)).cast("long"))))
     # a part of a month or quarter: its month by whole months, then days of it
@@ -131,7 +134,8 @@ def stepped_ticks(ends: DataFrame, low: str, high: str, size: str, unit: str) ->
     into = F.floor(F.round(F.pmod(k, parts) * length / parts, 6)).cast("int")
     by_month = day_start(F.date_add(begin(at_month), into))
     tick = F.when(F.col("_by_clock"), plus(F.col("_clock"), F.floor(k * F.col("_seconds") / 86400), k * F.col("_seconds") - F.floor(k * F.col("_seconds") / 86400) * 86400)).otherwise(by_month)
-    return ticks.select(*keep, tick.alias("tick"), "_high").where(F.col("tick") <= F.col("_high")).drop("_high")
+    told = ticks.select(*keep, F.explode(F.array(tick)).alias("tick"), "_high")  # a generator's column is worked out once
+    return told.where(F.col("tick") <= F.col("_high")).drop("_high")
 
 
 def nice_step(span: Column, ticks: int) -> Column:
