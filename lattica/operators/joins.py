@@ -125,22 +125,32 @@ def nearest_point(points: DataFrame, px, py, x: str, y: str, item: str, key: Seq
 LONG, LEVELS = 64, 4
 
 
-def _celled(df: DataFrame, low: str, high: str, width: float) -> DataFrame:
-    """``df`` with ``_own``, the level of cells that suits the interval's length, and a row for
-    each cell (``_level``, ``_cell``) that it covers on its own and on coarser levels: ``LONG`` + 1
-    on any level but the coarsest, at most."""
+def _own_level(low: str, high: str, width: float) -> Column:
+    """The level of cells that suits an interval's length."""
     span = (F.col(high) - F.col(low)) / F.lit(float(width))
     own = F.lit(LEVELS - 1)
     for n in range(LEVELS - 2, -1, -1):
         own = F.when(span < F.lit(float(LONG ** (n + 1))), F.lit(n)).otherwise(own)
-    held = df.withColumn("_own", own)
+    return own
+
+
+def _top_level(df: DataFrame, low: str, high: str, width: float) -> Column:
+    """The coarsest level that suits any interval: beyond it none can meet."""
+    return df.agg(F.max(_own_level(low, high, width))).scalar()
+
+
+def _celled(df: DataFrame, low: str, high: str, width: float, top: Column | None = None) -> DataFrame:
+    """``df`` with ``_own``, the level of cells that suits the interval's length, and a row for
+    each cell (``_level``, ``_cell``) that it covers on its own and on coarser levels up to
+    ``top`` (all without it): ``LONG`` + 1 on any level but the coarsest, at most."""
+    held = df.withColumns({"_own": _own_level(low, high, width), "_top": F.lit(LEVELS - 1) if top is None else top})
 
     def covered(n: int) -> Column:
         at = lambda c: F.floor(F.col(c) / F.lit(float(width * LONG**n))).cast("long")
         cells = F.transform(F.sequence(at(low), at(high)), lambda c: F.struct(F.lit(n).alias("_level"), c.alias("_cell")))
-        return F.when(F.col("_own") <= n, cells).otherwise(F.array().cast("array<struct<_level:int,_cell:bigint>>"))
+        return F.when(F.lit(n).between(F.col("_own"), F.col("_top")), cells).otherwise(F.array().cast("array<struct<_level:int,_cell:bigint>>"))
 
-    return held.withColumn("_c", F.explode(F.concat(*map(covered, range(LEVELS))))).select("*", "_c._level", "_c._cell").drop("_c")
+    return held.withColumn("_c", F.explode(F.concat(*map(covered, range(LEVELS))))).select("*", "_c._level", "_c._cell").drop("_c", "_top")
 
 
 def _first_cell(width: float, a: str, b: str) -> Column:
@@ -155,9 +165,10 @@ def overlaps(df: DataFrame, key: Sequence[str], rid: str, low: str, high: str, w
     Each interval enters the cells of ``width`` that it covers; a long one enters wider
     cells instead, where all intervals can meet it. A pair is taken on the level of the longer
     of the two, in the first cell that both cover, so no pair comes twice, only near rows ever
-    meet, and an interval of any length has a bounded number of rows.
+    meet, and an interval of any length has a bounded number of rows. One aggregate first
+    finds the longest interval; levels coarser than its own get no rows.
     """
-    cells = _celled(df.select(*key, rid, low, high), low, high, width)
+    cells = _celled(df.select(*key, rid, low, high), low, high, width, _top_level(df, low, high, width))
     a = cells.where("_own = _level").select(*key, "_level", "_cell", F.col(rid).alias("a_id"), F.col(low).alias("a_low"), F.col(high).alias("a_high"))
     b = cells.select(*key, "_level", "_cell", F.col(rid).alias("b_id"), F.col(low).alias("b_low"), F.col(high).alias("b_high"), F.col("_own").alias("b_own"))
     met = a.join(b, [*key, "_level", "_cell"]).where("(b_own < _level or a_id < b_id) and a_low <= b_high and b_low <= a_high")
