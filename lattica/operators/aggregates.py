@@ -7,10 +7,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lattica.functions.numbers import summed
 
 HIDE_ABOVE = 0.6
+#: Texts that are joined to one value at most, where a key's whole text is hashed part by part.
+PART_ROWS = 1_000
 
 
 def facet_counts(df: DataFrame, value: str, array: bool = False) -> DataFrame:
@@ -146,3 +149,46 @@ def series_facts(df: DataFrame, series: Sequence[str], x: str, y: str) -> DataFr
     whether all series have that first x."""
     each = df.groupBy(*series).agg(F.count("*").alias("n"), F.min(x).alias("first_x"), (F.count(y) == 0).alias("all_null"), (F.min(y) == F.max(y)).alias("all_equal"))
     return each.withColumn("shared_first_x", each.agg(F.count_distinct("first_x") <= 1).scalar())
+
+
+def joined_sha256(df: DataFrame, key: Sequence[str], order: Sequence[Column | str], text: str, sep: str = " ", name: str = "sha256", rows: int = PART_ROWS) -> DataFrame:
+    """(*key, ``name``): SHA-256 of each key's texts joined in their order, for keys of any size; null texts are left out.
+
+    Rows are sorted in ranges of (key, order), so that a hot key lies in many of them, and are
+    joined there to parts of ``rows`` texts. This hash can only be told from a text's beginning to its
+    end, so one task reads a key's parts in turn, but no value and no memory holds a key's
+    whole text. Rows that are equal in ``order`` have no fixed order among them.
+    """
+    cell, part, joined = "_cell", "_part", "_joined"
+    held = df.where(F.col(text).isNotNull()).repartitionByRange(*key, *order).withColumn(cell, F.spark_partition_id())
+    own = F.row_number().over(Window.partitionBy(*key, cell).orderBy(*order))
+    each = F.sort_array(F.collect_list(F.struct(F.col("_no"), F.col(text).alias("_text"))))
+    parts = held.withColumn("_no", own).groupBy(*key, cell, F.floor((F.col("_no") - 1) / rows).alias(part)).agg(F.array_join(each["_text"], sep).cast("binary").alias(joined))
+    keys, gap = list(key), sep.encode()
+
+    def hashed(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        def rows_of(done, types):
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*done, strict=True), types, strict=True)], [*keys, name])
+
+        now = digest = types = None
+        for batch in batches:
+            done, types = [], [*[batch.schema.field(k).type for k in keys], pa.string()]
+            for *of, piece in zip(*[batch.column(k).to_pylist() for k in keys], batch.column(joined), strict=True):
+                if digest is None or of != now:
+                    if digest is not None:
+                        done.append((*now, digest.hexdigest()))
+                    now, digest = of, hashlib.sha256()
+                else:
+                    digest.update(gap)
+                digest.update(piece.as_buffer())
+            if done:
+                yield rows_of(done, types)
+        if digest is not None:
+            yield rows_of([(*now, digest.hexdigest())], types)
+
+    told = parts.repartition(*key).sortWithinPartitions(*key, cell, part).select(*key, joined)
+    return told.mapInArrow(hashed, StructType([*df.select(*key).schema.fields, StructField(name, StringType())]))
