@@ -36,6 +36,27 @@ def zoom(start: float, end: float, t: Column, duration: float) -> Column:
     return F.lit(start) + F.lit(end - start) * t / F.lit(duration)
 
 
+def floor(x: Column) -> Column:
+    """The whole number not above x as a double, so that none is too large; infinities and NaN stay."""
+    near = F.rint(x)
+    return F.when(near > x, near - F.lit(1.0)).otherwise(near)
+
+
+def ceil(x: Column) -> Column:
+    return -floor(-x)
+
+
+def ln(x: Column) -> Column:
+    """The natural logarithm; minus infinity for 0, NaN below it (Spark's own is null for both)."""
+    return F.when(x > 0, F.ln(x)).when(x == 0, F.lit(float("-inf"))).when(x < 0, F.lit(float("nan")))
+
+
+def whole_power(base: float, n: Column) -> Column:
+    """The base to a whole power. Negative ones are divisions as far as powers of ten are exact
+    doubles: Spark's 10 to the -5 is 0.000009999999999999999."""
+    return F.when(n.between(-22, -1), F.lit(1.0) / F.pow(F.lit(float(base)), -n)).otherwise(F.pow(F.lit(float(base)), n))
+
+
 def round_to(x: Column, step: float) -> Column:
     return F.floor(x / F.lit(step) + F.lit(0.5)) * F.lit(step)
 

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattica.functions import numbers as N
 from lattica.functions.dates import day_start, epoch_micros, plus, truncated_to
 
 # The unit by the span it is used above, in days, hours, minutes or seconds.
@@ -184,8 +185,8 @@ def padded_limits(low: Column, high: Column, pad: float = 0.1, soft_low: float |
     """A range padded by a share of its span, rounded outwards to a tenth of the span's
     power of ten, held at a soft limit that the data do not cross, and never beyond a hard one."""
     span = F.when(high > low, high - low).otherwise(F.greatest(F.abs(high), F.lit(1.0)))
-    unit = F.pow(F.lit(10.0), F.floor(F.log10(span))) / 10
-    a, b = F.floor((low - span * pad) / unit) * unit, F.ceil((high + span * pad) / unit) * unit
+    unit = N.whole_power(10, F.floor(F.log10(span))) / 10
+    a, b = N.floor((low - span * pad) / unit) * unit, N.ceil((high + span * pad) / unit) * unit
     a = F.when((low >= soft_low) & (a < soft_low), F.lit(soft_low)).otherwise(a) if soft_low is not None else a
     b = F.when((high <= soft_high) & (b > soft_high), F.lit(soft_high)).otherwise(b) if soft_high is not None else b
     a = F.greatest(a, F.lit(float(hard_low))) if hard_low is not None else a
@@ -194,9 +195,9 @@ def padded_limits(low: Column, high: Column, pad: float = 0.1, soft_low: float |
 
 
 def log_limits(low: Column, high: Column, base: float = 10.0) -> tuple[Column, Column]:
-    """A positive range widened to whole powers of the base."""
-    lg = lambda c: F.round(F.ln(c) / F.lit(math.log(base)), 9)
-    return F.pow(F.lit(base), F.floor(lg(low))), F.pow(F.lit(base), F.ceil(lg(high)))
+    """A range widened to whole powers of the base; an end of 0 stays 0, a negative one gives NaN."""
+    lg = lambda c: F.round(N.ln(c) / F.lit(math.log(base)), 9)
+    return N.whole_power(base, N.floor(lg(low))), N.whole_power(base, N.ceil(lg(high)))
 
 
 def scale_extents(points: DataFrame, scale: str, x: str, y: str, low, high, visible: Column) -> DataFrame:
