@@ -58,15 +58,15 @@ def whole_power(base: float, n: Column) -> Column:
 
 
 def round_to(x: Column, step: float) -> Column:
-    return F.floor(x / F.lit(step) + F.lit(0.5)) * F.lit(step)
+    return floor(x / F.lit(step) + F.lit(0.5)) * F.lit(step)
 
 
 def ceil_to(x: Column, step: float) -> Column:
-    return F.ceil(x / F.lit(step)) * F.lit(step)
+    return ceil(x / F.lit(step)) * F.lit(step)
 
 
 def floor_to(x: Column, step: float) -> Column:
-    return F.floor(x / F.lit(step)) * F.lit(step)
+    return floor(x / F.lit(step)) * F.lit(step)
 
 
 def clamp(x: Column, low, high) -> Column:
@@ -74,13 +74,13 @@ def clamp(x: Column, low, high) -> Column:
 
 
 def log_base(x: Column, base: float) -> Column:
-    """Null for what has no logarithm."""
-    return F.when(x > 0, F.ln(x) / F.lit(math.log(base)))
+    """Minus infinity for 0, NaN below it."""
+    return ln(x) / F.lit(math.log(base))
 
 
 def power_below(x: Column, base: float) -> Column:
-    """The largest whole power of the base that is not above x."""
-    return F.pow(F.lit(float(base)), F.floor(F.round(log_base(x, base), 9)))
+    """The largest whole power of the base that is not above x; 0 for 0, NaN below it."""
+    return whole_power(base, floor(F.round(log_base(x, base), 9)))
 
 
 def log_clamped(x: Column, least: float) -> Column:

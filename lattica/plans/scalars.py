@@ -156,7 +156,7 @@ FROM events
 def rounding_and_logs(spark, sf_dir):
     """Rounding to increments, clamps, logarithms, saturation."""
     v = F.col("value")
-    sat = N.saturated(F.when(F.col("value") > 90, F.lit(float("inf"))).otherwise(v), 1e300)
+    sat = F.coalesce(N.saturated(F.when(v > 90, F.lit(float("inf"))), 1e300), v)
     return table(spark, sf_dir, "events").select(
         "event_id", N.round_to(v, 2.5).alias("rounded"), N.ceil_to(v, 2.5).alias("up"), N.floor_to(v, 2.5).alias("down"), N.clamp(v, 10.0, 100.0).alias("clamped"),
         F.round(N.log_base(v, 10), 6).alias("lg"), N.power_below(v, 10).alias("power"), F.round(N.log_clamped(v, 1.0), 6).alias("log_y"), F.round(F.exp(N.log_clamped(v, 1.0)), 6).alias("back"), sat.alias("held"),

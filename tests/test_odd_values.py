@@ -3,6 +3,7 @@
 import math
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -35,6 +36,22 @@ def test_limits_of_odd_values(spark, odd_events, name):
     assert_same(QUERIES[name](spark, odd_events), ORACLES[name], odd_events)
 
 
+def test_rounding_and_logs_of_odd_values(spark, odd_events, tmp_path):
+    events = pq.read_table(f"{odd_events}/events.parquet")
+    lone = [-0.0, 0.5, 2.5, 10.0, 90.0, 999.999, 5e-300, -INF]  # at 1e20 an exponential's last bit is the platform's own
+    lone = pa.table({"event_id": range(100, 100 + len(lone)), "user_id": [0] * len(lone), "event_type": ["lone"] * len(lone), "value": lone})
+    pq.write_table(pa.concat_tables([events.filter(pc.not_equal(events["event_type"], "huge")), lone]), tmp_path / "events.parquet")
+    assert_same(QUERIES["rounding_and_logs"](spark, str(tmp_path)), ORACLES["rounding_and_logs"], tmp_path)
+
+
+def test_a_zero_has_a_logarithm(spark):
+    log = lambda x: row(spark, N.log_base(F.lit(x).cast("double"), 10), N.power_below(F.lit(x).cast("double"), 10))
+    assert [log(0.0), log(None), log(5e-5)[1], log(INF)] == [(-INF, 0.0), (None, None), 1e-5, (INF, INF)]
+    assert all(map(math.isnan, log(-1.0) + log(NAN)))
+    rounded = [row(spark, N.round_to(F.lit(x), 2.5), N.ceil_to(F.lit(x), 2.5), N.floor_to(F.lit(x), 2.5)) for x in (1e300, -INF, 3.8)]
+    assert rounded == [(1e300,) * 3, (-INF,) * 3, (5.0, 5.0, 2.5)]
+
+
 def test_a_zero_is_a_limit_of_powers(spark):
     assert row(spark, *T.log_limits(F.lit(0.0), F.lit(464.2))) == (0.0, 1000.0)
     assert row(spark, *T.log_limits(F.lit(5e-5), F.lit(5e-5))) == (1e-5, 1e-4)
